@@ -5,25 +5,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.tokens import IGNORE_INDEX
+from millrace.functions.tokens import IGNORE_INDEX, bind
 
 Setting = float | int | Column
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it in ``body``.
-
-    The optimizer may copy a column's definition into a lambda, where it would
-    be evaluated once per element; a lambda variable cannot be copied.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def as_column(setting: Setting) -> Column:
     return setting if isinstance(setting, Column) else F.lit(setting)
 

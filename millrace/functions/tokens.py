@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ PAD_ID = 50256
 PAD_BUCKETS = (128, 256, 384, 512)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    The optimizer may copy a column's definition into a lambda, where it would
+    be evaluated once per element; a lambda variable cannot be copied.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def append_eos_truncate(tokens: Column, eos: Column | int, max_length: int) -> Column:
     """Append the end token, then cut, so that long rows lose it."""
     eos = eos if isinstance(eos, Column) else F.lit(eos)
@@ -64,17 +75,23 @@ def next_labels(tokens: Column, mask: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Word n-grams joined by a blank (words hold none); empty below n words."""
-    count = F.size(words) - (n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+    def cut(words: Column) -> Column:
+        count = F.size(words) - (n - 1)
+        grams = F.transform(
+            F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
+            lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]),
+        )
+        return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+
+    return bind(words, cut)
 
 
 def ngram_diversity(words: Column, n: int = 3) -> Column:
     """Distinct share of the n-grams, 0.0 with fewer than n words."""
-    grams = ngrams(words, n)
-    return F.when(F.size(words) < n, 0.0).otherwise(
-        F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))
+    return bind(
+        ngrams(words, n),
+        lambda grams: F.when(F.size(grams) == 0, 0.0).otherwise(
+            F.size(F.array_distinct(grams)) / F.greatest(F.size(grams), F.lit(1))
+        ),
     )

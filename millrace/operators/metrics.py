@@ -88,19 +88,8 @@ def self_bleu(
 
     # Lead of the top holder of each gram over everyone else in the group.
     grams = texts.select(
-        *group,
-        "_id",
-        F.explode(
-            F.flatten(
-                F.array(
-                    *[
-                        F.transform(ngrams(words, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-                        for n in range(1, max_n + 1)
-                    ]
-                )
-            )
-        ).alias("_g"),
-    ).select(*group, "_id", "_g.n", "_g.gram")
+        *group, "_id", F.posexplode(F.array(*[ngrams(words, n + 1) for n in range(max_n)]))
+    ).select(*group, "_id", (F.col("pos") + 1).alias("n"), F.explode("col").alias("gram"))
     counts = grams.groupBy(*group, "n", "gram", "_id").agg(F.count(F.lit(1)).alias("c"))
     held = counts.groupBy(*group, "n", "gram").agg(
         F.max("c").alias("top"),
@@ -198,7 +187,7 @@ def length_profile(df: DataFrame, limit: int = 512) -> DataFrame:
     return length_counts(df).agg(
         F.sum("n").alias("rows"),
         (F.sum(F.col("length") * F.col("n")) / F.sum("n")).alias("mean_length"),
-        F.percentile("length", 0.5, "n").alias("median_length"),
+        F.percentile("length", 0.5, F.col("n")).alias("median_length"),
         F.coalesce(F.sum(F.when(F.col("length") > limit, F.col("n"))), F.lit(0)).alias("too_long"),
     )
 
@@ -206,7 +195,7 @@ def length_profile(df: DataFrame, limit: int = 512) -> DataFrame:
 def length_boxplot(df: DataFrame) -> DataFrame:
     """Quartiles, whiskers at the last points within 1.5 IQR, and outlier count."""
     counts = length_counts(df)
-    quarters = counts.agg(F.percentile("length", [0.25, 0.5, 0.75], "n").alias("q")).scalar()
+    quarters = counts.agg(F.percentile("length", [0.25, 0.5, 0.75], F.col("n")).alias("q")).scalar()
     q1, q2, q3 = (F.get("q", F.lit(i)) for i in range(3))
     reach = 1.5 * (q3 - q1)
     inside = (F.col("length") >= q1 - reach) & (F.col("length") <= q3 + reach)

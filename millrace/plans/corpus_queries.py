@@ -48,7 +48,7 @@ def append_eos_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VOCAB} SELECT d.doc_id, coalesce(text, '') AS text FROM documents d LEFT JOIN (
+    f"""WITH {VOCAB} SELECT d.doc_id, coalesce(e.text, '') AS text FROM documents d LEFT JOIN (
       SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text
       FROM places JOIN vocab USING (word) GROUP BY doc_id) e ON e.doc_id = d.doc_id"""
 )
@@ -85,7 +85,7 @@ def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.shuffle_batches(cut_lineage(groups, "groups"))
 
 
-@query(f"WITH {sql.SHUFFLED} SELECT ex_id, length, position FROM shuffled")
+@query(f"WITH {sql.SHUFFLED} SELECT ex_id, length::INT AS length, position FROM shuffled")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffled(spark, sf_dir).select("ex_id", "length", "position")
 
@@ -104,7 +104,7 @@ def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(spark, sf_dir).select("ex_id", "position", "split")
 
 
-@query(f"WITH {sql.GROUPED} SELECT ex_id, length, length_rank, group_id FROM grouped")
+@query(f"WITH {sql.GROUPED} SELECT ex_id, length::INT AS length, length_rank, group_id FROM grouped")
 def length_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark, sf_dir).select("ex_id", "length", "length_rank", "group_id")
 

@@ -104,7 +104,7 @@ def write_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.RECIPES} SELECT id, source, upper(title) AS title,
+    f"""WITH {sql.RECIPES} SELECT id, source, title || '!' AS title,
       array_to_string(ingredients, chr(10)) AS ingredients, instructions FROM recipes"""
 )
 def replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +112,13 @@ def replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "recipes")
     tables.replace_table(views.recipes(spark, sf_dir), path)
     first = tables.read_table(spark, path)
-    tables.replace_table(first.withColumn("title", F.upper("title")), path)
+    tables.replace_table(first.withColumn("title", F.concat("title", F.lit("!"))), path)
     return flat(tables.read_table(spark, path))
 
 
 @query(
     f"""WITH {sql.RECIPES}, updates AS (
-      SELECT id, upper(title) AS title FROM recipes WHERE id % 7 = 0)
+      SELECT id, title || ' 2' AS title FROM recipes WHERE id % 7 = 0)
     SELECT r.id, CASE WHEN u.id IS NULL THEN source ELSE 'edit' END AS source,
       coalesce(u.title, r.title) AS title,
       array_to_string(ingredients, chr(10)) AS ingredients, instructions
@@ -129,8 +129,8 @@ def update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = views.recipes(spark, sf_dir)
     edits = target.where("id % 7 = 0").withColumn("source", F.lit("edit"))
     unknown = edits.withColumn("id", -F.col("id"))
-    early = edits.withColumns({"title": F.lower("title"), "seq": F.lit(1)})
-    late = edits.withColumns({"title": F.upper("title"), "seq": F.lit(2)})
+    early = edits.withColumns({"title": F.concat("title", F.lit(" 1")), "seq": F.lit(1)})
+    late = edits.withColumns({"title": F.concat("title", F.lit(" 2")), "seq": F.lit(2)})
     updates = early.unionByName(late).unionByName(unknown.withColumn("seq", F.lit(3)))
     return flat(recipes.update_matched(target, updates, "seq"))
 
