@@ -115,21 +115,65 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def draw(probs: Column, u: Column) -> Column:
+DRAW_BLOCK = 64
+
+
+def block_sums(probs: Column, block: int = DRAW_BLOCK) -> Column:
+    """Probability sums of runs of ``block`` tokens; they shorten repeated draws."""
+
+    def sums(probs: Column) -> Column:
+        last = F.floor((F.size(probs) - 1) / block).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda k: total(F.slice(probs, k * block + 1, block)["prob"]),
+        )
+
+    return bind(probs, sums)
+
+
+def draw(probs: Column, u: Column, blocks: Column | None = None, block: int = DRAW_BLOCK) -> Column:
     """The first token whose cumulative probability exceeds ``u``.
 
-    When rounding leaves the last sum below ``u``, the last token is drawn.
+    Only the block sums and one block are walked.  When rounding leaves the last
+    sum below ``u``, the last token is drawn.
     """
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("token_id"), u.alias("u"))
-    found = F.aggregate(
-        probs,
-        start,
-        lambda acc, p: F.struct(
-            (acc["sum"] + p["prob"]).alias("sum"),
-            F.coalesce(
-                acc["token_id"], F.when(acc["sum"] + p["prob"] > acc["u"], p["token_id"])
-            ).alias("token_id"),
+    blocks = block_sums(probs, block) if blocks is None else blocks
+    start = F.struct(
+        F.lit(0.0).alias("sum"),
+        F.lit(0.0).alias("before"),
+        F.lit(0).alias("passed"),
+        u.alias("u"),
+    )
+
+    def find_block(acc: Column, x: Column) -> Column:
+        upto = acc["sum"] + x
+        beyond = upto <= acc["u"]
+        return F.struct(
+            upto.alias("sum"),
+            F.when(beyond, upto).otherwise(acc["before"]).alias("before"),
+            (acc["passed"] + beyond.cast("int")).alias("passed"),
             acc["u"].alias("u"),
-        ),
-    )["token_id"]
-    return F.coalesce(found, F.get(probs, F.size(probs) - 1)["token_id"])
+        )
+
+    def find_token(found: Column) -> Column:
+        first = F.struct(
+            found["before"].alias("sum"),
+            F.lit(None).cast("int").alias("token_id"),
+            found["u"].alias("u"),
+        )
+        run = F.slice(probs, found["passed"] * block + 1, block)
+        token = F.aggregate(
+            run,
+            first,
+            lambda acc, p: F.struct(
+                (acc["sum"] + p["prob"]).alias("sum"),
+                F.coalesce(
+                    acc["token_id"], F.when(acc["sum"] + p["prob"] > acc["u"], p["token_id"])
+                ).alias("token_id"),
+                acc["u"].alias("u"),
+            ),
+        )["token_id"]
+        rest = F.get(run, F.size(run) - 1)["token_id"]
+        return F.coalesce(token, rest, F.get(probs, F.size(probs) - 1)["token_id"])
+
+    return bind(F.aggregate(blocks, start, find_block), find_token)

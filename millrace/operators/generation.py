@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.logits import Setting, draw, filter_candidates, from_dense, uniform
+from millrace.functions.logits import (
+    Setting,
+    block_sums,
+    draw,
+    filter_candidates,
+    from_dense,
+    uniform,
+)
+from millrace.functions.tokens import bind
 from millrace.operators.lookups import fits_broadcast, lookup
 from millrace.operators.metrics import checkpoint_summary, text_diversity, lexical_validity
 from millrace.operators.tokens import decode
@@ -45,7 +53,7 @@ def filter_logits(
 def draw_token(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     """Add ``token_id``: one token per context, drawn by its probability."""
     u = uniform(seed, *[F.col(k) for k in keys])
-    return df.withColumn("token_id", draw(F.col("probs"), u))
+    return df.withColumn("token_id", bind(F.col("probs"), lambda probs: draw(probs, u)))
 
 
 def next_pairs(df: DataFrame, keep: list[str] | None = None, ids: str = "input_ids") -> DataFrame:
@@ -124,8 +132,9 @@ def complete_prompts(
         F.col("prev").alias("last"),
         filter_candidates(F.col("candidates"), temperature, top_k, top_p).alias("probs"),
     )
-    table = cut_lineage(kept, "successors")
-    small = fits_broadcast(table)
+    table = cut_lineage(kept.withColumn("blocks", block_sums(F.col("probs"))), "successors")
+    if fits_broadcast(table):
+        table = F.broadcast(table)
     state = prompts.select(
         key,
         F.size("input_ids").alias("context"),
@@ -137,12 +146,11 @@ def complete_prompts(
             state = cut_lineage(state, "completion")
             if state.where("last is not null").isEmpty():
                 break
-        if small:
-            found = state.join(F.broadcast(table), "last", "left")
-        else:
-            found = lookup(state, table, ["last"], [key], max_bytes=0)
+        # Beyond the bound both sides are shuffled; a token many prompts end in makes
+        # a skewed partition, which adaptive execution splits.
+        found = state.join(table, "last", "left")
         open = F.col("last").isNotNull()
-        drawn = draw(F.col("probs"), uniform(seed, F.col(key), F.lit(step)))
+        drawn = draw(F.col("probs"), uniform(seed, F.col(key), F.lit(step)), F.col("blocks"))
         token = F.when(open, F.coalesce(drawn, F.lit(eos)))
         grown = F.col("context") + open.cast("int")
         state = found.withColumn("_token", token).select(

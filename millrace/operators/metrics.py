@@ -146,10 +146,9 @@ def lexical_validity(
 ) -> DataFrame:
     """Share of each row's words found in ``dictionary(word)``, 0.0 without words."""
     words = df.select(*key, F.explode_outer(word_tokens(F.col(text))).alias("word"))
-    counted = words.groupBy(*key, "word").agg(F.count("word").alias("n"))
     known = dictionary.select("word").distinct().withColumn("known", F.lit(True))
-    found = lookup(counted, known, ["word"], key)
-    total, valid = F.sum("n"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0))
+    found = lookup(words, known, ["word"], key)
+    total, valid = F.count("word"), F.count_if("known")
     return found.groupBy(*key).agg(
         F.when(total == 0, 0.0).otherwise(F.try_divide(valid, total)).alias("lexical_validity")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.operators.once import compute_once
 from millrace.operators.positions import global_position, id_levels
 
 RECIPE_COLUMNS = ("id", "source", "title", "ingredients", "instructions")
@@ -100,12 +101,13 @@ def get_recipe(df: DataFrame, id: int) -> DataFrame:
 
 def clean_recipes(df: DataFrame) -> DataFrame:
     """Clean titles, ingredient lists and instructions, each in its own order."""
-    return df.withColumns(
+    return compute_once(
+        df,
         {
             "title": text.clean_text(F.col("title")),
             "ingredients": text.clean_ingredients(F.col("ingredients")),
             "instructions": text.clean_text(F.col("instructions")),
-        }
+        },
     )
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import word_tokens
 from millrace.operators.lookups import lookup
+from millrace.operators.once import compute_once
 from millrace.operators.positions import global_position, text_levels
 from millrace.sources.scratch import cut_lineage
 
 
 def with_words(df: DataFrame, text: str = "text", tokenizer=None) -> DataFrame:
     """Add ``words``; ``tokenizer`` may be any Column function, e.g. a pandas UDF."""
-    return df.withColumn("words", (tokenizer or word_tokens)(F.col(text)))
+    return compute_once(df, {"words": (tokenizer or word_tokens)(F.col(text))})
 
 
 def build_vocab(df: DataFrame, min_count: int = 1, words: str = "words") -> DataFrame:

@@ -41,9 +41,9 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
-@query(f"WITH {VOCAB}, {sql.ended(128)} SELECT doc_id, len(ids)::INT AS n, {sql.joined('ids')} AS ids FROM ended")
+@query(f"WITH {VOCAB}, {sql.ended(512)} SELECT doc_id, len(ids)::INT AS n, {sql.joined('ids')} AS ids FROM ended")
 def append_eos_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, _, _ = views.encoded_corpus(spark, sf_dir, max_length=128)
+    ids, _, _ = views.encoded_corpus(spark, sf_dir, max_length=512)
     return ids.select("doc_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
@@ -166,7 +166,7 @@ def bucket_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus_batches(spark: SparkSession, sf_dir: str, max_length: int = 256) -> DataFrame:
+def corpus_batches(spark: SparkSession, sf_dir: str, max_length: int = views.MAX_DOC_TOKENS) -> DataFrame:
     """Documents in order, in batches padded to their longest row."""
     ids, _, _ = views.encoded_corpus(spark, sf_dir, max_length)
     placed = assembly.global_position(
@@ -175,7 +175,7 @@ def corpus_batches(spark: SparkSession, sf_dir: str, max_length: int = 256) -> D
     return assembly.pad_to_batch_max(assembly.cut_batches(placed))
 
 
-CORPUS_BATCHES = f"""{VOCAB}, {sql.ended(256)}, numbered AS (
+CORPUS_BATCHES = f"""{VOCAB}, {sql.ended(1024)}, numbered AS (
   SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM ended), padded AS (
   SELECT doc_id, p // 6 AS batch_id, (p % 6)::INT AS pos_in_batch, len(ids) AS n,
          list_concat(ids, list_transform(range(max(len(ids)) OVER (PARTITION BY p // 6) - len(ids)),

@@ -383,7 +383,7 @@ def completion(seed: int, keep: str, name: str) -> str:
         ('0x' || substr(md5('{seed}:' || c.key || ':' || c.step), 1, 8))::BIGINT / 4294967296::DOUBLE)),
       nexts[len(nexts)], (SELECT v FROM size)) AS t
     FROM {name} c LEFT JOIN {name}_succ s ON s.prev = c.last
-    WHERE c.last IS NOT NULL AND c.step < 8)), {name}_text AS (
+    WHERE c.last IS NOT NULL AND c.step < 16)), {name}_text AS (
   SELECT key AS prompt_id, coalesce((SELECT string_agg(word, ' ' ORDER BY i) FROM (
       SELECT unnest(out) AS id, generate_subscripts(out, 1) AS i) JOIN vocab USING (id)), '') AS output
   FROM (SELECT key, arg_max(out, step) AS out FROM {name} GROUP BY key))"""
@@ -402,12 +402,12 @@ GREEDY, SAMPLED = "WHERE r = 1", ""
     SELECT prompt_id, output FROM done_text"""
 )
 def complete_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likeliest continuation of every prompt, eight tokens at most."""
+    """The likeliest continuation of every prompt, sixteen tokens at most."""
     ids, vocab, eos = views.encoded_corpus(spark, sf_dir)
     model = generation.train_ngram_model(ids)
     asked = prompt_ids(spark, sf_dir, vocab, eos + 1)
     # A temperature near zero leaves all probability to the first token.
-    out = generation.complete_prompts(asked, model, eos, max_tokens=8, top_p=0.0)
+    out = generation.complete_prompts(asked, model, eos, max_tokens=16, top_p=0.0)
     return tokens.decode(out, vocab, "prompt_id", "output_ids").withColumnRenamed("text", "output")
 
 
@@ -430,7 +430,7 @@ def evaluate_prompt_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = prompt_ids(spark, sf_dir, vocab, eos + 1)
     row = generation.evaluate_prompt_suite(
         3000, asked, asked, model, vocab, views.dictionary(spark, sf_dir), eos,
-        max_tokens=8, sample_seed=7,
+        max_tokens=16, sample_seed=7,
     )
     flat = row.select("step", F.size("prompts").alias("prompts"), "metrics.*")
     return rounded(flat, "avg_diversity", "avg_lexical_validity", "self_bleu")

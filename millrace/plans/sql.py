@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from millrace.functions.text import (
     ADVERTISEMENT,
-    DISALLOWED_CHARACTERS,
+    ALLOWED_CHARACTERS,
     DROPPED_PHRASES,
     HTML_ELEMENT,
     WHITESPACE,
@@ -47,8 +47,11 @@ def html(c: str) -> str:
     return f"regexp_replace({c}, {quoted(HTML_ELEMENT)}, '', 'g')"
 
 
+DISALLOWED = "[^" + "".join("\\" + c if c in "[]-\\^" else c for c in ALLOWED_CHARACTERS) + "]"
+
+
 def special(c: str) -> str:
-    return f"regexp_replace({c}, {quoted(DISALLOWED_CHARACTERS)}, '', 'g')"
+    return f"regexp_replace({c}, {quoted(DISALLOWED)}, '', 'g')"
 
 
 def clean_text(c: str) -> str:
