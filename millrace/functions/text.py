@@ -33,11 +33,18 @@ def py_strip(col: Column) -> Column:
 
 @cache
 def accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Characters whose unaccented form differs: one-to-one pairs and the rest."""
-    plain, bare, longer = [], [], []
+    """Characters whose unaccented form differs: a translation and the longer rest.
+
+    The translation's left side ends with the combining marks, which have no
+    partner on the right and are deleted.
+    """
+    plain, bare, longer, marks = [], [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
-        if unicodedata.category(char) in ("Mn", "Cs"):
+        category = unicodedata.category(char)
+        if category == "Mn":
+            marks.append(char)
+        if category in ("Mn", "Cs"):
             continue
         parts = unicodedata.normalize("NFD", char)
         if parts == char:
@@ -51,7 +58,7 @@ def accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
             bare.append(kept)
         else:
             longer.append((char, kept))
-    return "".join(plain), "".join(bare), tuple(longer)
+    return "".join(plain + marks), "".join(bare), tuple(longer)
 
 
 def remove_accents(col: Column) -> Column:
@@ -60,18 +67,14 @@ def remove_accents(col: Column) -> Column:
     ASCII text, the common case, skips the table altogether.
     """
     plain, bare, longer = accent_table()
-
-    def bare_text(text: Column) -> Column:
-        return F.regexp_replace(F.translate(text, plain, bare), r"\p{Mn}+", "")
-
     several = col
     for char, kept in longer:
         several = F.replace(several, F.lit(char), F.lit(kept))
     rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in longer) + "]"
     return (
         F.when(~col.rlike(r"[^\x00-\x7F]"), col)
-        .when(col.rlike(rare), bare_text(several))
-        .otherwise(bare_text(col))
+        .when(col.rlike(rare), F.translate(several, plain, bare))
+        .otherwise(F.translate(col, plain, bare))
     )
 
 
