@@ -13,6 +13,7 @@ from millrace.operators.positions import (
     running_total,
     seeded_hash,
 )
+from millrace.sources.scratch import cut_lineage
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -26,6 +27,7 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def buffer_shuffle(df: DataFrame, key: str, buffer: int = 500, seed: int = 42) -> DataFrame:
     """Shuffle in key order with places moved by less than ``buffer``."""
     placed = global_position(df, id_levels(key), [F.col(key)], name="_source")
+    placed = cut_lineage(placed, "source-order")
     jitter = F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("long") % buffer
     moved = placed.withColumn("_moved", F.col("_source") + jitter)
     return global_position(
@@ -34,7 +36,10 @@ def buffer_shuffle(df: DataFrame, key: str, buffer: int = 500, seed: int = 42) -
 
 
 def train_val_split(df: DataFrame, fraction: float = 0.9) -> DataFrame:
-    """Mark the first ``int(n * fraction)`` positions as train, the rest as val."""
+    """Mark the first ``int(n * fraction)`` positions as train, the rest as val.
+
+    Counting runs a job: pass a written table.
+    """
     cut = int(df.count() * fraction)
     return df.withColumn("split", F.when(F.col("position") <= cut, "train").otherwise("val"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.logits import (
     Setting,
-    block_sums,
     draw,
     filter_candidates,
     from_dense,
@@ -78,8 +77,8 @@ def score_ngram(
 ) -> DataFrame:
     """Loss sum, hits and token count of held-out rows, with add-one smoothing.
 
-    Equal pairs are counted before they meet the model.  A token never seen
-    before predicts id 0, the first of equally likely ones.
+    Equal pairs are counted before they meet the model, which should be a written
+    table.  A token never seen before predicts id 0, the first of equally likely ones.
     """
     by = by or []
     pairs = next_pairs(df, by, ids).groupBy(*by, "prev", "next").agg(
@@ -89,8 +88,8 @@ def score_ngram(
         F.sum("n").alias("total"),
         F.max(F.struct("n", (-F.col("next")).alias("rank"))).alias("best"),
     ).select("prev", "total", (-F.col("best.rank")).alias("best"))
-    found = lookup(pairs, model, ["prev", "next"], [*by, "next"])
-    found = lookup(found, before, ["prev"], [*by, "next"])
+    found = lookup(pairs, model, ["prev", "next"])
+    found = lookup(found, cut_lineage(before, "totals"), ["prev"], [*by, "next"])
     prob = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + vocab_size)
     hit = F.coalesce("best", F.lit(0)) == F.col("next")
     return found.groupBy(*by).agg(
@@ -100,13 +99,57 @@ def score_ngram(
     )
 
 
-def successors(model: DataFrame) -> DataFrame:
-    """One row per token: its successors as candidates, with log counts as logits.
+RANGE_RUN = 16
 
-    A row holds at most one entry per word of the vocabulary.
+
+def successor_ranges(
+    model: DataFrame, temperature: float = 1.0, top_k: int = -1, top_p: float = 1.0
+) -> DataFrame:
+    """What may follow each token, as ranges of a uniform number in [0, 1).
+
+    Rows ``(last, segment, low, high, token, segments)``.  The range of ``last``
+    is cut into equal segments of about ``RANGE_RUN`` tokens, so a draw meets one
+    segment only and the draws after a frequent token spread over many keys.
+    ``segments`` is the number of segments of ``token`` in turn (NULL: no successor).
+    The logits are log counts; filters as in ``filter_logits``.
     """
-    candidate = F.struct(F.col("next").alias("token_id"), F.ln("n").alias("logit"))
-    return model.groupBy("prev").agg(F.collect_list(candidate).alias("candidates"))
+    heavy_first = Window.partitionBy("prev").orderBy(F.desc("n"), "next")
+    whole = Window.partitionBy("prev")
+    before = heavy_first.rowsBetween(Window.unboundedPreceding, -1)
+    scale = 1.0 if temperature == 1.0 else 1.0 / max(temperature, 1e-5)
+    rows = model.select("prev", "next", "n")
+    if top_k > 0:
+        ties_kept = F.rank().over(Window.partitionBy("prev").orderBy(F.desc("n")))
+        rows = rows.withColumn("_rank", ties_kept).where(F.col("_rank") <= top_k)
+    rows = rows.withColumn("_weight", F.pow(F.col("n") / F.max("n").over(whole), F.lit(scale)))
+    if top_p < 1.0:
+        passed = F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
+        rows = rows.withColumns({"_passed": passed, "_sum": F.sum("_weight").over(whole)})
+        rows = rows.where(F.col("_passed") <= F.col("_sum") * top_p)
+    upto = F.sum("_weight").over(heavy_first.rowsBetween(Window.unboundedPreceding, 0))
+    ends = F.lead("next").over(heavy_first).isNull()
+    rows = rows.withColumns(
+        {
+            # The last range ends at 1, whatever rounding made of the sum.
+            "high": F.when(ends, F.lit(1.0)).otherwise(upto / F.sum("_weight").over(whole)),
+            "_segments": F.ceil(F.count("next").over(whole) / RANGE_RUN),
+        }
+    )
+    rows = rows.withColumn("low", F.coalesce(F.lag("high").over(heavy_first), F.lit(0.0)))
+    first = F.floor(F.col("low") * F.col("_segments"))
+    last = F.least(F.floor(F.col("high") * F.col("_segments")), F.col("_segments") - 1)
+    ranges = rows.select(
+        F.col("prev").alias("last"),
+        "_segments",
+        "low",
+        "high",
+        F.col("next").alias("token"),
+        F.explode(F.sequence(F.least(first, last), last)).alias("segment"),
+    )
+    ranges = cut_lineage(ranges, "ranges")
+    sizes = ranges.groupBy("last").agg(F.first("_segments").alias("segments"))
+    sizes = cut_lineage(sizes.withColumnRenamed("last", "token"), "range-sizes")
+    return lookup(ranges.drop("_segments"), sizes, ["token"], ["last"])
 
 
 def complete_prompts(
@@ -120,46 +163,60 @@ def complete_prompts(
     seed: int = 42,
     key: str = "prompt_id",
     cut_every: int = 8,
+    **bounds: int,
 ) -> DataFrame:
     """Extend ``prompts(key, input_ids)`` token by token: ``(key, output_ids)``.
 
     A prompt stops after the end token, at ``max_tokens`` new tokens or when the
     context is full.  A token without successors is followed by the end token.
-    Every ``cut_every`` steps the state is written, the plan starts anew from it,
-    and the loop ends once no prompt is open.
+    Every step is one join with the successor ranges.  Every ``cut_every`` steps
+    the state is written, the plan starts anew from it, and the loop ends once no
+    prompt is open.
     """
-    kept = successors(model).select(
-        F.col("prev").alias("last"),
-        filter_candidates(F.col("candidates"), temperature, top_k, top_p).alias("probs"),
+    ranges = cut_lineage(successor_ranges(model, temperature, top_k, top_p), "successors")
+    starts = cut_lineage(
+        ranges.groupBy("last").agg((F.max("segment") + 1).alias("segments")), "starts"
     )
-    table = cut_lineage(kept.withColumn("blocks", block_sums(F.col("probs"))), "successors")
-    if fits_broadcast(table):
-        table = F.broadcast(table)
     state = prompts.select(
         key,
         F.size("input_ids").alias("context"),
         F.element_at(F.col("input_ids"), -1).alias("last"),
         F.array().cast("array<int>").alias("output_ids"),
     )
+    state = lookup(state, starts, ["last"], [key])
+    ranges = ranges.withColumnRenamed("segments", "_segments")
+    if fits_broadcast(ranges, **bounds):
+        ranges = F.broadcast(ranges)
     for step in range(max_tokens):
         if step and step % cut_every == 0:
             state = cut_lineage(state, "completion")
             if state.where("last is not null").isEmpty():
                 break
-        # Beyond the bound both sides are shuffled; a token many prompts end in makes
-        # a skewed partition, which adaptive execution splits.
-        found = state.join(table, "last", "left")
+        drawn = uniform(seed, F.col(key), F.lit(step))
+        asked = state.withColumn("_u", drawn).withColumn(
+            "_segment", F.floor(F.col("_u") * F.col("segments"))
+        )
+        found = asked.join(
+            ranges.withColumnRenamed("last", "_last"),
+            (F.col("last") == F.col("_last"))
+            & (F.col("_segment") == F.col("segment"))
+            & (F.col("_u") >= F.col("low"))
+            & (F.col("_u") < F.col("high")),
+            "left",
+        )
         open = F.col("last").isNotNull()
-        drawn = draw(F.col("probs"), uniform(seed, F.col(key), F.lit(step)), F.col("blocks"))
-        token = F.when(open, F.coalesce(drawn, F.lit(eos)))
         grown = F.col("context") + open.cast("int")
-        state = found.withColumn("_token", token).select(
+        token = F.when(open, F.coalesce("token", F.lit(eos)))
+        state = found.withColumns({"_token": token, "_grown": grown}).select(
             key,
-            grown.alias("context"),
-            F.when((F.col("_token") != eos) & (grown < CONTEXT), F.col("_token")).alias("last"),
+            F.col("_grown").alias("context"),
+            F.when((F.col("_token") != eos) & (F.col("_grown") < CONTEXT), F.col("_token")).alias(
+                "last"
+            ),
             F.when(open, F.concat("output_ids", F.array("_token")))
             .otherwise(F.col("output_ids"))
             .alias("output_ids"),
+            F.col("_segments").alias("segments"),
         )
     return state.select(key, "output_ids")
 
@@ -176,8 +233,8 @@ def evaluate_prompt_suite(
     seed: int = 42,
     sample_seed: int = 43,
     **settings: float,
-) -> DataFrame:
-    """One evaluation result row for a checkpoint.
+) -> tuple[DataFrame, DataFrame]:
+    """The two result tables of one checkpoint (see ``evaluation_results``).
 
     ``prompts(prompt_id, input, input_ids)`` are completed and scored;
     ``samples(prompt_id, input_ids)`` repeat one prompt for self-BLEU.
@@ -190,29 +247,22 @@ def evaluate_prompt_suite(
 
     outputs = cut_lineage(completed(prompts, seed), "outputs")
     repeats = cut_lineage(completed(samples, sample_seed), "samples")
-    return result_rows(
+    return evaluation_results(
         outputs.join(prompts.select("prompt_id", "input"), "prompt_id"), repeats, dictionary
     )
 
 
-def result_rows(outputs: DataFrame, samples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Evaluation results ``(step, prompts, metrics)`` from completed prompts."""
+def evaluation_results(
+    outputs: DataFrame, samples: DataFrame, dictionary: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Result tables of completed prompts: one row per prompt, one row per step.
+
+    ``(step, prompt_id, input, output, diversity, lexical_validity)`` and
+    ``(step, avg_diversity, avg_lexical_validity, self_bleu)``.  They stay flat,
+    so that a step may have any number of prompts.
+    """
     key = ["step", "prompt_id"]
-    scored = outputs.withColumn("diversity", text_diversity(F.col("output"))).join(
-        lexical_validity(outputs, dictionary, key, "output"), key
-    )
-    entry = F.struct("prompt_id", "input", "output", "diversity", "lexical_validity")
-    # A checkpoint's suite is a fixed short list of prompts.
-    entries = scored.groupBy("step").agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    listed = entries.select(
-        "step",
-        F.transform(
-            "_entries",
-            lambda e: F.struct(
-                *[e[c].alias(c) for c in ("input", "output", "diversity", "lexical_validity")]
-            ),
-        ).alias("prompts"),
-    )
-    summary = checkpoint_summary(outputs, samples, dictionary, key, "prompt_id")
-    metrics = F.struct("avg_diversity", "avg_lexical_validity", "self_bleu").alias("metrics")
-    return listed.join(summary.select("step", metrics), "step")
+    valid = lexical_validity(outputs, dictionary, key, "output")
+    scored = outputs.withColumn("diversity", text_diversity(F.col("output"))).join(valid, key)
+    scored = scored.select(*key, "input", "output", "diversity", "lexical_validity")
+    return scored, checkpoint_summary(outputs, samples, dictionary, key, "prompt_id")

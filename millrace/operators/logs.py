@@ -76,18 +76,27 @@ def upsert_results(existing: DataFrame, new: DataFrame, key: str = "step") -> Da
     ).unionByName(new)
 
 
-def metric_series(results: DataFrame) -> DataFrame:
+def metric_series(metrics: DataFrame) -> DataFrame:
     """Summary metrics in numeric step order; steps may be stored as strings."""
-    return results.select(F.col("step").cast("int").alias("step"), "metrics.*").orderBy("step")
+    return metrics.withColumn("step", F.col("step").cast("int")).orderBy("step")
 
 
-def prompt_history(results: DataFrame, prompt: str) -> DataFrame:
-    """Output and diversity of one prompt at every step, its first match only."""
-    match = F.get(F.filter("prompts", lambda p: p["input"] == prompt), F.lit(0))
-    return results.select(
-        F.col("step").cast("int").alias("step"),
-        F.when(match.isNull(), NO_OUTPUT).otherwise(match["output"]).alias("output"),
-        match["diversity"].alias("diversity"),
+def prompt_history(prompts: DataFrame, steps: DataFrame, prompt: str) -> DataFrame:
+    """Output and diversity of one prompt at every step of ``steps``.
+
+    A step's first match counts; a step without one gets a placeholder row.
+    """
+    first = F.min_by(F.struct("output", "diversity"), F.col("prompt_id"))
+    found = prompts.where(F.col("input") == prompt).groupBy("step").agg(first.alias("_first"))
+    return (
+        steps.select("step")
+        .distinct()
+        .join(found, "step", "left")
+        .select(
+            F.col("step").cast("int").alias("step"),
+            F.coalesce("_first.output", F.lit(NO_OUTPUT)).alias("output"),
+            F.col("_first.diversity").alias("diversity"),
+        )
     )
 
 

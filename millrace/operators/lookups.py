@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-SALTS = 32
+LEAST_ROW_BYTES = 8
+
 
+def fits_broadcast(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure a written table against the broadcast bound.
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a table, which should be a written one, against the broadcast bound."""
-    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    The row count, which Parquet keeps in its footers, settles most large tables.
+    """
+    if table.count() * LEAST_ROW_BYTES > max_bytes:
+        return False
+    size = table.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
     return (size or 0) <= max_bytes
 
 
@@ -19,19 +26,39 @@ def lookup(
     facts: DataFrame,
     table: DataFrame,
     on: list[str],
-    spread_by: list[str],
+    spread_by: list[str] | None = None,
+    hot: Column | None = None,
     max_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    salts: int = 32,
 ) -> DataFrame:
-    """Left join ``facts`` with ``table``, which is unique on ``on``.
+    """Left join ``facts`` with a written ``table`` that is unique on ``on``.
 
     A table measured within the bound is broadcast and the facts stay in place.
-    A larger one is copied ``salts`` times, so that the rows of a hot key, split
-    by a hash of ``spread_by``, meet it in that many tasks.
+    Beyond it:
+
+    - ``hot`` marks the rows of the table most facts ask for.  They are broadcast
+      and only facts without a match there are shuffled to the rest.
+    - ``spread_by`` suits tables much smaller than the facts: the table is copied
+      ``salts`` times, and a hot key's facts meet it in that many tasks.
+    - With neither, both sides are shuffled once and adaptive execution splits
+      the partitions of hot keys.
     """
     if fits_broadcast(table, max_bytes):
         return facts.join(F.broadcast(table), on, "left")
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    copies = copies.withColumn("_salt", F.col("_salt").cast("long"))
-    return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], "left").drop("_salt")
+    if hot is not None:
+        near = table.where(hot)
+        if fits_broadcast(near, max_bytes):
+            marked = near.withColumn("_found", F.lit(True))
+            first = facts.join(F.broadcast(marked), on, "left")
+            # Rows with a NULL key match nothing and need not travel either.
+            settled = F.col("_found").isNotNull() | reduce(
+                lambda a, b: a | b, [F.col(c).isNull() for c in on]
+            )
+            missed = first.where(~settled).select(*facts.columns)
+            late = missed.join(table.where(~hot), on, "left")
+            return first.where(settled).drop("_found").unionByName(late)
+    if spread_by:
+        salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], "left").drop("_salt")
+    return facts.join(table, on, "left")

@@ -12,6 +12,7 @@ from millrace.functions.text import word_tokens
 from millrace.functions.tokens import IGNORE_INDEX, ngram_diversity, ngrams
 from millrace.operators.lookups import lookup
 from millrace.operators.positions import seeded_hash
+from millrace.sources.scratch import cut_lineage
 
 
 def masked_cross_entropy(
@@ -120,7 +121,9 @@ def self_bleu(
     )
     lengths = lengths.select(*group, "_size", closest.alias("_reference"))
 
-    scored = texts.drop("_words").join(lead, [*group, "_id"], "left").join(lengths, [*group, "_size"], "left")
+    scored = texts.drop("_words").join(lead, [*group, "_id"], "left")
+    # Copies of one text share their length: a table lookup, not a skewed join.
+    scored = lookup(scored, cut_lineage(lengths, "text-lengths"), [*group, "_size"], ["_id"])
     logs, hits = F.lit(0.0), None
     for n in range(1, max_n + 1):
         total = F.greatest(F.col("_size") - (n - 1), F.lit(0))

@@ -17,15 +17,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BLOCK_BITS = 20
-ID_RANGE_BITS = 34
+# Bits dropped from an id at each level: whatever the ids, at most 2**16 values
+# meet in one task, and no bucket holds more than 2**20 ids.
+ID_LEVEL_BITS = (48, 34, 20)
 
 
 def id_levels(col: Column | str) -> list[Column]:
-    """Levels for an integer order: wide ranges, then blocks of 2**20 ids."""
+    """Levels for an integer order: ever narrower ranges down to blocks of ids."""
     col = F.col(col) if isinstance(col, str) else col
     col = F.coalesce(col.cast("long"), F.lit(-(2**63)))
-    return [F.shiftright(col, ID_RANGE_BITS), F.shiftright(col, ID_BLOCK_BITS)]
+    return [F.shiftright(col, bits) for bits in ID_LEVEL_BITS]
 
 
 def hash_levels(col: Column | str, digits: int = 4) -> list[Column]:

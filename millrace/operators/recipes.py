@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.operators.lookups import lookup
 from millrace.operators.once import compute_once
 from millrace.operators.positions import global_position, id_levels
+from millrace.sources.scratch import cut_lineage
 
 RECIPE_COLUMNS = ("id", "source", "title", "ingredients", "instructions")
 # Fixed value: the prompt in front of every dish name.
@@ -71,13 +73,14 @@ def update_matched(target: DataFrame, updates: DataFrame, order: str | None = No
     """Overwrite all fields of recipes whose id has an update; others are ignored.
 
     With ``order`` the last update of an id wins; without it ids must be unique.
+    Few updates are broadcast; many are copied, since rows without an id share -1.
     """
     fields = [c for c in RECIPE_COLUMNS if c != "id"]
     rank = F.col(order) if order else F.lit(0)
     latest = updates.groupBy("id").agg(
         F.max(F.struct(rank.alias("_rank"), *fields)).alias("update")
     )
-    joined = target.join(latest, "id", "left")
+    joined = lookup(target, cut_lineage(latest, "updates"), ["id"], ["source", "title"])
     found = F.col("update").isNotNull()
     return joined.select(
         "id", *[F.when(found, F.col(f"update.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
@@ -88,7 +91,9 @@ def delete_by_id(target: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove the given ids; -1, which may stand for many rows, is refused."""
     if not ids.where("id = -1").isEmpty():
         raise ValueError("id -1 may stand for more than one recipe")
-    return target.join(ids.select("id").distinct(), "id", "left_anti").select(*target.columns)
+    gone = cut_lineage(ids.select("id").distinct().withColumn("_gone", F.lit(True)), "deletions")
+    left = lookup(target, gone, ["id"], ["source", "title"]).where("_gone is null")
+    return left.select(*target.columns)
 
 
 def get_recipe(df: DataFrame, id: int) -> DataFrame:

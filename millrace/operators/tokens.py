@@ -45,27 +45,41 @@ def special_ids(vocab: DataFrame) -> tuple[int, int]:
     return size, size + 1
 
 
+# Ids follow falling frequency, so the first ones cover nearly all of a text.
+HOT_IDS = 1_000_000
+
+
 def encode(
-    df: DataFrame, vocab: DataFrame, unknown: int, key: str = "doc_id", words: str = "words"
+    df: DataFrame,
+    vocab: DataFrame,
+    unknown: int,
+    key: str = "doc_id",
+    words: str = "words",
+    keep: list[str] | None = None,
+    **bounds: int,
 ) -> DataFrame:
-    """``(key, input_ids)``: the ids of each row's words, in order.
+    """``(key, *keep, input_ids)``: the ids of each row's words, in order.
 
     Words are exploded next to their row, looked up, and regrouped per row;
-    partial aggregation rebuilds the arrays before the one shuffle.
+    partial aggregation rebuilds the arrays before the one shuffle.  ``keep``
+    columns depend on the key.
     """
-    places = df.select(key, F.posexplode_outer(words).alias("_place", "word"))
-    found = lookup(places, vocab.select("word", "id"), ["word"], [key])
+    keys = [key, *(keep or [])]
+    places = df.select(*keys, F.posexplode_outer(words).alias("_place", "word"))
+    hot = F.col("id") < HOT_IDS
+    found = lookup(places, vocab.select("word", "id"), ["word"], hot=hot, **bounds)
     token = F.struct("_place", F.coalesce("id", F.lit(unknown)).alias("id"))
     ids = F.sort_array(F.collect_list(F.when(F.col("_place").isNotNull(), token)))
-    return found.groupBy(key).agg(ids.alias("_ids")).select(
-        key, F.col("_ids.id").alias("input_ids")
+    return found.groupBy(*keys).agg(ids.alias("_ids")).select(
+        *keys, F.col("_ids.id").alias("input_ids")
     )
 
 
 def decode(df: DataFrame, vocab: DataFrame, key: str = "doc_id", ids: str = "input_ids") -> DataFrame:
     """``(key, text)``: words joined by a blank; ids outside the vocabulary are dropped."""
     places = df.select(key, F.posexplode_outer(ids).alias("_place", "id"))
-    found = lookup(places, vocab.select("id", "word"), ["id"], [key])
+    hot = F.col("id") < HOT_IDS
+    found = lookup(places, vocab.select("id", "word"), ["id"], hot=hot)
     token = F.when(F.col("word").isNotNull(), F.struct("_place", "word"))
     return found.groupBy(key).agg(F.sort_array(F.collect_list(token)).alias("_words")).select(
         key, F.array_join("_words.word", " ").alias("text")

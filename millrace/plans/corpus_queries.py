@@ -117,13 +117,12 @@ def shuffle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples ``(ex_id, input_ids, attention_mask, labels)``."""
     rows = views.examples(spark, sf_dir)
+    rows = rows.withColumn("prompt_tokens", tokens.prompt_length(F.col("text")))
     vocab = tokens.build_vocab(rows)
     eos, unknown = tokens.special_ids(vocab)
-    ids = tokens.encode(rows, vocab, unknown, "ex_id")
+    ids = tokens.encode(rows, vocab, unknown, "ex_id", keep=["prompt_tokens"])
     ids = ids.withColumn("input_ids", append_eos_truncate(F.col("input_ids"), eos, 512))
-    prompts = rows.select("ex_id", tokens.prompt_length(F.col("text")).alias("prompt_tokens"))
-    both = views.with_mask(ids.join(prompts, "ex_id"))
-    return assembly.prompt_masked_labels(both, F.col("prompt_tokens"))
+    return assembly.prompt_masked_labels(views.with_mask(ids), F.col("prompt_tokens"))
 
 
 LABELLED = f"""{EX_VOCAB}, {sql.ended(512, 'ex_id')}, prompts AS (

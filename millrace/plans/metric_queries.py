@@ -226,10 +226,10 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink_totals(spark.read.parquet(lines), spark.read.parquet(points))
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation results ``(step, prompts, metrics)`` of the stored replies."""
+def results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation result tables of the stored replies: per prompt and per step."""
     rows = views.generations(spark, sf_dir)
-    return generation.result_rows(rows, rows, views.dictionary(spark, sf_dir))
+    return generation.evaluation_results(rows, rows, views.dictionary(spark, sf_dir))
 
 
 @query(
@@ -241,19 +241,16 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def upsert_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later steps evaluated again, and as many new steps added."""
-    stored = cut_lineage(results(spark, sf_dir), "results")
-    marks = [F.lit(-1.0).alias(c) for c in ("avg_diversity", "avg_lexical_validity", "self_bleu")]
-    again = stored.where("step > 3").withColumn("metrics", F.struct(*marks))
+    names = ("avg_diversity", "avg_lexical_validity", "self_bleu")
+    stored = cut_lineage(results(spark, sf_dir)[1], "results")
+    again = stored.where("step > 3").withColumns({c: F.lit(-1.0) for c in names})
     new = again.unionByName(again.withColumn("step", F.col("step") + 1000))
-    merged = logs.upsert_results(stored, new)
-    return rounded(
-        merged.select("step", "metrics.*"), "avg_diversity", "avg_lexical_validity", "self_bleu"
-    )
+    return rounded(logs.upsert_results(stored, new), *names)
 
 
 @query(f"WITH {SCORED} SELECT {SUMMARY} FROM summary")
 def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = results(spark, sf_dir).withColumn("step", F.col("step").cast("string"))
+    keyed = results(spark, sf_dir)[1].withColumn("step", F.col("step").cast("string"))
     return rounded(
         logs.metric_series(keyed), "avg_diversity", "avg_lexical_validity", "self_bleu"
     )
@@ -269,9 +266,10 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prompt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first prompt in text order, followed over all steps."""
-    stored = cut_lineage(results(spark, sf_dir), "results")
-    first = stored.select(F.explode("prompts.input").alias("input")).agg(F.min("input")).first()[0]
-    return rounded(logs.prompt_history(stored, first), "diversity")
+    prompts, steps = results(spark, sf_dir)
+    prompts = cut_lineage(prompts, "results")
+    first = prompts.agg(F.min("input")).first()[0]
+    return rounded(logs.prompt_history(prompts, steps, first), "diversity")
 
 
 @query(
@@ -428,9 +426,11 @@ def evaluate_prompt_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, vocab, eos = views.encoded_corpus(spark, sf_dir)
     model = generation.train_ngram_model(ids)
     asked = prompt_ids(spark, sf_dir, vocab, eos + 1)
-    row = generation.evaluate_prompt_suite(
+    scored, summary = generation.evaluate_prompt_suite(
         3000, asked, asked, model, vocab, views.dictionary(spark, sf_dir), eos,
         max_tokens=16, sample_seed=7,
     )
-    flat = row.select("step", F.size("prompts").alias("prompts"), "metrics.*")
-    return rounded(flat, "avg_diversity", "avg_lexical_validity", "self_bleu")
+    sizes = scored.groupBy("step").agg(F.count(F.lit(1)).cast("int").alias("prompts"))
+    return rounded(
+        sizes.join(summary, "step"), "avg_diversity", "avg_lexical_validity", "self_bleu"
+    )

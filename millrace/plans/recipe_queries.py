@@ -162,8 +162,10 @@ def load_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.RECIPES} SELECT {FLAT} FROM recipes WHERE id = 100")
 def get_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A point lookup; the predicate reaches the scan as a filter on ``doc_id``."""
-    return flat(recipes.get_recipe(views.recipe_columns(views.table(spark, sf_dir, "documents")), 100))
+    """A point lookup in a stored table; the predicate prunes its row groups."""
+    path = new_folder(spark, "recipes")
+    tables.replace_table(views.recipes(spark, sf_dir), path)
+    return flat(recipes.get_recipe(tables.read_table(spark, path), 100))
 
 
 @query("SELECT doc_id, text, length(text) AS chars FROM documents")

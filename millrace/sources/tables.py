@@ -113,6 +113,13 @@ def replace_table(df: DataFrame, path: str) -> int:
     return version
 
 
+def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Remove all but the last ``keep`` versions, once no job reads them."""
+    fs, _ = hadoop_path(spark, path)
+    for version in table_versions(spark, path)[:-keep]:
+        fs.delete(hadoop_path(spark, f"{path}/version={version}")[1], True)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The current version of a versioned table."""
     versions = table_versions(spark, path)

@@ -148,8 +148,9 @@ def complete(model, ids, key, seed, limit, eos):
     return out
 
 
+@pytest.mark.parametrize("bounds", [{}, {"max_bytes": 0}])
 @pytest.mark.parametrize("greedy", [True, False])
-def test_completion_against_a_loop(spark, greedy):
+def test_completion_against_a_loop(spark, greedy, bounds):
     docs = documents()
     model = counts(docs)
     if greedy:
@@ -158,13 +159,32 @@ def test_completion_against_a_loop(spark, greedy):
     df = spark.createDataFrame(list(enumerate(prompts)), "prompt_id long, input_ids array<int>")
     got = G.complete_prompts(
         df, G.train_ngram_model(table(spark, docs)), eos=12, max_tokens=11, seed=3,
-        top_p=0.0 if greedy else 1.0, cut_every=4,
+        top_p=0.0 if greedy else 1.0, cut_every=4, **bounds,
     )
     assert {r.prompt_id: r.output_ids for r in got.collect()} == {
         i: complete(model, ids, i, 3, 11, 12) for i, ids in enumerate(prompts)
     }
 
 
+@pytest.mark.parametrize(
+    "settings", [{}, {"top_k": 3}, {"top_p": 0.5}, {"temperature": 0.3, "top_k": 5, "top_p": 0.9}]
+)
+def test_ranges_hold_the_filtered_probabilities(spark, settings):
+    model = counts(documents())
+    ranges = G.successor_ranges(G.train_ngram_model(table(spark, documents())), **settings)
+    spans = defaultdict(dict)
+    for r in ranges.collect():
+        spans[r.last][r.token] = (r.low, r.high)
+    for prev, following in model.items():
+        logits = [math.log(following[t]) if following[t] else -math.inf for t in range(13)]
+        probs = filtered(logits, **settings)
+        got = [spans[prev].get(t, (0.0, 0.0)) for t in range(13)]
+        assert [high - low for low, high in got] == pytest.approx(list(probs), abs=1e-12)
+        ordered = sorted(span for span in got if span[1])
+        assert ordered[0][0] == 0.0 and ordered[-1][1] == 1.0
+        assert all(a[1] == b[0] for a, b in zip(ordered, ordered[1:]))
+
+
 def test_prompt_suite(spark):
     words = ["the", "cat", "sat", "on", "mat"]
     vocab = spark.createDataFrame([(w, 1, i) for i, w in enumerate(words)], "word string, n long, id int")
@@ -178,9 +198,12 @@ def test_prompt_suite(spark):
         [(i, [0]) for i in range(G.SELF_BLEU_SAMPLES)], "prompt_id long, input_ids array<int>"
     )
     known = spark.createDataFrame([("cat",), ("sat",), ("on",), ("the",)], "word string")
-    row = G.evaluate_prompt_suite(7, prompts, samples, model, vocab, known, 5, 6, top_p=0.0).first()
-    assert row.step == 7 and [p.input for p in row.prompts] == list(G.PROMPT_SUITE)
-    assert {p.output for p in row.prompts} == {"cat sat on the cat sat"}
-    assert row.metrics.avg_lexical_validity == 1.0
-    assert row.metrics.avg_diversity == pytest.approx(1.0)
-    assert row.metrics.self_bleu == pytest.approx(1.0)
+    scored, summary = G.evaluate_prompt_suite(
+        7, prompts, samples, model, vocab, known, 5, 6, top_p=0.0
+    )
+    listed = scored.orderBy("prompt_id").collect()
+    assert [p.input for p in listed] == list(G.PROMPT_SUITE)
+    assert {p.output for p in listed} == {"cat sat on the cat sat"}
+    row = summary.first()
+    assert row.step == 7 and row.avg_lexical_validity == 1.0
+    assert row.avg_diversity == pytest.approx(1.0) and row.self_bleu == pytest.approx(1.0)

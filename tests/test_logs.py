@@ -52,25 +52,29 @@ def test_fan_out_reaches_every_sink(spark):
     assert seen == [2, 2, 2]
 
 
-def result_table(spark, rows):
-    schema = (
-        "step string, prompts array<struct<input string, output string, diversity double, "
-        "lexical_validity double>>, metrics struct<avg_diversity double, "
-        "avg_lexical_validity double, self_bleu double>"
+def result_tables(spark, rows):
+    prompts = [(s, i, *p) for s, listed, _ in rows for i, p in enumerate(listed)]
+    metrics = [(s, m, m, m) for s, _, m in rows]
+    return (
+        spark.createDataFrame(
+            prompts, "step string, prompt_id int, input string, output string, diversity double"
+        ),
+        spark.createDataFrame(
+            metrics,
+            "step string, avg_diversity double, avg_lexical_validity double, self_bleu double",
+        ),
     )
-    data = [(s, [(i, o, d, 1.0) for i, o, d in p], (m, m, m)) for s, p, m in rows]
-    return spark.createDataFrame(data, schema)
 
 
 def test_results_by_step(spark):
-    old = result_table(spark, [("100", [("p", "o1", 0.5), ("p", "later", 0.1)], 0.1), ("20", [], 0.2)])
-    new = result_table(spark, [("100", [("p", "new", 0.7)], 0.9), ("3", [("q", "x", 0.3)], 0.4)])
-    merged = logs.upsert_results(old, new)
-    series = [(r.step, r.self_bleu) for r in logs.metric_series(merged).collect()]
+    old = result_tables(spark, [("100", [("p", "o1", 0.5), ("p", "later", 0.1)], 0.1), ("20", [], 0.2)])
+    new = result_tables(spark, [("100", [("p", "new", 0.7)], 0.9), ("3", [("q", "x", 0.3)], 0.4)])
+    prompts, metrics = (logs.upsert_results(a, b) for a, b in zip(old, new))
+    series = [(r.step, r.self_bleu) for r in logs.metric_series(metrics).collect()]
     assert series == [(3, 0.4), (20, 0.2), (100, 0.9)]
-    history = {r.step: (r.output, r.diversity) for r in logs.prompt_history(merged, "p").collect()}
+    history = {r.step: (r.output, r.diversity) for r in logs.prompt_history(prompts, metrics, "p").collect()}
     assert history == {3: (logs.NO_OUTPUT, None), 20: (logs.NO_OUTPUT, None), 100: ("new", 0.7)}
-    assert logs.prompt_history(old, "p").where("step = 100").first().output == "o1"
+    assert logs.prompt_history(*old, "p").where("step = 100").first().output == "o1"
 
 
 def test_latest_checkpoint(spark, tmp_path):

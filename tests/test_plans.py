@@ -31,8 +31,9 @@ def test_filter_does_not_repeat_the_cleaning(spark, tiny):
 
 
 def test_point_lookup_is_pushed_to_the_scan(spark, tiny):
-    docs = views.recipe_columns(views.table(spark, tiny, "documents"))
-    assert re.search(r"PushedFilters: \[[^\]]*doc_id", plan(docs.where(F.col("id") == 7)))
+    from millrace.plans.recipe_queries import get_recipe
+
+    assert "EqualTo(id,100)" in plan(get_recipe(spark, tiny))
 
 
 def test_only_needed_columns_are_read(spark, tiny):

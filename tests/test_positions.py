@@ -61,6 +61,23 @@ def test_lookup_paths_agree(spark):
     )
     table = spark.createDataFrame([("hot", 1), ("5", 2), ("none", 3)], "k string, v int")
     near = lookup(facts, table, ["k"], ["id"])
-    far = lookup(facts, table, ["k"], ["id"], max_bytes=0)
-    assert sorted(near.collect()) == sorted(far.select(*near.columns).collect())
-    assert far.count() == 2000
+    salted = lookup(facts, table, ["k"], ["id"], max_bytes=0)
+    split = lookup(facts, table, ["k"], hot=F.col("v") == 1, max_bytes=30)
+    plain = lookup(facts, table, ["k"], max_bytes=0)
+    for far in (salted, split, plain):
+        assert sorted(near.collect()) == sorted(far.select(*near.columns).collect())
+
+
+def test_a_null_key_stays_without_a_match(spark):
+    facts = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "id long, k string")
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    got = lookup(facts, table, ["k"], hot=F.col("v") == 1, max_bytes=20)
+    assert sorted((r.id, r.v) for r in got.collect()) == [(1, None), (2, 1), (3, 2)]
+
+
+def test_hash_like_ids(spark):
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**63), 2**63) for _ in range(300)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    placed = global_position(df, id_levels("id"), [F.col("id")]).collect()
+    assert [r.id for r in sorted(placed, key=lambda r: r.position)] == sorted(ids)
