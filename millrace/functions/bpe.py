@@ -1,0 +1,36 @@
+"""Sub-word ids from a public byte-level BPE vocabulary, as a vectorised UDF.
+
+The codec itself is the ``tokenizers`` library; Spark partitions the texts and
+passes them in Arrow batches.  Everything after it works on id arrays.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+# Fixed value: the end-of-text id of the 50,257-entry vocabulary.
+BPE_EOS = 50256
+
+
+def byte_bpe(spark: SparkSession, file: str) -> Callable[[Column], Column]:
+    """A Column function from text to ids; ``file`` is shipped to every executor."""
+    spark.sparkContext.addFile(file)
+    name = os.path.basename(file)
+
+    @F.pandas_udf("array<int>")
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core per task
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(SparkFiles.get(name))
+        for texts in batches:
+            encoded = tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)
+            yield pd.Series([e.ids for e in encoded])
+
+    return ids

@@ -160,6 +160,18 @@ def complete_prompts(
     temperature: float = 1.0,
     top_k: int = -1,
     top_p: float = 1.0,
+    **options: int,
+) -> DataFrame:
+    """Extend ``prompts(prompt_id, input_ids)`` by sampling from a count model."""
+    ranges = cut_lineage(successor_ranges(model, temperature, top_k, top_p), "successors")
+    return complete_from_ranges(prompts, ranges, eos, max_tokens, **options)
+
+
+def complete_from_ranges(
+    prompts: DataFrame,
+    ranges: DataFrame,
+    eos: int,
+    max_tokens: int = 512,
     seed: int = 42,
     key: str = "prompt_id",
     cut_every: int = 8,
@@ -169,13 +181,11 @@ def complete_prompts(
 
     A prompt stops after the end token, at ``max_tokens`` new tokens or when the
     context is full.  A token without successors is followed by the end token.
-    Every step is one join with the successor ranges.  Every ``cut_every`` steps
+    Every step is one join with the written ``ranges``.  Every ``cut_every`` steps
     the state is written, the plan starts anew from it, and the loop ends once no
     prompt is open.
     """
-    ranges = cut_lineage(successor_ranges(model, temperature, top_k, top_p), "successors")
-    starts = cut_lineage(
-        ranges.groupBy("last").agg((F.max("segment") + 1).alias("segments")), "starts"
+    starts = cut_lineage(        ranges.groupBy("last").agg((F.max("segment") + 1).alias("segments")), "starts"
     )
     state = prompts.select(
         key,
@@ -240,8 +250,10 @@ def evaluate_prompt_suite(
     ``samples(prompt_id, input_ids)`` repeat one prompt for self-BLEU.
     """
 
+    ranges = cut_lineage(successor_ranges(model, **settings), "successors")
+
     def completed(rows: DataFrame, seed: int) -> DataFrame:
-        out = complete_prompts(rows, model, eos, max_tokens, seed=seed, **settings)
+        out = complete_from_ranges(rows, ranges, eos, max_tokens, seed)
         texts = decode(out, vocab, "prompt_id", "output_ids")
         return texts.select(F.lit(step).alias("step"), "prompt_id", F.col("text").alias("output"))
 

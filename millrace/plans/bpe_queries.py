@@ -1,0 +1,50 @@
+"""Queries on sub-word ids; registered where the vocabulary file is at hand.
+
+SQL has no such codec, so these are checked against the library in the tests.
+"""
+
+from __future__ import annotations
+
+import importlib.util
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.bpe import BPE_EOS, byte_bpe
+from millrace.functions.tokens import append_eos_truncate
+from millrace.operators import assembly, metrics, recipes
+from millrace.plans import views
+from millrace.plans.corpus_queries import spaced
+from millrace.plans.registry import query
+from millrace.sources.scratch import cut_lineage
+
+VOCABULARY = os.environ.get("BYTE_BPE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, input_ids)`` with the end id, cut at the tokenizer's maximum."""
+    ids = byte_bpe(spark, VOCABULARY)(F.col("text"))
+    ids = append_eos_truncate(ids, BPE_EOS, views.MAX_DOC_TOKENS)
+    return views.corpus(spark, sf_dir).select("doc_id", ids.alias("input_ids"))
+
+
+if os.path.exists(VOCABULARY) and importlib.util.find_spec("tokenizers"):
+
+    @query()
+    def byte_bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return encoded(spark, sf_dir).select(
+            "doc_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids")
+        )
+
+    @query()
+    def pack_byte_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+        packed = assembly.pack_chunks(cut_lineage(encoded(spark, sf_dir), "encoded"))
+        return packed.select("chunk_id", spaced("input_ids").alias("ids"))
+
+    @query()
+    def byte_bpe_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Length report of rendered recipes in sub-word tokens."""
+        ids = byte_bpe(spark, VOCABULARY)(recipes.rendered())
+        lengths = views.recipes(spark, sf_dir).select(F.size(ids).alias("length"))
+        return metrics.length_profile(lengths)

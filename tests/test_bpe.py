@@ -1,0 +1,31 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions.bpe import BPE_EOS, byte_bpe
+from millrace.functions.tokens import append_eos_truncate
+from millrace.operators.assembly import pack_chunks
+from millrace.plans.bpe_queries import VOCABULARY
+from test_assembly import pack
+
+tokenizers = pytest.importorskip("tokenizers")
+pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+
+
+def test_ids_and_chunks_equal_the_library(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    library = tokenizers.Tokenizer.from_file(VOCABULARY)
+    expected = [(e.ids + [BPE_EOS])[:1024] for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    ids = append_eos_truncate(byte_bpe(spark, VOCABULARY)(F.col("text")), BPE_EOS, 1024)
+    got = docs.repartition(4).select("doc_id", ids.alias("input_ids"))
+    assert [r.input_ids for r in got.orderBy("doc_id").collect()] == expected
+    chunks, _ = pack(expected, 512, 50)
+    assert [r.input_ids for r in pack_chunks(got).orderBy("chunk_id").collect()] == chunks
+
+
+def test_missing_text_has_no_ids(spark):
+    df = spark.createDataFrame([(None,), ("",)], "t string")
+    assert [r[0] for r in df.select(byte_bpe(spark, VOCABULARY)(F.col("t"))).collect()] == [[], []]
