@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.logits import row_loss
+from millrace.functions.tables import WORKER_TABLE_BYTES, positions_in
 from millrace.functions.text import word_tokens
 from millrace.functions.tokens import IGNORE_INDEX, ngram_diversity, ngrams
-from millrace.operators.lookups import lookup
+from millrace.operators.lookups import fits_broadcast, lookup
+from millrace.operators.once import compute_once
 from millrace.operators.positions import seeded_hash
 from millrace.sources.scratch import cut_lineage
 
@@ -145,12 +147,31 @@ def self_bleu(
 
 
 def lexical_validity(
-    df: DataFrame, dictionary: DataFrame, key: list[str], text: str = "text"
+    df: DataFrame,
+    dictionary: DataFrame,
+    key: list[str],
+    text: str = "text",
+    worker_bytes: int = WORKER_TABLE_BYTES,
+    **bounds: int,
 ) -> DataFrame:
-    """Share of each row's words found in ``dictionary(word)``, 0.0 without words."""
-    words = df.select(*key, F.explode_outer(word_tokens(F.col(text))).alias("word"))
+    """Share of each row's words found in ``dictionary(word)``, 0.0 without words.
+
+    A dictionary measured within ``worker_bytes`` goes to the workers; a larger
+    one meets the exploded words in a join.
+    """
+    words = word_tokens(F.col(text))
+    if fits_broadcast(dictionary, worker_bytes):
+        counted = compute_once(
+            df.select(*key, text), {"_found": positions_in(dictionary, "word")(words)}
+        )
+        valid = F.size(F.array_compact("_found"))
+        share = F.when(F.size("_found") == 0, 0.0).otherwise(
+            valid / F.greatest(F.size("_found"), F.lit(1))
+        )
+        return counted.select(*key, share.alias("lexical_validity"))
+    places = df.select(*key, F.explode_outer(words).alias("word"))
     known = dictionary.select("word").distinct().withColumn("known", F.lit(True))
-    found = lookup(words, known, ["word"], key)
+    found = lookup(places, known, ["word"], key, **bounds)
     total, valid = F.count("word"), F.count_if("known")
     return found.groupBy(*key).agg(
         F.when(total == 0, 0.0).otherwise(F.try_divide(valid, total)).alias("lexical_validity")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.tables import WORKER_TABLE_BYTES, positions_in, values_at
 from millrace.functions.text import word_tokens
-from millrace.operators.lookups import lookup
+from millrace.operators.lookups import fits_broadcast, lookup
 from millrace.operators.once import compute_once
 from millrace.operators.positions import global_position, text_levels
 from millrace.sources.scratch import cut_lineage
@@ -56,33 +57,54 @@ def encode(
     key: str = "doc_id",
     words: str = "words",
     keep: list[str] | None = None,
+    worker_bytes: int = WORKER_TABLE_BYTES,
     **bounds: int,
 ) -> DataFrame:
     """``(key, *keep, input_ids)``: the ids of each row's words, in order.
 
-    Words are exploded next to their row, looked up, and regrouped per row;
-    partial aggregation rebuilds the arrays before the one shuffle.  ``keep``
-    columns depend on the key.
+    A vocabulary measured within ``worker_bytes`` goes to the workers and rows
+    stay where they are.  A larger one is joined: words are exploded next to
+    their row, looked up, and regrouped; partial aggregation rebuilds the arrays
+    before the one shuffle.  ``keep`` columns depend on the key.
     """
     keys = [key, *(keep or [])]
+    if fits_broadcast(vocab.select("word"), worker_bytes):
+        ids = positions_in(vocab.orderBy("id"), "word")(F.col(words))
+        known = F.transform(ids, lambda id: F.coalesce(id, F.lit(unknown)))
+        return compute_once(df.select(*keys, words), {"input_ids": known}).drop(words)
     places = df.select(*keys, F.posexplode_outer(words).alias("_place", "word"))
     hot = F.col("id") < HOT_IDS
     found = lookup(places, vocab.select("word", "id"), ["word"], hot=hot, **bounds)
     token = F.struct("_place", F.coalesce("id", F.lit(unknown)).alias("id"))
     ids = F.sort_array(F.collect_list(F.when(F.col("_place").isNotNull(), token)))
-    return found.groupBy(*keys).agg(ids.alias("_ids")).select(
-        *keys, F.col("_ids.id").alias("input_ids")
+    return (
+        found.groupBy(*keys)
+        .agg(ids.alias("_ids"))
+        .select(*keys, F.col("_ids.id").alias("input_ids"))
     )
 
 
-def decode(df: DataFrame, vocab: DataFrame, key: str = "doc_id", ids: str = "input_ids") -> DataFrame:
+def decode(
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str = "doc_id",
+    ids: str = "input_ids",
+    worker_bytes: int = WORKER_TABLE_BYTES,
+    **bounds: int,
+) -> DataFrame:
     """``(key, text)``: words joined by a blank; ids outside the vocabulary are dropped."""
+    if fits_broadcast(vocab.select("word"), worker_bytes):
+        words = values_at(vocab.orderBy("id"), "word")(F.col(ids))
+        return df.select(key, F.array_join(words, " ").alias("text"))
     places = df.select(key, F.posexplode_outer(ids).alias("_place", "id"))
     hot = F.col("id") < HOT_IDS
-    found = lookup(places, vocab.select("id", "word"), ["id"], hot=hot)
+    found = lookup(places, vocab.select("id", "word"), ["id"], hot=hot, **bounds)
     token = F.when(F.col("word").isNotNull(), F.struct("_place", "word"))
-    return found.groupBy(key).agg(F.sort_array(F.collect_list(token)).alias("_words")).select(
-        key, F.array_join("_words.word", " ").alias("text")
+    words = F.sort_array(F.collect_list(token)).alias("_words")
+    return (
+        found.groupBy(key)
+        .agg(words)
+        .select(key, F.array_join("_words.word", " ").alias("text"))
     )
 
 

@@ -158,19 +158,23 @@ def test_resume_and_cut(spark):
     assert assembly.resume_from(df, 10).count() == 4
 
 
-def test_vocabulary_and_codec(spark):
-    docs = [(0, "b a b c"), (1, "a b d"), (2, ""), (3, "zz")]
+# Vocabulary beside the tasks, broadcast to a join, and shuffled to a join.
+@pytest.mark.parametrize(
+    "bounds", [{}, {"worker_bytes": 0}, {"worker_bytes": 0, "max_bytes": 0}]
+)
+def test_vocabulary_and_codec(spark, bounds):
+    docs = [(0, "b a b c"), (1, "a b d"), (2, ""), (3, "zz"), (4, None)]
     df = with_words(spark.createDataFrame(docs, "doc_id long, text string"))
     vocab = build_vocab(df, min_count=2)
     assert sorted((r.id, r.word, r.n) for r in vocab.collect()) == [(0, "b", 3), (1, "a", 2)]
     eos, unknown = special_ids(vocab)
     assert (eos, unknown) == (2, 3)
-    ids = encode(df, vocab, unknown)
+    ids = encode(df, vocab, unknown, **bounds)
     assert {r.doc_id: r.input_ids for r in ids.collect()} == {
-        0: [0, 1, 0, 3], 1: [1, 0, 3], 2: [], 3: [3],
+        0: [0, 1, 0, 3], 1: [1, 0, 3], 2: [], 3: [3], 4: [],
     }
-    back = {r.doc_id: r.text for r in decode(ids, vocab).collect()}
-    assert back == {0: "b a b", 1: "a b", 2: "", 3: ""}
+    back = {r.doc_id: r.text for r in decode(ids, vocab, **bounds).collect()}
+    assert back == {0: "b a b", 1: "a b", 2: "", 3: "", 4: ""}
 
 
 def test_another_tokenizer(spark):

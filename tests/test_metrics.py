@@ -83,11 +83,14 @@ def test_diversity(spark):
     assert [r[0] for r in df.select(metrics.text_diversity(F.col("t"))).collect()] == [0.5, 0.75, 0.0, 0.0]
 
 
-def test_lexical_validity(spark):
-    df = spark.createDataFrame([(1, "The cat, the DOG"), (2, ""), (3, "xx")], "id long, text string")
+@pytest.mark.parametrize(
+    "bounds", [{}, {"worker_bytes": 0}, {"worker_bytes": 0, "max_bytes": 0}]
+)
+def test_lexical_validity(spark, bounds):
+    df = spark.createDataFrame([(1, "The cat, the DOG"), (2, ""), (3, "xx"), (4, None)], "id long, text string")
     known = spark.createDataFrame([("the",), ("cat",), ("the",)], "word string")
-    got = {r.id: r.lexical_validity for r in metrics.lexical_validity(df, known, ["id"]).collect()}
-    assert got == {1: 0.75, 2: 0.0, 3: 0.0}
+    got = {r.id: r.lexical_validity for r in metrics.lexical_validity(df, known, ["id"], **bounds).collect()}
+    assert got == {1: 0.75, 2: 0.0, 3: 0.0, 4: 0.0}
 
 
 def test_cross_entropy_against_numpy(spark):
