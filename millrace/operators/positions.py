@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 ID_LEVEL_BITS = (48, 34, 20)
 
 
+# What one task may sort: a block of ids, or a table measured to be no longer.
+BUCKET_ROWS = 2 ** ID_LEVEL_BITS[-1]
+
+
 def id_levels(col: Column | str) -> list[Column]:
     """Levels for an integer order: ever narrower ranges down to blocks of ids."""
     col = F.col(col) if isinstance(col, str) else col

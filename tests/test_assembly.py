@@ -177,6 +177,19 @@ def test_vocabulary_and_codec(spark, bounds):
     assert back == {0: "b a b", 1: "a b", 2: "", 3: "", 4: ""}
 
 
+def test_vocabulary_order_over_many_buckets(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(words[i::10],) for i in range(10)], "words array<string>")
+    one = build_vocab(df, min_count=2)
+    many = build_vocab(df, min_count=2, bucket_rows=0)
+    assert sorted(one.collect()) == sorted(many.collect())
+    ranked = [r.word for r in many.orderBy("id").collect()]
+    counted = {w: words.count(w) for w in set(words)}
+    kept = [w for w in counted if counted[w] > 1]
+    assert ranked == sorted(kept, key=lambda w: (-counted[w], w.encode()))
+
+
 def test_another_tokenizer(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     assert with_words(df, tokenizer=lambda c: F.split(c, "")).first().words == ["a", "b"]
