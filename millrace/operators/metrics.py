@@ -81,34 +81,29 @@ def self_bleu(
 ) -> DataFrame:
     """Mean BLEU of each text against the others of its group, with smoothing.
 
-    A text's clipped n-gram hits are its n-gram total less, for each gram it
-    alone holds most often, the lead over the runner-up.  So one aggregation per
-    gram is enough: no join of texts with each other and no join back to grams.
+    An occurrence of a gram, numbered within its text, is a clipped hit if another
+    text has that gram as often.  So hits are the gram total less the occurrences
+    held by one text only: one aggregation, and texts are never joined or paired.
     """
     words = F.col("_words")
     texts = df.select(*group, F.col(id).alias("_id"), word_tokens(F.col(text)).alias("_words"))
     texts = texts.withColumn("_size", F.size(words))
 
-    # Lead of the top holder of each gram over everyone else in the group.
-    grams = texts.select(
-        *group, "_id", F.posexplode(F.array(*[ngrams(words, n + 1) for n in range(max_n)]))
-    ).select(*group, "_id", (F.col("pos") + 1).alias("n"), F.explode("col").alias("gram"))
-    counts = grams.groupBy(*group, "n", "gram", "_id").agg(F.count(F.lit(1)).alias("c"))
-    held = counts.groupBy(*group, "n", "gram").agg(
-        F.max("c").alias("top"),
-        F.max_by("_id", F.struct("c", "_id")).alias("late"),
-        F.min_by("_id", F.struct(-F.col("c"), F.col("_id"))).alias("early"),
-        # Distinct counts of one gram: far fewer than its texts, at most a text's length.
-        F.collect_set("c").alias("levels"),
+    # Words travel once, by text, so that the longer grams are counted in place.
+    grams = (
+        texts.repartition(*group, "_id")
+        .select(*group, "_id", F.posexplode(F.array(*[ngrams(words, n + 1) for n in range(max_n)])))
+        .select(*group, "_id", (F.col("pos") + 1).alias("n"), F.explode("col").alias("gram"))
     )
-    second = F.coalesce(
-        F.array_max(F.filter("levels", lambda c: c < F.col("top"))), F.lit(0)
+    counts = grams.groupBy(*group, "_id", "n", "gram").agg(F.count(F.lit(1)).alias("c"))
+    occurrences = counts.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+    held = occurrences.groupBy(*group, "n", "gram", "k").agg(
+        F.count(F.lit(1)).alias("holders"), F.max("_id").alias("_id")
     )
-    lead = (
-        held.where("late = early")
-        .select(*group, F.col("late").alias("_id"), "n", (F.col("top") - second).alias("lead"))
+    misses = (
+        held.where("holders = 1")
         .groupBy(*group, "_id")
-        .agg(*[F.sum(F.when(F.col("n") == n, F.col("lead"))).alias(f"_lead{n}") for n in range(1, max_n + 1)])
+        .agg(*[F.count_if(F.col("n") == n).alias(f"_missed{n}") for n in range(1, max_n + 1)])
     )
 
     # Closest other length, from the few distinct lengths of each group.
@@ -123,13 +118,13 @@ def self_bleu(
     )
     lengths = lengths.select(*group, "_size", closest.alias("_reference"))
 
-    scored = texts.drop("_words").join(lead, [*group, "_id"], "left")
+    scored = texts.drop("_words").join(misses, [*group, "_id"], "left")
     # Copies of one text share their length: a table lookup, not a skewed join.
     scored = lookup(scored, cut_lineage(lengths, "text-lengths"), [*group, "_size"], ["_id"])
     logs, hits = F.lit(0.0), None
     for n in range(1, max_n + 1):
         total = F.greatest(F.col("_size") - (n - 1), F.lit(0))
-        matched = total - F.coalesce(F.col(f"_lead{n}"), F.lit(0))
+        matched = total - F.coalesce(F.col(f"_missed{n}"), F.lit(0))
         hits = matched if n == 1 else hits
         # Fixed value of the smoothing rule: 0.1 for no match.
         share = F.when(matched == 0, 0.1).otherwise(matched) / F.greatest(total, F.lit(1))

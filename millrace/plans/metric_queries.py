@@ -41,13 +41,16 @@ def summary(source: str) -> str:
 
 def summary_columns(*first: str) -> str:
     return ", ".join(
-        [*first, *[f"round({c}, 6) AS {c}" for c in ("loss_sum", "loss", "accuracy", "perplexity")],
+        [*first, *[f"round({c}, 6) AS {c}" for c in ("loss_sum", "loss", "accuracy")],
+         "round(perplexity, 3) AS perplexity",
          "correct::BIGINT AS correct", "total::BIGINT AS total"]
     )
 
 
 def summary_rows(df: DataFrame) -> DataFrame:
-    return rounded(df, "loss_sum", "loss", "accuracy", "perplexity")
+    # Perplexities reach exp(20): six decimals would be finer than a double.
+    shown = rounded(df, "loss_sum", "loss", "accuracy")
+    return shown.withColumn("perplexity", F.round("perplexity", 3))
 
 
 @query(

@@ -9,12 +9,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+@cache
+def local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the session; a local session without one gets its own."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
@@ -22,9 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set(CHECKPOINT_DIR, root)
-    return root
+    return local_root(spark.sparkContext.applicationId)
 
 
 def hadoop_path(spark: SparkSession, path: str):
