@@ -11,19 +11,19 @@ from millrace.plans.corpus_queries import PACKED, spaced
 from millrace.plans.metric_queries import FANNED, WINDOWS, sink_totals, summary_rows
 from millrace.plans.recipe_queries import CLEANED, COMPLETE, FLAT, flat
 from millrace.plans.registry import query
-from millrace.sources.scratch import new_folder
+from millrace.sources.scratch import hadoop_path, new_folder
 from millrace.sources.tables import spread
 from millrace.streaming import streams
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a stream of files."""
-    schema = views.table(spark, sf_dir, name).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(views.table(spark, sf_dir, name).schema)
+    fs, target = hadoop_path(spark, path)
+    if fs.getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", target.getName()).parquet(sf_dir)
 
 
 @query(f"WITH {CLEANED} SELECT {FLAT} FROM cleaned WHERE {COMPLETE}")

@@ -95,6 +95,14 @@ def test_cleaning_stream_equals_batch(spark, tmp_path):
     assert sorted(spark.read.parquet(out).collect()) == sorted(batch.collect())
 
 
+def test_a_table_may_be_a_file_or_a_folder(spark, tiny, tmp_path):
+    from millrace.plans.stream_queries import clean_stream
+
+    folder = str(tmp_path / "documents.parquet")
+    spark.read.parquet(f"{tiny}/documents.parquet").repartition(3).write.parquet(folder)
+    assert sorted(clean_stream(spark, str(tmp_path)).collect()) == sorted(clean_stream(spark, tiny).collect())
+
+
 def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
     lines, points = str(tmp_path / "lines"), str(tmp_path / "points")
     sinks = [
