@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.positions import global_position
@@ -13,6 +13,11 @@ FEED_SCHEMA = (
 )
 
 
+def members(text: str = "value") -> Column:
+    """The members of a JSON object; malformed text is an error, not a lost row."""
+    return F.posexplode(F.from_json(text, FEED_SCHEMA, {"mode": "FAILFAST"}))
+
+
 def read_feed(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
     """Rows ``(source, ordinal, key, recipe)`` of a keyed feed, in file order.
 
@@ -22,19 +27,18 @@ def read_feed(spark: SparkSession, path: str, source: str, lines: bool = False)
     """
     if not lines:
         text = spark.read.text(path, wholetext=True)
-        entries = text.select(F.posexplode(F.from_json("value", FEED_SCHEMA)))
-        entries = entries.toDF("ordinal", "key", "recipe")
+        entries = text.select(members()).toDF("ordinal", "key", "recipe")
         return tag_source(entries.withColumn("ordinal", F.col("ordinal").cast("long")), source)
-    text = spark.read.text(path).select(
+    text = spark.read.text(path).where("trim(value) <> ''").select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         # Grows along a block; its values may differ between runs, its order may not.
         F.monotonically_increasing_id().alias("_line"),
     )
-    entries = text.select(
-        "_file", "_block", "_line", F.posexplode(F.from_json("value", FEED_SCHEMA))
-    ).toDF("_file", "_block", "_line", "_place", "key", "recipe")
+    entries = text.select("_file", "_block", "_line", members()).toDF(
+        "_file", "_block", "_line", "_place", "key", "recipe"
+    )
     placed = global_position(
         entries,
         levels=[F.col("_file"), F.col("_block")],

@@ -80,8 +80,32 @@ def write_recipes(df: DataFrame, path: str, format: str = "json") -> None:
     df.select(*columns).write.mode("overwrite").format(format).save(path)
 
 
-def read_recipes(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    return spark.read.schema(RECIPE_SCHEMA).format(format).load(path)
+def read_recipes(
+    spark: SparkSession, path: str, format: str = "json", one_array: bool = False
+) -> DataFrame:
+    """Recipes from files; ``one_array`` reads each JSON file as one array of recipes."""
+    reader = spark.read.schema(RECIPE_SCHEMA).format(format)
+    return (reader.option("multiLine", True) if one_array else reader).load(path)
+
+
+RESULT_SCHEMA = (
+    "map<string, struct<prompts: array<struct<input: string, output: string, diversity: double, "
+    "lexical_validity: double>>, metrics: struct<avg_diversity: double, "
+    "avg_lexical_validity: double, self_bleu: double>>>"
+)
+
+
+def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation results kept as one JSON object per file, keyed by step.
+
+    Returns the flat tables, per prompt and per step.
+    """
+    text = spark.read.text(path, wholetext=True)
+    results = text.select(
+        F.explode(F.from_json("value", RESULT_SCHEMA, {"mode": "FAILFAST"})).alias("step", "result")
+    ).withColumn("step", F.col("step").cast("int"))
+    prompts = results.select("step", F.posexplode("result.prompts").alias("prompt_id", "prompt"))
+    return prompts.select("step", "prompt_id", "prompt.*"), results.select("step", "result.metrics.*")
 
 
 VERSION = re.compile(r"version=(\d+)$")

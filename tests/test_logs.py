@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from millrace.operators import logs
@@ -77,6 +79,17 @@ def test_results_by_step(spark):
     assert logs.prompt_history(*old, "p").where("step = 100").first().output == "o1"
 
 
+def test_stored_results(spark, tmp_path):
+    prompt = {"input": "p", "output": "o", "diversity": 0.5, "lexical_validity": 1.0}
+    summary = {"avg_diversity": 0.5, "avg_lexical_validity": 1.0, "self_bleu": 0.25}
+    stored = {"20": {"prompts": [prompt, prompt], "metrics": summary}, "100": {"prompts": [], "metrics": summary}}
+    (tmp_path / "results.json").write_text(json.dumps(stored, indent=4))
+    prompts, metrics = tables.read_results(spark, str(tmp_path / "results.json"))
+    assert sorted(tuple(r) for r in prompts.collect()) == [(20, i, "p", "o", 0.5, 1.0) for i in (0, 1)]
+    assert sorted(tuple(r) for r in metrics.collect()) == [(20, 0.5, 1.0, 0.25), (100, 0.5, 1.0, 0.25)]
+    assert logs.prompt_history(prompts, metrics, "p").count() == 2
+
+
 def test_latest_checkpoint(spark, tmp_path):
     names = {
         "pretrain": ["epoch0_step900.pth", "epoch1_step5.pth", "epoch1_step40.pth", "x_epoch9_step9.pth"],

@@ -60,6 +60,27 @@ def test_read_feed_as_one_object_and_as_lines(spark, tmp_path):
     assert one == many == [(i, k, v["title"]) for i, (k, v) in enumerate(members)]
 
 
+def test_a_malformed_feed_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"a": {"title": "t"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        feeds.read_feed(spark, str(tmp_path / "bad.json"), "ar").collect()
+
+
+def test_a_hot_key_is_merged_once(spark):
+    rows = [("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)]
+    merged = recipes.merge_feeds(feed(spark, "ar", rows[:1500]), feed(spark, "epi", rows[1500:]))
+    hot = merged.where("key = 'hot'").collect()
+    assert [(r.recipe.title, r.feed_rank, r.ordinal) for r in hot] == [("2997", 0, 0)]
+    assert merged.count() == 2001
+
+
+def test_recipes_in_one_array(spark, tmp_path):
+    data = [{"id": 1, "source": "ar", "title": "t", "ingredients": ["x"], "instructions": "a\nb"}]
+    (tmp_path / "all.json").write_text(json.dumps(data, indent=4))
+    got = tables.read_recipes(spark, str(tmp_path / "all.json"), one_array=True)
+    assert rows(got) == [(1, "ar", "t", ["x"], "a\nb")]
+
+
 def test_null_members_are_rejects(spark):
     good, bad = feeds.split_rejects(feed(spark, "ar", [("a", 1), ("b", None)]))
     assert [r.key for r in good.collect()] == ["a"] and [r.key for r in bad.collect()] == ["b"]
