@@ -77,3 +77,36 @@ def test_logit_work_is_shuffled_only_for_totals(spark, tiny, name):
     text = plan(QUERIES[name](spark, tiny))
     assert "Window" not in text and "Python" not in text
     assert text.count("Exchange") <= (1 if name == "masked_cross_entropy" else 0)
+
+
+def test_a_hot_key_beyond_the_bound_is_split(spark):
+    from millrace.operators.lookups import lookup
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        # With eight partitions a third of all rows is not far above the median.
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: v for k in settings if (v := spark.conf.get(k, None)) is not None}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        keys = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+        facts = spark.range(0, 200_000, 1, 16).select("id", keys.alias("k"), F.uuid().alias("x"))
+        table = spark.range(200_000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        joined = lookup(facts, table, ["k"], max_bytes=0).groupBy(F.col("id") % 100).agg(F.sum("v"))
+        assert sum(r[1] for r in joined.collect()) == 200_000
+        assert "skew=true" in plan(joined)
+    finally:
+        for key in settings:
+            spark.conf.unset(key) if key not in before else spark.conf.set(key, before[key])
+
+
+def test_length_reports_scan_the_texts_once(spark, tiny):
+    df = metrics.length_boxplot(lengths(spark, tiny))
+    df.collect()
+    text = plan(df)
+    assert "ReusedExchange" in text or text.count("FileScan") == 1
