@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Every Python worker holds the table: one copy per core.
-WORKER_TABLE_BYTES = 64 * 1024 * 1024
+# Every Python worker holds the table, one copy per core, and indexes it anew for
+# each Arrow batch.
+WORKER_TABLE_BYTES = 32 * 1024 * 1024
 
 
 def collected(table: DataFrame, column: str) -> pa.Array:

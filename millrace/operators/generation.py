@@ -34,6 +34,17 @@ SELF_BLEU_SAMPLES = 5
 CONTEXT = 512
 
 
+def gather_logits(df: DataFrame, key: str = "ctx_id") -> DataFrame:
+    """``(key, candidates)`` from a long table ``(key, token_id, logit)``.
+
+    A context has at most one row per word of the vocabulary.
+    """
+    candidate = F.struct(
+        F.col("token_id").cast("int").alias("token_id"), F.col("logit").cast("double").alias("logit")
+    )
+    return df.groupBy(key).agg(F.collect_list(candidate).alias("candidates"))
+
+
 def filter_logits(
     df: DataFrame,
     logits: str = "logits",
@@ -43,9 +54,12 @@ def filter_logits(
 ) -> DataFrame:
     """Add ``probs``: the kept tokens of each context with their probabilities.
 
+    ``logits`` is a vector over the vocabulary, or ``candidates`` of a long table.
     Settings may be columns, for requests that bring their own.
     """
-    kept = filter_candidates(from_dense(F.col(logits)), temperature, top_k, top_p)
+    dense = "struct" not in dict(df.dtypes)[logits]
+    rows = from_dense(F.col(logits)) if dense else F.col(logits)
+    kept = filter_candidates(rows, temperature, top_k, top_p)
     return df.withColumn("probs", kept)
 
 

@@ -116,18 +116,25 @@ def replace_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(tables.read_table(spark, path))
 
 
+def labelled_ids(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    labels = views.table(spark, sf_dir, "labels").where(label)
+    return labels.select((F.col("doc_id") + 1).alias("id")).distinct()
+
+
 @query(
     f"""WITH {sql.RECIPES}, updates AS (
-      SELECT id, title || ' 2' AS title FROM recipes WHERE id % 7 = 0)
+      SELECT id, title || ' 2' AS title
+      FROM recipes JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id + 1 = id)
     SELECT r.id, CASE WHEN u.id IS NULL THEN source ELSE 'edit' END AS source,
       coalesce(u.title, r.title) AS title,
       array_to_string(ingredients, chr(10)) AS ingredients, instructions
     FROM recipes r LEFT JOIN updates u USING (id)"""
 )
 def update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh recipe gets two updates, of which the later counts."""
+    """Recipes labelled as poor get two updates, of which the later counts."""
     target = views.recipes(spark, sf_dir)
-    edits = target.where("id % 7 = 0").withColumn("source", F.lit("edit"))
+    poor = labelled_ids(spark, sf_dir, "quality = 0")
+    edits = target.join(poor, "id").withColumn("source", F.lit("edit"))
     unknown = edits.withColumn("id", -F.col("id"))
     early = edits.withColumns({"title": F.concat("title", F.lit(" 1")), "seq": F.lit(1)})
     late = edits.withColumns({"title": F.concat("title", F.lit(" 2")), "seq": F.lit(2)})
@@ -135,10 +142,14 @@ def update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(recipes.update_matched(target, updates, "seq"))
 
 
-@query(f"WITH {sql.RECIPES} SELECT {FLAT} FROM recipes WHERE id % 5 <> 0")
+@query(
+    f"""WITH {sql.RECIPES} SELECT {FLAT} FROM recipes
+    WHERE id NOT IN (SELECT doc_id + 1 FROM labels WHERE toxic = 1)"""
+)
 def delete_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = views.recipes(spark, sf_dir)
-    return flat(recipes.delete_by_id(target, target.where("id % 5 = 0").select("id")))
+    """Recipes labelled as toxic are deleted."""
+    toxic = labelled_ids(spark, sf_dir, "toxic = 1")
+    return flat(recipes.delete_by_id(views.recipes(spark, sf_dir), toxic))
 
 
 @query(

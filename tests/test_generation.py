@@ -68,6 +68,13 @@ def test_settings_from_columns(spark):
     assert [len(r.probs) for r in rows] == [3, 2]
 
 
+def test_logits_from_a_long_table(spark):
+    wide = spark.createDataFrame([(1, [2.0, 1.0, 1.0, 0.0])], "ctx_id long, logits array<float>")
+    long = wide.select("ctx_id", F.posexplode("logits").alias("token_id", "logit")).repartition(3)
+    got = G.filter_logits(G.gather_logits(long), "candidates", top_k=2).first().probs
+    assert got == G.filter_logits(wide, top_k=2).first().probs
+
+
 def uniform(*parts):
     text = ":".join(map(str, parts))
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16) / 2**32
