@@ -4,7 +4,7 @@ A row's place in a total order is the number of rows in earlier buckets plus its
 place inside its own bucket.  Buckets are given as ``levels``: columns from
 coarse to fine that agree with the order.  Rows are shuffled once, by bucket;
 only per-bucket totals are summed across buckets, level by level, and only the
-coarsest level (a few hundred rows) meets in one task.
+totals of the coarsest level meet in one task.
 
 Levels must be a pure function of the row, so that every attempt of every task
 assigns the same bucket.
@@ -17,13 +17,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bits dropped from an id at each level: whatever the ids, at most 2**16 values
-# meet in one task, and no bucket holds more than 2**20 ids.
-ID_LEVEL_BITS = (48, 34, 20)
+# Bits dropped from an id at each level: whatever the ids, at most 2**18 totals
+# meet in one task, and no bucket holds more than 2**14 ids, since rows may carry
+# whole token arrays.
+ID_LEVEL_BITS = (48, 32, 14)
 
-
-# What one task may sort: a block of ids, or a table measured to be no longer.
-BUCKET_ROWS = 2 ** ID_LEVEL_BITS[-1]
+# A table of narrow rows that one task may sort, once it is measured.
+BUCKET_ROWS = 2**20
 
 
 def id_levels(col: Column | str) -> list[Column]:
@@ -33,7 +33,7 @@ def id_levels(col: Column | str) -> list[Column]:
     return [F.shiftright(col, bits) for bits in ID_LEVEL_BITS]
 
 
-def hash_levels(col: Column | str, digits: int = 4) -> list[Column]:
+def hash_levels(col: Column | str, digits: int = 5) -> list[Column]:
     """Levels for a hexadecimal hash order: its first two, then ``digits`` digits."""
     return [F.substring(col, 1, 2), F.substring(col, 1, digits)]
 
@@ -84,15 +84,17 @@ def running_total(
     before = reduce(lambda a, b: a + b, [F.col(f"_before{d + 1}") for d in range(len(marks))])
     offsets = offsets.select(*by, *marks, before.alias("_offset"))
 
+    # The finest level leads, so that the sort is settled by its first column.
+    bucket = [*reversed(marks), *by]
     inside = (
-        Window.partitionBy(*by, *marks)
+        Window.partitionBy(*bucket)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = F.coalesce(F.sum("_value").over(inside), F.lit(0))
     return (
         marked.withColumn("_local", local)
-        .join(offsets, [*by, *marks])
+        .join(offsets, bucket)
         .withColumn(name, F.col("_offset") + F.col("_local"))
         .drop(*marks, "_value", "_local", "_offset")
     )
