@@ -2,33 +2,31 @@
 
 Long chains are cut by writing a Parquet table under the folder the cluster
 names in ``spark.checkpoint.dir``: columnar, computed once, and readable after
-any executor is lost.
+any executor is lost. Without that setting the session's warehouse folder, which
+all executors share as well, holds them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+WAREHOUSE_DIR = "spark.sql.warehouse.dir"
 
-
-@cache
-def local_root(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"{application}-")
+# Shuffle files of a finished write are of no more use: its table is read instead.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local session without one gets its own."""
+    """The shared scratch folder of the session."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-    return local_root(spark.sparkContext.applicationId)
+    return spark.conf.get(WAREHOUSE_DIR).rstrip("/") + "/_scratch"
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -46,9 +44,32 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, a finished job's shuffle files are removed at once."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and go on from the written table."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_freed(spark):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` gave, once nothing reads it."""
+    spark = df.sparkSession
+    root = hadoop_path(spark, scratch_root(spark))[1].toUri().getPath()
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    for folder in folders:
+        fs, target = hadoop_path(spark, folder)
+        if target.toUri().getPath().startswith(root):
+            fs.delete(target, True)
