@@ -12,7 +12,7 @@ from millrace.sources.scratch import cut_lineage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the trees."""
     forest = quality_rules.fit_rules(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, forest, carry=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs, forest)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,31 +182,40 @@ def fit_rules(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     return trees.fit(x, y, np.array(list(FEATURES.values())))
 
 
-def judge(documents: DataFrame, forest: trees.Forest, keep_at: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``documents`` with the base counts, ``base_failed``, ``score`` and ``kept``.
-
-    ``carry`` names columns that go with the verdicts besides ``doc_id``.
-    """
-    kept_columns = list(dict.fromkeys(("doc_id", *carry)))
-    source = documents.select(*dict.fromkeys([*kept_columns, "text"]))
+def judge(documents: DataFrame, forest: trees.Forest, keep_at: float = 0.5) -> DataFrame:
+    """``(doc_id, base counts, base_failed, score, kept)`` of every row of ``documents``."""
     shared = documents.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees_here = shared.value
         for batch in batches:
             for texts in slices(batch):
-                base, x = statistics(texts)
-                failed = base_failed(base)
-                points = trees_here.score(x)
-                columns = [texts.rows.column(c) for c in kept_columns]
+                base, failed, points = verdicts(texts, shared.value)
+                columns = [texts.rows.column("doc_id")]
                 columns += [pa.array(v, pa.int64()) for v in base.values()]
                 columns += [pa.array(failed), pa.array(points), pa.array(~failed & (points >= keep_at))]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    kinds = dict(source.dtypes)
-    schema = source.select(*kept_columns).schema
+    source = documents.select("doc_id", "text")
+    schema = source.select("doc_id").schema
     for name in BASE:
         schema = schema.add(name, "long")
     schema = schema.add("base_failed", "boolean").add("score", "double").add("kept", "boolean")
-    assert len(set(schema.names)) == len(schema.names), f"clashing columns in {kinds}"
     return source.mapInArrow(score, schema)
+
+
+def keep_good(documents: DataFrame, forest: trees.Forest, keep_at: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that pass, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(forest)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in slices(batch):
+                _, failed, points = verdicts(texts, shared.value)
+                yield texts.rows.filter(pa.array(~failed & (points >= keep_at)))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
+def verdicts(texts: Texts, forest: trees.Forest) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    base, x = statistics(texts)
+    return base, base_failed(base), forest.score(x)

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pieces, quality_rules, toxicity
+from millrace.llm import packed_ids, pieces, quality_rules, toxicity
 from millrace.llm.registry import query
+from millrace.sources.scratch import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,13 @@ def piece_digests(documents: DataFrame) -> DataFrame:
 @query()
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "packed_ids")
+    documents = table(spark, sf_dir, "documents")
+    packed_ids.write_packed(documents, folder, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return packed_ids.read_packed(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
