@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import LOWER_CODE, SpanHash, Texts, find_words, mix, slices, spread_ranges
+from millrace.llm.spans import LOWER_CODE, SpanHash, Texts, find_words, mix, slices, spread_ranges, take_ranges
 from millrace.llm.trees import sigmoid
 
 BUCKETS = 2**18
@@ -39,13 +39,14 @@ PASSAGE = 4
 
 #: Labelled rows of each class that the model is fitted on, at most: those with the
 #: smallest hash.
-MAX_LABELLED = 4_000
+MAX_LABELLED = 3_000
 
 #: An n-gram bucket gets a vector if its words are in this many training texts.
 LEAST_TEXTS = 5
 
 TOXIC_SHARE = 0.3  # of the weight of all training texts
-AVERAGE_ROUNDS = 6  # on whole texts, before single passages can be told apart
+AVERAGE_ROUNDS = 12  # on whole texts, before single passages can be told apart
+AVERAGE_TEXTS = 800  # drawn for each of these rounds
 PASSAGE_ROUNDS = 60
 RATE = 0.3
 
@@ -68,10 +69,11 @@ def grams_of(texts: Texts, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
         at, owner = spread_ranges(start, count)
         gram = span.of(at, at + n)
         opens = (np.cumsum(count) - count)[count > 0]
+        owner = owner.astype(np.int32)
         owners += [owner, owner[opens]]
         grams += [gram, mix(gram[opens] ^ border)]
     bucket = np.concatenate(grams) & np.uint64(BUCKETS - 1)
-    return bucket.astype(np.int64), np.concatenate(owners)
+    return bucket.astype(np.int32), np.concatenate(owners)
 
 
 def word_bags(texts: Texts, start: np.ndarray, end: np.ndarray) -> Bags:
@@ -138,24 +140,27 @@ class Sample:
 
 def sample_of(batch: pa.RecordBatch) -> Sample:
     """Words of a bounded sample; each distinct word's bag is built once."""
-    bags, counts, seen = [], [], {}
-    words, borders, labels = [], [0], []
+    bags, counts, words, borders, labels = [], [np.zeros(1, np.int64)], [], [0], []
+    known, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     for texts in slices(batch):
         found = find_words(texts)
         key = SpanHash(LOWER_CODE[texts.data]).of(found.start, found.end)
         distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-        ids = np.empty(len(distinct), np.int64)
-        new = [i for i, k in enumerate(distinct.tolist()) if k not in seen]
-        for i in new:
-            seen[int(distinct[i])] = len(seen)
-        ids[:] = [seen[k] for k in distinct.tolist()]
-        part = word_bags(texts, found.start[where[new]], found.end[where[new]])
+        at = np.searchsorted(known, distinct)
+        old = known[np.minimum(at, len(known) - 1)] == distinct if len(known) else np.zeros(len(distinct), bool)
+        ids = np.empty(len(distinct), np.int32)
+        ids[old] = number[at[old]]
+        ids[~old] = len(known) + np.arange((~old).sum())
+        part = word_bags(texts, found.start[where[~old]], found.end[where[~old]])
         bags.append(part.bucket)
         counts.append(np.diff(part.first))
+        known, number = np.concatenate([known, distinct[~old]]), np.concatenate([number, ids[~old]])
+        order = np.argsort(known)
+        known, number = known[order], number[order]
         words.append(ids[back])
         borders.extend((found.first[1:] + borders[-1]).tolist())
         labels.append(texts.rows.column("label").to_numpy(zero_copy_only=False))
-    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    first = np.cumsum(np.concatenate(counts))
     return Sample(np.concatenate(words), np.array(borders), Bags(np.concatenate(bags), first), np.concatenate(labels))
 
 
@@ -164,6 +169,7 @@ def well_known(sample: Sample) -> np.ndarray:
     owner = np.repeat(np.arange(len(sample.label)), np.diff(sample.first))
     words = len(sample.bags.first) - 1
     pairs = np.unique(owner * np.int64(words) + sample.word)
+    del owner
     texts = np.bincount(pairs % words, minlength=words)
     spread = np.repeat(texts, np.diff(sample.bags.first))
     return np.bincount(sample.bags.bucket, spread, BUCKETS) >= LEAST_TEXTS
@@ -182,7 +188,7 @@ def fit(sample: Sample, seed: int = 7) -> Model:
     bags = sample.bags
     bag_size = np.diff(bags.first)
     known = well_known(sample)
-    table = random.normal(0, 0.1, (BUCKETS, DIMENSION)) * known[:, None]
+    table = (random.normal(0, 0.1, (DIMENSION, BUCKETS)) * known).astype(np.float32)
     softmax = random.normal(0, 0.5, (DIMENSION, 2))
     bias = np.zeros(2)
     pasts = [np.full_like(x, 1e-8) for x in (table, softmax, bias)]
@@ -191,9 +197,10 @@ def fit(sample: Sample, seed: int = 7) -> Model:
     for round_ in range(AVERAGE_ROUNDS + PASSAGE_ROUNDS):
         # Which stretch of which text teaches in this round: text, first word, words.
         if round_ < AVERAGE_ROUNDS:
-            text, at, count = np.arange(len(size)), starts, size
+            text = np.sort(random.permutation(len(size))[:AVERAGE_TEXTS])
+            at, count = starts[text], size[text]
         else:
-            value = (table @ (softmax[:, 1] - softmax[:, 0]))[bags.bucket]
+            value = ((softmax[:, 1] - softmax[:, 0]).astype(np.float32) @ table)[bags.bucket]
             value = np.add.reduceat(value, bags.first[:-1]) / bag_size
             _, at = worst_passages(value[sample.word], first)
             clean = np.flatnonzero(label < 0.5)
@@ -203,22 +210,27 @@ def fit(sample: Sample, seed: int = 7) -> Model:
             count = np.minimum(PASSAGE, size[text])
         place, owner = spread_ranges(at, count)
         used, word = np.unique(sample.word[place], return_inverse=True)
-        entry, entry_word = spread_ranges(bags.first[used], bag_size[used])
-        bucket = bags.bucket[entry]
+        bucket, _ = take_ranges(bags.bucket, bags.first, used)
+        entry_word = np.repeat(np.arange(len(used), dtype=np.int32), bag_size[used])
         borders = np.cumsum(bag_size[used]) - bag_size[used]
-        vector = np.add.reduceat(table[bucket], borders) / bag_size[used, None]
-        passage = np.add.reduceat(vector[word], np.cumsum(count) - count) / count[:, None]
+        passage_borders = np.cumsum(count) - count
+        passage = np.empty((len(text), DIMENSION))
+        for d in range(DIMENSION):
+            vector = np.add.reduceat(table[d][bucket], borders) / bag_size[used]
+            passage[:, d] = np.add.reduceat(vector[word], passage_borders) / count
         p = sigmoid((passage @ softmax + bias) @ np.array([-1.0, 1.0]))
         error = (label[text] - p) * share[text] / len(text)
         error = np.stack([-error, error], 1)
         slope = (error @ softmax.T) / count[:, None]
-        pull = [np.bincount(word, slope[owner, d], len(used)) / bag_size[used] for d in range(DIMENSION)]
-        pull = np.stack([np.bincount(bucket, x[entry_word], BUCKETS) for x in pull], 1)
-        steps = (pull * known[:, None], passage.T @ error, error.sum(axis=0))
-        for parameter, step, past in zip((table, softmax, bias), steps, pasts):
+        for d in range(DIMENSION):
+            pull = np.bincount(word, slope[owner, d], len(used)) / bag_size[used]
+            step = np.bincount(bucket, pull[entry_word], BUCKETS) * known
+            pasts[0][d] += step**2
+            table[d] += RATE * step / np.sqrt(pasts[0][d])
+        for parameter, step, past in ((softmax, passage.T @ error, pasts[1]), (bias, error.sum(axis=0), pasts[2])):
             past += step**2
             parameter += RATE * step / np.sqrt(past)
-    return Model(table @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
+    return Model(((softmax[:, 1] - softmax[:, 0]) @ table).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def crc_remainder(doc_id: Column | str) -> Column:
