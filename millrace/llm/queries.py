@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import packed_ids, pieces, quality_rules, sql, toxicity, url_filters
+from millrace.llm import (
+    decontamination,
+    line_spread,
+    packed_ids,
+    pieces,
+    quality_rules,
+    sql,
+    toxicity,
+    url_filters,
+)
 from millrace.llm.registry import query
 from millrace.sources.scratch import new_folder
 
@@ -74,3 +83,20 @@ def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read_packed(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query()
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("mark")
+
+
+@query(sql.LINES)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = line_spread.marked_documents(table(spark, sf_dir, "documents"))
+    return marked.select(
+        F.col("doc.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_removed",
+        F.md5(F.col("clean").cast("binary")).alias("kept_md5"),
+    )

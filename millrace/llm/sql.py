@@ -72,3 +72,27 @@ FROM places
 LEFT JOIN judged ON judged.host = places.host AND judged.path = places.path
 LEFT JOIN bad ON places.host <> '' AND bad.node = places.host || places.tail
 """
+
+LINES = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS site,
+         unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents
+),
+spread AS (
+  SELECT line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  GROUP BY line HAVING count(DISTINCT site) >= 10
+),
+marked AS (SELECT lines.*, spread.line IS NOT NULL AS hit FROM lines LEFT JOIN spread USING (line)),
+cleaned AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit,
+         coalesce(sum(length(line)) FILTER (hit), 0) AS hit_size,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT hit), '') AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines,
+       CASE WHEN n_hit > 0 AND hit_size <= 0.5 * length(text) THEN n_hit ELSE 0 END AS n_removed,
+       md5(CASE WHEN n_hit > 0 AND hit_size <= 0.5 * length(text) THEN kept ELSE text END) AS kept_md5
+FROM documents LEFT JOIN cleaned USING (doc_id)
+"""
