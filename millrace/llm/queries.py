@@ -12,6 +12,7 @@ from millrace.llm import (
     packed_ids,
     pieces,
     quality_rules,
+    recompression,
     sql,
     toxicity,
     url_filters,
@@ -100,3 +101,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.md5(F.col("clean").cast("binary")).alias("kept_md5"),
     )
+
+
+@query()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
