@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.spans import SpanHash, Texts, mix, slices
@@ -141,6 +141,23 @@ def by_document(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     return rows.join(lists.hint("shuffle_hash"), ["id", "mark"])
 
 
+def found_ranges(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first window and number of windows of the lists ``found`` of a batch."""
+    lists = rows.column("found")
+    flat = lists.flatten()
+    count = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(lists)), count)
+    return text, *(flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "m"))
+
+
+def earlier_elsewhere(single: DataFrame) -> DataFrame:
+    """``(id, mark, lo, m)`` of the windows ``(h1, h2, id, mark, lo, again)`` that are in
+    a document with a smaller id, or ``again`` in their own."""
+    firsts = single.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeats = single.join(firsts.where("n > 1"), ["h1", "h2"]).where("again OR id > first")
+    return repeats.select("id", "mark", "lo", F.lit(1).alias("m"))
+
+
 def covered(first: np.ndarray, count: np.ndarray, size: int) -> np.ndarray:
     """Which of ``size`` units some of the ranges cover."""
     edge = np.zeros(size + 1, np.int64)

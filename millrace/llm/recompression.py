@@ -31,6 +31,8 @@ from millrace.llm.anchors import (
     PLACE_BITS,
     by_document,
     covered,
+    earlier_elsewhere,
+    found_ranges,
     group_windows,
     keyed,
     place_of,
@@ -145,7 +147,7 @@ def least_over_ranges(low: np.ndarray, high: np.ndarray, keys: np.ndarray, size:
     return table
 
 
-def choose_symbols(levels: list[Symbols], words: Words, window: int) -> tuple[np.ndarray, ...]:
+def choose_symbols(levels: list[Symbols], hashes: np.ndarray, words: Words, window: int) -> tuple[np.ndarray, ...]:
     """``(window, text, name, first word)`` of every window's anchor."""
     size = len(words)
     text = words.text_of()
@@ -153,6 +155,7 @@ def choose_symbols(levels: list[Symbols], words: Words, window: int) -> tuple[np
     wanted = places + window <= words.first[1:][text] if size else np.zeros(0, bool)
     anchor = np.full(size, -1)
     name = np.zeros(size, np.uint64)
+    span = SpanHash(hashes)
     for depth in range(len(levels) - 1, -1, -1):
         here = levels[depth]
         low, high = here.high - window, here.low
@@ -172,7 +175,8 @@ def choose_symbols(levels: list[Symbols], words: Words, window: int) -> tuple[np
         new = wanted & (anchor < 0) & (least != np.uint64(2**64 - 1))
         symbol = place_of(least[new])
         anchor[new] = here.start[symbol]
-        name[new] = mix(here.name[symbol] + np.uint64(depth))
+        # All that determines the symbol lies in the window: a more telling name.
+        name[new] = mix(here.name[symbol] + np.uint64(depth)) ^ span.of(here.low[symbol], here.high[symbol])
     at = np.flatnonzero(wanted)
     return at, text[at], name[at], anchor[at]
 
@@ -181,7 +185,7 @@ def find_anchors(texts: Texts, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Anchor rows of a slice (see ``anchors``), in words."""
     words = find_words(texts)
     hashes = hash_words(texts, words)
-    at, text, name, symbol = choose_symbols(rounds(hashes, words), words, window)
+    at, text, name, symbol = choose_symbols(rounds(hashes, words), hashes, words, window)
     first, count = group_windows(at, text, symbol, name)
     lo = at[first]
     off = symbol[first] - lo
@@ -217,23 +221,11 @@ def window_rows(rows: DataFrame, unsettled: DataFrame, window: int) -> DataFrame
     return joined.mapInArrow(explode, "h1 long, h2 long, id long, mark int, lo int, again boolean")
 
 
-def found_ranges(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first window and number of windows of the lists ``found`` of a batch."""
-    lists = rows.column("found")
-    flat = lists.flatten()
-    count = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(lists)), count)
-    return text, *(flat.field(c).to_numpy().astype(np.int64) for c in ("lo", "m"))
-
-
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
     """``(id, mark, lo, m)``: ranges of windows that occur earlier, of ``keyed`` rows."""
     later, unsettled = settled(repeated_anchors(rows, lambda texts: find_anchors(texts, window)))
     single = window_rows(rows, unsettled, window)
-    single = cut_lineage(single, "windows")
-    firsts = single.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeats = single.join(firsts, ["h1", "h2"]).where("again OR id > first")
-    return later.union(repeats.select("id", "mark", "lo", F.lit(1).alias("m")))
+    return later.union(earlier_elsewhere(cut_lineage(single, "windows")))
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
