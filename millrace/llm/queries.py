@@ -10,6 +10,7 @@ from millrace.llm import (
     decontamination,
     line_spread,
     packed_ids,
+    parity_join,
     pieces,
     quality_rules,
     recompression,
@@ -116,3 +117,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query()
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
