@@ -1,10 +1,14 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before it kept;
+all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality_rules
+from millrace.llm import decontamination, line_spread, parity_join, quality_rules
 from millrace.llm.queries import piece_digests, table
 from millrace.sources.scratch import cut_lineage
 
@@ -15,14 +19,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, forest)
 
 
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many sites share."""
+    return line_spread.remove_boilerplate(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return parity_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document left, and of what they decode to."""
     return piece_digests(docs)
 
 
-STAGES = [("quality rules", quality), ("sentencepiece", encoding)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("sentencepiece", encode),
+]
 
-#: No SQL has the trees or the model's segmentation; tests compare with brute force.
+#: No SQL has the trees or the segmentation of the model; tests use brute force.
 ORACLE_SQL = None
 
 

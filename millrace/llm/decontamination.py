@@ -150,6 +150,7 @@ def find_leaks(
 def drop_leaking(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """``documents`` without those that hold an item of the benchmark."""
     leaks = find_leaks(documents, benchmark, **settings).select("doc_id", "mark").distinct()
+    leaks = cut_lineage(leaks, "leaks")
     rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("doc"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("doc.text") == F.col("mark"))
-    return rows.join(leaks, same, "left_anti").select("doc.*")
+    return rows.join(leaks.hint("shuffle_hash"), same, "left_anti").select("doc.*")

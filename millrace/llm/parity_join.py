@@ -370,3 +370,16 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     alone = sets.where("n = 0").select("doc_id", "id", "n", F.col("id").alias("component"))
     component = F.when(F.col("component") != NO_ID, F.col("component"))
     return placed.union(alone).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``documents`` with the document of the smallest id of each component only.
+
+    Rows that share an id are one document: they stay or go together.
+    """
+    placed = jaccard_components(documents, size)
+    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = cut_lineage(first.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").select("doc.*")
