@@ -22,10 +22,14 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def append_eos(tokens: Column, eos: Column | int) -> Column:
+    """The tokens and the end token."""
+    return F.concat(tokens, F.array(eos if isinstance(eos, Column) else F.lit(eos)))
+
+
 def append_eos_truncate(tokens: Column, eos: Column | int, max_length: int) -> Column:
     """Append the end token, then cut, so that long rows lose it."""
-    eos = eos if isinstance(eos, Column) else F.lit(eos)
-    return F.slice(F.concat(tokens, F.array(eos)), 1, max_length)
+    return F.slice(append_eos(tokens, eos), 1, max_length)
 
 
 def ones_like(tokens: Column) -> Column:

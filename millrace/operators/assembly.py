@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as T
@@ -102,11 +102,22 @@ def prompt_masked_labels(df: DataFrame, prompt_tokens: Column) -> DataFrame:
     return df.withColumn("labels", labels)
 
 
+def with_longest(df: DataFrame, batch: str) -> DataFrame:
+    """Add ``_longest``: the length of the longest row of each batch.
+
+    Only one number per batch is shuffled besides the rows, which meet it once.
+    """
+    sizes = df.select(batch, F.size("input_ids").alias("_size"))
+    return df.join(sizes.groupBy(batch).agg(F.max("_size").alias("_longest")), batch)
+
+
 def bucket_pad(df: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Pad each batch to the smallest bucket that holds its longest row."""
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))
+    """Pad each batch to the smallest bucket that holds its longest row.
+
+    ``df`` should be a written table: the lengths are read first, on their own.
+    """
     target = T.bucket_length(F.col("_longest"))
-    padded = df.withColumn("_longest", longest).withColumns(
+    padded = with_longest(df, batch).withColumns(
         {
             "input_ids": T.pad_to(F.col("input_ids"), target, T.PAD_ID),
             "attention_mask": T.pad_to(F.col("attention_mask"), target, 0),
@@ -117,10 +128,9 @@ def bucket_pad(df: DataFrame, batch: str = "batch_id") -> DataFrame:
 
 
 def pad_to_batch_max(df: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Pad each unlabelled batch to its longest row."""
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))
+    """Pad each unlabelled batch to its longest row; ``df`` as in ``bucket_pad``."""
     target = F.col("_longest")
-    padded = df.withColumn("_longest", longest).withColumns(
+    padded = with_longest(df, batch).withColumns(
         {
             "input_ids": T.pad_to(F.col("input_ids"), target, T.PAD_ID),
             "attention_mask": T.pad_to(F.col("attention_mask"), target, 0),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +15,12 @@ from millrace.functions.logits import (
     uniform,
 )
 from millrace.functions.tokens import bind
-from millrace.operators.lookups import fits_broadcast, lookup
+from millrace.operators.lookups import BROADCAST_BYTES, fits_broadcast, lookup
 from millrace.operators.metrics import checkpoint_summary, text_diversity, lexical_validity
 from millrace.operators.tokens import decode
-from millrace.sources.scratch import cut_lineage
-
-# Fixed values of the evaluation suite.
-PROMPT_SUITE = (
-    "O say can you see\nBy the dawns early light\n",
-    "Roses are red,\nViolets are blue,\n",
-    "January February March",
-    "class Dog:\n    def __init__(self, name):\n",
-    "2 -> 4\n3 -> 9\n4 -> 16\n5 ->",
-    "apple = fruit\ncarrot = vegetable\nmilk = dairy\nsalmon =",
-    "Alice is taller than Bob. Bob is taller than Charlie. Who is tallest?\nAnswer:",
-    "The the the the",
-)
-DIVERSITY_PROMPT = "Recipe name: Grilled chicken breast\nInstructions:"
-SELF_BLEU_SAMPLES = 5
-CONTEXT = 512
+from millrace.sources.scratch import cut_lineage, free_table
+
+SETTINGS = {"temperature": 1.0, "top_k": -1, "top_p": 1.0}
 
 
 def gather_logits(df: DataFrame, key: str = "ctx_id") -> DataFrame:
@@ -103,7 +92,7 @@ def score_ngram(
         F.max(F.struct("n", (-F.col("next")).alias("rank"))).alias("best"),
     ).select("prev", "total", (-F.col("best.rank")).alias("best"))
     found = lookup(pairs, model, ["prev", "next"])
-    found = lookup(found, cut_lineage(before, "totals"), ["prev"], [*by, "next"])
+    found = lookup(found, cut_lineage(before, "totals"), ["prev"])
     prob = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("total", F.lit(0)) + vocab_size)
     hit = F.coalesce("best", F.lit(0)) == F.col("next")
     return found.groupBy(*by).agg(
@@ -163,88 +152,141 @@ def successor_ranges(
     ranges = cut_lineage(ranges, "ranges")
     sizes = ranges.groupBy("last").agg(F.first("_segments").alias("segments"))
     sizes = cut_lineage(sizes.withColumnRenamed("last", "token"), "range-sizes")
-    return lookup(ranges.drop("_segments"), sizes, ["token"], ["last"])
+    return lookup(ranges.drop("_segments"), sizes, ["token"])
 
 
 def complete_prompts(
     prompts: DataFrame,
     model: DataFrame,
     eos: int,
-    max_tokens: int = 512,
-    temperature: float = 1.0,
-    top_k: int = -1,
-    top_p: float = 1.0,
+    max_tokens: int | str = 512,
+    temperature: float | str = 1.0,
+    top_k: int | str = -1,
+    top_p: float | str = 1.0,
     **options: int,
 ) -> DataFrame:
-    """Extend ``prompts(prompt_id, input_ids)`` by sampling from a count model."""
-    ranges = cut_lineage(successor_ranges(model, temperature, top_k, top_p), "successors")
-    return complete_from_ranges(prompts, ranges, eos, max_tokens, **options)
+    """Extend ``prompts(prompt_id, input_ids)`` by sampling from a count model.
+
+    Settings may name columns of ``prompts``, for requests that bring their own (NULL:
+    the default).  Ranges are built once for each distinct setting, as the few that
+    callers offer; ``max_tokens`` may differ in every row.
+    """
+    asked = {"temperature": temperature, "top_k": top_k, "top_p": top_p}
+    own = [name for name, value in asked.items() if isinstance(value, str)]
+    if not own:
+        ranges = successor_ranges(model, **asked)
+        return complete_from_ranges(prompts, cut_lineage(ranges, "successors"), eos, max_tokens, **options)
+    values = [F.coalesce(F.col(asked[name]), F.lit(SETTINGS[name])).alias(f"_{name}") for name in own]
+    requests = prompts.select("*", *values)
+    named = [f"_{name}" for name in own]
+    distinct = sorted(map(tuple, requests.select(*named).distinct().collect()))
+    parts = [
+        successor_ranges(model, **(asked | dict(zip(own, setting)))).withColumn("setting", F.lit(i))
+        for i, setting in enumerate(distinct)
+    ]
+    if not parts:
+        parts = [successor_ranges(model).withColumn("setting", F.lit(0))]
+    number = F.lit(None).cast("int")
+    for i, setting in enumerate(distinct):
+        same = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(named, setting)])
+        number = F.when(same, F.lit(i)).otherwise(number)
+    requests = requests.withColumn("setting", number).drop(*named)
+    ranges = cut_lineage(reduce(DataFrame.unionByName, parts), "successors")
+    return complete_from_ranges(requests, ranges, eos, max_tokens, **options)
+
+
+# Bytes of a prompt in a step's join, without what it has been answered so far.
+STATE_BYTES = 64
 
 
 def complete_from_ranges(
     prompts: DataFrame,
     ranges: DataFrame,
     eos: int,
-    max_tokens: int = 512,
+    max_tokens: int | str = 512,
     seed: int = 42,
     key: str = "prompt_id",
     cut_every: int = 8,
+    context: int = 512,
     **bounds: int,
 ) -> DataFrame:
     """Extend ``prompts(key, input_ids)`` token by token: ``(key, output_ids)``.
 
-    A prompt stops after the end token, at ``max_tokens`` new tokens or when the
-    context is full.  A token without successors is followed by the end token.
-    Every step is one join with the written ``ranges``.  Every ``cut_every`` steps
-    the state is written, the plan starts anew from it, and the loop ends once no
-    prompt is open.
+    A prompt stops after the end token, at ``max_tokens`` new tokens (a number or a
+    column) or when prompt and answer fill the ``context``.  A token without successors
+    is followed by the end token; a prompt without tokens is answered by nothing.  Keys
+    must be unique.
+
+    Every step is one join with the written ``ranges``.  Ranges measured within the bound
+    are broadcast.  Larger ones stay where they are: the open prompts, of a measured
+    number, are broadcast to them and the few matches back.  The state is written every
+    ``cut_every`` steps (every step in the second case), the one before it deleted, and
+    the loop ends once no prompt is open.
     """
-    starts = cut_lineage(        ranges.groupBy("last").agg((F.max("segment") + 1).alias("segments")), "starts"
+    if "setting" not in ranges.columns:
+        ranges = ranges.withColumn("setting", F.lit(0))
+    starts = cut_lineage(
+        ranges.groupBy("setting", "last").agg((F.max("segment") + 1).alias("segments")), "starts"
     )
+    most = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
     state = prompts.select(
         key,
+        (F.col("setting") if "setting" in prompts.columns else F.lit(0)).alias("setting"),
+        most.cast("int").alias("most"),
         F.size("input_ids").alias("context"),
-        F.element_at(F.col("input_ids"), -1).alias("last"),
+        F.when(most > 0, F.try_element_at("input_ids", F.lit(-1))).alias("last"),
         F.array().cast("array<int>").alias("output_ids"),
     )
-    state = lookup(state, starts, ["last"], [key])
+    written = state = cut_lineage(lookup(state, starts, ["setting", "last"]), "completion")
     ranges = ranges.withColumnRenamed("segments", "_segments")
-    if fits_broadcast(ranges, **bounds):
-        ranges = F.broadcast(ranges)
-    for step in range(max_tokens):
-        if step and step % cut_every == 0:
+    near = fits_broadcast(ranges, **bounds)
+    few = not near and state.count() * STATE_BYTES <= BROADCAST_BYTES
+    for step in range(state.agg(F.max("most")).first()[0] or 0):
+        if step and (few or step % cut_every == 0):
             state = cut_lineage(state, "completion")
+            free_table(written)
+            written = state
             if state.where("last is not null").isEmpty():
                 break
-        drawn = uniform(seed, F.col(key), F.lit(step))
-        asked = state.withColumn("_u", drawn).withColumn(
-            "_segment", F.floor(F.col("_u") * F.col("segments"))
-        )
-        found = asked.join(
-            ranges.withColumnRenamed("last", "_last"),
-            (F.col("last") == F.col("_last"))
-            & (F.col("_segment") == F.col("segment"))
-            & (F.col("_u") >= F.col("low"))
-            & (F.col("_u") < F.col("high")),
-            "left",
-        )
-        open = F.col("last").isNotNull()
-        grown = F.col("context") + open.cast("int")
-        token = F.when(open, F.coalesce("token", F.lit(eos)))
-        state = found.withColumns({"_token": token, "_grown": grown}).select(
-            key,
-            F.col("_grown").alias("context"),
-            F.when((F.col("_token") != eos) & (F.col("_grown") < CONTEXT), F.col("_token")).alias(
-                "last"
-            ),
-            F.when(open, F.concat("output_ids", F.array("_token")))
-            .otherwise(F.col("output_ids"))
-            .alias("output_ids"),
-            F.col("_segments").alias("segments"),
-        )
+        state = next_step(state, ranges, eos, step, seed, key, context, near, few)
     return state.select(key, "output_ids")
 
 
+def next_step(
+    state: DataFrame, ranges: DataFrame, eos: int, step: int, seed: int, key: str, context: int, near: bool, few: bool
+) -> DataFrame:
+    """The state after one more token of every open prompt."""
+    drawn = uniform(seed, F.col(key), F.lit(step))
+    asked = state.withColumn("_u", drawn).withColumn("_segment", F.floor(F.col("_u") * F.col("segments")))
+    options = ranges.withColumnsRenamed({"last": "_last", "setting": "_setting"})
+    met = (
+        (F.col("setting") == F.col("_setting"))
+        & (F.col("last") == F.col("_last"))
+        & (F.col("_segment") == F.col("segment"))
+        & (F.col("_u") >= F.col("low"))
+        & (F.col("_u") < F.col("high"))
+    )
+    if few:
+        open_ = asked.where("last is not null").select(key, "setting", "last", "_u", "_segment")
+        answers = options.join(F.broadcast(open_), met).select(key, "token", "_segments")
+        found = asked.join(F.broadcast(answers), key, "left")
+    else:
+        found = asked.join(F.broadcast(options) if near else options, met, "left")
+    is_open = F.col("last").isNotNull()
+    grown = F.col("context") + is_open.cast("int")
+    token = F.when(is_open, F.coalesce("token", F.lit(eos)))
+    goes_on = (F.col("_token") != eos) & (F.col("_grown") < context) & (F.col("most") > step + 1)
+    return found.withColumns({"_token": token, "_grown": grown}).select(
+        key,
+        "setting",
+        "most",
+        F.col("_grown").alias("context"),
+        F.when(goes_on, F.col("_token")).alias("last"),
+        F.when(is_open, F.concat("output_ids", F.array("_token"))).otherwise(F.col("output_ids")).alias("output_ids"),
+        F.col("_segments").alias("segments"),
+    )
+
+
 def evaluate_prompt_suite(
     step: int,
     prompts: DataFrame,

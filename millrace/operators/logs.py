@@ -12,7 +12,6 @@ from millrace.sources.scratch import hadoop_path
 METRICS = ("loss", "accuracy", "perplexity", "learning_rate", "grad_norm")
 # Fixed value: the name pattern of checkpoint files, anchored at the start only.
 CHECKPOINT_NAME = r"^epoch(\d+)_step(\d+)\.pth"
-NO_OUTPUT = "No output for this prompt at this step."
 
 
 def truncate_for_resume(metrics: DataFrame, start_step: int) -> DataFrame:
@@ -84,7 +83,7 @@ def metric_series(metrics: DataFrame) -> DataFrame:
 def prompt_history(prompts: DataFrame, steps: DataFrame, prompt: str) -> DataFrame:
     """Output and diversity of one prompt at every step of ``steps``.
 
-    A step's first match counts; a step without one gets a placeholder row.
+    A step's first match counts; a step without one has ``found`` false and NULLs.
     """
     first = F.min_by(F.struct("output", "diversity"), F.col("prompt_id"))
     found = prompts.where(F.col("input") == prompt).groupBy("step").agg(first.alias("_first"))
@@ -94,7 +93,8 @@ def prompt_history(prompts: DataFrame, steps: DataFrame, prompt: str) -> DataFra
         .join(found, "step", "left")
         .select(
             F.col("step").cast("int").alias("step"),
-            F.coalesce("_first.output", F.lit(NO_OUTPUT)).alias("output"),
+            F.col("_first").isNotNull().alias("found"),
+            F.col("_first.output").alias("output"),
             F.col("_first.diversity").alias("diversity"),
         )
     )

@@ -26,10 +26,8 @@ def lookup(
     facts: DataFrame,
     table: DataFrame,
     on: list[str],
-    spread_by: list[str] | None = None,
     hot: Column | None = None,
     max_bytes: int = BROADCAST_BYTES,
-    salts: int = 32,
 ) -> DataFrame:
     """Left join ``facts`` with a written ``table`` that is unique on ``on``.
 
@@ -38,10 +36,8 @@ def lookup(
 
     - ``hot`` marks the rows of the table most facts ask for.  They are broadcast
       and only facts without a match there are shuffled to the rest.
-    - ``spread_by`` suits tables much smaller than the facts: the table is copied
-      ``salts`` times, and a hot key's facts meet it in that many tasks.
-    - With neither, both sides are shuffled once and adaptive execution splits
-      the partitions of hot keys.
+    - Otherwise both sides are shuffled once, the table without copies, and adaptive
+      execution splits the partitions of hot keys.
     """
     if fits_broadcast(table, max_bytes):
         return facts.join(F.broadcast(table), on, "left")
@@ -57,8 +53,4 @@ def lookup(
             missed = first.where(~settled).select(*facts.columns)
             late = missed.join(table.where(~hot), on, "left")
             return first.where(settled).drop("_found").unionByName(late)
-    if spread_by:
-        salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-        copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return facts.withColumn("_salt", salt).join(copies, [*on, "_salt"], "left").drop("_salt")
     return facts.join(table, on, "left")

@@ -39,14 +39,6 @@ def loss_summary(sums: DataFrame, empty: float = 0.0) -> DataFrame:
     )
 
 
-def step_sums(df: DataFrame, by: list[Column]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.sum("loss_sum").alias("loss_sum"),
-        F.sum("correct").alias("correct"),
-        F.sum("total").alias("total"),
-    )
-
-
 def accumulate_windows(df: DataFrame, n: int) -> DataFrame:
     """One summary row per finished window of ``n`` steps, at the step after it."""
     window = F.floor(F.col("step") / n).alias("_window")
@@ -84,10 +76,17 @@ def self_bleu(
     An occurrence of a gram, numbered within its text, is a clipped hit if another
     text has that gram as often.  So hits are the gram total less the occurrences
     held by one text only: one aggregation, and texts are never joined or paired.
+
+    A NULL text counts as an empty one.  Rows of a group may share an ``id``: the words
+    are written once, with a row number of their own.
     """
     words = F.col("_words")
-    texts = df.select(*group, F.col(id).alias("_id"), word_tokens(F.col(text)).alias("_words"))
-    texts = texts.withColumn("_size", F.size(words))
+    texts = df.select(
+        *group,
+        F.struct(F.col(id).alias("id"), F.monotonically_increasing_id().alias("row")).alias("_id"),
+        word_tokens(F.coalesce(text, F.lit(""))).alias("_words"),
+    )
+    texts = cut_lineage(texts.withColumn("_size", F.size(words)), "bleu-words")
 
     # Words travel once, by text, so that the longer grams are counted in place.
     grams = (
@@ -120,7 +119,7 @@ def self_bleu(
 
     scored = texts.drop("_words").join(misses, [*group, "_id"], "left")
     # Copies of one text share their length: a table lookup, not a skewed join.
-    scored = lookup(scored, cut_lineage(lengths, "text-lengths"), [*group, "_size"], ["_id"])
+    scored = lookup(scored, cut_lineage(lengths, "text-lengths"), [*group, "_size"])
     logs, hits = F.lit(0.0), None
     for n in range(1, max_n + 1):
         total = F.greatest(F.col("_size") - (n - 1), F.lit(0))
@@ -166,7 +165,7 @@ def lexical_validity(
         return counted.select(*key, share.alias("lexical_validity"))
     places = df.select(*key, F.explode_outer(words).alias("word"))
     known = dictionary.select("word").distinct().withColumn("known", F.lit(True))
-    found = lookup(places, known, ["word"], key, **bounds)
+    found = lookup(places, known, ["word"], **bounds)
     total, valid = F.count("word"), F.count_if("known")
     return found.groupBy(*key).agg(
         F.when(total == 0, 0.0).otherwise(F.try_divide(valid, total)).alias("lexical_validity")

@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 # whole token arrays.
 ID_LEVEL_BITS = (48, 32, 14)
 
-# A table of narrow rows that one task may sort, once it is measured.
-BUCKET_ROWS = 2**20
-
 
 def id_levels(col: Column | str) -> list[Column]:
     """Levels for an integer order: ever narrower ranges down to blocks of ids."""

@@ -21,29 +21,29 @@ BASE_PROMPT = "Write a recipe for the following dish: "
 def merge_feeds(*feeds: DataFrame) -> DataFrame:
     """Union keyed feeds; a key keeps its first place and its last value.
 
-    Partial aggregation leaves at most one row per key and map task, so a key
-    that fills a third of the input is no hot spot.
+    Only places are aggregated, so a key that fills a third of the input leaves one
+    narrow row per map task; the recipe at a key's last place is joined back once.
+    Places must be unique within a feed.
     """
     ranked = [feed.withColumn("feed_rank", F.lit(rank)) for rank, feed in enumerate(feeds)]
     entries = reduce(DataFrame.unionByName, ranked)
     place = F.struct("feed_rank", "ordinal")
-    merged = entries.groupBy("key").agg(
-        F.max(F.struct(place.alias("place"), "source", "recipe")).alias("last"),
-        F.min(place).alias("first"),
+    kept = entries.groupBy("key").agg(F.max(place).alias("last"), F.min(place).alias("first"))
+    kept = kept.select(
+        F.col("last.feed_rank").alias("feed_rank"),
+        F.col("last.ordinal").alias("ordinal"),
+        F.col("first.feed_rank").alias("_feed_rank"),
+        F.col("first.ordinal").alias("_ordinal"),
     )
-    return merged.select(
-        "key",
-        F.col("last.source").alias("source"),
-        F.col("last.recipe").alias("recipe"),
-        F.col("first.feed_rank").alias("feed_rank"),
-        F.col("first.ordinal").alias("ordinal"),
+    return entries.join(kept, ["feed_rank", "ordinal"]).select(
+        "key", "source", "recipe", F.col("_feed_rank").alias("feed_rank"), F.col("_ordinal").alias("ordinal")
     )
 
 
 def assign_ids(merged: DataFrame) -> DataFrame:
     """Recipes numbered 1..N in merged order, with defaults for absent fields."""
     placed = global_position(
-        merged,
+        cut_lineage(merged, "merged"),
         levels=[F.col("feed_rank"), *id_levels("ordinal")],
         order=[F.col("ordinal")],
         name="id",
@@ -73,14 +73,19 @@ def update_matched(target: DataFrame, updates: DataFrame, order: str | None = No
     """Overwrite all fields of recipes whose id has an update; others are ignored.
 
     With ``order`` the last update of an id wins; without it ids must be unique.
-    Few updates are broadcast; many are copied, since rows without an id share -1.
+    Few updates are broadcast, many are shuffled.  Id -1, which any number of rows may
+    share, has one update at most: it is set aside and joined as a single row.
     """
     fields = [c for c in RECIPE_COLUMNS if c != "id"]
     rank = F.col(order) if order else F.lit(0)
     latest = updates.groupBy("id").agg(
         F.max(F.struct(rank.alias("_rank"), *fields)).alias("update")
     )
-    joined = lookup(target, cut_lineage(latest, "updates"), ["id"], ["source", "title"])
+    latest = cut_lineage(latest, "updates")
+    shared = F.col("id") == -1
+    joined = lookup(target.where(~shared), latest.where(~shared), ["id"]).unionByName(
+        target.where(shared).join(F.broadcast(latest.where(shared)), "id", "left")
+    )
     found = F.col("update").isNotNull()
     return joined.select(
         "id", *[F.when(found, F.col(f"update.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
@@ -92,7 +97,7 @@ def delete_by_id(target: DataFrame, ids: DataFrame) -> DataFrame:
     if not ids.where("id = -1").isEmpty():
         raise ValueError("id -1 may stand for more than one recipe")
     gone = cut_lineage(ids.select("id").distinct().withColumn("_gone", F.lit(True)), "deletions")
-    left = lookup(target, gone, ["id"], ["source", "title"]).where("_gone is null")
+    left = lookup(target, gone, ["id"]).where("_gone is null")
     return left.select(*target.columns)
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.tables import WORKER_TABLE_BYTES, positions_in, values_at
 from millrace.functions.text import word_tokens
 from millrace.operators.lookups import fits_broadcast, lookup
 from millrace.operators.once import compute_once
-from millrace.operators.positions import BUCKET_ROWS, global_position, text_levels
+from millrace.operators.positions import global_position
 from millrace.sources.scratch import cut_lineage
 
 
@@ -18,13 +18,12 @@ def with_words(df: DataFrame, text: str = "text", tokenizer=None) -> DataFrame:
     return compute_once(df, {"words": (tokenizer or word_tokens)(F.col(text))})
 
 
-def build_vocab(
-    df: DataFrame, min_count: int = 1, words: str = "words", bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
+def build_vocab(df: DataFrame, min_count: int = 1, words: str = "words") -> DataFrame:
     """Dense ids by falling count, then by word: ``(word, n, id)``, as a written table.
 
     The end token takes the id after the last word, unknown words the one after.
-    Counts that fill no more than one bucket are numbered in one task.
+    Levels: at most 64 powers of two of the count, the counts between two of them, and
+    the words' beginnings, since most words are met only a few times.
     """
     counts = (
         df.select(F.explode(words).alias("word"))
@@ -33,16 +32,12 @@ def build_vocab(
         .where(F.col("n") >= min_count)
     )
     counts = cut_lineage(counts, "word-counts")
-    if counts.count() <= bucket_rows:
-        order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word")
-        placed = counts.withColumn("id", F.row_number().over(order))
-    else:
-        placed = global_position(
-            counts,
-            levels=[-F.col("n"), *text_levels("word")],
-            order=[F.col("word")],
-            name="id",
-        )
+    placed = global_position(
+        counts,
+        levels=[-F.floor(F.log2("n")), -F.col("n"), F.substring("word", 1, 3)],
+        order=[F.col("word")],
+        name="id",
+    )
     vocab = placed.select("word", "n", (F.col("id") - 1).cast("int").alias("id"))
     return cut_lineage(vocab, "vocab")
 

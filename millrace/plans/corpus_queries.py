@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.tokens import append_eos_truncate
+from millrace.functions.tokens import append_eos, append_eos_truncate
 from millrace.operators import assembly, tokens
 from millrace.operators.recipes import finetune_text, load_recipes
 from millrace.plans import sql, views
@@ -18,8 +18,8 @@ def spaced(column: str) -> F.Column:
 
 
 VOCAB = sql.vocabulary()
-ENDED = f"{VOCAB}, {sql.ended(1024)}"
-EX_VOCAB = sql.vocabulary("examples", "ex_id", 1)
+ENDED = f"{VOCAB}, {sql.ended()}"
+EX_VOCAB = sql.vocabulary("examples", "ex_id")
 
 
 @query(f"SELECT doc_id, len({sql.words('text')})::INT AS n, {sql.joined(sql.words('text'))} AS words FROM documents")
@@ -30,20 +30,24 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {VOCAB} SELECT word, n, id FROM vocab")
 def build_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.build_vocab(tokens.with_words(views.corpus(spark, sf_dir)), views.MIN_COUNT)
+    return tokens.build_vocab(tokens.with_words(views.corpus(spark, sf_dir)))
 
 
 @query(f"WITH {VOCAB} SELECT doc_id, len(ids)::INT AS n, {sql.joined('ids')} AS ids FROM encoded")
 def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokens.with_words(views.corpus(spark, sf_dir))
-    vocab = tokens.build_vocab(docs, views.MIN_COUNT)
+    vocab = tokens.build_vocab(docs)
     ids = tokens.encode(docs, vocab, tokens.special_ids(vocab)[1])
     return ids.select("doc_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
-@query(f"WITH {VOCAB}, {sql.ended(512)} SELECT doc_id, len(ids)::INT AS n, {sql.joined('ids')} AS ids FROM ended")
+@query(f"WITH {VOCAB}, {sql.ended(max_length=512)} SELECT doc_id, len(ids)::INT AS n, {sql.joined('ids')} AS ids FROM ended")
 def append_eos_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids, _, _ = views.encoded_corpus(spark, sf_dir, max_length=512)
+    docs = tokens.with_words(views.corpus(spark, sf_dir))
+    vocab = tokens.build_vocab(docs)
+    eos, unknown = tokens.special_ids(vocab)
+    ids = tokens.encode(docs, vocab, unknown)
+    ids = ids.withColumn("input_ids", append_eos_truncate(F.col("input_ids"), eos, 512))
     return ids.select("doc_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
@@ -54,7 +58,7 @@ def append_eos_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded documents back to text; unknown words and end tokens drop out."""
-    ids, vocab, _ = views.encoded_corpus(spark, sf_dir, max_length=2**31 - 1)
+    ids, vocab, _ = views.encoded_corpus(spark, sf_dir)
     return tokens.decode(ids, vocab)
 
 
@@ -121,11 +125,11 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = tokens.build_vocab(rows)
     eos, unknown = tokens.special_ids(vocab)
     ids = tokens.encode(rows, vocab, unknown, "ex_id", keep=["prompt_tokens"])
-    ids = ids.withColumn("input_ids", append_eos_truncate(F.col("input_ids"), eos, 512))
+    ids = ids.withColumn("input_ids", append_eos(F.col("input_ids"), eos))
     return assembly.prompt_masked_labels(views.with_mask(ids), F.col("prompt_tokens"))
 
 
-LABELLED = f"""{EX_VOCAB}, {sql.ended(512, 'ex_id')}, prompts AS (
+LABELLED = f"""{EX_VOCAB}, {sql.ended('ex_id')}, prompts AS (
   SELECT ex_id, len({sql.words("string_split(text, chr(10) || chr(10))[1]")}) AS p FROM examples
 ), labelled AS (
   SELECT ex_id, ids, list_transform(ids, lambda x, i: CASE WHEN i <= p THEN -100 ELSE x END) AS labels
@@ -156,7 +160,8 @@ def prompt_masked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fine-tune data from end to end: order, batches, labels and padding."""
     batches = batched(spark, sf_dir).select("ex_id", "batch_id", "pos_in_batch")
-    padded = assembly.bucket_pad(labelled(spark, sf_dir).join(batches, "ex_id"))
+    rows = cut_lineage(labelled(spark, sf_dir).join(batches, "ex_id"), "batched")
+    padded = assembly.bucket_pad(rows)
     return padded.select(
         "ex_id", "batch_id", "pos_in_batch",
         F.size("input_ids").alias("width"),
@@ -165,16 +170,17 @@ def bucket_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus_batches(spark: SparkSession, sf_dir: str, max_length: int = views.MAX_DOC_TOKENS) -> DataFrame:
+def corpus_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in order, in batches padded to their longest row."""
-    ids, _, _ = views.encoded_corpus(spark, sf_dir, max_length)
-    placed = assembly.global_position(
-        views.with_mask(ids), assembly.id_levels("doc_id"), [F.col("doc_id")]
-    )
-    return assembly.pad_to_batch_max(assembly.cut_batches(placed))
+    ids, _, _ = views.encoded_corpus(spark, sf_dir)
+    order = views.table(spark, sf_dir, "documents").select("doc_id")
+    placed = assembly.global_position(order, assembly.id_levels("doc_id"), [F.col("doc_id")])
+    batches = cut_lineage(assembly.cut_batches(placed), "batches")
+    rows = cut_lineage(views.with_mask(ids).join(batches, "doc_id"), "batched")
+    return assembly.pad_to_batch_max(rows)
 
 
-CORPUS_BATCHES = f"""{VOCAB}, {sql.ended(1024)}, numbered AS (
+CORPUS_BATCHES = f"""{VOCAB}, {sql.ended()}, numbered AS (
   SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM ended), padded AS (
   SELECT doc_id, p // 6 AS batch_id, (p % 6)::INT AS pos_in_batch, len(ids) AS n,
          list_concat(ids, list_transform(range(max(len(ids)) OVER (PARTITION BY p // 6) - len(ids)),

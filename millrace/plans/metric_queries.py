@@ -64,13 +64,14 @@ def loss_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_rows(metrics.loss_summary(sums))
 
 
-WINDOWS = f"""WITH {sql.STEPS}, sums AS (
-  SELECT max(step) + 1 AS step, sum(loss_sum) AS loss_sum, sum(correct) AS correct, sum(total) AS total
-  FROM steps GROUP BY step // 16 HAVING max(step) % 16 = 15)
-SELECT {summary_columns('step')} FROM ({summary('sums')})"""
+def windows(kept: str = "true") -> str:
+    return f"""WITH {sql.STEPS}, sums AS (
+      SELECT max(step) + 1 AS step, sum(loss_sum) AS loss_sum, sum(correct) AS correct, sum(total) AS total
+      FROM steps WHERE {kept} GROUP BY step // 16 HAVING max(step) % 16 = 15)
+    SELECT {summary_columns('step')} FROM ({summary('sums')})"""
 
 
-@query(WINDOWS)
+@query(windows())
 def accumulate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.steps(views.table(spark, sf_dir, "events"))
     return summary_rows(metrics.accumulate_windows(rows, 16))
@@ -202,17 +203,16 @@ def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FANNED = f"""WITH {POINTS}
-SELECT 'lines' AS sink, count(*) AS rows, sum(step)::BIGINT AS steps FROM metrics
-UNION ALL SELECT 'points', count(*), sum(step)::BIGINT FROM points"""
+SELECT 'lines' AS sink, step, {LINE} AS line, NULL AS tag, NULL::DOUBLE AS value FROM metrics
+UNION ALL SELECT 'points', step, NULL, tag, value FROM points"""
 
 
-def sink_totals(lines: DataFrame, points: DataFrame) -> DataFrame:
-    def totals(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(
-            F.lit(name).alias("sink"), F.count(F.lit(1)).alias("rows"), F.sum("step").alias("steps")
-        )
-
-    return totals(lines, "lines").unionByName(totals(points, "points"))
+def sink_rows(lines: DataFrame, points: DataFrame) -> DataFrame:
+    """What both sinks have written."""
+    names = ("sink", "step", "line", "tag", "value")
+    lines = lines.withColumns({"sink": F.lit("lines"), "tag": F.lit(None).cast("string"), "value": F.lit(None).cast("double")})
+    points = points.withColumns({"sink": F.lit("points"), "line": F.lit(None).cast("string")})
+    return lines.select(*names).unionByName(points.select(*names))
 
 
 @query(FANNED)
@@ -226,7 +226,7 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda df: logs.metrics_long(df).write.mode("overwrite").parquet(points),
         ],
     )
-    return sink_totals(spark.read.parquet(lines), spark.read.parquet(points))
+    return sink_rows(spark.read.parquet(lines), spark.read.parquet(points))
 
 
 def results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +264,7 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT step, output, diversity FROM (
         SELECT *, row_number() OVER (PARTITION BY step ORDER BY prompt_id) AS r
         FROM scored WHERE input = (SELECT min(input) FROM scored)) WHERE r = 1)
-    SELECT s.step, coalesce(output, '{logs.NO_OUTPUT}') AS output, round(diversity, 6)::DOUBLE AS diversity
+    SELECT s.step, t.step IS NOT NULL AS found, output, round(diversity, 6)::DOUBLE AS diversity
     FROM (SELECT DISTINCT step FROM scored) s LEFT JOIN tracked t USING (step)"""
 )
 def prompt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +322,7 @@ def draw_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("ctx_id", "token_id")
 
 
-MODEL = f"""{VOCAB}, {sql.ended(1024)}, pairs AS (
+MODEL = f"""{VOCAB}, {sql.ended()}, pairs AS (
   SELECT doc_id, unnest(list_slice(ids, 1, len(ids) - 1)) AS prev,
          unnest(list_slice(ids, 2, len(ids))) AS next FROM ended), model AS (
   SELECT prev, next, count(*) AS n FROM pairs GROUP BY prev, next)"""
@@ -335,7 +335,7 @@ def train_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {VOCAB}, {sql.ended(1024)}, placed AS (
+    f"""WITH {VOCAB}, {sql.ended()}, placed AS (
       SELECT doc_id, ids, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS position,
              count(*) OVER () AS n FROM ended), pairs AS (
       SELECT doc_id, position <= floor(n * 0.9::DOUBLE) AS train,
@@ -353,7 +353,10 @@ def train_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of the train split scored on every document of the rest."""
     ids, _, eos = views.encoded_corpus(spark, sf_dir)
-    marked = assembly.train_val_split(cut_lineage(assembly.seeded_shuffle(ids, "doc_id"), "split"))
+    order = views.table(spark, sf_dir, "documents").select("doc_id")
+    placed = cut_lineage(assembly.seeded_shuffle(order, "doc_id"), "split")
+    split = assembly.train_val_split(placed).select("doc_id", "split")
+    marked = cut_lineage(ids.join(split, "doc_id"), "marked")
     model = cut_lineage(
         generation.train_ngram_model(marked.where("split = 'train'")), "model"
     )
@@ -369,14 +372,14 @@ def prompt_ids(spark: SparkSession, sf_dir: str, vocab: DataFrame, unknown: int)
     return cut_lineage(ids.join(rows.select("prompt_id", "input"), "prompt_id"), "prompts")
 
 
-def completion(seed: int, keep: str, name: str) -> str:
+def completion(seed: int, keep: str, name: str, asked: str = "prompt_ids", most: str = "16") -> str:
     """Recursive CTE: ``name(key, step, last, out)`` over the successors kept by ``keep``."""
     return f"""{name}_succ AS (
   SELECT prev, list(next ORDER BY n DESC, next) AS nexts, list(upto ORDER BY n DESC, next) AS uptos FROM (
     SELECT prev, next, n, sum(n) OVER w / sum(n) OVER (PARTITION BY prev) AS upto
     FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, next) AS r FROM model) {keep}
     WINDOW w AS (PARTITION BY prev ORDER BY n DESC, next)) GROUP BY prev), {name} AS (
-  SELECT prompt_id AS key, 0 AS step, ids[len(ids)] AS last, []::INT[] AS out FROM prompt_ids
+  SELECT prompt_id AS key, 0 AS step, ids[len(ids)] AS last, []::INT[] AS out FROM {asked}
   UNION ALL
   SELECT key, step + 1, CASE WHEN t <> (SELECT v FROM size) THEN t END, list_append(out, t) FROM (
     SELECT c.key, c.step, c.out, coalesce(
@@ -384,7 +387,7 @@ def completion(seed: int, keep: str, name: str) -> str:
         ('0x' || substr(md5('{seed}:' || c.key || ':' || c.step), 1, 8))::BIGINT / 4294967296::DOUBLE)),
       nexts[len(nexts)], (SELECT v FROM size)) AS t
     FROM {name} c LEFT JOIN {name}_succ s ON s.prev = c.last
-    WHERE c.last IS NOT NULL AND c.step < 16)), {name}_text AS (
+    WHERE c.last IS NOT NULL AND c.step < {most})), {name}_text AS (
   SELECT key AS prompt_id, coalesce((SELECT string_agg(word, ' ' ORDER BY i) FROM (
       SELECT unnest(out) AS id, generate_subscripts(out, 1) AS i) JOIN vocab USING (id)), '') AS output
   FROM (SELECT key, arg_max(out, step) AS out FROM {name} GROUP BY key))"""
@@ -413,27 +416,66 @@ def complete_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {PROMPT_IDS}, {completion(42, SAMPLED, 'done')},
-    {completion(7, SAMPLED, 'again')}, {sql.DICTIONARY}, validity AS (
-      {validity('done_text', 'prompt_id', 'output')}), scored AS (
-      SELECT avg({sql.diversity('output')}) AS avg_diversity,
-             avg(lexical_validity) AS avg_lexical_validity, count(*) AS prompts
+    f"""WITH RECURSIVE {PROMPT_IDS}, even AS (SELECT * FROM prompt_ids WHERE prompt_id % 2 = 0),
+    odd AS (SELECT * FROM prompt_ids WHERE prompt_id % 2 = 1),
+    {completion(42, GREEDY, 'first', 'even', '3 + key % 10')}, {completion(42, SAMPLED, 'second', 'odd', '3 + key % 10')}
+    SELECT * FROM first_text UNION ALL SELECT * FROM second_text"""
+)
+def complete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with settings of their own: even ones greedy, odd ones sampled, each with
+    its own number of tokens."""
+    ids, vocab, eos = views.encoded_corpus(spark, sf_dir)
+    asked = prompt_ids(spark, sf_dir, vocab, eos + 1).withColumns(
+        {
+            "nucleus": F.when(F.col("prompt_id") % 2 == 0, F.lit(0.0)),
+            "most": (3 + F.col("prompt_id") % 10).cast("int"),
+        }
+    )
+    out = generation.complete_prompts(
+        asked, generation.train_ngram_model(ids), eos, max_tokens="most", top_p="nucleus"
+    )
+    return tokens.decode(out, vocab, "prompt_id", "output_ids").withColumnRenamed("text", "output")
+
+
+SAMPLES = 5
+
+
+@query(
+    f"""WITH RECURSIVE {PROMPT_IDS}, first_prompt AS (
+      SELECT range AS prompt_id, (SELECT arg_min(ids, prompt_id) FROM prompt_ids) AS ids FROM range({SAMPLES})),
+    {completion(42, SAMPLED, 'done')}, {completion(7, SAMPLED, 'again', 'first_prompt')},
+    {sql.DICTIONARY}, validity AS ({validity('done_text', 'prompt_id', 'output')}), scored AS (
+      SELECT prompt_id, output, {sql.diversity('output')} AS diversity, lexical_validity
       FROM done_text JOIN validity USING (prompt_id)), sampled AS (SELECT 1 AS step, * FROM again_text),
     {sql.self_bleu('sampled', 'step', 'prompt_id', 'output')}
-    SELECT 3000 AS step, prompts::INT AS prompts, round(avg_diversity, 6)::DOUBLE AS avg_diversity,
-      round(avg_lexical_validity, 6)::DOUBLE AS avg_lexical_validity,
-      round(self_bleu, 6)::DOUBLE AS self_bleu FROM scored, bleu"""
+    SELECT 3000 AS step, prompt_id, output, round(diversity, 6)::DOUBLE AS diversity,
+      round(lexical_validity, 6)::DOUBLE AS lexical_validity, NULL::DOUBLE AS self_bleu FROM scored
+    UNION ALL
+    SELECT 3000, NULL, NULL, round(avg(diversity), 6)::DOUBLE, round(avg(lexical_validity), 6)::DOUBLE,
+      round(any_value(self_bleu), 6)::DOUBLE FROM scored, bleu"""
 )
 def evaluate_prompt_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every prompt completed by sampling and scored; a second draw for self-BLEU."""
+    """Every prompt completed and scored, one prompt sampled for self-BLEU: a row per
+    prompt, and one without a prompt for the step."""
     ids, vocab, eos = views.encoded_corpus(spark, sf_dir)
     model = generation.train_ngram_model(ids)
     asked = prompt_ids(spark, sf_dir, vocab, eos + 1)
+    one = asked.orderBy("prompt_id").limit(1).select("input_ids")
+    samples = one.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long"))).alias("prompt_id"),
+        "input_ids",
+    )
     scored, summary = generation.evaluate_prompt_suite(
-        3000, asked, asked, model, vocab, views.dictionary(spark, sf_dir), eos,
+        3000, asked, samples, model, vocab, views.dictionary(spark, sf_dir), eos,
         max_tokens=16, sample_seed=7,
     )
-    sizes = scored.groupBy("step").agg(F.count(F.lit(1)).cast("int").alias("prompts"))
-    return rounded(
-        sizes.join(summary, "step"), "avg_diversity", "avg_lexical_validity", "self_bleu"
-    )
+    rows = scored.select(
+        "step", "prompt_id", "output", "diversity", "lexical_validity",
+        F.lit(None).cast("double").alias("self_bleu"),
+    )
+    steps = summary.select(
+        "step", F.lit(None).cast("long").alias("prompt_id"), F.lit(None).cast("string").alias("output"),
+        F.col("avg_diversity").alias("diversity"), F.col("avg_lexical_validity").alias("lexical_validity"),
+        "self_bleu",
+    )
+    return rounded(rows.unionByName(steps), "diversity", "lexical_validity", "self_bleu")

@@ -46,7 +46,7 @@ MERGED = f"""{FEED_ROWS}, merged AS (
 @query(
     f"""WITH {FEED_ROWS} SELECT source,
       row_number() OVER (PARTITION BY source ORDER BY ordinal) - 1 AS ordinal, key, title,
-      len(ingredients)::INT AS n_ingredients, instructions FROM feed"""
+      array_to_string(ingredients, chr(10)) AS ingredients, instructions FROM feed"""
 )
 def read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds written as JSON lines, one member per line, and read back in order."""
@@ -59,7 +59,7 @@ def read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read[0].unionByName(read[1]).unionByName(read[2])
     return rows.select(
         "source", "ordinal", "key", "recipe.title",
-        F.size("recipe.ingredients").alias("n_ingredients"), "recipe.instructions",
+        F.array_join("recipe.ingredients", NL).alias("ingredients"), "recipe.instructions",
     )
 
 
@@ -70,22 +70,27 @@ def tagged(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     ]
 
 
-@query(f"WITH {FEED_ROWS} SELECT source, ordinal, key, title, instructions FROM feed")
+@query(
+    f"""WITH {FEED_ROWS} SELECT source, ordinal, key, title,
+      array_to_string(ingredients, chr(10)) AS ingredients, instructions FROM feed"""
+)
 def tag_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tagged(spark, sf_dir)
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select(
-        "source", "ordinal", "key", "recipe.title", "recipe.instructions"
-    )
+        "source", "ordinal", "key", "recipe.title",
+        F.array_join("recipe.ingredients", NL).alias("ingredients"), "recipe.instructions",
+    )
 
 
 @query(
-    f"""WITH {MERGED} SELECT key, source, title, instructions,
+    f"""WITH {MERGED} SELECT key, source, title, array_to_string(ingredients, chr(10)) AS ingredients, instructions,
       (place // 1000000000000)::INT AS feed_rank, place % 1000000000000 AS ordinal FROM merged"""
 )
 def merge_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.merge_feeds(*tagged(spark, sf_dir)).select(
-        "key", "source", "recipe.title", "recipe.instructions", "feed_rank", "ordinal"
-    )
+        "key", "source", "recipe.title", F.array_join("recipe.ingredients", NL).alias("ingredients"),
+        "recipe.instructions", "feed_rank", "ordinal",
+    )
 
 
 @query(

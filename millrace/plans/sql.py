@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from millrace.functions.text import (
-    ADVERTISEMENT,
-    ALLOWED_CHARACTERS,
-    DROPPED_PHRASES,
-    HTML_ELEMENT,
-    WHITESPACE,
-    WHITESPACE_CLASS,
+# Fixed values, spelled out here so that a wrong character in the code shows.
+BASE_PROMPT = "Write a recipe for the following dish: "
+ADVERTISEMENT = "ADVERTISEMENT"
+DROPPED_PHRASES = ("Watch how to make this recipe.",)
+HTML_ELEMENT = r"<[^>]+>[^\n]*?</[^>]+>"
+ALLOWED_CHARACTERS = (
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    " .,/:;'\"[]{}+=-_\u2013()*&^%$#@!~\\|\u00b0<>?"
 )
-from millrace.operators.recipes import BASE_PROMPT
+WHITESPACE = (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197,
+    8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288,
+)
+WHITESPACE_CLASS = "[" + "".join(f"\\x{{{code:x}}}" for code in WHITESPACE) + "]"
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-BLANKS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WHITESPACE) + ")"
+BLANKS = "concat(" + ", ".join(f"chr({code})" for code in WHITESPACE) + ")"
 
 
 def strip(c: str) -> str:
@@ -90,7 +95,7 @@ FINETUNE_TEXT = f"('{BASE_PROMPT} ' || title || chr(10) || chr(10) || {rendered(
 EXAMPLES = f"""{RECIPES}, examples AS (
   SELECT ex_id, text, words, len(words) AS length FROM (
     SELECT id AS ex_id, {FINETUNE_TEXT} AS text, {words(FINETUNE_TEXT)} AS words FROM recipes)
-  WHERE len(words) <= 511)"""
+  )"""
 
 SHUFFLED = f"""{EXAMPLES}, shuffled AS (
   SELECT ex_id, length, md5('42:' || ex_id) AS h,
@@ -112,7 +117,7 @@ BATCHED = f"""{GROUPED}, batched AS (
         FROM grouped))"""
 
 
-def vocabulary(docs: str = "documents", key: str = "doc_id", min_count: int = 2) -> str:
+def vocabulary(docs: str = "documents", key: str = "doc_id", min_count: int = 1) -> str:
     """CTEs: places(key, pos, word), vocab(word, n, id) and encoded(key, ids)."""
     return f"""places AS (
   SELECT {key}, unnest({words('text')}) AS word, generate_subscripts({words('text')}, 1) AS pos
@@ -125,11 +130,11 @@ def vocabulary(docs: str = "documents", key: str = "doc_id", min_count: int = 2)
     FROM places LEFT JOIN vocab USING (word) GROUP BY {key}) e ON e.{key} = d.{key})"""
 
 
-def ended(max_length: int, key: str = "doc_id") -> str:
-    """CTE after ``vocabulary``: ended(key, ids) with the end token, cut to length."""
-    return f"""ended AS (
-  SELECT {key}, list_slice(list_append(ids, (SELECT v FROM size)), 1, {max_length}) AS ids
-  FROM encoded)"""
+def ended(key: str = "doc_id", max_length: int | None = None) -> str:
+    """CTE after ``vocabulary``: ended(key, ids) with the end token, perhaps cut to length."""
+    ids = "list_append(ids, (SELECT v FROM size))"
+    ids = ids if max_length is None else f"list_slice({ids}, 1, {max_length})"
+    return f"ended AS (SELECT {key}, {ids} AS ids FROM encoded)"
 
 
 DICTIONARY = f"""dictionary AS (

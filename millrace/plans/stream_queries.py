@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from millrace.operators import logs
 from millrace.plans import views
 from millrace.plans.corpus_queries import PACKED, spaced
-from millrace.plans.metric_queries import FANNED, WINDOWS, sink_totals, summary_rows
+from millrace.plans.metric_queries import FANNED, metric_rows, sink_rows, summary_rows, windows
 from millrace.plans.recipe_queries import CLEANED, COMPLETE, FLAT, flat
 from millrace.plans.registry import query
-from millrace.sources.scratch import hadoop_path, new_folder
+from millrace.sources.scratch import cut_lineage, hadoop_path, new_folder
 from millrace.sources.tables import spread
 from millrace.streaming import streams
 
 
+#: Files that a given table is cut into, one for each micro-batch.
+TRIGGERS = 4
+
+
+def arriving(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` as a stream of files in the order of ``by``, one file per trigger."""
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession, "arriving")
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    if low is not None:
+        part = F.floor((F.col(by) - low) * TRIGGERS / (high - low + 1))
+        for i in range(TRIGGERS):
+            rows.where(part == i).coalesce(1).write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(folder)
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of files."""
+    """A given table as a stream of its own files."""
     path = f"{sf_dir}/{name}.parquet"
     reader = spark.readStream.schema(views.table(spark, sf_dir, name).schema)
     fs, target = hadoop_path(spark, path)
@@ -28,8 +44,8 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query(f"WITH {CLEANED} SELECT {FLAT} FROM cleaned WHERE {COMPLETE}")
 def clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arriving = spread(stream(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
-    cleaned = streams.clean_stream(views.recipe_columns(arriving))
+    documents = spread(stream(spark, sf_dir, "documents"), f"{sf_dir}/documents.parquet")
+    cleaned = streams.clean_stream(views.recipe_columns(documents))
     path = new_folder(spark, "cleaned")
     streams.write_stream(cleaned, path, new_folder(spark, "offsets")).awaitTermination()
     return flat(spark.read.schema(cleaned.schema).parquet(path))
@@ -38,21 +54,25 @@ def clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PACKED)
 def pack_chunks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, _, _ = views.encoded_corpus(spark, sf_dir)
-    encoded, path = new_folder(spark, "encoded"), new_folder(spark, "packed")
-    ids.write.mode("overwrite").parquet(encoded)
-    arriving = spark.readStream.schema(ids.schema).parquet(encoded)
-    streams.pack_chunks_stream(arriving, path, new_folder(spark, "offsets")).awaitTermination()
+    path = new_folder(spark, "packed")
+    encoded = arriving(cut_lineage(ids, "encoded"), "doc_id")
+    streams.pack_chunks_stream(encoded, path, new_folder(spark, "offsets")).awaitTermination()
     packed = streams.read_packed(spark, path)
     return packed.select("chunk_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
-@query(WINDOWS)
+#: Steps that a resumed run with a gap still has: it starts inside a window.
+RESUMED = "step >= 1005 AND step <> 1030"
+
+
+@query(windows(RESUMED))
 def accumulate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.steps(stream(spark, sf_dir, "events")).withColumn("run", F.lit("run"))
+    """Windows of a run that resumes inside one and lacks a step, over several batches."""
+    rows = views.steps(views.table(spark, sf_dir, "events")).where(RESUMED)
+    steps = arriving(rows.withColumn("run", F.lit("run")), "step")
     path = new_folder(spark, "windows")
-    windows = streams.accumulate_stream(rows, 16)
-    streams.write_stream(windows, path, new_folder(spark, "offsets")).awaitTermination()
-    return summary_rows(spark.read.schema(windows.schema).parquet(path)).drop("run")
+    streams.accumulate_stream(steps, 16, path, new_folder(spark, "offsets")).awaitTermination()
+    return summary_rows(streams.read_windows(spark, path)).drop("run")
 
 
 @query(FANNED)
@@ -62,6 +82,6 @@ def metrics_stream_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams.batch_folder_sink(lines, lambda df: logs.metric_lines(df, "pretrain")),
         streams.batch_folder_sink(points, logs.metrics_long),
     ]
-    rows = views.metric_rows(stream(spark, sf_dir, "events"))
+    rows = arriving(metric_rows(spark, sf_dir), "step")
     streams.metrics_stream_fan_out(rows, sinks, new_folder(spark, "offsets")).awaitTermination()
-    return sink_totals(spark.read.parquet(f"{lines}/*"), spark.read.parquet(f"{points}/*"))
+    return sink_rows(spark.read.parquet(f"{lines}/*"), spark.read.parquet(f"{points}/*"))

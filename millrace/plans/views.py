@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.tokens import append_eos_truncate, ones_like
+from millrace.functions.tokens import append_eos, ones_like
 from millrace.operators.recipes import finetune_text, load_recipes
 from millrace.operators.tokens import (
     build_vocab,
     encode,
-    filter_by_token_length,
     special_ids,
     with_words,
 )
 from millrace.sources.scratch import cut_lineage
 from millrace.sources.tables import spread
 
-MIN_COUNT = 2
-MAX_DOC_TOKENS = 1024
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,10 +58,9 @@ def feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fine-tune examples ``(ex_id, text, words, length)`` that fit the context."""
+    """Fine-tune examples ``(ex_id, text, words, length)``, of any length."""
     rendered = with_words(finetune_text(load_recipes(recipes(spark, sf_dir))))
-    fitting = filter_by_token_length(rendered)
-    return fitting.select(
+    return rendered.select(
         F.col("id").alias("ex_id"), "text", "words", F.size("words").alias("length")
     )
 
@@ -75,15 +70,14 @@ def example_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(examples(spark, sf_dir).select("ex_id", "length"), "lengths")
 
 
-def encoded_corpus(
-    spark: SparkSession, sf_dir: str, max_length: int = MAX_DOC_TOKENS
-) -> tuple[DataFrame, DataFrame, int]:
-    """``(doc_id, input_ids)`` with the end token, the vocabulary and the end id."""
+def encoded_corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """``(doc_id, input_ids)``, all words of whole texts and the end token, the vocabulary
+    and the end id."""
     docs = with_words(corpus(spark, sf_dir))
-    vocab = build_vocab(docs, MIN_COUNT)
+    vocab = build_vocab(docs)
     eos, unknown = special_ids(vocab)
     ids = encode(docs, vocab, unknown)
-    ids = ids.withColumn("input_ids", append_eos_truncate(F.col("input_ids"), eos, max_length))
+    ids = ids.withColumn("input_ids", append_eos(F.col("input_ids"), eos))
     return ids, vocab, eos
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,7 +110,7 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return prompts.select("step", "prompt_id", "prompt.*"), results.select("step", "result.metrics.*")
 
 
-VERSION = re.compile(r"version=(\d+)$")
+VERSION = re.compile(r"_version=(\d+)$")
 
 
 def table_versions(spark: SparkSession, path: str) -> list[int]:
@@ -116,41 +118,72 @@ def table_versions(spark: SparkSession, path: str) -> list[int]:
     fs, target = hadoop_path(spark, path)
     if not fs.exists(target):
         return []
-    found = []
-    for status in fs.listStatus(target):
-        match = VERSION.search(status.getPath().getName())
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if match and fs.exists(done):
-            found.append(int(match.group(1)))
-    return sorted(found)
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return sorted(int(match.group(1)) for match in map(VERSION.search, names) if match)
+
+
+def version_folder(spark: SparkSession, path: str, version: int) -> str | None:
+    """The folder that a version's pointer names; none while its writer still writes it."""
+    fs, pointer = hadoop_path(spark, f"{path}/_version={version}")
+    stream = fs.open(pointer)
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{path}/{name}" if name else None
 
 
 def replace_table(df: DataFrame, path: str) -> int:
     """Replace the whole table by ``df``, which may itself be read from it.
 
-    Each replacement is a new version folder; it becomes current when the job
-    commits, so readers never meet a half-written table.
+    Each replacement is written to a folder of its own; once the job has committed, the
+    next version number is claimed by creating its pointer file, which fails if another
+    writer has been faster and is then tried with the number after.  So readers never
+    meet a half-written table and writers never overwrite each other.
     """
-    versions = table_versions(df.sparkSession, path)
-    version = versions[-1] + 1 if versions else 1
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    return version
+    spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    while True:
+        versions = table_versions(spark, path)
+        version = versions[-1] + 1 if versions else 1
+        if claim(spark, f"{path}/_version={version}", folder):
+            return version
+
+
+def claim(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file, unless it exists already."""
+    fs, target = hadoop_path(spark, path)
+    try:
+        stream = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass()) or fs.exists(target):
+            return False
+        raise
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+    return True
 
 
 def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
     """Remove all but the last ``keep`` versions, once no job reads them."""
     fs, _ = hadoop_path(spark, path)
     for version in table_versions(spark, path)[:-keep]:
-        fs.delete(hadoop_path(spark, f"{path}/version={version}")[1], True)
+        folder = version_folder(spark, path, version)
+        if folder:
+            fs.delete(hadoop_path(spark, folder)[1], True)
+        fs.delete(hadoop_path(spark, f"{path}/_version={version}")[1], False)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The current version of a versioned table."""
-    versions = table_versions(spark, path)
-    if not versions:
-        raise FileNotFoundError(f"no committed version under {path}")
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(f"{path}/version={versions[-1]}")
+    for version in reversed(table_versions(spark, path)):
+        folder = version_folder(spark, path, version)
+        if folder:
+            return reader.parquet(folder)
+    raise FileNotFoundError(f"no committed version under {path}")
 
 
 def append_metrics(df: DataFrame, path: str) -> None:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.assembly import pack_chunks
 from millrace.operators.metrics import loss_summary
@@ -96,48 +94,49 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNK_SCHEMA).parquet(f"{path}/chunks/*")
 
 
-SUMS = "run string, step bigint, loss_sum double, correct bigint, total bigint"
-OPEN_WINDOW = "loss_sum double, correct bigint, total bigint, seen bigint"
+WINDOW_SCHEMA = "run string, window bigint, loss_sum double, correct bigint, total bigint, last bigint"
 
 
-def accumulate_stream(steps: DataFrame, n: int) -> DataFrame:
-    """Summaries of finished windows of ``n`` steps of each run.
+def accumulate_stream(steps: DataFrame, n: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Sums of windows of ``n`` steps of each run, reported once the window's last step
+    has come, whatever came before it (see ``read_windows``).
 
-    ``steps(run, step, loss_sum, correct, total)``.  State is kept per run and
-    window, so a busy run spreads over all tasks; an open window stays in the
-    checkpoint across restarts and is dropped once it has been reported.
+    ``steps(run, step, loss_sum, correct, total)``.  A native aggregation in update mode
+    keeps one row of sums per run and window in the checkpoint, so a run that starts or
+    resumes inside a window, or lacks a step, is reported like the batch form does.  Each
+    micro-batch writes the windows it changed and that are finished; a repeated batch
+    replaces its own output, and a late row reports its window anew.
     """
+    window = F.floor(F.col("step") / n).alias("window")
+    sums = steps.groupBy("run", window).agg(
+        F.sum("loss_sum").alias("loss_sum"),
+        F.sum("correct").alias("correct"),
+        F.sum("total").alias("total"),
+        F.max("step").alias("last"),
+    )
+
+    def report(batch: DataFrame, batch_id: int) -> None:
+        done = batch.where(F.pmod("last", F.lit(n)) == n - 1)
+        done.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        sums.writeStream.outputMode("update")
+        .foreachBatch(report)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
 
-    def add(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        run, window = key
-        loss, correct, total, seen = state.get if state.exists else (0.0, 0, 0, 0)
-        for rows in batches:
-            loss += float(rows["loss_sum"].sum())
-            correct += int(rows["correct"].sum())
-            total += int(rows["total"].sum())
-            seen += len(rows)
-        if seen < n:
-            state.update((loss, correct, total, seen))
-            return
-        if state.exists:
-            state.remove()
-        yield pd.DataFrame(
-            {
-                "run": [run],
-                "step": [(int(window) + 1) * n],
-                "loss_sum": [loss],
-                "correct": [correct],
-                "total": [total],
-            }
-        )
-
-    windows = steps.withColumn("_window", F.floor(F.col("step") / n))
-    sums = windows.groupBy("run", "_window").applyInPandasWithState(
-        add, SUMS, OPEN_WINDOW, "append", GroupStateTimeout.NoTimeout
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Summaries of all finished windows, each as last reported."""
+    reports = spark.read.schema(f"{WINDOW_SCHEMA}, batch bigint").parquet(path)
+    values = F.struct("loss_sum", "correct", "total", "last")
+    latest = reports.groupBy("run", "window").agg(F.max_by(values, "batch").alias("sums"))
+    rows = latest.select(
+        "run", (F.col("sums.last") + 1).alias("step"), "sums.loss_sum", "sums.correct", "sums.total"
     )
-    return loss_summary(sums)
+    return loss_summary(rows)
 
 
 def metrics_stream_fan_out(

@@ -20,17 +20,23 @@ def lengths_table(spark, n=419):
     return rows, spark.createDataFrame(rows, "ex_id long, length int").repartition(6)
 
 
-def sequential_batches(rows, align=False):
-    shuffled = sorted(rows, key=lambda r: (md5(f"42:{r[0]}"), r[0]))
-    cut = int(len(shuffled) * 0.9)
-    train, val = shuffled[:cut], shuffled[cut:]
-    train = sorted(train, key=lambda r: r[1])
-    groups = [train[i : i + 6] for i in range(0, len(train), 6)]
-    order = sorted(range(len(groups)), key=lambda g: (md5(f"42:{g}"), g))
-    if align and len(train) % 6:
-        order = [g for g in order if g != len(groups) - 1] + [len(groups) - 1]
-    flat = [r[0] for g in order for r in groups[g]]
-    return {e: (i // 6, i % 6) for i, e in enumerate(flat)}, [r[0] for r in val]
+def expected_batches(rows, align=False):
+    """Batch and place of the train rows, and the rest in order, from ranks alone.
+
+    The place in the shuffle is the number of rows with a smaller hash; the length rank
+    that among train rows with a smaller (length, place); a group's place the number of
+    rows in groups with a smaller hash.
+    """
+    place = {e: rank for rank, (_, e) in enumerate(sorted((md5(f"42:{e}"), e) for e, _ in rows))}
+    cut = int(len(rows) * 0.9)
+    by_length = sorted((length, place[e], e) for e, length in rows if place[e] < cut)
+    group = {e: rank // 6 for rank, (_, _, e) in enumerate(by_length)}
+    inner = {e: rank % 6 for rank, (_, _, e) in enumerate(by_length)}
+    short = cut // 6 if align and cut % 6 else None
+    key = {g: (g == short, md5(f"42:{g}"), g) for g in group.values()}
+    flat = sorted(group, key=lambda e: (key[group[e]], inner[e]))
+    rest = sorted((p, e) for e, p in place.items() if p >= cut)
+    return {e: divmod(i, 6) for i, e in enumerate(flat)}, [e for _, e in rest]
 
 
 @pytest.mark.parametrize("align", [False, True])
@@ -39,7 +45,7 @@ def test_batches_equal_the_sequential_form(spark, align):
     split = assembly.train_val_split(assembly.seeded_shuffle(df, "ex_id"))
     groups = assembly.length_groups(split.where("split = 'train'"), "ex_id")
     got = assembly.shuffle_batches(groups, align=align).collect()
-    expected, val = sequential_batches(rows, align)
+    expected, val = expected_batches(rows, align)
     assert {r.ex_id: (r.batch_id, r.pos_in_batch) for r in got} == expected
     rest = split.where("split = 'val'").orderBy("position").collect()
     assert [r.ex_id for r in rest] == val
@@ -52,15 +58,13 @@ def test_buffer_shuffle_moves_rows_less_than_the_buffer(spark):
     assert [r.id for r in sorted(got, key=lambda r: r.position)] != list(range(2000))
 
 
-def pack(streams, size, overlap):
-    """All chunks and the buffer left, by walking the token stream."""
-    buffer, chunks = [], []
-    for tokens in streams:
-        buffer = buffer + tokens
-        while len(buffer) >= size:
-            chunks.append(buffer[:size])
-            buffer = buffer[size - overlap :]
-    return chunks, buffer
+def chunks_of(docs, size, overlap):
+    """Chunk k is ``stream[k * stride : k * stride + size]``; the tail starts where the
+    next chunk would."""
+    stream = [t for tokens in docs for t in tokens]
+    stride = size - overlap
+    full = max(0, (len(stream) - size) // stride + 1)
+    return [stream[k * stride : k * stride + size] for k in range(full)], stream[full * stride :]
 
 
 @pytest.mark.parametrize("size, overlap", [(512, 50), (16, 5), (7, 0), (4, 3)])
@@ -69,7 +73,7 @@ def test_packing_equals_a_walk_over_the_stream(spark, size, overlap):
     docs = [[rng.randint(0, 999) for _ in range(rng.choice([0, 1, 3, 40, 700]))] for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, input_ids array<int>")
     got = assembly.pack_chunks(df.repartition(5), size=size, overlap=overlap)
-    chunks, buffer = pack(docs, size, overlap)
+    chunks, buffer = chunks_of(docs, size, overlap)
     rows = got.orderBy("chunk_id").collect()
     assert [r.input_ids for r in rows] == chunks
     assert [r.chunk_id for r in rows] == list(range(len(chunks)))
@@ -90,7 +94,7 @@ def test_packing_per_shard(spark):
     rows = [(s, d, [d] * 10) for s in ("x", "y") for d in range(9)]
     df = spark.createDataFrame(rows, "shard string, doc_id long, input_ids array<int>")
     got = assembly.pack_chunks(df, size=16, overlap=4, by=["shard"]).collect()
-    expected, _ = pack([[d] * 10 for d in range(9)], 16, 4)
+    expected, _ = chunks_of([[d] * 10 for d in range(9)], 16, 4)
     for shard in ("x", "y"):
         mine = sorted((r.chunk_id, r.input_ids) for r in got if r.shard == shard)
         assert [ids for _, ids in mine] == expected
@@ -181,9 +185,7 @@ def test_vocabulary_order_over_many_buckets(spark):
     rng = random.Random(12)
     words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(3000)]
     df = spark.createDataFrame([(words[i::10],) for i in range(10)], "words array<string>")
-    one = build_vocab(df, min_count=2)
-    many = build_vocab(df, min_count=2, bucket_rows=0)
-    assert sorted(one.collect()) == sorted(many.collect())
+    many = build_vocab(df, min_count=2)
     ranked = [r.word for r in many.orderBy("id").collect()]
     counted = {w: words.count(w) for w in set(words)}
     kept = [w for w in counted if counted[w] > 1]

@@ -192,24 +192,27 @@ def test_ranges_hold_the_filtered_probabilities(spark, settings):
         assert all(a[1] == b[0] for a, b in zip(ordered, ordered[1:]))
 
 
+PROMPTS = ["the first", "the second", "a third"]
+
+
 def test_prompt_suite(spark):
     words = ["the", "cat", "sat", "on", "mat"]
     vocab = spark.createDataFrame([(w, 1, i) for i, w in enumerate(words)], "word string, n long, id int")
     ids = [0, 1, 2, 3, 0, 4, 5]
     model = G.train_ngram_model(table(spark, [ids]))
     prompts = spark.createDataFrame(
-        [(i, p, [0]) for i, p in enumerate(G.PROMPT_SUITE)],
+        [(i, p, [0]) for i, p in enumerate(PROMPTS)],
         "prompt_id long, input string, input_ids array<int>",
     )
     samples = spark.createDataFrame(
-        [(i, [0]) for i in range(G.SELF_BLEU_SAMPLES)], "prompt_id long, input_ids array<int>"
+        [(i, [0]) for i in range(5)], "prompt_id long, input_ids array<int>"
     )
     known = spark.createDataFrame([("cat",), ("sat",), ("on",), ("the",)], "word string")
     scored, summary = G.evaluate_prompt_suite(
         7, prompts, samples, model, vocab, known, 5, 6, top_p=0.0
     )
     listed = scored.orderBy("prompt_id").collect()
-    assert [p.input for p in listed] == list(G.PROMPT_SUITE)
+    assert [p.input for p in listed] == PROMPTS
     assert {p.output for p in listed} == {"cat sat on the cat sat"}
     row = summary.first()
     assert row.step == 7 and row.avg_lexical_validity == 1.0

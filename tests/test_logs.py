@@ -74,8 +74,9 @@ def test_results_by_step(spark):
     prompts, metrics = (logs.upsert_results(a, b) for a, b in zip(old, new))
     series = [(r.step, r.self_bleu) for r in logs.metric_series(metrics).collect()]
     assert series == [(3, 0.4), (20, 0.2), (100, 0.9)]
-    history = {r.step: (r.output, r.diversity) for r in logs.prompt_history(prompts, metrics, "p").collect()}
-    assert history == {3: (logs.NO_OUTPUT, None), 20: (logs.NO_OUTPUT, None), 100: ("new", 0.7)}
+    rows = logs.prompt_history(prompts, metrics, "p").collect()
+    history = {r.step: (r.found, r.output, r.diversity) for r in rows}
+    assert history == {3: (False, None, None), 20: (False, None, None), 100: (True, "new", 0.7)}
     assert logs.prompt_history(*old, "p").where("step = 100").first().output == "o1"
 
 

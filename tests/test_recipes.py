@@ -1,5 +1,7 @@
 import json
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,10 +137,20 @@ def test_replace_table_from_itself(spark, tmp_path):
 def test_unfinished_version_is_invisible(spark, tmp_path):
     path = tmp_path / "table"
     tables.replace_table(recipe_table(spark, [1]), str(path))
-    (path / "version=2").mkdir()
+    (path / "data-unfinished").mkdir()
+    (path / "_version=2").touch()  # claimed, not yet written
     assert tables.read_table(spark, str(path)).count() == 1
 
 
+def test_writers_of_one_table_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda i: tables.replace_table(recipe_table(spark, [i]), path), range(1, 5)))
+    assert sorted(done) == tables.table_versions(spark, path) == [1, 2, 3, 4]
+    kept = [spark.read.parquet(tables.version_folder(spark, path, v)).first().id for v in done]
+    assert kept == [1, 2, 3, 4]
+
+
 def test_json_round_trip(spark, tmp_path):
     table = recipe_table(spark, range(1, 4))
     tables.write_recipes(table, str(tmp_path / "out"))

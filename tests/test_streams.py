@@ -1,11 +1,12 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import logs, metrics, recipes
 from millrace.sources.tables import RECIPE_SCHEMA
 from millrace.streaming import streams
-from test_assembly import pack
+from test_assembly import chunks_of
 
 DOCS = "doc_id long, input_ids array<int>"
 
@@ -34,10 +35,10 @@ def test_packing_over_batches_and_restarts(spark, tmp_path):
             streams.pack_chunks_stream(stream, out, checkpoint, 16, 5).awaitTermination()
 
     run(0, 15)
-    expected, _ = pack(docs[:15], 16, 5)
+    expected, _ = chunks_of(docs[:15], 16, 5)
     assert read(spark, out) == expected
     run(15, 30)
-    expected, _ = pack(docs, 16, 5)
+    expected, _ = chunks_of(docs, 16, 5)
     assert read(spark, out) == expected
 
 
@@ -65,23 +66,23 @@ def test_windows_stay_open_across_batches(spark, tmp_path):
     for i, size in enumerate((14, 40, 28)):
         taken, rows = rows[:size], rows[size:]
         put(spark, taken, STEPS, source, f"part-{i}.json")
-        sums = streams.accumulate_stream(arriving(spark, source, STEPS), 16)
-        streams.write_stream(sums, out, checkpoint).awaitTermination()
-    got = sorted(tuple(r) for r in spark.read.parquet(out).select("run", "step", "loss_sum", "total").collect())
+        streams.accumulate_stream(arriving(spark, source, STEPS), 16, out, checkpoint).awaitTermination()
+    got = sorted(tuple(r) for r in streams.read_windows(spark, out).select("run", "step", "loss_sum", "total").collect())
     assert got == [
         (run, end, float(sum(range(end - 16, end))), 32) for run in ("a", "b") for end in (16, 32)
     ]
 
 
-def test_a_stream_window_equals_the_batch_window(spark, tmp_path):
-    rows = [("a", s, s / 8, s % 2, 1) for s in range(50)]
+@pytest.mark.parametrize("steps", [range(50), range(5000, 5024), [s for s in range(32) if s != 3], [3, 4, 6, 2]])
+def test_stream_windows_equal_the_batch_windows(spark, tmp_path, steps):
+    """Also for runs that resume inside a window, lack a step or come out of order."""
+    rows = [("a", s, s / 8, s % 2, 1) for s in steps]
     source, out = tmp_path / "in", str(tmp_path / "out")
-    put(spark, rows, STEPS, source, "part-0.json")
-    sums = streams.accumulate_stream(arriving(spark, source, STEPS), 7)
-    streams.write_stream(sums, out, str(tmp_path / "cp")).awaitTermination()
+    for i in range(0, len(rows), 7):
+        put(spark, rows[i : i + 7], STEPS, source, f"part-{i:03d}.json")
+    streams.accumulate_stream(arriving(spark, source, STEPS), 7, out, str(tmp_path / "cp")).awaitTermination()
     batch = metrics.accumulate_windows(spark.createDataFrame(rows, STEPS).drop("run"), 7)
-    columns = batch.columns
-    assert sorted(spark.read.parquet(out).select(columns).collect()) == sorted(batch.collect())
+    assert sorted(streams.read_windows(spark, out).select(batch.columns).collect()) == sorted(batch.collect())
 
 
 def test_cleaning_stream_equals_batch(spark, tmp_path):
