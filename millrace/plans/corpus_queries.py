@@ -170,6 +170,39 @@ def bucket_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VAL_BATCHES = f"""{sql.SHUFFLED}, val AS (
+  SELECT ex_id, row_number() OVER (ORDER BY position) - 1 AS p FROM split WHERE split = 'val')"""
+
+
+def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation examples, in shuffled order, in consecutive batches."""
+    rows = cut_lineage(shuffled(spark, sf_dir), "shuffled")
+    marked = assembly.train_val_split(rows).where("split = 'val'")
+    first = int(rows.count() * 0.9)
+    val = marked.withColumn("position", F.col("position") - first)
+    return assembly.cut_batches(val).select("ex_id", "batch_id", "pos_in_batch")
+
+
+@query(
+    f"""WITH {VAL_BATCHES}, {LABELLED}, sized AS (
+      SELECT *, p // 6 AS batch_id, max(len(ids)) OVER (PARTITION BY p // 6) AS longest
+      FROM labelled JOIN val USING (ex_id)), targets AS (
+      SELECT *, CASE WHEN longest <= 128 THEN 128 WHEN longest <= 256 THEN 256
+        WHEN longest <= 384 THEN 384 WHEN longest <= 512 THEN 512 ELSE longest END AS target FROM sized)
+    SELECT ex_id, batch_id, (p % 6)::INT AS pos_in_batch, target::INT AS width,
+      {sql.joined('list_concat(ids, list_transform(range(target - len(ids)), lambda x: 50256))')} AS ids
+    FROM targets"""
+)
+def validation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation examples padded like the train ones."""
+    rows = labelled(spark, sf_dir).join(validation_rows(spark, sf_dir), "ex_id")
+    padded = assembly.bucket_pad(cut_lineage(rows, "validation"))
+    return padded.select(
+        "ex_id", "batch_id", "pos_in_batch", F.size("input_ids").alias("width"),
+        spaced("input_ids").alias("ids"),
+    )
+
+
 def corpus_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in order, in batches padded to their longest row."""
     ids, _, _ = views.encoded_corpus(spark, sf_dir)
@@ -215,6 +248,29 @@ def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("chunk_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
+@query(
+    f"""WITH {ENDED}, numbered AS (
+      SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p,
+        ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT % 500 AS j FROM documents), stream AS (
+      SELECT tok, row_number() OVER (ORDER BY p + j, p, pos) - 1 AS q, count(*) OVER () AS total
+      FROM numbered JOIN (SELECT doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM ended)
+      USING (doc_id)), placed AS (
+      SELECT tok, q, q // 462 AS chunk_id, total FROM stream
+      UNION ALL SELECT tok, q, q // 462 - 1, total FROM stream WHERE q >= 462 AND q % 462 < 50)
+    SELECT chunk_id, count(*)::INT AS n, string_agg(tok, ' ' ORDER BY q) AS ids FROM placed
+    WHERE chunk_id * 462 + 512 <= total GROUP BY chunk_id"""
+)
+def pack_shuffled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pretraining data from end to end: buffered shuffle, then packing."""
+    ids, _, _ = views.encoded_corpus(spark, sf_dir)
+    order = assembly.buffer_shuffle(views.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    rows = cut_lineage(ids.join(cut_lineage(order, "order"), "doc_id"), "shuffled")
+    packed = assembly.pack_chunks(
+        rows, levels=assembly.id_levels("position"), order=[F.col("position")]
+    )
+    return packed.select("chunk_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
+
+
 @query(f"WITH {sql.SHUFFLED} SELECT ex_id, position FROM shuffled WHERE position > 100")
 def resume_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.resume_from(shuffled(spark, sf_dir), 100).select("ex_id", "position")
@@ -232,14 +288,8 @@ def next_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.SHUFFLED}, val AS (
-      SELECT ex_id, row_number() OVER (ORDER BY position) - 1 AS p FROM split WHERE split = 'val')
-    SELECT ex_id, p // 6 AS batch_id, (p % 6)::INT AS pos_in_batch FROM val"""
+    f"""WITH {VAL_BATCHES} SELECT ex_id, p // 6 AS batch_id, (p % 6)::INT AS pos_in_batch FROM val"""
 )
 def cut_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation rows, in shuffled order, in consecutive batches."""
-    rows = cut_lineage(shuffled(spark, sf_dir), "shuffled")
-    marked = assembly.train_val_split(rows).where("split = 'val'")
-    first = int(rows.count() * 0.9)
-    val = marked.withColumn("position", F.col("position") - first)
-    return assembly.cut_batches(val).select("ex_id", "batch_id", "pos_in_batch")
+    return validation_rows(spark, sf_dir)

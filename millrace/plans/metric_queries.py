@@ -171,6 +171,24 @@ def append_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_metrics(spark, path)
 
 
+@query(
+    f"""WITH finished AS ({windows()}) SELECT step, 'train' AS phase, loss, accuracy,
+      round(CASE WHEN step < 300 THEN step / 300
+        ELSE greatest(0.1::DOUBLE, 0.5::DOUBLE * (1 + cos(pi() * (step - 300) / 2700))) END * 0.0004, 9)::DOUBLE
+        AS learning_rate FROM finished"""
+)
+def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished windows with their learning rate, appended to the log and read back."""
+    path = new_folder(spark, "metrics")
+    finished = metrics.accumulate_windows(views.steps(views.table(spark, sf_dir, "events")), 16)
+    rate = metrics.lr_schedule(F.col("step"), 300, 300, 2700) * 0.0004
+    rows = finished.withColumns({"phase": F.lit("train"), "learning_rate": rate})
+    tables.append_metrics(rows, path)
+    logged = tables.read_metrics(spark, path)
+    shown = rounded(logged, "loss", "accuracy").withColumn("learning_rate", F.round("learning_rate", 9))
+    return shown.select("step", "phase", "loss", "accuracy", "learning_rate")
+
+
 @query(f"WITH {sql.METRICS} SELECT step, phase, loss, accuracy FROM metrics WHERE step <= 5000")
 def truncate_for_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows after the resume step dropped from a stored log, in place."""

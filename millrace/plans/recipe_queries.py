@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,31 @@ def read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {FEED_ROWS}, members AS (
+      SELECT ordinal // 50 AS file, source, key || '.' || ordinal AS key, title, ordinal % 7 = 0 AS empty,
+             row_number() OVER (PARTITION BY source, ordinal // 50 ORDER BY key || '.' || ordinal) - 1 AS place
+      FROM feed)
+    SELECT source, place, key, CASE WHEN NOT empty THEN title END AS title, empty AS rejected FROM members"""
+)
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of whole-object files, split into usable members and those that are null."""
+    usable, rejected = [], []
+    for source, feed in zip(FEEDS, views.feeds(spark, sf_dir)):
+        path = new_folder(spark, "objects")
+        name = F.concat_ws(".", "key", F.col("ordinal").cast("string")).alias("name")
+        recipe = F.when(F.col("ordinal") % 7 != 0, F.col("recipe")).alias("recipe")
+        entries = F.sort_array(F.collect_list(F.struct(name, recipe)))
+        objects = feed.groupBy(F.floor(F.col("ordinal") / 50).alias("file")).agg(entries.alias("entries"))
+        text = F.to_json(F.map_from_entries("entries"), {"ignoreNullFields": "false"})
+        objects.select("file", text.alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+        good, bad = feed_source.split_rejects(feed_source.read_feed(spark, path, source))
+        usable.append(good.withColumn("rejected", F.lit(False)))
+        rejected.append(bad.withColumn("rejected", F.lit(True)))
+    rows = reduce(DataFrame.unionByName, usable + rejected)
+    return rows.select("source", F.col("ordinal").alias("place"), "key", "recipe.title", "rejected")
+
+
 def tagged(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [
         feed_source.tag_source(feed, source)

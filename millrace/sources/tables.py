@@ -39,19 +39,21 @@ METRIC_SCHEMA = T.StructType(
 )
 
 
+#: Inputs of at least this size have splits enough and are never shuffled to be spread.
+SPREAD_BYTES = 2**30
+
+
 def spread(df: DataFrame, path: str) -> DataFrame:
     """Fan a small input out to all cores before heavy text work.
 
-    A file with few row groups feeds few tasks.  Inputs larger than one split
-    per core already fill the cluster and are left alone, without a shuffle.
+    A file with few row groups feeds few tasks.  At most ``SPREAD_BYTES`` are shuffled,
+    whatever the size of the cluster.
     """
     spark = df.sparkSession
     fs, target = hadoop_path(spark, path)
-    cores = spark.sparkContext.defaultParallelism
-    split = 128 * 1024 * 1024
-    if fs.getContentSummary(target).getLength() >= cores * split:
+    if fs.getContentSummary(target).getLength() >= SPREAD_BYTES:
         return df
-    return df.repartition(cores)
+    return df.repartition(spark.sparkContext.defaultParallelism)
 
 
 def read_corpus(

@@ -173,6 +173,38 @@ def test_completion_against_a_loop(spark, greedy, bounds):
     }
 
 
+@pytest.mark.parametrize("bounds", [{}, {"max_bytes": 0}])
+def test_requests_bring_their_own_settings(spark, bounds):
+    """Also a prompt without tokens, which is answered by nothing."""
+    docs = documents()
+    model = counts(docs)
+    greedy = {p: Counter({min(c, key=lambda t: (-c[t], t)): 1}) for p, c in model.items()}
+    rows = [(0, [0, 1], 0.0, 5), (1, [0, 1], 1.0, 7), (2, [5], None, 3), (3, [], 0.0, 4), (4, [3], 0.0, 0)]
+    df = spark.createDataFrame(rows, "prompt_id long, input_ids array<int>, nucleus double, most int")
+    got = G.complete_prompts(
+        df, G.train_ngram_model(table(spark, docs)), eos=12, max_tokens="most", top_p="nucleus", seed=3, **bounds
+    )
+    expected = {
+        i: complete(greedy if p == 0.0 else model, ids, i, 3, most, 12) if ids else []
+        for i, ids, p, most in rows
+    }
+    assert {r.prompt_id: r.output_ids for r in got.collect()} == expected
+
+
+def test_large_ranges_stay_where_they_are(spark, monkeypatch):
+    """Beyond the bound, prompts travel to the ranges: no step shuffles the ranges."""
+    steps = []
+    plain = G.next_step
+    monkeypatch.setattr(G, "next_step", lambda *a: steps.append(plain(*a)) or steps[-1])
+    ranges = G.cut_lineage(G.successor_ranges(G.train_ngram_model(table(spark, documents()))), "ranges")
+    df = spark.createDataFrame([(i, [i % 12]) for i in range(50)], "prompt_id long, input_ids array<int>")
+    G.complete_from_ranges(df, ranges, 12, 4, max_bytes=0).collect()
+    assert steps
+    for step in steps:
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize(
     "settings", [{}, {"top_k": 3}, {"top_p": 0.5}, {"temperature": 0.3, "top_k": 5, "top_p": 0.9}]
 )

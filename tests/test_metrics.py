@@ -47,6 +47,13 @@ def self_bleu(spark, groups):
     return {r.g: r.self_bleu for r in metrics.self_bleu(df, ["g"]).collect()}
 
 
+def test_self_bleu_of_null_texts_and_repeated_ids(spark):
+    rows = [("g", 1, "a b c d e"), ("g", 1, "a b c d e"), ("h", 1, "a b c d e"), ("h", 2, None)]
+    df = spark.createDataFrame(rows, "g string, id int, text string")
+    got = {r.g: (r.texts, r.self_bleu) for r in metrics.self_bleu(df, ["g"]).collect()}
+    assert got["g"] == (2, pytest.approx(1.0)) and got["h"] == (2, 0.0)
+
+
 def test_self_bleu_known_values(spark):
     got = self_bleu(
         spark,

@@ -110,3 +110,35 @@ def test_length_reports_scan_the_texts_once(spark, tiny):
     df.collect()
     text = plan(df)
     assert "ReusedExchange" in text or text.count("FileScan") == 1
+
+
+def test_nothing_is_cut_on_the_way_to_the_operators(spark, tiny):
+    """Chunks and the tail hold all tokens of the corpus, and decoding keeps every word."""
+    from millrace.operators import assembly, tokens
+    from millrace.plans import views
+
+    ids, vocab, eos = views.encoded_corpus(spark, tiny)
+    encoded = {r.doc_id: r.input_ids for r in ids.collect()}
+    words = {r.doc_id: r.words for r in tokens.with_words(views.corpus(spark, tiny)).collect()}
+    assert {k: len(v) for k, v in encoded.items()} == {k: len(v) + 1 for k, v in words.items()}
+    assert {r.doc_id: r.text for r in tokens.decode(ids, vocab).collect()} == {k: " ".join(v) for k, v in words.items()}
+    chunks = [r.input_ids for r in assembly.pack_chunks(ids, keep_tail=True).orderBy("chunk_id").collect()]
+    stream = [t for k in sorted(encoded) for t in encoded[k]]
+    assert chunks[0] + [t for chunk in chunks[1:] for t in chunk[50:]] == stream
+    assert views.examples(spark, tiny).count() == views.table(spark, tiny, "documents").count()
+
+
+def test_batches_are_padded_from_written_rows(spark, tiny):
+    """Texts are not tokenised again to find a batch's length."""
+    from millrace.plans import corpus_queries
+
+    for query in (corpus_queries.pad_to_batch_max, corpus_queries.bucket_pad, corpus_queries.next_token_pairs):
+        shown = query(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" not in shown and "ArrowEvalPython" not in shown
+
+
+def test_merged_feeds_are_numbered_from_one_merge(spark, tiny):
+    from millrace.plans import recipe_queries
+
+    shown = recipe_queries.assign_ids(spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in shown
