@@ -48,10 +48,10 @@ from millrace.sources.scratch import cut_lineage
 LENGTH = 100
 GRAM = 32
 STEP = 16
-HOT_PIECES = 20_000
+HOT_PIECES = 5_000
 
 #: Bytes of pieces that a task sorts at once; keys are not cut.
-SORT_BYTES = 2**21
+SORT_BYTES = 2**20
 
 PIECE_FIELDS = "key long, id long, mark int, lo int, m int, piece binary"
 

@@ -72,38 +72,51 @@ def multikey(data: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarra
     return order, group
 
 
+def first_difference(data: np.ndarray, one: np.ndarray, two: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at ``one`` and ``two`` share, up to ``width`` of them."""
+    place = width.copy()
+    open_ = np.flatnonzero(one != two)
+    for at in range(0, int(width.max(initial=0)), 8):
+        open_ = open_[width[open_] > at]
+        other = characters(data, one[open_] + at) ^ characters(data, two[open_] + at)
+        differ = other != 0
+        found, other = open_[differ], other[differ]
+        leading = np.zeros(len(found), np.int64)
+        for shift in (32, 16, 8):  # zero bytes before the first that is not
+            empty = other >> np.uint64(64 - shift) == 0
+            leading[empty] += shift // 8
+            other = np.where(empty, other << np.uint64(shift), other)
+        place[found] = np.minimum(at + leading, width[found])
+        open_ = open_[~differ]
+    return place
+
+
 def blind_tries(data: np.ndarray, start: np.ndarray, group: np.ndarray, known: int, depth: int) -> np.ndarray:
     """Rank of each suffix inside its group; groups (sorted numbers) agree in ``known`` bytes."""
     rank = np.zeros(len(start), np.int64)
     member = np.arange(len(start))
     group = group_numbers(group)
     at = np.full(len(start), known)
-    width = depth - known
-    while len(member) and width > 0:
+    while len(member):
         # The first place where a group's members differ from its first one.
         first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        head = np.repeat(first, np.diff(np.append(first, len(group))))
-        rows = start[member, None] + at[:, None] + np.arange(width)
-        inside = at[:, None] + np.arange(width) < depth
-        text = data[np.minimum(rows, len(data) - 1)]
-        differ = (text != text[head]) & inside
-        place = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        here = start[member] + at
+        place = first_difference(data, here, here[first][group], depth - at)
         branch = np.minimum.reduceat(place, first)[group]
-        open_ = branch < width
-        # Part the members by the byte at the branch; whole groups without one are equal.
-        byte = np.where(open_, text[np.arange(len(member)), np.minimum(branch, width - 1)], 0).astype(np.int64)
-        keep = np.flatnonzero(open_)
-        order = keep[np.lexsort((byte[keep], group[keep]))]
-        if not len(order):
+        open_ = np.flatnonzero(branch < depth - at)
+        if not len(open_):
             break
-        below = group_numbers(group[order], byte[order])
-        # Children of one node are ranked in steps of its size, so ranks stay ordered.
-        starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
-        inner = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        # Part the members by the byte at the branch; groups without one are equal.
+        byte = data[here[open_] + branch[open_]]
+        moved = np.lexsort((byte, group[open_]))
+        order, byte = open_[moved], byte[moved]
+        below = group_numbers(group[order], byte)
+        # A child's rank is its first member's place in the node, so ranks stay ordered.
+        heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+        inner = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
         child = np.flatnonzero(np.concatenate([[True], below[1:] != below[:-1]]))
         rank[member[order]] += inner[child][below]
         left = tied(below)
         at = (at + branch + 1)[order][left]
         member, group = member[order][left], group_numbers(below[left])
-        width = int(depth - at.min()) if len(at) else 0
     return rank
