@@ -1,16 +1,19 @@
 """Benchmark decontamination by templates: re-parameterised questions are caught too.
 
-Numbers, the units after them and names become typed placeholders that keep their value
-in the token (``§n:42``); the other tokens are lower-cased words.  A window of
-``WINDOW`` tokens without the values is a template.  Templates of the benchmark are
-hash-joined with the templates at every position of every document.  On each diagonal
-(document position less item position) the values must be consistent: a value that the
-item repeats stands for one value in the document, for ``MIN_CONSISTENT`` of them.  A document holds an item if consistent
-windows are at least ``MIN_COVERAGE`` of the item's.
-
-Only DataFrame functions run on the main path.  The item windows are counted; up to
-``BROADCAST_ROWS`` they are sent to the documents, so that only matches are shuffled,
-and beyond that both sides are shuffled by template.
+Numbers, the units after them and names are typed placeholders that keep their value
+(``§n:42``); the other tokens are lower-cased words.  A window of ``WINDOW`` tokens
+without the values is a template.  Templates of the benchmark are hash-joined with those
+of the documents.  On each diagonal (document position less item position) the values
+must be consistent: a value that the item repeats stands for one value in the document,
+for ``MIN_CONSISTENT`` of them.  A document holds an item if consistent windows are at
+least ``MIN_COVERAGE`` of the item's.
+
+Only DataFrame functions run on the main path.  A window can only match where its two
+longest literal words, its anchors, stand in the document at their distance: tokens are
+first joined with the anchors of all item windows, and templates are built and hashed at
+the windows around them alone.  Item windows are counted; up to ``BROADCAST_ROWS`` they and their anchors are sent
+to the documents, so that only matches are shuffled, and beyond that the templates of all
+windows are shuffled and joined.
 
 Defined cases: null and empty texts and texts shorter than a window match nothing, on
 either side; rows with one doc_id are told apart by their text, equal rows count once;
@@ -23,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.once import compute_once
 from millrace.sources.scratch import cut_lineage
 
 WINDOW = 8
@@ -32,60 +36,95 @@ MIN_CONSISTENT = 0.8
 BROADCAST_ROWS = 2**18
 
 MARK = "§"
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 UNITS = (
-    "km|cm|mm|m|kg|mg|g|lbs?|oz|ml|l|mph|kmh|kwh|kw|w|v|hz|"
-    "kilomet(?:er|re)s?|met(?:er|re)s?|centimet(?:er|re)s?|miles?|feet|foot|inch(?:es)?|yards?|"
-    "kilograms?|grams?|pounds?|ounces?|tons?|lit(?:er|re)s?|gallons?|cups?|"
-    "seconds?|minutes?|hours?|days?|weeks?|months?|years?|"
-    "dollars?|cents?|euros?|percent|degrees?|%|€|£"
-)
-EDGE = r"(?![\p{L}\p{N}])"
-
-
-def valued_tokens(text: Column) -> Column:
-    """Tokens of a text; placeholders carry their value: ``§n:3.5 §u:kg §p:anna``."""
-    text = F.translate(text, MARK, " ")
-    text = F.regexp_replace(text, r"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{L}\p{N}\p{M}.,$€£%]", " ")
-    text = F.regexp_replace(text, rf"([$€£]) ?({NUMBER})", rf" {MARK}u:$1 {MARK}n:$2 ")
-    text = F.regexp_replace(text, rf"(?<![:\p{{L}}\p{{N}}.,])({NUMBER}) ?(?i:({UNITS})){EDGE}", rf" {MARK}n:$1 {MARK}u:$2 ")
-    text = F.regexp_replace(text, rf"(?<![:\p{{L}}\p{{N}}.,])({NUMBER}){EDGE}", rf" {MARK}n:$1 ")
-    text = F.regexp_replace(text, rf"(?<![:\p{{L}}\p{{N}}\p{{M}}])(\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*){EDGE}", rf" {MARK}p:$1 ")
-    text = F.regexp_replace(F.lower(text), r"(?<!\S)[$€£%]+(?!\S)", " ")
-    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-
-
-def template(tokens: Column) -> Column:
-    """Tokens without the values of placeholders."""
-    return F.transform(tokens, lambda t: F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t))
-
-
-def window_rows(rows: DataFrame, *keys: str, window: int) -> DataFrame:
-    """``keys``, ``at``, ``hash``, ``n_windows`` and the valued tokens of every window."""
-    tokens = rows.select(*keys, valued_tokens(F.col("text")).alias("tokens"))
-    tokens = tokens.where(F.size("tokens") >= window)
-    plain = tokens.withColumn("plain", template(F.col("tokens")))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("plain") - window + 1),
-        lambda i: F.xxhash64(F.slice("plain", i, window)),
+    "km cm mm m kg mg g lb lbs oz ml l mph kmh kwh kw w v hz kilometer kilometers kilometre kilometres "
+    "meter meters metre metres centimeter centimeters mile miles feet foot inch inches yard yards "
+    "kilogram kilograms gram grams pound pounds ounce ounces ton tons liter liters litre litres "
+    "gallon gallons cup cups second seconds minute minutes hour hours day days week weeks month months "
+    "year years dollar dollars cent cents euro euros percent degree degrees"
+).split()
+
+#: What parts tokens.  A dot or comma inside a number does not: it becomes a letter first.
+SEPARATOR = r"[^\p{L}\p{N}\p{M}]+"
+POINT = "\ua78f"
+
+
+def raw_tokens(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", f"$1{POINT}"), SEPARATOR)
+
+
+def valued(token: Column, before: Column) -> Column:
+    """A token as a word or a placeholder with its value; ``before`` is the one before."""
+    low = F.lower(token)
+    number = r"^[0-9]"
+    return (
+        F.when(token.rlike(number), F.concat(F.lit(f"{MARK}n:"), low))
+        .when(token.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.lit(f"{MARK}p:"), low))
+        .when(low.isin(UNITS) & F.coalesce(before.rlike(number), F.lit(False)), F.concat(F.lit(f"{MARK}u:"), low))
+        .otherwise(low)
+    )
+
+
+def valued_window(tokens: Column, start: Column, window: int) -> Column:
+    """``window`` tokens from place ``start`` (0-based) as ``valued`` ones."""
+    return F.transform(
+        F.sequence(start, start + window - 1),
+        lambda i: valued(F.get(tokens, i), F.when(i > 0, F.get(tokens, i - 1))),
+    )
+
+
+def template_hash(window: Column) -> Column:
+    """A hash of valued tokens without the values."""
+    return F.xxhash64(
+        F.transform(window, lambda t: F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t))
     )
-    placed = plain.select(*keys, "tokens", F.posexplode(windows).alias("at", "hash"))
-    return placed
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """``(item_id, item_at, hash, item_tokens, n_windows)``, only windows with words enough."""
-    found = window_rows(benchmark.where("text IS NOT NULL").distinct(), "item_id", window=window)
-    found = found.select(
-        "item_id", F.col("at").alias("item_at"), "hash", F.slice("tokens", F.col("at") + 1, window).alias("item_tokens")
-    ).distinct()
-    literal = F.size(F.filter("item_tokens", lambda t: ~t.startswith(MARK)))
-    found = found.where(literal >= LEAST_LITERAL)
+    """``(item_id, item_at, hash, item_tokens, anchors, n_windows)`` of the windows with
+    words enough; anchors are the two longest words and their places in the window."""
+    tokens = F.filter(raw_tokens(F.col("text")), lambda t: t != "")
+    rows = benchmark.where("text IS NOT NULL").distinct().select("item_id", tokens.alias("tokens"))
+    rows = rows.where(F.size("tokens") >= window)
+    starts = F.sequence(F.lit(0), F.size("tokens") - window)
+    found = rows.select("item_id", "tokens", F.explode(starts).alias("item_at"))
+    found = found.select("item_id", "item_at", valued_window(F.col("tokens"), F.col("item_at"), window).alias("item_tokens"))
+    words = F.filter("item_tokens", lambda t: ~t.startswith(MARK))
+    found = found.distinct().where(F.size(words) >= LEAST_LITERAL)
+    placed = F.transform("item_tokens", lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("offset"), t.alias("word")))
+    longest = F.slice(F.array_sort(F.filter(placed, lambda x: ~x["word"].startswith(MARK))), 1, 2)
+    found = found.withColumns({"hash": template_hash(F.col("item_tokens")), "anchors": longest})
     sizes = found.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
     null_safe = F.col("l.item_id").eqNullSafe(F.col("r.item_id"))
     return found.alias("l").join(sizes.alias("r"), null_safe).select("l.*", "r.n_windows")
 
 
+def matches(rows: DataFrame, items: DataFrame, window: int, broadcast: bool) -> DataFrame:
+    """Windows of ``rows (doc_id, mark, text)`` with the template of an item's window:
+    the item's columns, ``at`` and the document's valued ``tokens``."""
+    texts = compute_once(rows, {"raw": raw_tokens(F.col("text"))}).drop("text")
+    texts = texts.where(F.size("raw") >= window)
+    keys = items.select("item_id", "item_at", "hash", "item_tokens", "n_windows")
+    if broadcast:
+        first, second = (F.get("anchors", F.lit(i)) for i in (0, 1))
+        anchors = items.select(
+            first["word"].alias("anchor"), first["offset"].alias("offset"),
+            second["word"].alias("other"), (second["offset"] - first["offset"]).alias("apart"),
+        )
+        placed = texts.select("doc_id", "mark", "raw", F.posexplode("raw").alias("place", "token"))
+        beside = F.lower(F.get("raw", F.col("place") + F.col("apart"))) == F.col("other")
+        placed = placed.join(F.broadcast(anchors.distinct()), (F.lower("token") == F.col("anchor")) & beside)
+        placed = placed.withColumn("at", F.col("place") - F.col("offset"))
+        placed = placed.where((F.col("at") >= 0) & (F.col("at") <= F.size("raw") - window))
+        placed = placed.select("doc_id", "mark", "raw", "at")
+        keys = F.broadcast(keys)
+    else:
+        starts = F.sequence(F.lit(0), F.size("raw") - window)
+        placed = texts.select("doc_id", "mark", "raw", F.explode(starts).alias("at"))
+    windows = placed.select("doc_id", "mark", "at", valued_window(F.col("raw"), F.col("at"), window).alias("tokens"))
+    return windows.withColumn("hash", template_hash(F.col("tokens"))).join(keys, "hash")
+
+
 def find_leaks(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -98,18 +137,14 @@ def find_leaks(
     values that the document replaces."""
     items = cut_lineage(item_windows(benchmark.select("item_id", "text"), window), "items")
     rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("text IS NOT NULL")
-    placed = window_rows(rows, "doc_id", "mark", window=window)
-    side = F.broadcast(items) if items.count() <= broadcast_rows else items
-    hits = placed.join(side, "hash").select(
+    hits = matches(rows, items, window, items.count() <= broadcast_rows).select(
         "doc_id",
         "mark",
         "item_id",
         "n_windows",
         "item_at",
         (F.col("at") - F.col("item_at")).alias("diagonal"),
-        F.arrays_zip(
-            F.col("item_tokens").alias("theirs"), F.slice("tokens", F.col("at") + 1, window).alias("ours")
-        ).alias("pairs"),
+        F.arrays_zip(F.col("item_tokens").alias("theirs"), F.col("tokens").alias("ours")).alias("pairs"),
     )
     same = F.forall(
         "pairs",
