@@ -26,7 +26,7 @@ order); an empty table gives no shard and no rows; other columns are not read.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -38,11 +38,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.spans import (
     BYTE_CODE,
+    LOWER,
     SpanHash,
     Texts,
+    distinct,
     find_words,
     slices,
     span_strings,
+    spread_ranges,
     take_ranges,
 )
 from millrace.sources.scratch import shuffles_freed
@@ -52,8 +55,14 @@ BLOCK = 4096  # a multiple of 64, so a block is a whole number of 64-bit words
 SHARD_IDS = 2**20  # a shard closes with the document that reaches this many ids
 SLICE = 2**22
 
-#: Words whose ids a Python worker remembers, at most; then it starts afresh.
-REMEMBERED = 2**19
+#: Parts whose ids a Python worker remembers, at most; then it starts afresh.
+REMEMBERED = 2**20
+
+#: ASCII letters are of kind 1, ASCII punctuation of kind 2, all else of kind 0.
+KIND = np.zeros(256, np.uint8)
+KIND[list(range(65, 91)) + list(range(97, 123))] = 1
+KIND[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = 2
+WHOLE = np.isin(np.arange(256), list(b"'<"))
 
 
 def bits_for(vocabulary: int) -> int:
@@ -138,8 +147,8 @@ class Shard:
 class WordIds:
     """Ids of words by a tokenizer for which white space separates tokens.
 
-    A word's ids do not depend on its neighbours, so a worker tokenizes a word once
-    and remembers its ids, up to ``REMEMBERED`` words.
+    A part's ids do not depend on its neighbours, so a worker tokenizes a part once
+    and remembers its ids by a 64-bit hash, up to ``REMEMBERED`` parts (see ``find_parts``).
     """
 
     def __init__(self, path: str) -> None:
@@ -148,45 +157,114 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        if len(self.tokenizer.encode("a b", add_special_tokens=False).ids) != 2 * len(
-            self.tokenizer.encode("a", add_special_tokens=False).ids
-        ):
-            raise ValueError("white space must separate the tokens of this tokenizer")
+        probe = [self.ids_of(x) for x in ("A b", "a", "b", "a,b!! c", ",", "!!", "c")]
+        if probe[0] != probe[1] + probe[2]:
+            raise ValueError("white space and case must not matter to this tokenizer")
+        #: Whether letters and punctuation are always separate tokens.
+        self.parted = probe[3] == probe[1] + probe[4] + probe[2] + probe[5] + probe[6]
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.break_ = special[0].content if special else None
+        self.break_id = self.tokenizer.token_to_id(self.break_) if special else None
         self.forget()
 
+    def ids_of(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
-        self.row: dict[str, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of the parts known, ascending
+        self.row = np.zeros(0, np.int64)  # where their ids are
         self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
 
-    def rows(self, names: list[str]) -> np.ndarray:
-        """The row of each name's ids, tokenizing the names not remembered."""
-        new = [name for name in names if name not in self.row]
-        if len(self.row) + len(new) > REMEMBERED:
+    def tokenize(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all names and how many each has.
+
+        Names are joined by a special token, which parts a text before all else, and
+        encoded as one text; names that may hold special tokens go one by one.
+        """
+        odd = [i for i, name in enumerate(names) if "<" in name] if self.break_ else range(len(names))
+        found = dict(zip(odd, self.tokenizer.encode_batch_fast([names[i] for i in odd], add_special_tokens=False)))
+        plain = [name for i, name in enumerate(names) if i not in found]
+        sizes = np.zeros(len(names), np.int64)
+        ids = np.zeros(0, np.uint32)
+        if plain:
+            joined = np.array(self.ids_of(self.break_.join(plain)), np.uint32)
+            breaks = joined == self.break_id
+            where = np.concatenate([[-1], np.flatnonzero(breaks), [len(joined)]])
+            is_plain = np.ones(len(names), bool)
+            is_plain[list(found)] = False
+            sizes[is_plain] = np.diff(where) - 1
+            ids = joined[~breaks]
+        if not found:
+            return ids, sizes
+        for i, encoded in found.items():
+            sizes[i] = len(encoded.ids)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        whole = np.empty(first[-1], np.uint32)
+        from_odd = np.zeros(len(whole), bool)
+        for i, encoded in found.items():
+            whole[first[i] : first[i + 1]] = encoded.ids
+            from_odd[first[i] : first[i + 1]] = True
+        whole[~from_odd] = ids
+        return whole, sizes
+
+    def rows(self, keys: np.ndarray, names: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """The row of the ids of each part, given as ascending hashes; ``names`` gives the
+        strings of those that are not remembered and hence are tokenized."""
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(~self.known(keys, at))
+        if len(self.keys) + len(new) > REMEMBERED:
             self.forget()
-            new = names
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(self.row.__getitem__, names), np.int64, len(names))
+            at, new = np.zeros(len(keys), np.int64), np.arange(len(keys))
+        if len(new):
+            ids, sizes = self.tokenize(names(new))
+            row = len(self.first) - 1 + np.arange(len(new))
+            self.row = np.insert(self.row, at[new], row)
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.ids = np.concatenate([self.ids, ids])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        return self.row[np.searchsorted(self.keys, keys)]
+
+    def known(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(at, len(self.keys) - 1)] == keys
 
     def encode(self, texts: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with the end id, and how many each text has."""
-        words = find_words(texts)
-        one = SpanHash(BYTE_CODE[texts.data]).of(words.start, words.end)
-        _, where, back = np.unique(one, return_index=True, return_inverse=True)
-        names = span_strings(texts.data, words.start[where], words.end[where]).to_pylist()
-        row = self.rows(names)
-        flat, count = take_ranges(self.ids, self.first, row[back])
+        data, start, stop = find_parts(texts, self.parted)
+        keys = SpanHash(BYTE_CODE[data]).of(start, stop)
+        where, back = distinct(keys)
+        row = self.rows(
+            keys[where], lambda new: span_strings(data, start[where[new]], stop[where[new]]).to_pylist()
+        )
+        # After the parts of each text comes the end id, the last row of the table.
+        ends = np.searchsorted(start, texts.start[1:])
+        sequence = np.insert(row[back], ends, len(self.first) - 1)
+        ids, first = np.append(self.ids, np.uint32(end)), np.append(self.first, len(self.ids) + 1)
+        flat, count = take_ranges(ids, first, sequence)
         total = np.concatenate([[0], np.cumsum(count)])
-        sizes = np.diff(total[words.first]) + 1
-        whole = np.full(int(sizes.sum()), end, np.uint32)
-        inner = np.ones(len(whole), bool)
-        inner[np.cumsum(sizes) - 1] = False
-        whole[inner] = flat
-        return whole, sizes
+        return flat, np.diff(total[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])])
+
+
+def find_parts(texts: Texts, parted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and spans that can be tokenized one by one: words in ASCII lower case, cut
+    between ASCII letters and punctuation.  A word with an apostrophe (contractions) or
+    ``<`` (special tokens) stays as it is."""
+    words = find_words(texts)
+    total = np.concatenate([[0], np.cumsum(WHOLE[texts.data])])
+    whole = total[words.end] > total[words.start]
+    data = LOWER[texts.data]
+    kept, _ = spread_ranges(words.start[whole], (words.end - words.start)[whole])
+    data[kept] = texts.data[kept]
+    if not parted:
+        return data, words.start, words.end
+    kind = KIND[data]
+    kind[kept] = 0
+    cut = np.flatnonzero((kind[1:] + kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    start = np.sort(np.concatenate([words.start, cut]))
+    stop = np.sort(np.concatenate([words.end, cut]))
+    return data, start, stop
 
 
 @cache

@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import BYTE_CODE, SpanHash, Texts, slices, span_strings, take_ranges
+from millrace.llm.spans import BYTE_CODE, SpanHash, Texts, distinct, slices, span_strings, take_ranges
 from millrace.sources.scratch import cut_lineage, free_table
 
 MARKER = "▁"
@@ -94,7 +94,7 @@ class Chunks:
     def distinct(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes of each distinct chunk, one place of it, and each chunk's number."""
         one = SpanHash(BYTE_CODE[texts.data]).of(self.start, self.end)
-        _, where, back = np.unique(one, return_index=True, return_inverse=True)
+        where, back = distinct(one)
         two = SpanHash(SECOND_CODE[texts.data]).of(self.start[where], self.end[where])
         return one[where], two, where, back
 

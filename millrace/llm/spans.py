@@ -176,3 +176,14 @@ def take_ranges(values: np.ndarray, first: np.ndarray, which: np.ndarray) -> tup
     count = (first[1:] - first[:-1])[which]
     place, _ = spread_ranges(first[which], count)
     return values[place], count
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct key, in ascending order, and each key's number."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number

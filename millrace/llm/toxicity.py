@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import LOWER_CODE, SpanHash, Texts, find_words, mix, slices, spread_ranges, take_ranges
+from millrace.llm.spans import LOWER_CODE, SpanHash, Texts, distinct, find_words, mix, slices, spread_ranges, take_ranges
 from millrace.llm.trees import sigmoid
 
 BUCKETS = 2**18
@@ -145,16 +145,17 @@ def sample_of(batch: pa.RecordBatch) -> Sample:
     for texts in slices(batch):
         found = find_words(texts)
         key = SpanHash(LOWER_CODE[texts.data]).of(found.start, found.end)
-        distinct, where, back = np.unique(key, return_index=True, return_inverse=True)
-        at = np.searchsorted(known, distinct)
-        old = known[np.minimum(at, len(known) - 1)] == distinct if len(known) else np.zeros(len(distinct), bool)
-        ids = np.empty(len(distinct), np.int32)
+        where, back = distinct(key)
+        keys = key[where]
+        at = np.searchsorted(known, keys)
+        old = known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+        ids = np.empty(len(keys), np.int32)
         ids[old] = number[at[old]]
         ids[~old] = len(known) + np.arange((~old).sum())
         part = word_bags(texts, found.start[where[~old]], found.end[where[~old]])
         bags.append(part.bucket)
         counts.append(np.diff(part.first))
-        known, number = np.concatenate([known, distinct[~old]]), np.concatenate([number, ids[~old]])
+        known, number = np.concatenate([known, keys[~old]]), np.concatenate([number, ids[~old]])
         order = np.argsort(known)
         known, number = known[order], number[order]
         words.append(ids[back])
