@@ -13,9 +13,10 @@ A second sketch of one parity bit per cell bounds the difference of a candidate
 from below (its Hamming distance) before the pair's texts are compared exactly.
 
 Equal sets are one node.  In a key's group, pairs are not enumerated: all members are
-compared with one pivot, then only members that are still outside the group's largest
-component (at most ``MOST_STRAYS``) with the others; larger rests get new pivots and, if
-they persist, are divided by the keys of another seed, which linked sets share too.
+compared with one pivot, the one that shares most keys with most others; then only the
+strays, members still outside the group's largest component, with members of other
+components.  With more than ``MOST_STRAYS`` of them, their sketches are compared in blocks
+of ``BLOCK`` by ``BLOCK``, spread over tasks, and only likely pairs leave a block.
 Members of one component are never compared again, which loses no component.
 
 Defined cases: null and empty texts have an empty set, linked with nothing; texts with
@@ -44,8 +45,8 @@ SHINGLE = 5
 PERCENT = 80
 
 SEEDS = 8
-MOST_STRAYS = 64
-PIVOT_ROUNDS = 3
+MOST_STRAYS = 8
+BLOCK = 2048
 
 NO_ID = -(2**63)
 
@@ -94,7 +95,7 @@ def bands(upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(low[:-1]), np.array(most), np.array(words)
 
 
-def sketch_keys(shingles: Shingles, keep: np.ndarray, first_seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def sketch_keys(shingles: Shingles, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of the texts flagged in ``keep``, and the text of each key."""
     low, most, words = bands(int(max(shingles.count.max(initial=1), 64)))
     own = np.searchsorted(low, shingles.count, "right") - 1
@@ -103,7 +104,7 @@ def sketch_keys(shingles: Shingles, keep: np.ndarray, first_seed: int = 0) -> tu
         band = own - step
         left = np.flatnonzero(keep & (shingles.count > 0) & (band >= 0))
         left = left[most[band[left]] > 0]
-        for seed in range(first_seed, first_seed + SEEDS):
+        for seed in range(SEEDS):
             if not len(left):
                 break
             found, text, filled = words_of(shingles, left, band[left], words[band[left]], seed)
@@ -231,22 +232,67 @@ def several_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], ["key", "node"])
 
 
-def divided_keys(keys: DataFrame, texts: DataFrame, size: int, seed: int) -> DataFrame:
-    """The groups of ``keys (key, node)`` divided by keys of another seed, which linked
-    sets of a group share too."""
+def likely_in_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Likely pairs ``(a, b)`` of strays with all others, of groups with many strays.
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts_here in slices(batch):
-                rows = texts_here.rows
-                shingles = Shingles(texts_here, size)
-                inner, text = sketch_keys(shingles, np.ones(len(texts_here), bool), seed)
-                outer = rows.column("key").to_numpy().view(np.uint64)[text]
-                node = rows.column("node").to_numpy()[text]
-                key = mix(inner ^ mix(outer)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+    ``members`` has ``(key, node, class, main, strays, members)``.  Strays and members of a
+    key are cut into parts of about ``BLOCK``; every block of two parts is a group of its
+    own, in which bit sketches are compared by numpy and only likely pairs are given out.
+    """
+    rows = members.join(nodes.select("node", "n", "sketch"), "node")
+    parts = {c: F.ceil(F.col(c) / BLOCK) for c in ("strays", "members")}
+    own = {c: F.pmod(F.xxhash64("node"), count) for c, count in parts.items()}
+    every = {c: F.explode(F.sequence(F.lit(0).cast("long"), count - 1)) for c, count in parts.items()}
+    columns = ["node", "class", "n", "sketch"]
+    stray = F.col("class") != F.col("main")
+    blocks = rows.where(stray).select(
+        "key", own["strays"].alias("i"), every["members"].alias("j"), F.lit(0).alias("side"), *columns
+    )
+    blocks = blocks.union(
+        rows.select("key", every["strays"].alias("i"), own["members"].alias("j"), F.when(stray, 1).otherwise(2).alias("side"), *columns)
+    )
+    block = ["key", "i", "j"]
+    dealt = blocks.repartition(*block).sortWithinPartitions(*block, "side")
 
-    return shared_keys(keys.join(texts, "node").select("key", "node", "text").mapInArrow(emit, "key long, node long"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            rows = pa.Table.from_batches(waiting)
+            marks = np.stack([rows.column(c).to_numpy() for c in block])
+            new = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+            edges = [0, *new.tolist()]
+            for start, stop in zip(edges, edges[1:]):
+                yield from compare_block(rows.slice(start, stop - start))
+            waiting = rows.slice(edges[-1]).combine_chunks().to_batches()
+        if waiting:
+            yield from compare_block(pa.Table.from_batches(waiting))
+
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def compare_block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of a stray (side 0) and another class's member of one block that their sizes
+    and sketches allow to be linked; pairs of strays once."""
+    side, node, own_class, n = (rows.column(c).to_numpy() for c in ("side", "node", "class", "n"))
+    sketches = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+    width = min(map(len, sketches), default=0)
+    folded = np.empty((len(sketches), width), np.uint64)
+    for i, x in enumerate(sketches):
+        folded[i] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+    step = max(1, 2**20 // max(1, len(two) * width))
+    for at in range(0, len(one), step):
+        left = one[at : at + step]
+        total = n[left][:, None] + n[two]
+        most = total - 2 * -(-total * PERCENT // (100 + PERCENT))
+        apart = np.bitwise_count(folded[left][:, None, :] ^ folded[two]).sum(axis=2, dtype=np.int64)
+        keep = (apart <= most) & (own_class[left][:, None] != own_class[two])
+        keep &= 100 * np.minimum(n[left][:, None], n[two]) >= PERCENT * np.maximum(n[left][:, None], n[two])
+        keep &= (side[two] == 2) | (node[left][:, None] < node[two])
+        i, j = np.nonzero(keep)
+        a, b = node[left[i]], node[two[j]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -293,50 +339,62 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def weighed(keys: DataFrame) -> DataFrame:
+    """``(key, node, weight)``: a node weighs the sizes of all groups that it is in.
+
+    The original of many edited copies shares most keys with most of them.
+    """
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = keys.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    return cut_lineage(keys.join(weights, "node").select("key", "node", "weight"), "keys")
+
+
+def joined_classes(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``(node, component)`` after the new ``links (a, b)`` between nodes."""
+    if classes is None:
+        return cut_lineage(components(links), "classes")
+    edges = links
+    for side in ("a", "b"):
+        own = classes.select(F.col("node").alias(side), F.col("component").alias(f"class_{side}"))
+        edges = edges.join(own, side, "left")
+    edges = edges.select(*[F.coalesce(f"class_{c}", c).alias(c) for c in ("a", "b")])
+    merged = cut_lineage(components(edges), "merged").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    new = nodes.join(classes, "node", "left_anti").select("node", F.col("node").alias("component"))
+    moved = classes.unionByName(new).join(merged, "component", "left")
+    return cut_lineage(moved.select("node", F.coalesce("into", "component").alias("component")), "classes")
+
+
 def link(keys: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame | None:
     """``(node, component)`` of linked nodes, from the groups ``keys (key, node)``."""
-    links, classes = None, None
-    tried, seed = 0, SEEDS
-    while not keys.isEmpty():
-        placed = keys.withColumn("class", F.col("node"))
-        if classes is not None:
-            placed = keys.join(classes, "node", "left").select(
-                "key", "node", F.coalesce("component", "node").alias("class")
-            )
-        # Every group's largest class, and the strays outside it.
-        sizes = placed.groupBy("key", "class").agg(
-            F.count(F.lit(1)).alias("members"), F.min("node").alias("first")
-        )
-        groups = sizes.groupBy("key").agg(
-            F.max(F.struct("members", "class")).getField("class").alias("main"),
-            (F.sum("members") - F.max("members")).alias("strays"),
-        )
-        pivots = sizes.join(groups, "key").where("class != main OR strays = 0")
-        open_ = cut_lineage(
-            placed.join(groups.where("strays > 0"), "key")
-            .join(pivots.groupBy("key").agg(F.min("first").alias("pivot")), "key"),
-            "groups",
-        )
-        few = (F.col("strays") <= MOST_STRAYS) & F.lit(tried > 0)
-        strays = open_.where(few & (F.col("class") != F.col("main")))
-        with_pivot = open_.where(~few & (F.col("node") != F.col("pivot"))).select(
-            F.col("pivot").alias("a"), F.col("node").alias("b")
-        )
-        others = strays.select("key", F.col("node").alias("a"), F.col("class").alias("class_a")).join(
-            open_.where(few).select("key", F.col("node").alias("b"), "class", "main"), "key"
-        )
-        others = others.where("class_a != class AND (class = main OR a < b)").select("a", "b")
-        pairs = with_pivot.union(others).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = cut_lineage(verified(likely(pairs.distinct(), nodes), texts, size), "links")
-        links = found if links is None else cut_lineage(links.union(found), "links")
-        classes = cut_lineage(components(links), "classes")
-        left = open_.where(~few).select("key", "node")
-        tried += 1
-        if tried > PIVOT_ROUNDS:
-            left = divided_keys(left, texts, size, seed)
-            tried, seed = 0, seed + SEEDS
-        keys = cut_lineage(left, "keys")
-    return classes
+    # All members of a group against its heaviest one.
+    keys = weighed(keys)
+    pivots = keys.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("pivot"))
+    pairs = keys.join(pivots, "key").where("node != pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    found = cut_lineage(verified(likely(pairs.distinct(), nodes), texts, size), "links")
+    classes = None if found.isEmpty() else joined_classes(None, found)
+
+    # Every group's largest class, and the strays outside it against all other classes.
+    placed = keys.withColumn("class", F.col("node"))
+    if classes is not None:
+        placed = keys.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    sizes = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("inside"))
+    groups = sizes.groupBy("key").agg(
+        F.max(F.struct("inside", "class")).getField("class").alias("main"),
+        F.sum("inside").alias("members"),
+        (F.sum("inside") - F.max("inside")).alias("strays"),
+    ).where("strays > 0")
+    open_ = cut_lineage(placed.select("key", "node", "class").join(groups, "key"), "groups")
+    few = F.col("strays") <= MOST_STRAYS
+    stray = F.col("class") != F.col("main")
+    strays = open_.where(few & stray).select("key", F.col("node").alias("a"), F.col("class").alias("class_a"))
+    rest = open_.where(few).select("key", F.col("node").alias("b"), "class", stray.alias("stray"))
+    across = strays.join(rest, "key").where("class_a != class AND (NOT stray OR a < b)")
+    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    candidates = likely(across, nodes).union(likely_in_blocks(open_.where(~few), nodes)).distinct()
+    found = cut_lineage(verified(candidates, texts, size), "links")
+    return classes if found.isEmpty() else joined_classes(classes, found)
 
 
 def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:

@@ -91,9 +91,10 @@ def test_a_chain_and_a_hot_line(chain):
     assert found(chain) == brute(pairs(chain))
 
 
-def test_large_groups_are_divided_by_other_seeds(chain, monkeypatch):
-    monkeypatch.setattr(parity_join, "MOST_STRAYS", 3)
-    monkeypatch.setattr(parity_join, "PIVOT_ROUNDS", 1)
+@pytest.mark.parametrize("most, block", [(3, 2048), (0, 7)])
+def test_many_strays_are_compared_in_blocks(chain, monkeypatch, most, block):
+    monkeypatch.setattr(parity_join, "MOST_STRAYS", most)
+    monkeypatch.setattr(parity_join, "BLOCK", block)
     assert found(chain) == brute(pairs(chain))
 
 
