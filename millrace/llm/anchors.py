@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import SpanHash, Texts, mix, slices
+from millrace.llm.spans import Texts, mix, slices
 from millrace.sources.scratch import cut_lineage
 
 #: Bits of a place inside a slice in the keys that order anchors; the rest is hash.
