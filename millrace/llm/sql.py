@@ -96,3 +96,6 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines,
        md5(CASE WHEN n_hit > 0 AND hit_size <= 0.5 * length(text) THEN kept ELSE text END) AS kept_md5
 FROM documents LEFT JOIN cleaned USING (doc_id)
 """
+
+#: No document is left whole for the share of its shared lines.
+WHOLE_LINES = LINES.replace(" AND hit_size <= 0.5 * length(text)", "")

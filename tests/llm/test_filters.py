@@ -199,6 +199,13 @@ def test_removing_lines_keeps_columns_and_counts(odd_rows):
     assert line_spread.remove_boilerplate(odd_rows.limit(0)).count() == 0
 
 
+def test_documents_of_mostly_shared_lines_lose_them_too(spark):
+    rows = [(i, "menu and home of all sites\nown", f"s{i}", 30) for i in range(5)] + [(9, "menu and home of all sites", "s9", 26)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    cleaned = line_spread.remove_boilerplate(df.where("doc_id > 0"), min_sites=5).collect()
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in cleaned) == [(i, "own", 3) for i in range(1, 5)] + [(9, "", 0)]
+
+
 ITEMS = [
     (0, "Anna buys 12 apples for $3.50 each at the market and then Anna walks 5 km home before dinner with Tom."),
     (1, None), (2, ""), (3, "too short"),
