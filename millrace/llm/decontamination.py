@@ -44,23 +44,34 @@ UNITS = (
     "year years dollar dollars cent cents euro euros percent degree degrees"
 ).split()
 
-#: What parts tokens.  A dot or comma inside a number does not: it becomes a letter first.
-SEPARATOR = r"[^\p{L}\p{N}\p{M}]+"
+#: A dot or comma inside a number does not part tokens: it becomes this letter first.  A
+#: sign beside a number is a token of its own, this letter and the sign.
 POINT = "\ua78f"
+SIGNS = "$€£%"
+SEPARATOR = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{SIGNS}]|(?<!{POINT})[{SIGNS}])+"
+NUMBER = rf"^[0-9][0-9{POINT}]*$"
+
+
+def parted(text: Column) -> Column:
+    """``text`` with signs and units parted from their numbers."""
+    text = F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", f"$1{POINT}")
+    text = F.regexp_replace(text, r"([$€£]) ?(?=[0-9])", f" {POINT}$1 ")
+    text = F.regexp_replace(text, r"([0-9]) ?([%€£])", f"$1 {POINT}$2 ")
+    return F.regexp_replace(text, rf"([0-9])(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}\p{{M}}]))", "$1 ")
 
 
 def raw_tokens(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", f"$1{POINT}"), SEPARATOR)
+    return F.split(parted(text), SEPARATOR)
 
 
 def valued(token: Column, before: Column) -> Column:
     """A token as a word or a placeholder with its value; ``before`` is the one before."""
     low = F.lower(token)
-    number = r"^[0-9]"
     return (
-        F.when(token.rlike(number), F.concat(F.lit(f"{MARK}n:"), low))
+        F.when(token.rlike(NUMBER), F.concat(F.lit(f"{MARK}n:"), low))
+        .when(token.startswith(POINT), F.concat(F.lit(f"{MARK}u:"), F.substring(token, 2, 1)))
         .when(token.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.lit(f"{MARK}p:"), low))
-        .when(low.isin(UNITS) & F.coalesce(before.rlike(number), F.lit(False)), F.concat(F.lit(f"{MARK}u:"), low))
+        .when(low.isin(UNITS) & F.coalesce(before.rlike(NUMBER), F.lit(False)), F.concat(F.lit(f"{MARK}u:"), low))
         .otherwise(low)
     )
 

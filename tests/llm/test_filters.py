@@ -239,3 +239,26 @@ def test_given_documents_that_hold_an_item(spark, tiny, small_documents):
     expected = {(i, b.item_id) for b in items.collect() for i, t in pairs(small_documents) if b.text in t}
     found = decontamination.find_leaks(small_documents, items)
     assert {(r.doc_id, r.item_id) for r in found.collect()} == expected
+
+
+def found_leaks(spark, texts, items, **settings):
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.find_leaks(documents, table, **settings).collect()}
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 2**18])
+def test_attached_units_and_signs_are_typed_units(spark, broadcast_rows):
+    item = "a train that runs 5 km in rain needs 5 % more fuel and costs the firm $20 a day on top of it"
+    texts = [
+        "a train that runs 7km in rain needs 7 percent more fuel and costs the firm 30 € a day on top of it",
+        "a train that runs 7 km in rain needs 7% more fuel and costs the firm £30 a day on top of it",
+    ]
+    assert found_leaks(spark, texts[1:], [item], broadcast_rows=broadcast_rows) == {(0, 0)}
+    assert found_leaks(spark, [texts[0].replace("30 €", "€30")], [item], broadcast_rows=broadcast_rows) == {(0, 0)}
+    values = spark.createDataFrame([("7km 5 % €3 4£ h2o 5th 100% $ x%y",)], "t string")
+    tokens = F.filter(decontamination.raw_tokens(F.col("t")), lambda t: t != "")
+    rows = values.select(tokens.alias("t")).select(decontamination.valued_window(F.col("t"), F.lit(0), 13).alias("v"))
+    assert rows.first().v == [
+        "§n:7", "§u:km", "§n:5", "§u:%", "§u:€", "§n:3", "§n:4", "§u:£", "h2o", "5th", "§n:100", "§u:%", "x",
+    ]
