@@ -4,9 +4,10 @@ Numbers, the units after them and names are typed placeholders that keep their v
 (``§n:42``); the other tokens are lower-cased words.  A window of ``WINDOW`` tokens
 without the values is a template.  Templates of the benchmark are hash-joined with those
 of the documents.  On each diagonal (document position less item position) the values
-must be consistent: a value that the item repeats stands for one value in the document,
-for ``MIN_CONSISTENT`` of them.  A document holds an item if consistent windows are at
-least ``MIN_COVERAGE`` of the item's.
+must be consistent: a value that the item repeats stands for one value in the document;
+windows that hold one that does not are left out.  Capitalised words beside each other are
+one name, and a word that only begins sentences may change freely.  A document holds an
+item if consistent windows are at least ``MIN_COVERAGE`` of the item's.
 
 Only DataFrame functions run on the main path.  A window can only match where its two
 longest literal words, its anchors, stand in the document at their distance: tokens are
@@ -32,10 +33,10 @@ from millrace.sources.scratch import cut_lineage
 WINDOW = 8
 LEAST_LITERAL = 4  # tokens of a window that are no placeholders
 MIN_COVERAGE = 0.5
-MIN_CONSISTENT = 0.8
 BROADCAST_ROWS = 2**18
 
 MARK = "§"
+LOOSE = f"{MARK}p."  # of an item's token that only begins sentences
 UNITS = (
     "km cm mm m kg mg g lb lbs oz ml l mph kmh kwh kw w v hz kilometer kilometers kilometre kilometres "
     "meter meters metre metres centimeter centimeters mile miles feet foot inch inches yard yards "
@@ -50,6 +51,9 @@ POINT = "\ua78f"
 SIGNS = "$€£%"
 SEPARATOR = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{SIGNS}]|(?<!{POINT})[{SIGNS}])+"
 NUMBER = rf"^[0-9][0-9{POINT}]*$"
+NAME = r"\p{Lu}\p{Ll}"
+JOINED = "\ua7f7"  # between the words of a name
+START = "\ua78e"  # a token before the first of a sentence
 
 
 def parted(text: Column) -> Column:
@@ -60,8 +64,23 @@ def parted(text: Column) -> Column:
     return F.regexp_replace(text, rf"([0-9])(?=(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}\p{{M}}]))", "$1 ")
 
 
+def named(text: Column) -> Column:
+    """``text`` with capitalised words beside each other joined into one name."""
+    return F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\p{{M}}])({NAME}[\p{{L}}\p{{M}}]*) (?={NAME})", f"$1{JOINED}")
+
+
 def raw_tokens(text: Column) -> Column:
-    return F.split(parted(text), SEPARATOR)
+    return F.split(named(parted(text)), SEPARATOR)
+
+
+def only_starts(text: Column) -> Column:
+    """Lower-cased capitalised tokens that only begin sentences: they need not be names."""
+    marked = F.regexp_replace(named(parted(text)), rf"(^|[.!?:\n]\s*)(?={NAME})", f"$1 {START} ")
+    tokens = F.filter(F.split(marked, SEPARATOR), lambda t: t != "")
+    before = F.concat(F.array(F.lit("")), tokens)
+    starts = F.filter(tokens, lambda t, i: F.get(before, i) == START)
+    others = F.filter(tokens, lambda t, i: (F.get(before, i) != START) & t.rlike(f"^{NAME}"))
+    return F.array_except(F.transform(starts, F.lower), F.transform(others, F.lower))
 
 
 def valued(token: Column, before: Column) -> Column:
@@ -70,7 +89,7 @@ def valued(token: Column, before: Column) -> Column:
     return (
         F.when(token.rlike(NUMBER), F.concat(F.lit(f"{MARK}n:"), low))
         .when(token.startswith(POINT), F.concat(F.lit(f"{MARK}u:"), F.substring(token, 2, 1)))
-        .when(token.rlike(r"^\p{Lu}\p{Ll}"), F.concat(F.lit(f"{MARK}p:"), low))
+        .when(token.rlike(f"^{NAME}"), F.concat(F.lit(f"{MARK}p:"), low))
         .when(low.isin(UNITS) & F.coalesce(before.rlike(NUMBER), F.lit(False)), F.concat(F.lit(f"{MARK}u:"), low))
         .otherwise(low)
     )
@@ -95,11 +114,19 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     """``(item_id, item_at, hash, item_tokens, anchors, n_windows)`` of the windows with
     words enough; anchors are the two longest words and their places in the window."""
     tokens = F.filter(raw_tokens(F.col("text")), lambda t: t != "")
-    rows = benchmark.where("text IS NOT NULL").distinct().select("item_id", tokens.alias("tokens"))
+    rows = benchmark.where("text IS NOT NULL").distinct()
+    rows = rows.select("item_id", tokens.alias("tokens"), only_starts(F.col("text")).alias("starts"))
     rows = rows.where(F.size("tokens") >= window)
     starts = F.sequence(F.lit(0), F.size("tokens") - window)
-    found = rows.select("item_id", "tokens", F.explode(starts).alias("item_at"))
-    found = found.select("item_id", "item_at", valued_window(F.col("tokens"), F.col("item_at"), window).alias("item_tokens"))
+    found = rows.select("item_id", "tokens", "starts", F.explode(starts).alias("item_at"))
+    loose = F.transform(
+        valued_window(F.col("tokens"), F.col("item_at"), window),
+        lambda t: F.when(
+            t.startswith(f"{MARK}p:") & F.array_contains("starts", F.substring(t, 4, 2**30)),
+            F.concat(F.lit(LOOSE), F.substring(t, 4, 2**30)),
+        ).otherwise(t),
+    )
+    found = found.select("item_id", "item_at", loose.alias("item_tokens"))
     words = F.filter("item_tokens", lambda t: ~t.startswith(MARK))
     found = found.distinct().where(F.size(words) >= LEAST_LITERAL)
     placed = F.transform("item_tokens", lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("offset"), t.alias("word")))
@@ -172,16 +199,17 @@ def find_leaks(
         F.max("pair.ours").alias("high"),
         (F.min(F.col("item_at") + F.col("inside")) < F.max(F.col("item_at") + F.col("inside"))).alias("repeated"),
     )
-    steady = (F.col("low") == F.col("high")).cast("double")
+    unsteady = F.col("repeated") & (F.col("low") != F.col("high")) & ~F.col("theirs").startswith(LOOSE)
     slots = values.groupBy(*line).agg(
-        F.avg(F.when(F.col("repeated"), steady)).alias("consistent"),
-        F.sum((F.col("low") != F.col("theirs")).cast("long")).alias("changed"),
+        F.collect_list(F.when(unsteady, F.col("theirs"))).alias("unsteady"),
+        F.sum((F.substring("low", 4, 2**30) != F.substring("theirs", 4, 2**30)).cast("long")).alias("changed"),
     )
     on = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in line]
+    holds = F.exists("pairs", lambda p: F.array_contains("unsteady", p["theirs"]))
     matched = (
         hits.alias("h")
         .join(slots.alias("s"), on, "left")
-        .where("consistent IS NULL OR consistent >= %r" % MIN_CONSISTENT)
+        .where(~F.coalesce(holds, F.lit(False)))
         .groupBy("h.doc_id", "h.mark", "h.item_id")
         .agg(
             F.max("n_windows").alias("n_windows"),

@@ -262,3 +262,17 @@ def test_attached_units_and_signs_are_typed_units(spark, broadcast_rows):
     assert rows.first().v == [
         "§n:7", "§u:km", "§n:5", "§u:%", "§u:€", "§n:3", "§n:4", "§u:£", "h2o", "5th", "§n:100", "§u:%", "x",
     ]
+
+
+def test_one_unsteady_value_costs_only_its_windows(spark):
+    item = "a shop sold 5 apples to every single guest who had come by bus or on foot from the old town over the hill and 5 km away"
+    text = item.replace("5 apples", "7 apples").replace("5 km", "9 km")
+    assert found_leaks(spark, [text], [item]) == {(0, 0)}
+    item = "The shop opens at nine in the morning and sells bread to all. The baker sleeps until it is dark outside again."
+    text = item.replace("The baker", "Our baker")
+    assert found_leaks(spark, [text], [item]) == {(0, 0)}
+
+
+def test_names_of_several_words_are_one_name(spark):
+    item = "we saw Anna walk to the shop and then Anna paid for the bread that Anna ate on the way"
+    assert found_leaks(spark, [item.replace("Anna", "Eva Maria Braun")], [item]) == {(0, 0)}
