@@ -6,18 +6,26 @@ without the values is a template.  Templates of the benchmark are hash-joined wi
 of the documents.  On each diagonal (document position less item position) the values
 must be consistent: a value that the item repeats stands for one value in the document;
 windows that hold one that does not are left out.  Capitalised words beside each other are
-one name, and a word that only begins sentences may change freely.  A document holds an
-item if consistent windows are at least ``MIN_COVERAGE`` of the item's.
+one name, and a word that only begins sentences may change freely.
+
+Windows of the lower-cased tokens without placeholders are joined in the same way, so
+items in another case, or with few words besides names and numbers, are found as well.
+
+A document holds an item if, by templates or by words, matched windows cover at least
+``MIN_COVERAGE`` of the item's tokens that windows with words enough cover, and
+``MIN_TOKENS`` of them (or all of a shorter item), on diagonals where ``MIN_CONSISTENT`` of
+the repeated names are steady, or if ``MIN_RUN`` tokens in a row match.  An item shorter
+than a window is matched by its whole token sequence, from ``LEAST_TOKENS`` tokens on.
 
 Only DataFrame functions run on the main path.  A window can only match where its two
 longest literal words, its anchors, stand in the document at their distance: tokens are
 first joined with the anchors of all item windows, and templates are built and hashed at
-the windows around them alone.  Item windows are counted; up to ``BROADCAST_ROWS`` they and their anchors are sent
-to the documents, so that only matches are shuffled, and beyond that the templates of all
-windows are shuffled and joined.
+the windows around them alone.  Item windows are counted; up to ``BROADCAST_ROWS`` they and
+their anchors are sent to the documents, so that only matches are shuffled, and beyond that
+the templates of all windows are shuffled and joined.
 
-Defined cases: null and empty texts and texts shorter than a window match nothing, on
-either side; rows with one doc_id are told apart by their text, equal rows count once;
+Defined cases: null and empty texts, and items of fewer than ``LEAST_TOKENS`` tokens, match
+nothing; rows with one doc_id are told apart by their text, equal rows count once;
 null ids are carried as null; repeated items are matched as one if their ids are equal;
 an empty table on either side gives no rows; extra columns are not read.
 """
@@ -30,9 +38,13 @@ from pyspark.sql import functions as F
 from millrace.operators.once import compute_once
 from millrace.sources.scratch import cut_lineage
 
-WINDOW = 8
-LEAST_LITERAL = 4  # tokens of a window that are no placeholders
+WINDOW = 6
+LEAST_LITERAL = 3  # tokens of a window that are no placeholders
+LEAST_TOKENS = 3
 MIN_COVERAGE = 0.5
+MIN_TOKENS = 8
+MIN_RUN = 13
+MIN_CONSISTENT = 0.8
 BROADCAST_ROWS = 2**18
 
 MARK = "§"
@@ -73,6 +85,10 @@ def raw_tokens(text: Column) -> Column:
     return F.split(named(parted(text)), SEPARATOR)
 
 
+def plain_tokens(text: Column) -> Column:
+    return F.split(F.lower(parted(text)), SEPARATOR)
+
+
 def only_starts(text: Column) -> Column:
     """Lower-cased capitalised tokens that only begin sentences: they need not be names."""
     marked = F.regexp_replace(named(parted(text)), rf"(^|[.!?:\n]\s*)(?={NAME})", f"$1 {START} ")
@@ -95,10 +111,10 @@ def valued(token: Column, before: Column) -> Column:
     )
 
 
-def valued_window(tokens: Column, start: Column, window: int) -> Column:
-    """``window`` tokens from place ``start`` (0-based) as ``valued`` ones."""
+def valued_window(tokens: Column, start: Column, size: Column | int) -> Column:
+    """``size`` tokens from place ``start`` (0-based) as ``valued`` ones."""
     return F.transform(
-        F.sequence(start, start + window - 1),
+        F.sequence(start, start + size - 1),
         lambda i: valued(F.get(tokens, i), F.when(i > 0, F.get(tokens, i - 1))),
     )
 
@@ -110,77 +126,91 @@ def template_hash(window: Column) -> Column:
     )
 
 
-def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """``(item_id, item_at, hash, item_tokens, anchors, n_windows)`` of the windows with
-    words enough; anchors are the two longest words and their places in the window."""
-    tokens = F.filter(raw_tokens(F.col("text")), lambda t: t != "")
+def item_windows(benchmark: DataFrame, window: int, plain: bool) -> DataFrame:
+    """``(item_id, item_at, size, hash, item_tokens, anchors, n_tokens, n_covered, n_windows)``
+    of the windows with words enough; anchors are the two longest words and their places in
+    the window, ``n_covered`` counts the item's tokens in such windows.  ``plain`` ones are
+    of words without placeholders, and of all tokens of an item shorter than ``window``."""
+    text = F.col("text")
+    tokens = F.filter((plain_tokens if plain else raw_tokens)(text), lambda t: t != "")
     rows = benchmark.where("text IS NOT NULL").distinct()
-    rows = rows.select("item_id", tokens.alias("tokens"), only_starts(F.col("text")).alias("starts"))
-    rows = rows.where(F.size("tokens") >= window)
-    starts = F.sequence(F.lit(0), F.size("tokens") - window)
-    found = rows.select("item_id", "tokens", "starts", F.explode(starts).alias("item_at"))
-    loose = F.transform(
-        valued_window(F.col("tokens"), F.col("item_at"), window),
+    rows = rows.select("item_id", tokens.alias("tokens"), only_starts(text).alias("starts"))
+    rows = rows.where(F.size("tokens") >= (min(window, LEAST_TOKENS) if plain else window))
+    rows = rows.withColumn("size", F.least(F.size("tokens"), F.lit(window)))
+    places = F.sequence(F.lit(0), F.size("tokens") - F.col("size"))
+    rows = rows.withColumn("n_tokens", F.size("tokens"))
+    found = rows.select("item_id", "tokens", "starts", "size", "n_tokens", F.explode(places).alias("item_at"))
+    valued_tokens = F.transform(
+        valued_window(F.col("tokens"), F.col("item_at"), F.col("size")),
         lambda t: F.when(
             t.startswith(f"{MARK}p:") & F.array_contains("starts", F.substring(t, 4, 2**30)),
             F.concat(F.lit(LOOSE), F.substring(t, 4, 2**30)),
         ).otherwise(t),
     )
-    found = found.select("item_id", "item_at", loose.alias("item_tokens"))
+    item_tokens = F.slice("tokens", F.col("item_at") + 1, F.col("size")) if plain else valued_tokens
+    found = found.select("item_id", "item_at", "size", "n_tokens", item_tokens.alias("item_tokens"))
     words = F.filter("item_tokens", lambda t: ~t.startswith(MARK))
-    found = found.distinct().where(F.size(words) >= LEAST_LITERAL)
+    found = found.distinct().where(F.size(words) >= min(LEAST_LITERAL, LEAST_TOKENS))
     placed = F.transform("item_tokens", lambda t, i: F.struct((-F.length(t)).alias("size"), i.alias("offset"), t.alias("word")))
     longest = F.slice(F.array_sort(F.filter(placed, lambda x: ~x["word"].startswith(MARK))), 1, 2)
     found = found.withColumns({"hash": template_hash(F.col("item_tokens")), "anchors": longest})
-    sizes = found.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
+    sizes = found.groupBy("item_id").agg(
+        F.max("n_tokens").alias("n_tokens"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(window_places())))).alias("n_covered"),
+        F.countDistinct("item_at").alias("n_windows"),
+    )
     null_safe = F.col("l.item_id").eqNullSafe(F.col("r.item_id"))
-    return found.alias("l").join(sizes.alias("r"), null_safe).select("l.*", "r.n_windows")
+    joined = found.drop("n_tokens").alias("l").join(sizes.alias("r"), null_safe)
+    return joined.select("l.*", "r.n_tokens", "r.n_covered", "r.n_windows")
+
 
+def window_places() -> Column:
+    """Places in the item of a window's tokens."""
+    return F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)
 
-def matches(rows: DataFrame, items: DataFrame, window: int, broadcast: bool) -> DataFrame:
+
+def matches(rows: DataFrame, items: DataFrame, plain: bool, broadcast: bool) -> DataFrame:
     """Windows of ``rows (doc_id, mark, text)`` with the template of an item's window:
-    the item's columns, ``at`` and the document's valued ``tokens``."""
-    texts = compute_once(rows, {"raw": raw_tokens(F.col("text"))}).drop("text")
-    texts = texts.where(F.size("raw") >= window)
-    keys = items.select("item_id", "item_at", "hash", "item_tokens", "n_windows")
+    the item's columns, ``at`` and the document's ``tokens``, valued unless ``plain``."""
+    texts = compute_once(rows, {"raw": (plain_tokens if plain else raw_tokens)(F.col("text"))}).drop("text")
+    keys = items.drop("anchors", "size")
     if broadcast:
         first, second = (F.get("anchors", F.lit(i)) for i in (0, 1))
         anchors = items.select(
-            first["word"].alias("anchor"), first["offset"].alias("offset"),
+            "size", first["word"].alias("anchor"), first["offset"].alias("offset"),
             second["word"].alias("other"), (second["offset"] - first["offset"]).alias("apart"),
         )
         placed = texts.select("doc_id", "mark", "raw", F.posexplode("raw").alias("place", "token"))
         beside = F.lower(F.get("raw", F.col("place") + F.col("apart"))) == F.col("other")
         placed = placed.join(F.broadcast(anchors.distinct()), (F.lower("token") == F.col("anchor")) & beside)
         placed = placed.withColumn("at", F.col("place") - F.col("offset"))
-        placed = placed.where((F.col("at") >= 0) & (F.col("at") <= F.size("raw") - window))
-        placed = placed.select("doc_id", "mark", "raw", "at")
         keys = F.broadcast(keys)
     else:
-        starts = F.sequence(F.lit(0), F.size("raw") - window)
-        placed = texts.select("doc_id", "mark", "raw", F.explode(starts).alias("at"))
-    windows = placed.select("doc_id", "mark", "at", valued_window(F.col("raw"), F.col("at"), window).alias("tokens"))
+        lengths = items.select("size").distinct()
+        placed = texts.join(F.broadcast(lengths), F.size("raw") >= F.col("size"))
+        starts = F.sequence(F.lit(0), F.size("raw") - F.col("size"))
+        placed = placed.select("doc_id", "mark", "raw", "size", F.explode(starts).alias("at"))
+    placed = placed.where((F.col("at") >= 0) & (F.col("at") <= F.size("raw") - F.col("size")))
+    tokens = F.slice("raw", F.col("at") + 1, F.col("size")) if plain else valued_window(F.col("raw"), F.col("at"), F.col("size"))
+    windows = placed.select("doc_id", "mark", "at", "size", tokens.alias("tokens"))
     return windows.withColumn("hash", template_hash(F.col("tokens"))).join(keys, "hash")
 
 
-def find_leaks(
-    documents: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    min_coverage: float = MIN_COVERAGE,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """``(doc_id, mark, item_id, n_windows, n_matched, n_changed, coverage)``: the items
-    that documents hold; ``mark`` is a hash of the text, ``n_changed`` counts the item's
-    values that the document replaces."""
-    items = cut_lineage(item_windows(benchmark.select("item_id", "text"), window), "items")
+def window_hits(documents: DataFrame, benchmark: DataFrame, window: int, plain: bool, broadcast_rows: int) -> DataFrame:
+    """The windows of items in documents, with the diagonal; ``pairs`` of an item's
+    placeholders and the document's."""
+    items = cut_lineage(item_windows(benchmark, window, plain), "items")
     rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("text IS NOT NULL")
-    hits = matches(rows, items, window, items.count() <= broadcast_rows).select(
+    hits = matches(rows, items, plain, items.count() <= broadcast_rows).select(
         "doc_id",
         "mark",
         "item_id",
-        "n_windows",
+        F.lit(plain).alias("plain"),
         "item_at",
+        "size",
+        "n_tokens",
+        "n_covered",
+        "n_windows",
         (F.col("at") - F.col("item_at")).alias("diagonal"),
         F.arrays_zip(F.col("item_tokens").alias("theirs"), F.col("tokens").alias("ours")).alias("pairs"),
     )
@@ -189,36 +219,94 @@ def find_leaks(
         lambda p: (p["theirs"] == p["ours"])
         | (p["theirs"].startswith(MARK) & (F.substring(p["theirs"], 1, 2) == F.substring(p["ours"], 1, 2))),
     )
-    hits = cut_lineage(hits.where(same).distinct(), "hits")
+    slots = F.transform("pairs", lambda p, i: F.struct((F.col("item_at") + i).alias("place"), p["theirs"].alias("theirs"), p["ours"].alias("ours")))
+    slots = F.filter(slots, lambda p: p["theirs"].startswith(MARK))
+    return hits.where(same).withColumn("pairs", slots)
+
+
+def longest_run(ats: Column, size: Column) -> Column:
+    """Tokens in a row that windows of ``size`` at the sorted places ``ats`` cover."""
+    longest = F.aggregate(
+        ats,
+        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
+        lambda a, at: F.struct(
+            at.alias("last"),
+            F.when(at == a["last"] + 1, a["run"] + 1).otherwise(1).alias("run"),
+            F.greatest(a["most"], F.when(at == a["last"] + 1, a["run"] + 1).otherwise(1)).alias("most"),
+        ),
+        lambda a: a["most"],
+    )
+    return longest + size - 1
+
+
+def find_leaks(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    min_coverage: float = MIN_COVERAGE,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``(doc_id, mark, item_id, n_windows, n_matched, n_changed, coverage)``: the items
+    that documents hold; ``mark`` is a hash of the text, ``n_changed`` counts the item's
+    values that the document replaces, ``coverage`` is the share of tokens in matched windows."""
+    benchmark = benchmark.select("item_id", "text")
+    kinds = [window_hits(documents, benchmark, window, plain, broadcast_rows) for plain in (False, True)]
+    hits = cut_lineage(kinds[0].unionByName(kinds[1]).distinct(), "hits")
 
     line = ["doc_id", "mark", "item_id", "diagonal"]
-    slots = hits.select(*line, "item_at", F.posexplode("pairs").alias("inside", "pair"))
-    slots = slots.where(F.col("pair.theirs").startswith(MARK))
-    values = slots.groupBy(*line, F.col("pair.theirs").alias("theirs")).agg(
-        F.min("pair.ours").alias("low"),
-        F.max("pair.ours").alias("high"),
-        (F.min(F.col("item_at") + F.col("inside")) < F.max(F.col("item_at") + F.col("inside"))).alias("repeated"),
+    slots = hits.where("NOT plain").select(*line, F.inline("pairs"))
+    values = slots.groupBy(*line, "theirs").agg(
+        F.min("ours").alias("low"),
+        F.max("ours").alias("high"),
+        (F.min("place") < F.max("place")).alias("repeated"),
     )
-    unsteady = F.col("repeated") & (F.col("low") != F.col("high")) & ~F.col("theirs").startswith(LOOSE)
+    steady = F.col("low") == F.col("high")
+    unsteady = F.col("repeated") & ~steady & ~F.col("theirs").startswith(LOOSE)
+    named = F.col("repeated") & F.col("theirs").startswith(f"{MARK}p:")
     slots = values.groupBy(*line).agg(
         F.collect_list(F.when(unsteady, F.col("theirs"))).alias("unsteady"),
+        F.avg(F.when(named, steady.cast("double"))).alias("consistent"),
         F.sum((F.substring("low", 4, 2**30) != F.substring("theirs", 4, 2**30)).cast("long")).alias("changed"),
     )
     on = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in line]
     holds = F.exists("pairs", lambda p: F.array_contains("unsteady", p["theirs"]))
-    matched = (
+    whole = F.coalesce(F.col("consistent"), F.lit(1.0)) >= MIN_CONSISTENT
+    lines = (
         hits.alias("h")
-        .join(slots.alias("s"), on, "left")
+        .join(slots.alias("s"), [~F.col("h.plain"), *on], "left")
         .where(~F.coalesce(holds, F.lit(False)))
-        .groupBy("h.doc_id", "h.mark", "h.item_id")
+        .groupBy("h.doc_id", "h.mark", "h.item_id", "h.plain", "h.diagonal")
         .agg(
+            F.max("n_tokens").alias("n_tokens"),
+            F.max("n_covered").alias("n_covered"),
             F.max("n_windows").alias("n_windows"),
-            F.countDistinct("item_at").alias("n_matched"),
-            F.max(F.coalesce("changed", F.lit(0))).alias("n_changed"),
+            F.max("size").alias("size"),
+            F.sort_array(F.collect_set("item_at")).alias("ats"),
+            F.array_distinct(F.flatten(F.collect_list(window_places()))).alias("places"),
+            F.max(F.coalesce("changed", F.lit(0))).alias("changed"),
+            F.max(F.when(F.col("plain"), True).otherwise(whole)).alias("whole"),
         )
-        .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
     )
-    return matched.where(F.col("coverage") >= min_coverage)
+    places = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    found = lines.groupBy("doc_id", "mark", "item_id", "plain").agg(
+        F.max("n_tokens").alias("n_tokens"),
+        F.max("n_covered").alias("n_covered"),
+        F.max("n_windows").alias("n_windows"),
+        places("ats").cast("long").alias("n_matched"),
+        F.max_by("changed", F.struct(F.size("places"), -F.col("changed"))).alias("n_changed"),
+        places("places").alias("n_places"),
+        places(F.when(F.col("whole"), F.col("places"))).alias("n_steady"),
+        F.max(longest_run(F.col("ats"), F.col("size"))).alias("run"),
+    )
+    enough = (F.col("n_steady") >= min_coverage * F.col("n_covered")) & (
+        F.col("n_steady") >= F.least("n_tokens", F.lit(MIN_TOKENS))
+    )
+    found = found.where(enough | (F.col("run") >= MIN_RUN))
+    found = found.withColumn("coverage", F.col("n_places") / F.col("n_covered"))
+    best = F.struct("coverage", ~F.col("plain"))
+    columns = ["n_windows", "n_matched", "n_changed", "coverage"]
+    found = found.groupBy("doc_id", "mark", "item_id").agg(F.max_by(F.struct(*columns), best).alias("best"))
+    return found.select("doc_id", "mark", "item_id", "best.*")
 
 
 def drop_leaking(documents: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

@@ -276,3 +276,35 @@ def test_one_unsteady_value_costs_only_its_windows(spark):
 def test_names_of_several_words_are_one_name(spark):
     item = "we saw Anna walk to the shop and then Anna paid for the bread that Anna ate on the way"
     assert found_leaks(spark, [item.replace("Anna", "Eva Maria Braun")], [item]) == {(0, 0)}
+
+
+ITEM = (
+    "When the old miller came back from town he found that the water had run dry and nobody could tell him "
+    "why the big wheel still turned slowly through each night without any grain or flour left inside"
+)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 2**18])
+def test_edited_cut_and_recased_items_are_found(spark, broadcast_rows):
+    every = ITEM.split(" ")
+    texts = [
+        " ".join("zzz" if i % 10 == 5 else w for i, w in enumerate(every)),
+        " ".join(every[:20]),
+        ITEM.upper(),
+        ITEM.lower(),
+        " ".join(every[:12]),
+        " ".join(w if i % 5 else "zzz" for i, w in enumerate(every)),
+    ]
+    assert found_leaks(spark, texts, [ITEM], broadcast_rows=broadcast_rows) == {(0, 0), (1, 0), (2, 0), (3, 0)}
+    items = [
+        "one edit in the middle of a short item leaves no window of eight tokens",
+        "seven blue cats sleep",
+        "Anna Berta Clara 1 2 3 4 5 6 7 8",
+    ]
+    texts = [
+        "one edit in the middle of some short item leaves no window of eight tokens",
+        "it says that seven blue cats sleep here",
+        "Anna Berta Clara 1 2 3 4 5 6 7 8",
+        "seven blue dogs sleep",
+    ]
+    assert found_leaks(spark, texts, items, broadcast_rows=broadcast_rows) == {(0, 0), (1, 1), (2, 2)}
