@@ -8,9 +8,10 @@ neighbours that show a run's end or a pair's side.  All symbols determined insid
 window are consistent, so equal windows have the same ones at the same places; the
 window's anchor is its highest symbol, of these the one with the least hash.
 
-Spark then works round by round on names: count them, drop those met once, settle the
-contexts of a name, and compare single windows where contexts differ.  A window is
-removed if its words start earlier somewhere.
+All rounds run per text, in one Arrow function; no Spark round names runs or pairs, and
+symbols only choose anchors.  Spark then counts the names of anchors once, drops those met
+once, settles the contexts of a name by their hashes, and compares single windows where
+contexts differ.  A window is removed if its words start earlier somewhere.
 
 Defined cases: null and empty texts have no words (the digest of the empty text); texts
 shorter than a window lose nothing; a null id sorts first; rows with one id are told
