@@ -52,3 +52,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(new)
     centres = edges.select(F.col("b").alias("a"), "b").distinct()
     return edges.union(centres).select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def keep_firsts(documents: DataFrame, placed: DataFrame) -> DataFrame:
+    """``documents`` whose id is that of their component in ``placed (doc_id, component_id)``.
+
+    Rows that share an id are one document: they stay or go together.
+    """
+    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = cut_lineage(first.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("doc"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))
+    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").select("doc.*")

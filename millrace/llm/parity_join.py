@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
+from millrace.llm.components import components, keep_firsts
 from millrace.llm.spans import SpanHash, Texts, find_words, hash_words, mix, slices, spread_ranges
 from millrace.sources.scratch import cut_lineage
 
@@ -435,9 +435,4 @@ def keep_one(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     Rows that share an id are one document: they stay or go together.
     """
-    placed = jaccard_components(documents, size)
-    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = cut_lineage(first.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    rows = documents.select(F.struct(*[F.col(c) for c in documents.columns]).alias("doc"))
-    same = F.col("doc.doc_id").eqNullSafe(F.col("kept_id"))
-    return rows.join(kept.hint("shuffle_hash"), same, "left_semi").select("doc.*")
+    return keep_firsts(documents, jaccard_components(documents, size))

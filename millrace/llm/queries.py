@@ -14,6 +14,7 @@ from millrace.llm import (
     pieces,
     quality_rules,
     recompression,
+    simhash_balls,
     sql,
     suffix_dedup,
     toxicity,
@@ -132,3 +133,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_balls.simhash_components(table(spark, sf_dir, "documents"))
