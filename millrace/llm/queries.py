@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import (
+    conversation_repair,
     decontamination,
+    hard_negatives,
     line_spread,
     packed_ids,
     parity_join,
@@ -138,3 +140,29 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_balls.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text, copies)``: rows dropped (no copy), emptied, stripped of
+    sentence ends, repeated or given to the user, by a checksum of their place."""
+    blank = F.lit(" ")
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")])
+    kind = F.crc32(place.cast("binary")) % 20
+    role, text = F.coalesce("role", blank), F.coalesce("text", blank)
+    changed = F.when(kind <= 1, "").when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"), changed.alias("text"), copies.alias("copies")
+    )
+
+
+@query(sql.CONVERSATIONS)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(damaged(table(spark, sf_dir, "conversations")), F.col("copies"))
+
+
+@query(sql.NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)

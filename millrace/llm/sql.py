@@ -99,3 +99,121 @@ FROM documents LEFT JOIN cleaned USING (doc_id)
 
 #: No document is left whole for the share of its shared lines.
 WHOLE_LINES = LINES.replace(" AND hit_size <= 0.5 * length(text)", "")
+
+#: The repair as a recursion over turns: the cheapest, then least, edits per state
+#: (0 start, 1 system, 2 user, 3 assistant) and the turns that they leave.
+CONVERSATIONS = r"""
+WITH RECURSIVE places AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place
+  FROM conversations
+),
+sums AS (
+  SELECT *, xor(list_reduce(
+    list_transform(string_split(place, ''), lambda c: ascii(c)::BIGINT),
+    lambda sum, byte: list_reduce(
+      [xor(sum, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, step: xor(x >> 1, (x & 1) * 3988292384)),
+    4294967295::BIGINT), 4294967295) % 20 AS kind
+  FROM places
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM sums WHERE kind <> 0
+),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place
+  FROM damaged
+),
+faults AS (
+  SELECT *, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY place) AS previous,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM turns
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+),
+inserts(q, state, cost, edits, lines) AS (
+  VALUES (0, 0, 0, '', []), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']),
+         (1, 1, 0, '', []), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+         (2, 2, 0, '', []), (2, 3, 5, 'I', ['assistant:']),
+         (3, 3, 0, '', []), (3, 2, 5, 'I', ['user:'])
+),
+edits(state, op, initial, cost, next_state, new_role) AS (
+  VALUES (0, 'K', 's', 0, 1, NULL), (0, 'K', 'u', 0, 2, NULL), (1, 'K', 'u', 0, 2, NULL),
+         (2, 'K', 'a', 0, 3, NULL), (3, 'K', 'u', 0, 2, NULL),
+         (0, 'R', NULL, 1, 2, 'user'), (1, 'R', NULL, 1, 2, 'user'), (2, 'R', NULL, 1, 3, 'assistant'),
+         (3, 'R', NULL, 1, 2, 'user'),
+         (0, 'D', NULL, 2, 0, NULL), (1, 'D', NULL, 2, 1, NULL), (2, 'D', NULL, 2, 2, NULL), (3, 'D', NULL, 2, 3, NULL)
+),
+ways(conv_id, place, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM counts
+  UNION ALL
+  SELECT conv_id, place, best.next_state, best.cost, best.audit, best.lines FROM (
+    SELECT ways.conv_id, ways.place + 1 AS place, edits.next_state, min(struct_pack(
+      cost := ways.cost + inserts.cost + edits.cost + CASE WHEN faults.fault = 'truncated' AND op <> 'D' THEN 5 ELSE 0 END,
+      audit := ways.audit || inserts.edits || op,
+      next_state := edits.next_state,
+      lines := ways.lines || inserts.lines
+        || CASE WHEN op = 'D' THEN [] ELSE [coalesce(new_role, faults.role) || ':' || faults.text] END)) AS best
+    FROM ways
+    JOIN faults ON faults.conv_id IS NOT DISTINCT FROM ways.conv_id AND faults.place = ways.place + 1
+    JOIN inserts ON inserts.q = ways.state
+    JOIN edits ON edits.state = inserts.state AND (op <> 'K' OR edits.initial = faults.initial)
+      AND (op = 'D' OR faults.fault NOT IN ('blank', 'duplicate'))
+    GROUP BY ways.conv_id, ways.place, edits.next_state
+  )
+),
+ends AS (
+  SELECT ways.conv_id, min(struct_pack(cost := ways.cost + inserts.cost, audit := ways.audit || inserts.edits,
+                                       lines := ways.lines || inserts.lines)) AS best
+  FROM ways
+  JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ways.conv_id AND counts.n = ways.place
+  JOIN inserts ON inserts.q = ways.state AND inserts.state IN (0, 3)
+  GROUP BY ways.conv_id
+),
+names AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT names.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(ends.best.cost, 0)::BIGINT AS cost, coalesce(ends.best.audit, '') AS audit,
+       sha256(coalesce(array_to_string(ends.best.lines, chr(10)), '')) AS repaired_sha256
+FROM names
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM names.conv_id
+LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM names.conv_id
+"""
+
+NEGATIVES = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS place, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS whole
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.place, a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_inner_product(a.whole, b.whole)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.place <> b.place
+  WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT place, anchor_id, other_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY place ORDER BY score DESC, other_id NULLS FIRST) AS number
+  FROM scores WHERE same QUALIFY number <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.place, number ORDER BY score DESC, other_id NULLS FIRST)::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores n ON n.place = p.place AND NOT n.same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
