@@ -37,11 +37,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.spans import (
-    BYTE_CODE,
     LOWER,
-    SpanHash,
     Texts,
-    distinct,
+    distinct_spans,
     find_words,
     slices,
     span_strings,
@@ -148,7 +146,7 @@ class WordIds:
     """Ids of words by a tokenizer for which white space separates tokens.
 
     A part's ids do not depend on its neighbours, so a worker tokenizes a part once
-    and remembers its ids by a 64-bit hash, up to ``REMEMBERED`` parts (see ``find_parts``).
+    and remembers its ids by two hashes, up to ``REMEMBERED`` parts (see ``find_parts``).
     """
 
     def __init__(self, path: str) -> None:
@@ -171,7 +169,8 @@ class WordIds:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # hashes of the parts known, ascending
+        self.keys = np.zeros(0, np.uint64)  # first hashes of the parts known, ascending
+        self.second = np.zeros(0, np.uint64)
         self.row = np.zeros(0, np.int64)  # where their ids are
         self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
@@ -208,36 +207,47 @@ class WordIds:
         whole[~from_odd] = ids
         return whole, sizes
 
-    def rows(self, keys: np.ndarray, names: Callable[[np.ndarray], list[str]]) -> np.ndarray:
-        """The row of the ids of each part, given as ascending hashes; ``names`` gives the
-        strings of those that are not remembered and hence are tokenized."""
-        at = np.searchsorted(self.keys, keys)
-        new = np.flatnonzero(~self.known(keys, at))
+    def rows(self, one: np.ndarray, two: np.ndarray, names: Callable[[np.ndarray], list[str]]) -> np.ndarray:
+        """The row of the ids of each part, given by its hashes; ``names`` gives the strings
+        of those that are not remembered and hence are tokenized.
+
+        Of parts with one first hash, the first to come is remembered.
+        """
+        at, same = self.find(one)
+        new = np.flatnonzero(~(same & (self.second_at(at) == two)))
         if len(self.keys) + len(new) > REMEMBERED:
             self.forget()
-            at, new = np.zeros(len(keys), np.int64), np.arange(len(keys))
+            at, same, new = np.zeros(len(one), np.int64), np.zeros(len(one), bool), np.arange(len(one))
+        row = np.where(same, self.row[np.minimum(at, len(self.row) - 1)] if len(self.row) else -1, -1)
         if len(new):
             ids, sizes = self.tokenize(names(new))
-            row = len(self.first) - 1 + np.arange(len(new))
-            self.row = np.insert(self.row, at[new], row)
-            self.keys = np.insert(self.keys, at[new], keys[new])
+            row[new] = len(self.first) - 1 + np.arange(len(new))
             self.ids = np.concatenate([self.ids, ids])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        return self.row[np.searchsorted(self.keys, keys)]
-
-    def known(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+            fresh = new[~same[new]]
+            fresh = fresh[np.unique(one[fresh], return_index=True)[1]]
+            self.row = np.insert(self.row, at[fresh], row[fresh])
+            self.second = np.insert(self.second, at[fresh], two[fresh])
+            self.keys = np.insert(self.keys, at[fresh], one[fresh])
+        return row
+
+    def find(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each first hash, and whether it is there."""
+        at = np.searchsorted(self.keys, one)
         if not len(self.keys):
-            return np.zeros(len(keys), bool)
-        return self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+            return at, np.zeros(len(one), bool)
+        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == one
+
+    def second_at(self, at: np.ndarray) -> np.ndarray:
+        if not len(self.second):
+            return np.zeros(len(at), np.uint64)
+        return self.second[np.minimum(at, len(self.second) - 1)]
 
     def encode(self, texts: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice with the end id, and how many each text has."""
         data, start, stop = find_parts(texts, self.parted)
-        keys = SpanHash(BYTE_CODE[data]).of(start, stop)
-        where, back = distinct(keys)
-        row = self.rows(
-            keys[where], lambda new: span_strings(data, start[where[new]], stop[where[new]]).to_pylist()
-        )
+        one, two, where, back = distinct_spans(data, start, stop)
+        row = self.rows(one, two, lambda new: span_strings(data, start[where[new]], stop[where[new]]).to_pylist())
         # After the parts of each text comes the end id, the last row of the table.
         ends = np.searchsorted(start, texts.start[1:])
         sequence = np.insert(row[back], ends, len(self.first) - 1)

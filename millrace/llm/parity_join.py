@@ -12,7 +12,8 @@ other seeds, finally by all of its shingles, so no pair of such sets is lost.
 A second sketch of one parity bit per cell bounds the difference of a candidate pair
 from below (its Hamming distance) before the pair's texts are compared exactly.
 
-Equal sets are one node.  In a key's group, pairs are not enumerated: all members are
+Equal sets are one node, named by a hash; sets that another hash tells apart are nodes of
+their own.  In a key's group, pairs are not enumerated: all members are
 compared with one pivot, the one that shares most keys with most others; then only the
 strays, members still outside the group's largest component, with members of other
 components.  With more than ``MOST_STRAYS`` of them, their sketches are compared in blocks
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import components, keep_firsts
 from millrace.llm.spans import SpanHash, Texts, find_words, hash_words, mix, slices, spread_ranges
-from millrace.sources.scratch import cut_lineage
+from millrace.sources.scratch import cut_lineage, free_table
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= 80 * union.
@@ -69,9 +70,21 @@ class Shingles:
         self.count = np.bincount(self.text, minlength=n)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
-    def nodes(self) -> np.ndarray:
-        """A 64-bit hash of each text's set."""
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hash), dtype=np.uint64)])
+    def nodes(self, clashing: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each text's set; one of ``clashing`` is mixed with ``checks``."""
+        nodes = self.set_hashes(0)
+        if clashing is not None and len(clashing):
+            shared = np.isin(nodes, clashing)
+            nodes[shared] = mix(nodes[shared] ^ mix(self.checks()[shared]))
+        return nodes
+
+    def checks(self) -> np.ndarray:
+        """Another hash of each set, independent of the first."""
+        return self.set_hashes(1)
+
+    def set_hashes(self, seed: int) -> np.ndarray:
+        own = mix(self.hash ^ np.uint64(seed * 0xD1B54A32D192ED03))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(own, dtype=np.uint64)])
         return mix((total[self.first[1:]] - total[self.first[:-1]]) ^ mix(self.count.astype(np.uint64)))
 
 
@@ -154,16 +167,26 @@ def bit_sketches(shingles: Shingles) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(border), pa.py_buffer(data)])
 
 
-def hamming(a: bytes, b: bytes) -> int:
-    """Cells in which two bit sketches differ; the longer one is folded first."""
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def hamming(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Cells in which the bit sketches of each pair differ; the longer one is folded first."""
+    sketches = [x.to_pylist() for x in (a, b)]
+    sizes = np.array([[len(s) // 8 for s in x] for x in sketches], np.int64).reshape(2, -1)
+    found = np.zeros(len(a), np.int64)
+    for widths in np.unique(sizes, axis=1).T:
+        rows = np.flatnonzero((sizes == widths[:, None]).all(axis=0))
+        narrow = widths.min()
+        one, two = (
+            np.bitwise_xor.reduce(
+                np.frombuffer(b"".join([x[i] for i in rows]), np.uint64).reshape(len(rows), -1, narrow), axis=1
+            )
+            for x in sketches
+        )
+        found[rows] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+    return found
 
 
 def set_table(rows: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, id, n, node, sketch)`` of every document."""
+    """``(doc_id, id, n, node, check, sketch)`` of every document."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,15 +195,62 @@ def set_table(rows: DataFrame, size: int) -> DataFrame:
                 columns = [
                     texts.rows.column("doc_id"), texts.rows.column("id"),
                     pa.array(shingles.count.astype(np.int64)),
-                    pa.array(shingles.nodes().view(np.int64)), bit_sketches(shingles),
+                    *(pa.array(x.view(np.int64)) for x in (shingles.nodes(), shingles.checks())), bit_sketches(shingles),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    schema = rows.select("doc_id", "id").schema.add("n", "long").add("node", "long").add("sketch", "binary")
+    schema = rows.select("doc_id", "id").schema
+    for name in ("n", "node", "check"):
+        schema = schema.add(name, "long")
+    schema = schema.add("sketch", "binary")
     return rows.select("doc_id", "id", "text").mapInArrow(measure, schema)
 
 
-def key_table(rows: DataFrame, size: int) -> DataFrame:
+def told_apart(sets: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """``sets`` whose node stands for one set only, and the hashes that several sets have.
+
+    Of ``n`` sets about ``n * n / 2**65`` share a hash, ten of 2 * 10**10: few enough to be
+    known to every task.
+    """
+    hashes = sets.groupBy("node").agg((F.min("check") != F.max("check")).alias("several"))
+    clashing = hashes.where("several").select("node").toArrow().column("node").to_numpy().view(np.uint64)
+    if not len(clashing):
+        return sets, clashing
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, check = (batch.column(c).to_numpy().view(np.uint64).copy() for c in ("node", "check"))
+            shared = np.isin(node, clashing)
+            node[shared] = mix(node[shared] ^ mix(check[shared]))
+            place = batch.schema.get_field_index("node")
+            yield batch.set_column(place, "node", pa.array(node.view(np.int64)))
+
+    return cut_lineage(sets.mapInArrow(rename, sets.schema), "sets"), clashing
+
+
+def node_texts(rows: DataFrame, nodes: DataFrame, size: int, clashing: np.ndarray) -> DataFrame:
+    """``(node, text)``: a text of each of ``nodes``, from the rows that have its id.
+
+    Rows that share an id may have other texts, so each text's own node decides.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # equal sets of a task give one text
+        for batch in batches:
+            for texts in slices(batch):
+                own = Shingles(texts, size).nodes(clashing).view(np.int64)
+                right = own == texts.rows.column("node").to_numpy()
+                for i in np.flatnonzero(right).tolist():
+                    right[i] = int(own[i]) not in seen
+                    seen.add(int(own[i]))
+                yield texts.rows.select(["node", "text"]).filter(pa.array(right))
+
+    found = rows.select("id", "text").join(nodes.select("id", "node").hint("shuffle_hash"), "id")
+    found = found.select("node", "text").mapInArrow(keep, "node long, text string")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def key_table(rows: DataFrame, size: int, clashing: np.ndarray) -> DataFrame:
     """``(key, node)``: the join keys of every set, without keys that only one set has."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +258,7 @@ def key_table(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for texts in slices(batch):
                 shingles = Shingles(texts, size)
-                nodes = shingles.nodes().view(np.int64)
+                nodes = shingles.nodes(clashing).view(np.int64)
                 new = np.zeros(len(texts), bool)
                 for i, node in enumerate(nodes.tolist()):
                     new[i] = node not in seen
@@ -308,9 +378,8 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "most")]
-            keep = [hamming(x, y) <= most for x, y, most in zip(*columns)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = hamming(batch.column("sketch_a"), batch.column("sketch_b")) <= batch.column("most").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return sized.select("a", "b", "sketch_a", "sketch_b", "most").mapInArrow(sift, "a long, b long")
 
@@ -404,17 +473,18 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    sets = cut_lineage(set_table(rows, size), "sets")
-    keys = cut_lineage(key_table(rows, size), "keys")
+    sets, clashing = told_apart(cut_lineage(set_table(rows, size), "sets"))
+    keys = cut_lineage(key_table(rows, size, clashing), "keys")
     candidates = keys.select("node").distinct()
     filled = sets.where("n > 0")
     nodes = filled.groupBy("node").agg(
         F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")
     )
     nodes = cut_lineage(nodes.join(candidates, "node", "left_semi"), "nodes")
-    texts = rows.select("id", "text").join(nodes.select("id", "node").hint("shuffle_hash"), "id")
-    texts = cut_lineage(texts.select("node", "text"), "texts")
+    texts = cut_lineage(node_texts(rows, nodes, size, clashing), "texts")
     classes = link(keys, nodes, texts, size)
+    for done in (keys, nodes, texts):
+        free_table(done)
 
     # A document's class is its set's node, or the component that the node is in.
     if classes is not None:
@@ -423,7 +493,8 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE) -> DataFrame:
     else:
         filled = filled.withColumn("class", F.col("node"))
     members = filled.select("doc_id", "id", "n", "class")
-    firsts = members.groupBy("class").agg(F.min("id").alias("component"))
+    # A written table: the join below can then split a class of very many documents.
+    firsts = cut_lineage(members.groupBy("class").agg(F.min("id").alias("component")), "firsts")
     placed = members.join(firsts, "class").select("doc_id", "id", "n", "component")
     alone = sets.where("n = 0").select("doc_id", "id", "n", F.col("id").alias("component"))
     component = F.when(F.col("component") != NO_ID, F.col("component"))

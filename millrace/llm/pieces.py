@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import BYTE_CODE, SpanHash, Texts, distinct, slices, span_strings, take_ranges
+from millrace.llm.spans import BYTE_CODE, FIRST, SECOND, SpanHash, Texts, distinct_spans, slices, span_strings, take_ranges
 from millrace.sources.scratch import cut_lineage, free_table
 
 MARKER = "▁"
@@ -42,7 +42,6 @@ MARKER = "▁"
 TABLE_ROWS = 2**18
 
 SLICE = 2**22
-SECOND_CODE = BYTE_CODE[::-1].copy()
 
 # Counts up to EXACT have a bin each in the histogram, larger ones a bin per power of two.
 EXACT = 4096
@@ -93,10 +92,7 @@ class Chunks:
 
     def distinct(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Two hashes of each distinct chunk, one place of it, and each chunk's number."""
-        one = SpanHash(BYTE_CODE[texts.data]).of(self.start, self.end)
-        where, back = distinct(one)
-        two = SpanHash(SECOND_CODE[texts.data]).of(self.start[where], self.end[where])
-        return one[where], two, where, back
+        return distinct_spans(texts.data, self.start, self.end)
 
 
 def marked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -176,8 +172,8 @@ def chunk_table(documents: DataFrame, path: str, rows: int = TABLE_ROWS) -> Chun
                 start, end = texts.start[:-1], texts.start[1:]
                 ids = pieces.segment(texts.rows.column("chunk").to_pylist())
                 hashes = [
-                    pa.array(SpanHash(code[texts.data]).of(start, end).view(np.int64))
-                    for code in (BYTE_CODE, SECOND_CODE)
+                    pa.array(SpanHash(BYTE_CODE[texts.data], bases).of(start, end).view(np.int64))
+                    for bases in (FIRST, SECOND)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [*hashes, pa.array(ids, pa.list_(pa.int32()))], ["one", "two", "ids"]

@@ -111,13 +111,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(line_spread.marked_documents(table(spark, sf_dir, "documents")))
 
 
-@query(sql.WHOLE_LINES)
-def op10_whole_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op10_line_dedup`` without sparing documents that are mostly shared lines."""
-    documents = table(spark, sf_dir, "documents")
-    return line_digests(line_spread.marked_documents(documents, most_share=line_spread.NONE_SPARED))
-
-
 @query()
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(table(spark, sf_dir, "documents")).select(

@@ -41,7 +41,8 @@ from millrace.llm.anchors import (
     settled,
 )
 from millrace.llm.spans import (
-    BYTE_CODE,
+    FIRST,
+    SECOND,
     SpanHash,
     Texts,
     Words,
@@ -203,11 +204,11 @@ def window_rows(rows: DataFrame, unsettled: DataFrame, window: int) -> DataFrame
             for texts in slices(batch):
                 words = find_words(texts)
                 one = hash_words(texts, words)
-                two = SpanHash(BYTE_CODE[::-1][texts.data]).of(words.start, words.end)
+                two = hash_words(texts, words, bases=SECOND)
                 text, lo, m = found_ranges(texts.rows)
                 place, owner = spread_ranges(lo, m)
                 at = place + words.first[text[owner]]
-                h1, h2 = (SpanHash(h).of(at, at + window) for h in (one, two))
+                h1, h2 = (SpanHash(h, bases).of(at, at + window) for h, bases in ((one, FIRST), (two, SECOND)))
                 same = mix(h1 ^ mix(text[owner].astype(np.uint64)))
                 order = np.lexsort((place, same))
                 again = np.zeros(len(same), bool)

@@ -1,4 +1,4 @@
-"""Words and lines of Arrow text batches as numpy spans with 64-bit hashes.
+"""Words and lines of Arrow text batches as numpy spans with 62-bit hashes.
 
 A batch is cut into slices of a few MB of text (one text at least), so the working
 arrays of a task stay within a small multiple of ``SLICE_BYTES`` or, if that is
@@ -14,16 +14,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2**21
+SLICE_BYTES = 2**20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-MASK = 2**64 - 1
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 2**64)
+BASE = 0x9E3779B97F4A7C15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,38 +37,76 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 LOWER_CODE = BYTE_CODE[LOWER]
 
 
+#: Spans are hashed modulo this prime, in two lanes with a base and half of a code each.
+PRIME = np.uint64(2**31 - 1)
+LANE_BITS = np.uint64(31)
+CODE_SHIFTS = (np.uint64(0), np.uint64(33))
+#: Bases of the lanes, all of them generators modulo the prime; hashes under ``FIRST`` and
+#: ``SECOND`` are independent of each other.
+FIRST = (742938285, 950706376)
+SECOND = (1226874159, 62089911)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**32 (2**33 if ``x`` has 63 bits) that equal ``x`` modulo the prime."""
+    low = x & PRIME
+    low += x >> LANE_BITS
+    return low
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for numbers of 63 bits."""
+    x = folded(folded(x))
+    x[x >= PRIME] -= PRIME
+    return x
+
+
 class Powers:
-    """Powers of the hash base and of its inverse, grown as longer arrays come."""
+    """Powers of a base and of its inverse modulo the prime, grown as longer arrays come."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base = base
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, SLICE_BYTES + 1)
-            self.up = np.full(size, BASE, np.uint64)
-            self.down = np.full(size, BASE_INVERSE, np.uint64)
-            self.up[0] = self.down[0] = 1
-            np.multiply.accumulate(self.up, out=self.up)
-            np.multiply.accumulate(self.down, out=self.down)
+        while len(self.up) <= n:
+            size, prime = len(self.up), int(PRIME)
+            step = pow(self.base, size, prime)
+            self.up = np.append(self.up, reduced(self.up * np.uint64(step)))
+            self.down = np.append(self.down, reduced(self.down * np.uint64(pow(step, -1, prime))))
         return self.up, self.down
 
 
-POWERS = Powers()
+POWERS = {base: Powers(base) for base in FIRST + SECOND}
 
 
 class SpanHash:
-    """Hashes of spans of a sequence of 64-bit codes: equal spans, equal hashes."""
-
-    def __init__(self, codes: np.ndarray) -> None:
-        up, self.down = POWERS.upto(len(codes))
-        self.total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.total[1:])
+    """Hashes of spans of a sequence of 64-bit codes: equal spans, equal hashes.
+
+    Polynomials modulo a prime: unlike modulo a power of two, no fixed pair of long
+    sequences has equal hashes whatever the codes of its symbols.
+    """
+
+    def __init__(self, codes: np.ndarray, bases: tuple[int, int] = FIRST) -> None:
+        n = len(codes)
+        self.down, self.total = [], []
+        for base, shift in zip(bases, CODE_SHIFTS):
+            up, down = POWERS[base].upto(n)
+            term = (codes >> shift) & PRIME
+            term *= up[:n]
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(folded(term), out=total[1:])
+            self.down.append(down)
+            self.total.append(total)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        plain = (self.total[end] - self.total[start]) * self.down[start]
-        return mix(plain ^ ((end - start).astype(np.uint64) << np.uint64(40)))
+        lanes = []
+        for total, down in zip(self.total, self.down):
+            # Prefix sums stay below 2**63 for up to 2**31 codes.
+            lanes.append(reduced(reduced(total[end] - total[start]) * down[start]))
+        plain = lanes[0] << LANE_BITS | lanes[1]
+        return mix(plain ^ ((end - start).astype(np.uint64) * np.uint64(BASE)))
 
 
 @dataclass
@@ -137,9 +173,9 @@ def find_words(texts: Texts) -> Words:
     return Words(start, np.flatnonzero(closes) + 1, np.searchsorted(start, texts.start))
 
 
-def hash_words(texts: Texts, words: Words, lower: bool = False) -> np.ndarray:
+def hash_words(texts: Texts, words: Words, lower: bool = False, bases: tuple[int, int] = FIRST) -> np.ndarray:
     codes = (LOWER_CODE if lower else BYTE_CODE)[texts.data]
-    return SpanHash(codes).of(words.start, words.end)
+    return SpanHash(codes, bases).of(words.start, words.end)
 
 
 def window_hashes(hashes: np.ndarray, words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,3 +223,42 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
     return order[new], number
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after the other, and the borders between them."""
+    place, _ = spread_ranges(start, end - start)
+    return data[place], np.concatenate([[0], np.cumsum(end - start)])
+
+
+def differ(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has other bytes than the span numbered ``other[i]``."""
+    size = end - start
+    apart = size != size[other]
+    place, owner = spread_ranges(start, np.where(apart, 0, size))
+    unequal = data[place] != data[place + (start[other] - start)[owner]]
+    apart[owner[unequal]] = True
+    return apart
+
+
+def distinct_spans(
+    data: np.ndarray, start: np.ndarray, end: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each distinct span, a place of it, and each span's number.
+
+    Spans are grouped by the first hash, in ascending order, and compared byte by byte with
+    the first of their group; any that differ from it are groups of their own, at the end.
+    """
+    one = SpanHash(BYTE_CODE[data]).of(start, end)
+    where, number = distinct(one)
+    odd = np.flatnonzero(differ(data, start, end, where[number]))
+    if len(odd):
+        found: dict[bytes, int] = {}
+        for i in odd.tolist():
+            name = one[i].tobytes() + data[start[i] : end[i]].tobytes()
+            number[i] = found.setdefault(name, len(where))
+            if number[i] == len(where):
+                where = np.append(where, i)
+    bytes_, border = joined(data, start[where], end[where])
+    two = SpanHash(BYTE_CODE[bytes_], SECOND).of(border[:-1], border[1:])
+    return one[where], two, where, number

@@ -87,19 +87,14 @@ spread AS (
 marked AS (SELECT lines.*, spread.line IS NOT NULL AS hit FROM lines LEFT JOIN spread USING (line)),
 cleaned AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit,
-         coalesce(sum(length(line)) FILTER (hit), 0) AS hit_size,
          coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT hit), '') AS kept
   FROM marked GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines,
-       CASE WHEN n_hit > 0 AND hit_size <= 0.5 * length(text) THEN n_hit ELSE 0 END AS n_removed,
-       md5(CASE WHEN n_hit > 0 AND hit_size <= 0.5 * length(text) THEN kept ELSE text END) AS kept_md5
+       coalesce(n_hit, 0) AS n_removed, md5(CASE WHEN n_hit > 0 THEN kept ELSE text END) AS kept_md5
 FROM documents LEFT JOIN cleaned USING (doc_id)
 """
 
-#: No document is left whole for the share of its shared lines.
-WHOLE_LINES = LINES.replace(" AND hit_size <= 0.5 * length(text)", "")
-
 #: The repair as a recursion over turns: the cheapest, then least, edits per state
 #: (0 start, 1 system, 2 user, 3 assistant) and the turns that they leave.
 CONVERSATIONS = r"""

@@ -41,7 +41,7 @@ from millrace.llm.anchors import (
     settled,
     sliding_min,
 )
-from millrace.llm.spans import BYTE_CODE, SpanHash, Texts, mix, slices, spread_ranges
+from millrace.llm.spans import BYTE_CODE, FIRST, SECOND, SpanHash, Texts, mix, slices, spread_ranges
 from millrace.llm.suffix_sort import sort_suffixes
 from millrace.sources.scratch import cut_lineage
 
@@ -180,7 +180,7 @@ def hashed_repeats(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "piece"):
                 at, row = spread_ranges(part.start[:-1], part.rows.column("m").to_numpy().astype(np.int64))
-                hashes = [SpanHash(code[part.data]).of(at, at + length).view(np.int64) for code in (BYTE_CODE, BYTE_CODE[::-1])]
+                hashes = [SpanHash(BYTE_CODE[part.data], b).of(at, at + length).view(np.int64) for b in (FIRST, SECOND)]
                 lo = part.rows.column("lo").to_numpy()[row] + at - part.start[:-1][row]
                 columns = (*hashes, *(part.rows.column(c).to_numpy()[row] for c in ("id", "mark")), lo.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "id", "mark", "lo"])

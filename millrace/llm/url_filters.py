@@ -8,7 +8,7 @@ its urls, except those that a rule allows explicitly.
 Urls are compared without scheme and fragment.  Edges come from the pages themselves
 (``<link rel=canonical>``, ``<meta http-equiv=refresh>``) and from tables of redirects.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, fits no
+Defined cases: the same rule given as allow and block allows; a null url, or one without ``://``, has an empty host and path, fits no
 rule and is allowed; null html has no links; an unresolvable link is ignored; repeated
 rows get the same verdict; no rules or no pages are fine; extra columns are not read.
 """
@@ -109,14 +109,17 @@ def longest_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
+    # A rule that is given as both allows.
+    allows = (F.col("rule_verdict") == "allow").alias("allows")
     found = (
         places.withColumn("rule_host", F.explode(parents))
         .join(rules, "rule_host")
         .where(F.col("path").startswith(F.col("rule_path")))
         .groupBy("host", "path")
-        .agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "rule_verdict")).alias("best"))
+        .agg(F.max(F.struct(F.length("rule").alias("size"), "rule", allows)).alias("best"))
     )
-    return found.select("host", "path", "best.rule", "best.rule_verdict")
+    verdict = F.when(F.col("best.allows"), "allow").otherwise("block")
+    return found.select("host", "path", "best.rule", verdict.alias("rule_verdict"))
 
 
 def blocked_aliases(edges: DataFrame, rules: DataFrame) -> DataFrame:
@@ -152,15 +155,16 @@ def judge_urls(
         "page_id", url_host(url).alias("host"), url_path(url).alias("path"), url_node(url).alias("node")
     )
     aliases = blocked_aliases(edges, table).withColumn("alias_blocked", F.lit(True))
-    return (
-        places.join(longest_rule(places, table), ["host", "path"], "left")
-        .join(aliases, "node", "left")
-        .select(
-            "page_id",
-            "host",
-            "path",
-            "rule",
-            F.coalesce("rule_verdict", F.when(F.col("alias_blocked"), "block").otherwise("allow")).alias("verdict"),
-            F.coalesce("alias_blocked", F.lit(False)).alias("alias_blocked"),
-        )
+    named = places.where("node IS NOT NULL")
+    judged = named.join(longest_rule(named, table), ["host", "path"], "left").join(aliases, "node", "left")
+    # Urls without a host fit nothing and would all meet in one task.
+    nameless = places.where("node IS NULL")
+    nothing = {c: F.lit(None).cast(dict(judged.dtypes)[c]) for c in ("rule", "rule_verdict", "alias_blocked")}
+    return judged.unionByName(nameless.withColumns(nothing)).select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce("rule_verdict", F.when(F.col("alias_blocked"), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("alias_blocked", F.lit(False)).alias("alias_blocked"),
     )

@@ -4,11 +4,18 @@ import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+#: Words whose polynomials modulo a power of two are equal whatever their letters count.
+THUE_MORSE = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+COMPLEMENT = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+
 #: Texts that every operator must stand: null, empty, blank, one word, long, odd bytes.
 ODD_TEXTS = [
     None, "", " \n\t ", "x", "A", "a b c d", "x " * 300, "x " * 157 + "y " + "x " * 160,
     "a b " * 120, "a a b b " * 50, "é" * 300, "ab" * 240, "x" * 5000, "é 日本語 \u0000 👍🏽  👍",
     "line one here\nline two here\n\nline one here\nline two here",
+    THUE_MORSE, COMPLEMENT, f"{THUE_MORSE}\n{COMPLEMENT}\n{THUE_MORSE}",
+    *(" ".join([word, *map(str, range(30))]) for word in (THUE_MORSE, COMPLEMENT)),
+    *(" ".join(word) for word in (THUE_MORSE, COMPLEMENT)),
 ]
 
 

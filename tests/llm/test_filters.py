@@ -76,6 +76,19 @@ def test_redirect_tables_and_no_pages(spark):
     assert url_filters.judge_urls(pages.limit(0), queries.RULES, hops).collect() == []
 
 
+def test_a_rule_given_twice_allows_and_long_urls_are_judged(spark):
+    long_path = "x/" * 200_000
+    urls = ["http://a.org/x/1", "http://b.org/" + long_path, "http://" + "s." * 300 + "c.org/y", "http://c.org/", None, "nohost"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    both = [("allow", "a.org/x/"), ("block", "a.org/x/"), ("block", "b.org/x/x/"), ("block", "c.org/y")]
+    for rules in (both, both[::-1]):
+        verdicts = {r.page_id: (r.verdict, r.rule) for r in url_filters.judge_urls(pages, rules).collect()}
+        assert verdicts == {
+            0: ("allow", "a.org/x/"), 1: ("block", "b.org/x/x/"), 2: ("block", "c.org/y"), 3: ("allow", None),
+            4: ("allow", None), 5: ("allow", None),
+        }
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (160, 159), (159, 160)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -173,12 +186,8 @@ def brute_lines(rows, min_sites):
     for doc_id, text, _ in rows:
         lines = (text or "").split("\n")
         hit = [bool(words(x)) and len(sites[x]) >= min_sites for x in lines]
-        size = sum(len(x) for x, h in zip(lines, hit) if h)
-        minor = text is not None and any(hit) and size <= 0.5 * len(text)
-        yield (
-            order(doc_id), 0 if text is None else len(lines), sum(hit) if minor else 0,
-            "\n".join(x for x, h in zip(lines, hit) if not h) if minor else text,
-        )
+        kept = "\n".join(x for x, h in zip(lines, hit) if not h) if any(hit) else text
+        yield order(doc_id), 0 if text is None else len(lines), sum(hit), kept
 
 
 @pytest.mark.parametrize("near", [0.25, 10.0])

@@ -110,6 +110,32 @@ def test_no_documents(odd_rows):
     assert found(odd_rows.limit(0)) == []
 
 
+def test_rows_that_share_an_id_have_texts_of_their_own(spark):
+    random.seed(6)
+    rows = []
+    for i in range(40):
+        one, two = ([f"w{random.randint(0, 500)}" for _ in range(30)] for _ in range(2))
+        near = [*one[:-1], "changed"]
+        rows += [(i, " ".join(x)) for x in random.sample([one, two], 2)] + [(1000 + i, " ".join(near))]
+    rows += [(7, rows[0][1])] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert found(df) == brute(pairs(df))
+
+
+def test_sets_that_share_a_hash_are_told_apart(small_documents):
+    """With a first hash of three bits, only the second one tells sets apart."""
+    rows = small_documents.selectExpr("doc_id", "doc_id AS id", "text")
+    sets = parity_join.set_table(rows, 5)
+    apart, clashing = parity_join.told_apart(sets.withColumn("node", sets["node"].bitwiseAND(7)))
+    assert sorted(clashing.tolist()) == list(range(8))
+    assert apart.select("node").distinct().count() == sets.select("check").distinct().count()
+    batch = pa.record_batch({"text": pa.array(["one two three four five", "x", "six seven eight nine ten"])})
+    own = parity_join.Shingles(next(slices(batch)), 5)
+    plain, moved = own.nodes(), own.nodes(own.nodes()[1:2])
+    assert (plain == moved).tolist() == [True, False, True]
+    assert moved[1] == parity_join.mix(plain[1:2] ^ parity_join.mix(own.checks()[1:2]))[0]
+
+
 def test_one_document_of_each_group_stays(spark):
     df = frame(spark, ["a b c d e f", "A b c d e f", None, "", "q r s t u v"])
     assert sorted(r.doc_id for r in parity_join.keep_one(df).collect()) == [0, 2, 3, 4]
@@ -141,5 +167,5 @@ def test_bit_sketches_bound_the_difference():
         n, m = random.randint(1, 300), random.randint(1, 300)
         lists = [["a%d" % i for i in range(n)], ["a%d" % i for i in range(m)] + ["b%d" % i for i in range(random.randint(0, 50))]]
         batch = pa.record_batch({"text": pa.array([" ".join(x) for x in lists])})
-        one, two = parity_join.bit_sketches(parity_join.Shingles(next(slices(batch)), 1)).to_pylist()
-        assert parity_join.hamming(one, two) <= len(set(lists[0]) ^ set(lists[1]))
+        sketches = parity_join.bit_sketches(parity_join.Shingles(next(slices(batch)), 1))
+        assert parity_join.hamming(sketches[:1], sketches[1:])[0] <= len(set(lists[0]) ^ set(lists[1]))
