@@ -177,3 +177,75 @@ def draw(probs: Column, u: Column, blocks: Column | None = None, block: int = DR
         return F.coalesce(token, rest, F.get(probs, F.size(probs) - 1)["token_id"])
 
     return bind(F.aggregate(blocks, start, find_block), find_token)
+
+
+def choose_rank(
+    levels: Column, u: Column, temperature: Setting = 1.0, top_k: Setting = -1, top_p: Setting = 1.0
+) -> Column:
+    """The rank, from 1, that ``u`` draws from counted successors.
+
+    ``levels`` are ``array<struct<first, n, m>>`` by falling ``n``: the ``m`` successors with
+    the count ``n`` have the ranks from ``first`` on.  Their logits are log counts, so all of a
+    level weigh the same whatever the settings, and filters and draw need the levels only:
+    the top k with ties are whole levels, and the nucleus ends inside one of them.  Filters
+    as in ``filter_candidates``, draw as in ``draw``; all in doubles, NULL without levels.
+    """
+    temperature, top_k, top_p = map(as_column, (temperature, top_k, top_p))
+    scale = F.lit(1.0) / F.greatest(temperature, F.lit(1e-5))
+
+    def weigh(levels: Column) -> Column:
+        kept = F.when(top_k > 0, F.filter(levels, lambda l: l["first"] <= top_k)).otherwise(levels)
+        top = F.get(levels, F.lit(0))["n"]
+        return F.transform(
+            kept,
+            lambda l: F.struct(
+                l["first"].cast("double").alias("first"),
+                l["m"].cast("double").alias("m"),
+                F.when(temperature == 1.0, l["n"].cast("double")).otherwise(F.pow(l["n"] / top, scale)).alias("w"),
+            ),
+        )
+
+    def inside(acc: Column, l: Column) -> Column:
+        """How many of a level the nucleus has: those with at most ``limit`` before them."""
+        reached = F.least(l["m"], F.floor(F.least(l["m"], (acc["limit"] - acc["before"]) / l["w"])) + 1)
+        some = F.when(l["w"] > 0, reached).otherwise(l["m"])
+        return F.when(acc["before"] <= acc["limit"], some).otherwise(0.0).cast("double")
+
+    def start(limit: Column, target: Column) -> Column:
+        return F.struct(
+            F.lit(0.0).alias("before"),
+            limit.alias("limit"),
+            F.lit(0.0).alias("kept"),
+            target.alias("target"),
+            F.lit(None).cast("double").alias("rank"),
+            F.lit(None).cast("double").alias("last"),
+        )
+
+    def step(acc: Column, l: Column) -> Column:
+        def go_on(count: Column) -> Column:
+            upto = acc["kept"] + count * l["w"]
+            beyond = F.when(l["w"] > 0, F.floor((acc["target"] - acc["kept"]) / l["w"])).otherwise(0.0)
+            here = l["first"] + F.least(beyond.cast("double"), count - 1)
+            return F.struct(
+                (acc["before"] + l["m"] * l["w"]).alias("before"),
+                acc["limit"].alias("limit"),
+                upto.alias("kept"),
+                acc["target"].alias("target"),
+                F.coalesce(acc["rank"], F.when((count > 0) & (upto > acc["target"]), here)).alias("rank"),
+                F.when(count > 0, l["first"] + count - 1).otherwise(acc["last"]).alias("last"),
+            )
+
+        return bind(F.when(top_p < 1.0, inside(acc, l)).otherwise(l["m"]), go_on)
+
+    def pick(weighted: Column) -> Column:
+        limit = F.aggregate(weighted, F.lit(0.0), lambda sum, l: sum + l["m"] * l["w"]) * top_p
+
+        def drawn(limit: Column) -> Column:
+            kept = F.aggregate(weighted, start(limit, F.lit(0.0)), step)["kept"]
+            found = bind(u * kept, lambda target: F.aggregate(weighted, start(limit, target), step))
+            # When rounding leaves the last sum below the target, the last one is drawn.
+            return bind(found, lambda acc: F.coalesce(acc["rank"], acc["last"]))
+
+        return bind(limit, drawn)
+
+    return bind(weigh(levels), pick).cast("long")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.logits import (
     Setting,
+    choose_rank,
     draw,
     filter_candidates,
     from_dense,
@@ -17,6 +18,8 @@ from millrace.functions.logits import (
 from millrace.functions.tokens import bind
 from millrace.operators.lookups import BROADCAST_BYTES, fits_broadcast, lookup
 from millrace.operators.metrics import checkpoint_summary, text_diversity, lexical_validity
+from millrace.operators.once import compute_once
+from millrace.operators.positions import global_position
 from millrace.operators.tokens import decode
 from millrace.sources.scratch import cut_lineage, free_table
 
@@ -102,108 +105,51 @@ def score_ngram(
     )
 
 
-RANGE_RUN = 16
+class Successors(NamedTuple):
+    """A count model as two written tables.
 
-
-def successor_ranges(
-    model: DataFrame, temperature: float = 1.0, top_k: int = -1, top_p: float = 1.0
-) -> DataFrame:
-    """What may follow each token, as ranges of a uniform number in [0, 1).
-
-    Rows ``(last, segment, low, high, token, segments)``.  The range of ``last``
-    is cut into equal segments of about ``RANGE_RUN`` tokens, so a draw meets one
-    segment only and the draws after a frequent token spread over many keys.
-    ``segments`` is the number of segments of ``token`` in turn (NULL: no successor).
-    The logits are log counts; filters as in ``filter_logits``.
+    ``levels(prev, levels)`` has the distinct counts of what follows a token, each with the
+    number of successors that have it and the first of their ranks; ``ranked(prev, rank,
+    token)`` has the successors themselves.  No setting is part of either.
     """
-    heavy_first = Window.partitionBy("prev").orderBy(F.desc("n"), "next")
-    whole = Window.partitionBy("prev")
-    before = heavy_first.rowsBetween(Window.unboundedPreceding, -1)
-    scale = 1.0 if temperature == 1.0 else 1.0 / max(temperature, 1e-5)
-    rows = model.select("prev", "next", "n")
-    if top_k > 0:
-        ties_kept = F.rank().over(Window.partitionBy("prev").orderBy(F.desc("n")))
-        rows = rows.withColumn("_rank", ties_kept).where(F.col("_rank") <= top_k)
-    rows = rows.withColumn("_weight", F.pow(F.col("n") / F.max("n").over(whole), F.lit(scale)))
-    if top_p < 1.0:
-        passed = F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
-        rows = rows.withColumns({"_passed": passed, "_sum": F.sum("_weight").over(whole)})
-        rows = rows.where(F.col("_passed") <= F.col("_sum") * top_p)
-    upto = F.sum("_weight").over(heavy_first.rowsBetween(Window.unboundedPreceding, 0))
-    ends = F.lead("next").over(heavy_first).isNull()
-    rows = rows.withColumns(
-        {
-            # The last range ends at 1, whatever rounding made of the sum.
-            "high": F.when(ends, F.lit(1.0)).otherwise(upto / F.sum("_weight").over(whole)),
-            "_segments": F.ceil(F.count("next").over(whole) / RANGE_RUN),
-        }
-    )
-    rows = rows.withColumn("low", F.coalesce(F.lag("high").over(heavy_first), F.lit(0.0)))
-    first = F.floor(F.col("low") * F.col("_segments"))
-    last = F.least(F.floor(F.col("high") * F.col("_segments")), F.col("_segments") - 1)
-    ranges = rows.select(
-        F.col("prev").alias("last"),
-        "_segments",
-        "low",
-        "high",
-        F.col("next").alias("token"),
-        F.explode(F.sequence(F.least(first, last), last)).alias("segment"),
-    )
-    ranges = cut_lineage(ranges, "ranges")
-    sizes = ranges.groupBy("last").agg(F.first("_segments").alias("segments"))
-    sizes = cut_lineage(sizes.withColumnRenamed("last", "token"), "range-sizes")
-    return lookup(ranges.drop("_segments"), sizes, ["token"])
 
+    levels: DataFrame
+    ranked: DataFrame
 
-def complete_prompts(
-    prompts: DataFrame,
-    model: DataFrame,
-    eos: int,
-    max_tokens: int | str = 512,
-    temperature: float | str = 1.0,
-    top_k: int | str = -1,
-    top_p: float | str = 1.0,
-    **options: int,
-) -> DataFrame:
-    """Extend ``prompts(prompt_id, input_ids)`` by sampling from a count model.
 
-    Settings may name columns of ``prompts``, for requests that bring their own (NULL:
-    the default).  Ranges are built once for each distinct setting, as the few that
-    callers offer; ``max_tokens`` may differ in every row.
+def successors(model: DataFrame) -> Successors:
+    """The successors of every token, ranked by falling count, then by id.
+
+    Ranks are positions by levels of count and id, so the successors of a very common
+    token are spread over buckets.  The distinct counts of ``N`` occurrences are fewer
+    than the square root of ``2 * N``, which bounds the arrays.
     """
-    asked = {"temperature": temperature, "top_k": top_k, "top_p": top_p}
-    own = [name for name, value in asked.items() if isinstance(value, str)]
-    if not own:
-        ranges = successor_ranges(model, **asked)
-        return complete_from_ranges(prompts, cut_lineage(ranges, "successors"), eos, max_tokens, **options)
-    values = [F.coalesce(F.col(asked[name]), F.lit(SETTINGS[name])).alias(f"_{name}") for name in own]
-    requests = prompts.select("*", *values)
-    named = [f"_{name}" for name in own]
-    distinct = sorted(map(tuple, requests.select(*named).distinct().collect()))
-    parts = [
-        successor_ranges(model, **(asked | dict(zip(own, setting)))).withColumn("setting", F.lit(i))
-        for i, setting in enumerate(distinct)
-    ]
-    if not parts:
-        parts = [successor_ranges(model).withColumn("setting", F.lit(0))]
-    number = F.lit(None).cast("int")
-    for i, setting in enumerate(distinct):
-        same = reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(named, setting)])
-        number = F.when(same, F.lit(i)).otherwise(number)
-    requests = requests.withColumn("setting", number).drop(*named)
-    ranges = cut_lineage(reduce(DataFrame.unionByName, parts), "successors")
-    return complete_from_ranges(requests, ranges, eos, max_tokens, **options)
+    ranked = global_position(
+        model.select("prev", "next", "n"),
+        levels=[-F.floor(F.log2("n")), -F.col("n"), F.shiftright(F.col("next").cast("long"), 14)],
+        order=[F.col("next")],
+        name="rank",
+        by=["prev"],
+    )
+    ranked = cut_lineage(ranked.select("prev", "rank", "n", F.col("next").alias("token")), "ranked")
+    levels = ranked.groupBy("prev", "n").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("m"))
+    level = F.struct("first", F.col("n").alias("n"), "m")
+    levels = levels.groupBy("prev").agg(F.sort_array(F.collect_list(level)).alias("levels"))
+    return Successors(cut_lineage(levels, "levels"), ranked.select("prev", "rank", "token"))
 
 
 # Bytes of a prompt in a step's join, without what it has been answered so far.
 STATE_BYTES = 64
 
 
-def complete_from_ranges(
+def complete_prompts(
     prompts: DataFrame,
-    ranges: DataFrame,
+    model: DataFrame | Successors,
     eos: int,
     max_tokens: int | str = 512,
+    temperature: float | str = 1.0,
+    top_k: int | str = -1,
+    top_p: float | str = 1.0,
     seed: int = 42,
     key: str = "prompt_id",
     cut_every: int = 8,
@@ -212,34 +158,38 @@ def complete_from_ranges(
 ) -> DataFrame:
     """Extend ``prompts(key, input_ids)`` token by token: ``(key, output_ids)``.
 
-    A prompt stops after the end token, at ``max_tokens`` new tokens (a number or a
-    column) or when prompt and answer fill the ``context``.  A token without successors
-    is followed by the end token; a prompt without tokens is answered by nothing.  Keys
-    must be unique.
+    Settings may name columns of ``prompts``, for requests that bring their own (NULL: the
+    default); they are part of each prompt's row, so the plan is the same for any number
+    of them.  A prompt stops after the end token, at ``max_tokens`` new tokens or when
+    prompt and answer fill the ``context``.  A token without successors is followed by the
+    end token; a prompt without tokens is answered by nothing.  Keys must be unique.
 
-    Every step is one join with the written ``ranges``.  Ranges measured within the bound
-    are broadcast.  Larger ones stay where they are: the open prompts, of a measured
-    number, are broadcast to them and the few matches back.  The state is written every
+    A step draws a rank from the levels of the last token, then looks the rank up: two
+    joins with the written tables of ``successors``.  Tables measured within the bound are
+    broadcast.  Larger ones stay where they are: the open prompts, of a measured number,
+    are broadcast to them and the few matches back.  The state is written every
     ``cut_every`` steps (every step in the second case), the one before it deleted, and
     the loop ends once no prompt is open.
     """
-    if "setting" not in ranges.columns:
-        ranges = ranges.withColumn("setting", F.lit(0))
-    starts = cut_lineage(
-        ranges.groupBy("setting", "last").agg((F.max("segment") + 1).alias("segments")), "starts"
-    )
+    tables = model if isinstance(model, Successors) else successors(model)
+    asked = {"temperature": temperature, "top_k": top_k, "top_p": top_p}
+    values = {
+        name: F.coalesce(F.col(value), F.lit(SETTINGS[name])) if isinstance(value, str) else F.lit(value)
+        for name, value in asked.items()
+    }
     most = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
     state = prompts.select(
         key,
-        (F.col("setting") if "setting" in prompts.columns else F.lit(0)).alias("setting"),
+        values["temperature"].cast("double").alias("temperature"),
+        values["top_k"].cast("long").alias("top_k"),
+        values["top_p"].cast("double").alias("top_p"),
         most.cast("int").alias("most"),
         F.size("input_ids").alias("context"),
         F.when(most > 0, F.try_element_at("input_ids", F.lit(-1))).alias("last"),
         F.array().cast("array<int>").alias("output_ids"),
     )
-    written = state = cut_lineage(lookup(state, starts, ["setting", "last"]), "completion")
-    ranges = ranges.withColumnRenamed("segments", "_segments")
-    near = fits_broadcast(ranges, **bounds)
+    written = state = cut_lineage(state, "completion")
+    near = all(fits_broadcast(table, **bounds) for table in tables)
     few = not near and state.count() * STATE_BYTES <= BROADCAST_BYTES
     for step in range(state.agg(F.max("most")).first()[0] or 0):
         if step and (few or step % cut_every == 0):
@@ -248,42 +198,41 @@ def complete_from_ranges(
             written = state
             if state.where("last is not null").isEmpty():
                 break
-        state = next_step(state, ranges, eos, step, seed, key, context, near, few)
+        state = next_step(state, tables, eos, step, seed, key, context, near, few)
     return state.select(key, "output_ids")
 
 
 def next_step(
-    state: DataFrame, ranges: DataFrame, eos: int, step: int, seed: int, key: str, context: int, near: bool, few: bool
+    state: DataFrame, tables: Successors, eos: int, step: int, seed: int, key: str, context: int, near: bool, few: bool
 ) -> DataFrame:
     """The state after one more token of every open prompt."""
-    drawn = uniform(seed, F.col(key), F.lit(step))
-    asked = state.withColumn("_u", drawn).withColumn("_segment", F.floor(F.col("_u") * F.col("segments")))
-    options = ranges.withColumnsRenamed({"last": "_last", "setting": "_setting"})
-    met = (
-        (F.col("setting") == F.col("_setting"))
-        & (F.col("last") == F.col("_last"))
-        & (F.col("_segment") == F.col("segment"))
-        & (F.col("_u") >= F.col("low"))
-        & (F.col("_u") < F.col("high"))
-    )
+    asked = state.withColumn("_u", uniform(seed, F.col(key), F.lit(step)))
+    rank = choose_rank(F.col("levels"), F.col("_u"), F.col("temperature"), F.col("top_k"), F.col("top_p"))
+    levels = tables.levels.withColumnRenamed("prev", "_prev")
+    ranked = tables.ranked.select(F.col("prev").alias("_before"), F.col("rank").alias("_place"), "token")
+    follows, drawn = F.col("last") == F.col("_prev"), [F.col("last") == F.col("_before"), F.col("_rank") == F.col("_place")]
     if few:
-        open_ = asked.where("last is not null").select(key, "setting", "last", "_u", "_segment")
-        answers = options.join(F.broadcast(open_), met).select(key, "token", "_segments")
+        open_ = asked.where("last is not null").select(key, "last", "_u", "temperature", "top_k", "top_p")
+        ranks = levels.join(F.broadcast(open_), follows).select(key, "last", rank.alias("_rank"))
+        answers = ranked.join(F.broadcast(ranks), drawn).select(key, "token")
         found = asked.join(F.broadcast(answers), key, "left")
     else:
-        found = asked.join(F.broadcast(options) if near else options, met, "left")
+        if near:
+            levels, ranked = F.broadcast(levels), F.broadcast(ranked)
+        found = compute_once(asked.join(levels, follows, "left"), {"_rank": rank}).drop("levels").join(ranked, drawn, "left")
     is_open = F.col("last").isNotNull()
     grown = F.col("context") + is_open.cast("int")
     token = F.when(is_open, F.coalesce("token", F.lit(eos)))
     goes_on = (F.col("_token") != eos) & (F.col("_grown") < context) & (F.col("most") > step + 1)
     return found.withColumns({"_token": token, "_grown": grown}).select(
         key,
-        "setting",
+        "temperature",
+        "top_k",
+        "top_p",
         "most",
         F.col("_grown").alias("context"),
         F.when(goes_on, F.col("_token")).alias("last"),
         F.when(is_open, F.concat("output_ids", F.array("_token"))).otherwise(F.col("output_ids")).alias("output_ids"),
-        F.col("_segments").alias("segments"),
     )
 
 
@@ -306,10 +255,10 @@ def evaluate_prompt_suite(
     ``samples(prompt_id, input_ids)`` repeat one prompt for self-BLEU.
     """
 
-    ranges = cut_lineage(successor_ranges(model, **settings), "successors")
+    tables = successors(model)
 
     def completed(rows: DataFrame, seed: int) -> DataFrame:
-        out = complete_from_ranges(rows, ranges, eos, max_tokens, seed)
+        out = complete_prompts(rows, tables, eos, max_tokens, seed=seed, **settings)
         texts = decode(out, vocab, "prompt_id", "output_ids")
         return texts.select(F.lit(step).alias("step"), "prompt_id", F.col("text").alias("output"))
 

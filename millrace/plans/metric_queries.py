@@ -433,25 +433,54 @@ def complete_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.decode(out, vocab, "prompt_id", "output_ids").withColumnRenamed("text", "output")
 
 
+#: Settings that differ in every request, the same in Spark and in SQL.
+REQUEST_SETTINGS = {
+    "temperature": "CASE WHEN prompt_id % 7 <> 0 THEN 0.3 + prompt_id * 0.001 END",
+    "top_k": "CASE WHEN prompt_id % 3 <> 0 THEN 2 + prompt_id % 40 END",
+    "nucleus": "CASE WHEN prompt_id % 4 = 0 THEN 0.0 WHEN prompt_id % 4 = 1 THEN 0.5 + prompt_id % 50 * 0.01 END",
+    "most": "3 + prompt_id % 10",
+}
+
+
 @query(
-    f"""WITH RECURSIVE {PROMPT_IDS}, even AS (SELECT * FROM prompt_ids WHERE prompt_id % 2 = 0),
-    odd AS (SELECT * FROM prompt_ids WHERE prompt_id % 2 = 1),
-    {completion(42, GREEDY, 'first', 'even', '3 + key % 10')}, {completion(42, SAMPLED, 'second', 'odd', '3 + key % 10')}
-    SELECT * FROM first_text UNION ALL SELECT * FROM second_text"""
+    f"""WITH RECURSIVE {PROMPT_IDS}, requests AS (
+      SELECT prompt_id, ids, coalesce({REQUEST_SETTINGS['temperature']}, 1.0)::DOUBLE AS temperature,
+        coalesce({REQUEST_SETTINGS['top_k']}, -1) AS top_k, coalesce({REQUEST_SETTINGS['nucleus']}, 1.0)::DOUBLE AS top_p,
+        {REQUEST_SETTINGS['most']} AS most FROM prompt_ids),
+    following AS (SELECT *, rank() OVER (PARTITION BY prev ORDER BY n DESC) AS place,
+      max(n) OVER (PARTITION BY prev) AS top FROM model),
+    done AS (
+      SELECT prompt_id AS key, 0 AS step, ids[len(ids)] AS last, []::INT[] AS out, temperature, top_k, top_p, most FROM requests
+      UNION ALL
+      SELECT key, step + 1, CASE WHEN t <> (SELECT v FROM size) THEN t END, list_append(out, t), temperature, top_k, top_p, most
+      FROM (
+        SELECT key, step, out, temperature, top_k, top_p, most, coalesce(
+          arg_min(next, upto) FILTER (WHERE upto > kept * u), arg_max(next, upto), (SELECT v FROM size)) AS t
+        FROM (
+          SELECT *, sum(w) OVER (PARTITION BY key ORDER BY n DESC, next) AS upto, sum(w) OVER (PARTITION BY key) AS kept,
+            ('0x' || substr(md5('42:' || key || ':' || step), 1, 8))::BIGINT / 4294967296::DOUBLE AS u
+          FROM (
+            SELECT *, sum(w) OVER (PARTITION BY key) AS total, coalesce(sum(w) OVER (PARTITION BY key ORDER BY n DESC, next
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM (
+              SELECT done.*, next, n, pow(n::DOUBLE / top, 1 / temperature) AS w
+              FROM done LEFT JOIN following ON prev = last AND (top_k <= 0 OR place <= top_k)
+              WHERE last IS NOT NULL AND step < most))
+          WHERE n IS NULL OR top_p >= 1 OR before <= top_p * total)
+        GROUP BY key, step, out, temperature, top_k, top_p, most)),
+    answers AS (SELECT key AS prompt_id, arg_max(out, step) AS out FROM done GROUP BY key)
+    SELECT prompt_id, coalesce((SELECT string_agg(word, ' ' ORDER BY i) FROM (
+      SELECT unnest(out) AS id, generate_subscripts(out, 1) AS i) JOIN vocab USING (id)), '') AS output FROM answers"""
 )
 def complete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with settings of their own: even ones greedy, odd ones sampled, each with
-    its own number of tokens."""
+    """Requests that each bring their own temperature, filters and number of tokens."""
     ids, vocab, eos = views.encoded_corpus(spark, sf_dir)
-    asked = prompt_ids(spark, sf_dir, vocab, eos + 1).withColumns(
-        {
-            "nucleus": F.when(F.col("prompt_id") % 2 == 0, F.lit(0.0)),
-            "most": (3 + F.col("prompt_id") % 10).cast("int"),
-        }
-    )
+    asked = prompt_ids(spark, sf_dir, vocab, eos + 1)
+    asked = asked.withColumns({name: F.expr(value) for name, value in REQUEST_SETTINGS.items()})
     out = generation.complete_prompts(
-        asked, generation.train_ngram_model(ids), eos, max_tokens="most", top_p="nucleus"
-    )
+        asked, generation.train_ngram_model(ids), eos, max_tokens="most",
+        temperature="temperature", top_k="top_k", top_p="nucleus",
+    )
     return tokens.decode(out, vocab, "prompt_id", "output_ids").withColumnRenamed("text", "output")
 
 

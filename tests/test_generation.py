@@ -191,37 +191,73 @@ def test_requests_bring_their_own_settings(spark, bounds):
     assert {r.prompt_id: r.output_ids for r in got.collect()} == expected
 
 
-def test_large_ranges_stay_where_they_are(spark, monkeypatch):
-    """Beyond the bound, prompts travel to the ranges: no step shuffles the ranges."""
+def test_large_tables_stay_where_they_are(spark, monkeypatch):
+    """Beyond the bound, prompts travel to the tables: no step shuffles them."""
     steps = []
     plain = G.next_step
     monkeypatch.setattr(G, "next_step", lambda *a: steps.append(plain(*a)) or steps[-1])
-    ranges = G.cut_lineage(G.successor_ranges(G.train_ngram_model(table(spark, documents()))), "ranges")
+    tables = G.successors(G.train_ngram_model(table(spark, documents())))
     df = spark.createDataFrame([(i, [i % 12]) for i in range(50)], "prompt_id long, input_ids array<int>")
-    G.complete_from_ranges(df, ranges, 12, 4, max_bytes=0).collect()
+    G.complete_prompts(df, tables, 12, 4, max_bytes=0).collect()
     assert steps
     for step in steps:
         plan = step._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
 
 
-@pytest.mark.parametrize(
-    "settings", [{}, {"top_k": 3}, {"top_p": 0.5}, {"temperature": 0.3, "top_k": 5, "top_p": 0.9}]
-)
-def test_ranges_hold_the_filtered_probabilities(spark, settings):
+SETTINGS = [
+    {}, {"top_k": 3}, {"top_p": 0.5}, {"top_p": 0.0}, {"temperature": 0.3, "top_k": 5, "top_p": 0.9},
+    {"temperature": 2.5}, {"temperature": 0.0}, {"top_k": 1}, {"temperature": 1.7, "top_p": 0.8}, {"temperature": 1e-7, "top_p": 0.9},
+]
+
+
+def test_ranks_follow_the_filtered_probabilities(spark):
+    """Every successor is drawn by numbers that cover just its filtered probability."""
     model = counts(documents())
-    ranges = G.successor_ranges(G.train_ngram_model(table(spark, documents())), **settings)
-    spans = defaultdict(dict)
-    for r in ranges.collect():
-        spans[r.last][r.token] = (r.low, r.high)
-    for prev, following in model.items():
-        logits = [math.log(following[t]) if following[t] else -math.inf for t in range(13)]
-        probs = filtered(logits, **settings)
-        got = [spans[prev].get(t, (0.0, 0.0)) for t in range(13)]
-        assert [high - low for low, high in got] == pytest.approx(list(probs), abs=1e-12)
-        ordered = sorted(span for span in got if span[1])
-        assert ordered[0][0] == 0.0 and ordered[-1][1] == 1.0
-        assert all(a[1] == b[0] for a, b in zip(ordered, ordered[1:]))
+    model[50] = Counter({i: 1 + (i % 3) for i in range(40)})
+    rows = [(p, following) for p, following in model.items()]
+    tables = G.successors(spark.createDataFrame([(p, t, n) for p, f in rows for t, n in f.items()], "prev int, next int, n long"))
+    ranked = {(r.prev, r.rank): r.token for r in tables.ranked.collect()}
+    for prev, following in rows:
+        order = sorted(following, key=lambda t: (-following[t], t))
+        assert [ranked[prev, i + 1] for i in range(len(order))] == order
+    grid = [(i + 0.5) / 4000 for i in range(4000)]
+    numbers = spark.createDataFrame([(u,) for u in grid], "u double")
+    for settings in SETTINGS:
+        values = {"temperature": 1.0, "top_k": -1, "top_p": 1.0} | settings
+        rank = G.choose_rank(F.col("levels"), F.col("u"), *[F.lit(v) for v in values.values()])
+        drawn = numbers.crossJoin(F.broadcast(tables.levels)).groupBy("prev", rank.alias("rank")).count().collect()
+        share = {(r.prev, ranked[r.prev, r.rank]): r["count"] / len(grid) for r in drawn}
+        for prev, following in rows:
+            logits = [math.log(following[t]) if following[t] else -math.inf for t in range(40)]
+            probs = filtered(logits, **settings)
+            for token, prob in enumerate(probs):
+                assert share.get((prev, token), 0.0) == pytest.approx(prob, abs=1.01 / len(grid)), (settings, prev, token)
+
+
+def test_any_number_of_settings_is_one_plan(spark):
+    """A thousand temperatures: as many steps and joins as for one, each drawn by its own."""
+    docs = documents()
+    rng = random.Random(2)
+    rows = [(i, [rng.randrange(12)], 0.2 + i / 500, rng.choice([-1, 2, 5]), rng.choice([0.0, 0.4, 1.0])) for i in range(1000)]
+    df = spark.createDataFrame(rows, "prompt_id long, input_ids array<int>, t double, k int, p double")
+    tables = G.successors(G.train_ngram_model(table(spark, docs)))
+    many = G.complete_prompts(df, tables, 12, 3, temperature="t", top_k="k", top_p="p", seed=9)
+    one = G.complete_prompts(df, tables, 12, 3, seed=9)
+    joins = [x._jdf.queryExecution().optimizedPlan().toString().count("Join") for x in (many, one)]
+    assert joins[0] == joins[1] <= 6
+    model = counts(docs)
+    for (i, ids, t, k, p), out in zip(rows, [r.output_ids for r in many.orderBy("prompt_id").collect()]):
+        last = ids[-1]
+        for step, token in enumerate(out):
+            logits = [math.log(model[last][x]) if model[last][x] else -math.inf for x in range(13)]
+            probs = filtered(logits, t, k, p)
+            order = sorted((x for x in range(13) if probs[x] > 0), key=lambda x: (-probs[x], x))
+            sums, u = np.cumsum(probs[order]), uniform(9, i, step)
+            if np.abs(sums - u).min() > 1e-9:
+                assert token == next((x for x, s in zip(order, sums) if s > u), order[-1])
+            last = token
+        assert len(out) == 3 or out[-1] == 12
 
 
 PROMPTS = ["the first", "the second", "a third"]
