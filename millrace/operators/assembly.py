@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import tokens as T
@@ -24,12 +24,16 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     )
 
 
+def jitter(key: str, buffer: int, seed: int) -> Column:
+    """How many places, fewer than ``buffer``, a row moves back."""
+    return F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("long") % buffer
+
+
 def buffer_shuffle(df: DataFrame, key: str, buffer: int = 500, seed: int = 42) -> DataFrame:
     """Shuffle in key order with places moved by less than ``buffer``."""
     placed = global_position(df, id_levels(key), [F.col(key)], name="_source")
     placed = cut_lineage(placed, "source-order")
-    jitter = F.conv(F.substring(seeded_hash(key, seed), 1, 8), 16, 10).cast("long") % buffer
-    moved = placed.withColumn("_moved", F.col("_source") + jitter)
+    moved = placed.withColumn("_moved", F.col("_source") + jitter(key, buffer, seed))
     return global_position(
         moved, id_levels("_moved"), [F.col("_moved"), F.col("_source")]
     ).drop("_source", "_moved")
@@ -96,6 +100,29 @@ def resume_from(df: DataFrame, n_seen: int, position: str = "position") -> DataF
     return df.where(F.col(position) > n_seen)
 
 
+#: Examples of one folder of an ordered set.
+BLOCK_ROWS = 1_000_000
+
+
+def write_ordered(df: DataFrame, path: str, position: str = "position", block_rows: int = BLOCK_ROWS) -> None:
+    """Write rows with positions 1..N so that a resumed run reads only what is left.
+
+    A folder has the examples of one range of positions, which its name tells, so a
+    resume lists folders and opens none of those that it has seen.
+    """
+    block = F.floor((F.col(position) - 1) / block_rows).alias("block")
+    dealt = df.select("*", block).repartitionByRange("block", position).sortWithinPartitions("block", position)
+    dealt.write.mode("overwrite").partitionBy("block").parquet(path)
+
+
+def read_ordered(
+    spark: SparkSession, path: str, n_seen: int = 0, position: str = "position", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The examples after the first ``n_seen`` of a set that ``write_ordered`` wrote."""
+    left = spark.read.parquet(path).where(F.col("block") >= n_seen // block_rows)
+    return resume_from(left, n_seen, position).drop("block")
+
+
 def prompt_masked_labels(df: DataFrame, prompt_tokens: Column) -> DataFrame:
     """Add ``labels``: the ids, with prompt and masked places set to -100."""
     labels = T.masked_labels(F.col("input_ids"), F.col("attention_mask"), prompt_tokens)

@@ -10,7 +10,7 @@ from millrace.operators import assembly, tokens
 from millrace.operators.recipes import finetune_text, load_recipes
 from millrace.plans import sql, views
 from millrace.plans.registry import query
-from millrace.sources.scratch import cut_lineage
+from millrace.sources.scratch import cut_lineage, new_folder
 
 
 def spaced(column: str) -> F.Column:
@@ -240,6 +240,16 @@ STREAM = f"""{ENDED}, stream AS (
 PACKED = f"""WITH {STREAM} SELECT chunk_id, count(*)::INT AS n, string_agg(tok, ' ' ORDER BY p) AS ids
 FROM placed WHERE chunk_id * 462 + 512 <= total GROUP BY chunk_id"""
 
+SHARDS_PACKED = f"""WITH {ENDED}, stream AS (
+  SELECT lang, tok, row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) - 1 AS p,
+         count(*) OVER (PARTITION BY lang) AS total
+  FROM (SELECT doc_id, unnest(ids) AS tok, generate_subscripts(ids, 1) AS pos FROM ended)
+  JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)), placed AS (
+  SELECT *, p // 462 AS chunk_id FROM stream
+  UNION ALL SELECT *, p // 462 - 1 FROM stream WHERE p >= 462 AND p % 462 < 50)
+SELECT lang, chunk_id, count(*)::INT AS n, string_agg(tok, ' ' ORDER BY p) AS ids
+FROM placed WHERE chunk_id * 462 + 512 <= total GROUP BY lang, chunk_id"""
+
 
 @query(PACKED)
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,6 +286,14 @@ def resume_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.resume_from(shuffled(spark, sf_dir), 100).select("ex_id", "position")
 
 
+@query(f"WITH {sql.SHUFFLED} SELECT ex_id, position FROM shuffled WHERE position > 250")
+def resume_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resumed run reads the folders of the positions that are left, and no others."""
+    path = new_folder(spark, "ordered")
+    assembly.write_ordered(shuffled(spark, sf_dir), path, block_rows=100)
+    return assembly.read_ordered(spark, path, 250, block_rows=100).select("ex_id", "position")
+
+
 @query(
     f"""WITH {CORPUS_BATCHES} SELECT doc_id,
       {sql.joined('list_slice(ids, 1, len(ids) - 1)')} AS inputs,

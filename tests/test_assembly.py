@@ -195,3 +195,15 @@ def test_vocabulary_order_over_many_buckets(spark):
 def test_another_tokenizer(spark):
     df = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     assert with_words(df, tokenizer=lambda c: F.split(c, "")).first().words == ["a", "b"]
+
+
+@pytest.mark.parametrize("n_seen, folders", [(0, 5), (99, 5), (100, 4), (250, 3), (499, 1), (500, 0)])
+def test_a_resume_opens_only_the_folders_that_are_left(spark, tmp_path, n_seen, folders):
+    rows = spark.range(1, 501).select(F.col("id").alias("position"), (F.col("id") * 7).alias("x"))
+    assembly.write_ordered(rows, str(tmp_path / "o"), block_rows=100)
+    left = assembly.read_ordered(spark, str(tmp_path / "o"), n_seen, block_rows=100)
+    assert sorted(tuple(r) for r in left.collect()) == [(i, 7 * i) for i in range(n_seen + 1, 501)]
+    opened = left.select(F.input_file_name()).distinct().collect()
+    assert len(opened) == folders
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan

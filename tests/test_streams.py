@@ -42,6 +42,23 @@ def test_packing_over_batches_and_restarts(spark, tmp_path):
     assert read(spark, out) == expected
 
 
+def test_rows_without_an_order_arrive_too(spark):
+    from millrace.plans.stream_queries import run_arriving
+
+    seen = []
+    rows = spark.createDataFrame([(None, "x"), (5, "y"), (1, "z"), (9, "w")], "k long, v string")
+
+    def start(stream):
+        query = streams.each_batch(stream, lambda batch, _: seen.append(sorted(r.v for r in batch.collect())), checkpoint)
+        return query
+
+    from millrace.sources.scratch import new_folder
+
+    checkpoint = new_folder(spark, "offsets")
+    run_arriving(rows, "k", start)
+    assert [x for x in seen if x] == [["x", "z"], ["y"], ["w"]]
+
+
 def read(spark, out):
     rows = streams.read_packed(spark, out).orderBy("chunk_id").collect()
     assert [r.chunk_id for r in rows] == list(range(len(rows)))
@@ -57,6 +74,47 @@ def test_packing_without_overlap_ends_on_a_border(spark, tmp_path):
     assert read(spark, out) == [[0, 1, 2, 3], [4, 5, 6, 7]] * 3
 
 
+def test_shards_are_packed_on_their_own_over_restarts(spark, tmp_path):
+    """A shard may be absent from a batch, come late, have no tokens, or no name."""
+    rng = random.Random(3)
+    schema = "shard string, " + DOCS
+    docs = [(rng.choice(["a", "a", "b", None]), i, [rng.randint(0, 99) for _ in range(rng.choice([0, 4, 30]))]) for i in range(40)]
+    docs += [("late", 40 + i, list(range(9))) for i in range(6)] + [("none", 46, [])]
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    for overlap, out in ((5, str(tmp_path / "a")), (0, str(tmp_path / "b"))):
+        for part, start in enumerate(range(0, len(docs), 8)):
+            folder = tmp_path / f"in{overlap}"
+            put(spark, docs[start : start + 8], schema, folder, f"part-{part}.json")
+            stream = arriving(spark, folder, schema)
+            streams.pack_chunks_stream(stream, out, f"{checkpoint}{overlap}", 16, overlap, shard="shard").awaitTermination()
+        rows = streams.read_packed(spark, out).collect()
+        for shard in ("a", "b", None, "late", "none"):
+            own = sorted((r.chunk_id, r.input_ids) for r in rows if r.shard == shard)
+            expected, _ = chunks_of([ids for s, _, ids in docs if s == shard], 16, overlap)
+            assert own == list(enumerate(expected))
+
+
+def test_a_shuffled_stream_equals_the_shuffled_table(spark, tmp_path):
+    from millrace.operators.assembly import buffer_shuffle
+
+    schema = "doc_id long, text string"
+    docs = [(i, f"t{i}") for i in range(200)]
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    start = 0
+    for size in (3, 90, 0, 1, 60, 46):
+        put(spark, docs[start : start + size], schema, source, f"part-{start:03d}-{size}.json")
+        start += size
+        stream = arriving(spark, source, schema)
+        streams.buffer_shuffle_stream(stream, "doc_id", out, checkpoint, buffer=30).awaitTermination()
+        given = spark.read.parquet(f"{out}/rows")
+        assert given.count() >= start - 30  # no more than the buffer is held
+        got = sorted((r.position, r.doc_id, r.text) for r in streams.read_shuffled(spark, out).collect())
+        table = spark.createDataFrame(docs[:start], schema)
+        whole = sorted((r.position, r.doc_id, r.text) for r in buffer_shuffle(table, "doc_id", 30).collect())
+        assert got == whole
+    assert all(abs(position - 1 - i) < 30 for position, i, _ in got)
+
+
 STEPS = "run string, step long, loss_sum double, correct long, total long"
 
 
@@ -85,6 +143,21 @@ def test_stream_windows_equal_the_batch_windows(spark, tmp_path, steps):
     assert sorted(streams.read_windows(spark, out).select(batch.columns).collect()) == sorted(batch.collect())
 
 
+def test_open_windows_stay_few_and_late_rows_are_kept(spark, tmp_path):
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "cp")
+    for i in range(5):
+        rows = [(run, s, 1.0, 1, 1) for s in range(i * 40, i * 40 + 40) for run in ("a", None)]
+        rows += [("slow", i, 1.0, 1, 1)]  # another run's steps make no row of this one late
+        rows += [("a", 3, 1.0, 1, 1)] if i in (1, 4) else []
+        put(spark, rows, STEPS, source, f"part-{i}.json")
+        stream = arriving(spark, source, STEPS)
+        streams.accumulate_stream(stream, 4, out, checkpoint, late=12).awaitTermination()
+        assert spark.read.parquet(f"{out}/open/batch={i}").count() <= 2 * 13 + 2
+    got = {(r.run, r.step): r.total for r in streams.read_windows(spark, out).collect()}
+    assert got == {(run, s): 5 if (run, s) == ("a", 4) else 4 for run in ("a", None) for s in range(4, 201, 4)} | {("slow", 4): 4}
+    assert [(r.run, r.window, r.total) for r in streams.read_late(spark, out).collect()] == [("a", 0, 1)]
+
+
 def test_cleaning_stream_equals_batch(spark, tmp_path):
     rows = [(i, "s", f"Crème {i}" if i % 4 else "½", ["1 cup ADVERTISEMENT"], "a\nb") for i in range(20)]
     source, out = tmp_path / "in", str(tmp_path / "out")
