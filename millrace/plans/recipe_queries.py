@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as text_functions
 from millrace.functions.text import LINE_END, WHITESPACE_CLASS
 from millrace.operators import metrics, recipes
+from millrace.operators.positions import global_position, id_levels
 from millrace.plans import sql, views
 from millrace.plans.registry import query
 from millrace.sources import feeds as feed_source
@@ -45,11 +46,12 @@ MERGED = f"""{FEED_ROWS}, merged AS (
   FROM (SELECT *, feed_rank * 1000000000000 + ordinal AS p FROM feed) GROUP BY key)"""
 
 
-@query(
-    f"""WITH {FEED_ROWS} SELECT source,
+FED = f"""WITH {FEED_ROWS} SELECT source,
       row_number() OVER (PARTITION BY source ORDER BY ordinal) - 1 AS ordinal, key, title,
       array_to_string(ingredients, chr(10)) AS ingredients, instructions FROM feed"""
-)
+
+
+@query(FED)
 def read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds written as JSON lines, one member per line, and read back in order."""
     read = []
@@ -58,13 +60,60 @@ def read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         member = F.to_json(F.create_map(F.col("key"), F.col("recipe")))
         feed.orderBy("ordinal").select(member.alias("value")).write.mode("overwrite").text(path)
         read.append(feed_source.read_feed(spark, path, source, lines=True))
-    rows = read[0].unionByName(read[1]).unionByName(read[2])
-    return rows.select(
+    return feed_columns(read)
+
+
+def feed_columns(read: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, read).select(
         "source", "ordinal", "key", "recipe.title",
         F.array_join("recipe.ingredients", NL).alias("ingredients"), "recipe.instructions",
     )
 
 
+@query(FED)
+def read_object_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of one file each, all of it one object, read in splits."""
+    read = []
+    for source, feed in zip(FEEDS, views.feeds(spark, sf_dir)):
+        path = new_folder(spark, "object")
+        whole = F.to_json(F.create_map(F.col("key"), F.col("recipe")))
+        member = F.substring(whole, F.lit(2), F.length(whole) - 2)
+        bounds = feed.agg(F.min("ordinal"), F.max("ordinal")).first()
+        opened = F.when(F.col("ordinal") == bounds[0], F.lit("{")).otherwise(F.lit(","))
+        closed = F.when(F.col("ordinal") == bounds[1], F.lit("}")).otherwise(F.lit(""))
+        # One file has one writer; it is read by as many tasks as it has splits.
+        text = feed.select("ordinal", F.concat(opened, member, closed).alias("value")).orderBy("ordinal")
+        text.select("value").coalesce(1).write.mode("overwrite").text(path)
+        read.append(feed_source.read_feed(spark, path, source))
+    return feed_columns(read)
+
+
+@query(
+    f"""WITH {FEED_ROWS}, lines AS (
+      SELECT *, ordinal % 11 = 3 AS broken, row_number() OVER (PARTITION BY source ORDER BY ordinal) AS place FROM feed)
+    SELECT source, row_number() OVER (PARTITION BY source, broken ORDER BY ordinal) - 1 AS ordinal,
+      CASE WHEN broken THEN NULL ELSE key END AS key, CASE WHEN broken THEN NULL ELSE title END AS title,
+      CASE WHEN broken THEN '{{broken ' || key ELSE NULL END AS rejected
+    FROM lines"""
+)
+def feed_line_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds with broken lines: the good ones in their order, the others set aside."""
+    parts = []
+    for source, feed in zip(FEEDS, views.feeds(spark, sf_dir)):
+        path = new_folder(spark, "lines")
+        member = F.to_json(F.create_map(F.col("key"), F.col("recipe")))
+        line = F.when(F.col("ordinal") % 11 == 3, F.concat(F.lit("{broken "), "key")).otherwise(member)
+        feed.orderBy("ordinal").select(line.alias("value")).write.mode("overwrite").text(path)
+        good, bad = feed_source.read_feed_parts(spark, path, source, lines=True)
+        parts.append(good.select("source", "ordinal", "key", "recipe.title", F.lit(None).cast("string").alias("rejected")))
+        placed = global_position(bad, [F.col("file"), *id_levels("place")], [F.col("place")], "ordinal")
+        none = F.lit(None).cast("string")
+        parts.append(
+            placed.select("source", (F.col("ordinal") - 1).alias("ordinal"), none.alias("key"), none.alias("title"), F.col("text").alias("rejected"))
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     f"""WITH {FEED_ROWS}, members AS (
       SELECT ordinal // 50 AS file, source, key || '.' || ordinal AS key, title, ordinal % 7 = 0 AS empty,

@@ -62,12 +62,86 @@ def test_read_feed_as_one_object_and_as_lines(spark, tmp_path):
     assert one == many == [(i, k, v["title"]) for i, (k, v) in enumerate(members)]
 
 
-def test_a_malformed_feed_is_an_error(spark, tmp_path):
-    (tmp_path / "bad.json").write_text('{"a": {"title": "t"')
+ODD_MEMBERS = [
+    ("a", {"title": 'q " } { ] [ \\', "ingredients": ["}", "x{", '\\"}'], "instructions": "l1\n}\tl2"}),
+    ("a", None),
+    ("b}", {"title": "}}}", "ingredients": [], "instructions": None, "picture_link": {"deep": [{"x": [1]}, {}]}}),
+    ("c", {}),
+    ("d", {"title": "é 日本 👍}", "ingredients": ["y" * 700], "instructions": "z}" * 300}),
+    ("e\\", {"title": "end"}),
+    ("f", None),
+    ("g", None),
+]
+
+
+def objects(text, folder, name):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+
+
+@pytest.mark.parametrize("split", ["300b", "128m"])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_an_object_is_read_in_splits_of_any_size(spark, tmp_path, split, indent):
+    for i, members in enumerate([ODD_MEMBERS * 5, [], ODD_MEMBERS[3:4], ODD_MEMBERS[1:2], ODD_MEMBERS[:6]]):
+        separator = ",\n  " if indent else ","
+        body = separator.join(f"{json.dumps(k, ensure_ascii=i == 1)}: {json.dumps(v, indent=indent)}" for k, v in members)
+        objects("{" + body + "}" + "\n" * (i % 2), tmp_path / "in", f"f{i}.json")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        good, bad = feeds.read_feed_parts(spark, str(tmp_path / "in"), "ar")
+        got = [(r.ordinal, r.key, r.recipe and r.recipe.title, r.recipe and r.recipe.instructions) for r in good.collect()]
+        assert bad.count() == 0
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    expected = []
+    for members in [ODD_MEMBERS * 5, ODD_MEMBERS[3:4], ODD_MEMBERS[1:2], ODD_MEMBERS[:6]]:
+        expected += [(i, k, v and v.get("title"), v and v.get("instructions")) for i, (k, v) in enumerate(members)]
+    key = lambda r: (r[0], r[1], str(r[2]), str(r[3]))
+    empty = lambda r: (*r[:2], *(x if x else None for x in r[2:]))
+    assert sorted(map(empty, got), key=key) == sorted(map(empty, expected), key=key)
+
+
+MALFORMED = [
+    '{"a": {"title": "t"', '{"a": {"title": "t"}', '{"a": null', '{"a": {"title": "t"}} x', '{"a": {"title": "t}', "[1, 2]",
+    '{"a": {"title": "t"}}, "b": {}}', '{"a": {"title" "t"}}',
+]
+
+
+@pytest.mark.parametrize("text", MALFORMED)
+def test_a_malformed_feed_is_an_error(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="(?i)malformed"):
         feeds.read_feed(spark, str(tmp_path / "bad.json"), "ar").collect()
 
 
+def test_bad_members_of_an_object_are_set_aside(spark, tmp_path):
+    good = ['"k%d": {"title": "t%d"}' % (i, i) for i in range(6)]
+    good[3] = '"k3": {"title" "t3"}'
+    objects("{" + ", ".join(good) + "}", tmp_path / "in", "a.json")
+    objects('{"x": {"title": "y"}}', tmp_path / "in", "b.json")
+    entries, bad = feeds.read_feed_parts(spark, str(tmp_path / "in"), "epi")
+    assert sorted(r.key for r in entries.collect()) == ["k0", "k1", "k2", "k4", "k5", "x"]
+    (row,) = bad.collect()
+    assert (row.source, row.file.rpartition("/")[2], row.place) == ("epi", "a.json", 4) and "k3" in row.text
+
+
+def test_bad_lines_are_set_aside_with_file_and_place(spark, tmp_path):
+    lines = ['{"a": {"title": "1"}}', "", "{broken", '{"b": null, "c": {"title": "2"}}', "null", '{"d": {"title": "3"}} ']
+    objects("\n".join(lines), tmp_path / "in", "a.json")
+    objects('"text"\n{"e": {"title": "4"}}\n', tmp_path / "in", "b.json")
+    entries, bad = feeds.read_feed_parts(spark, str(tmp_path / "in"), "fn", lines=True)
+    got = sorted((r.ordinal, r.key) for r in entries.collect())
+    assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")]
+    assert sorted((r.file.rpartition("/")[2], r.place, r.text) for r in bad.collect()) == [
+        ("a.json", 3, "{broken"), ("a.json", 5, "null"), ("b.json", 1, '"text"'),
+    ]
+    with pytest.raises(Exception, match="(?i)malformed feed: .*a.json, place"):
+        feeds.read_feed(spark, str(tmp_path / "in"), "fn", lines=True).collect()
+
+
 def test_a_hot_key_is_merged_once(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)]
     merged = recipes.merge_feeds(feed(spark, "ar", rows[:1500]), feed(spark, "epi", rows[1500:]))
