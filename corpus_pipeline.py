@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontamination, line_spread, parity_join, quality_rules
 from millrace.llm.queries import piece_digests, table
-from millrace.sources.scratch import cut_lineage
+from millrace.sources.scratch import cut_lineage, free_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; a stage's table is deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            free_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
