@@ -330,14 +330,46 @@ def write_packed(documents: DataFrame, folder: str, path: str, end: int) -> None
         pack_documents(documents, path, end).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
 
+def part_offsets(shards: DataFrame) -> DataFrame:
+    """``(part, offset)``: the ids before each partition of the files.
+
+    One row per partition: the only table that meets in one task.
+    """
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    return parts.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("offset"))
+
+
+def read_range(spark: SparkSession, folder: str, start: int, stop: int) -> DataFrame:
+    """``(start, ids)``: the ids at the places ``start`` to ``stop`` of the whole sequence,
+    a row per shard that has some, as little-endian unsigned 32-bit integers.
+
+    Places of shards are read first; only images of shards within the range are, and of
+    these only the blocks within it are unpacked.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
+    places = shards.select("part", "before", "n_ids").join(F.broadcast(part_offsets(shards)), "part")
+    first = F.col("offset") + F.col("before")
+    wanted = places.where((first < stop) & (first + F.col("n_ids") > start)).select("part", "before", first.alias("first"))
+    found = wanted.agg(F.sort_array(F.collect_set("part"))).first()[0]
+    # A shard of the range is one row of metadata; the parts prune files by their statistics.
+    images = shards.where(F.col("part").isin(found)).join(F.broadcast(wanted), ["part", "before"])
+
+    def unpack_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, image in zip(batch.column("first").to_pylist(), batch.column("image")):
+                ids = Shard.open(image.as_py()).read(max(start - first, 0), stop - first)
+                columns = [pa.array([max(start, first)], pa.int64()), pa.array([ids.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["start", "ids"])
+
+    return images.select("first", "image").mapInArrow(unpack_ranges, "start long, ids binary")
+
+
 def read_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Per document of the files: ``(doc_id, start, n_tokens, ids)``, ids as
     little-endian unsigned 32-bit integers."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(folder)
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
-    # One row per partition of the files: the only table that meets in one task.
-    parts = parts.select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("offset"))
+    parts = part_offsets(shards)
 
     def unpack_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from millrace.llm import trees
 from millrace.llm.spans import SPACE, SpanHash, Texts, BYTE_CODE, find_words, hash_words, mix, slices, window_hashes
@@ -151,7 +152,7 @@ def base_failed(base: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def labelled_features(documents: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``max_labelled`` labelled documents."""
+    """Features and labels of at most ``max_labelled`` labelled documents, one text of each."""
     sample = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
         .groupBy("doc_id")
@@ -159,16 +160,18 @@ def labelled_features(documents: DataFrame, labels: DataFrame, max_labelled: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labelled)
     )
-    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    chosen = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in slices(batch):
                 _, x = statistics(texts)
-                label = texts.rows.column("label")
-                yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), label], ["x", "label"])
+                own = [texts.rows.column(c) for c in ("doc_id", "label")]
+                yield pa.record_batch([*own, pa.array(list(x), pa.list_(pa.float64()))], schema.names)
 
-    rows = chosen.mapInArrow(measure, "x array<double>, label double").toPandas()
+    schema = chosen.select("doc_id", "label").schema.add("x", ArrayType(DoubleType()))
+    found = chosen.mapInArrow(measure, schema)
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).toPandas()
     if not len(rows):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     rows["key"] = rows["x"].map(tuple)

@@ -41,6 +41,9 @@ PASSAGE = 4
 #: smallest hash.
 MAX_LABELLED = 3_000
 
+#: Bytes of a text that the model is fitted on, at most.
+MAX_BYTES = 2**16
+
 #: An n-gram bucket gets a vector if its words are in this many training texts.
 LEAST_TEXTS = 5
 
@@ -231,6 +234,11 @@ def fit(sample: Sample, seed: int = 7) -> Model:
         for parameter, step, past in ((softmax, passage.T @ error, pasts[1]), (bias, error.sum(axis=0), pasts[2])):
             past += step**2
             parameter += RATE * step / np.sqrt(past)
+    return fold(table, softmax, bias)
+
+
+def fold(table: np.ndarray, softmax: np.ndarray, bias: np.ndarray) -> Model:
+    """The model whose softmax over averaged embeddings is one weighted average."""
     return Model(((softmax[:, 1] - softmax[:, 0]) @ table).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -240,8 +248,14 @@ def crc_remainder(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """A model from at most ``max_labelled`` rows of each label that are not held out."""
+def train(
+    documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES
+) -> Model:
+    """A model from at most ``max_labelled`` rows of each label that are not held out.
+
+    Documents of the sample with over ``max_bytes`` of text teach nothing, and one text of
+    each id does, so what comes to the driver is bounded.
+    """
     rows = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .where(crc_remainder("doc_id") != 0)
@@ -254,11 +268,13 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
         [rows.where(side).orderBy(*order).limit(max_labelled) for side in ("label > 0", "label <= 0")],
     )
     rows = (
-        documents.select("doc_id", "text")
+        documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .where(F.octet_length("text") <= max_bytes)
         .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+        .groupBy("doc_id", "label")
+        .agg(F.min("text").alias("text"))
         .toArrow()
-        .sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        .sort_by([("doc_id", "ascending")])
         .combine_chunks()
     )
     if not rows.num_rows:

@@ -134,6 +134,31 @@ def test_trees_learn_and_keep_their_constraints():
         assert (sign * (forest.margin(moved) - forest.margin(x)) >= -1e-9).all()
 
 
+def test_flat_scoring_equals_a_walk_from_node_to_node():
+    random = np.random.default_rng(2)
+    x = np.round(random.normal(size=(1500, 4)), 1)  # many values on a threshold
+    y = (x[:, 0] * x[:, 1] + random.normal(size=1500) > 0).astype(float)
+    forest = trees.fit(x, y, np.array([0, 1, -1, 0]))
+    for row, margin, score in zip(x[:200], forest.margin(x[:200]), forest.score(x[:200])):
+        total = forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                goes_left = row[forest.feature[node]] <= forest.threshold[node]
+                node = (forest.left if goes_left else forest.right)[node]
+            total += forest.value[node]
+        assert abs(total - margin) < 1e-9 and abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+
+
+def test_a_repeated_id_teaches_the_rules_once(small_documents, tiny, spark):
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    one = quality_rules.labelled_features(small_documents, labels, 50)
+    many = small_documents.select("doc_id", "text")
+    for _ in range(4):
+        many = many.union(many)
+    again = quality_rules.labelled_features(many, labels, 50)
+    assert len(one[1]) == 50 and all((a == b).all() for a, b in zip(one, again))
+
+
 def test_trees_tell_junk_from_prose_and_survive_odd_labels(spark, tiny, small_documents):
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
     forest = quality_rules.fit_rules(small_documents, labels)
@@ -171,6 +196,41 @@ def test_toxic_words_and_their_misspellings_are_scored(spark):
     assert all(0 <= s <= 1 for s, _ in score.values())
 
 
+def test_folded_scores_equal_embeddings_and_softmax(spark):
+    """A text of at most a passage, by its words' n-grams, vectors, average and softmax."""
+    random = np.random.default_rng(4)
+    table = random.normal(size=(toxicity.DIMENSION, toxicity.BUCKETS)).astype(np.float32)
+    softmax, bias = random.normal(size=(toxicity.DIMENSION, 2)), random.normal(size=2)
+    model = toxicity.fold(table, softmax, bias)
+
+    def bucket(text, opens=False):
+        codes = toxicity.LOWER_CODE[np.frombuffer(text, np.uint8)]
+        hashed = toxicity.SpanHash(codes).of(np.array([0]), np.array([len(text)]))
+        if opens:
+            hashed = toxicity.mix(hashed ^ np.uint64(0xA5A5A5A5))
+        return int(hashed[0] & np.uint64(toxicity.BUCKETS - 1))
+
+    def passage(text_words):
+        vectors = []
+        for word in text_words:
+            word = word.encode().lower()
+            grams = [bucket(word)]
+            for n in toxicity.GRAMS:
+                grams += [bucket(word[i : i + n]) for i in range(len(word) - n + 1)]
+                grams += [bucket(word[:n], opens=True)] if len(word) >= n else []
+            vectors.append(table[:, grams].mean(axis=1))
+        e = np.exp(np.mean(vectors, axis=0) @ softmax + bias)
+        return e[1] / e.sum()
+
+    texts = ["x", "Some four plain words", "stinkbrain", "one two three four five sixsixsix seven", "a b c d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scored = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    for i, text in enumerate(texts):
+        w = text.split()
+        worst = max(passage(w[k : k + toxicity.PASSAGE]) for k in range(max(1, len(w) - toxicity.PASSAGE + 1)))
+        assert scored[i] == pytest.approx(worst, abs=1e-5)
+
+
 def test_toxicity_without_labels_or_documents(spark, odd_rows):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd_rows, none)

@@ -70,6 +70,17 @@ def test_packed_ids_of_odd_rows(spark, odd, tmp_path):
     assert [a for a, _ in ends] == [0] + [b for _, b in ends[:-1]]
 
 
+def test_a_range_of_places_reads_its_shards_only(spark, odd, tmp_path, monkeypatch):
+    folder = str(tmp_path / "a")
+    packed_ids.write_packed(odd.repartition(4), folder, WORDS, end=1)
+    whole = b"".join(r.ids for r in packed_ids.read_packed(spark, folder).orderBy("start").collect())
+    n = len(whole) // 4
+    for start, stop in ((0, n), (0, 1), (n // 3, n // 2), (n - 1, n + 50), (5, 5), (n, n + 1)):
+        rows = packed_ids.read_range(spark, folder, start, stop).orderBy("start").collect()
+        assert b"".join(r.ids for r in rows) == whole[4 * start : 4 * stop]
+        assert [r.start for r in rows] == sorted({max(start, r.start) for r in rows})
+
+
 def test_no_documents_give_no_shards(spark, odd, tmp_path):
     assert packed(spark, odd.limit(0), tmp_path / "a") == []
 
