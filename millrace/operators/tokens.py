@@ -18,12 +18,19 @@ def with_words(df: DataFrame, text: str = "text", tokenizer=None) -> DataFrame:
     return compute_once(df, {"words": (tokenizer or word_tokens)(F.col(text))})
 
 
-def build_vocab(df: DataFrame, min_count: int = 1, words: str = "words") -> DataFrame:
+#: Words of a vocabulary, at most: with the end and the unknown token, ids are ints.
+MAX_WORDS = 2**31 - 3
+
+
+def build_vocab(
+    df: DataFrame, min_count: int = 1, words: str = "words", size: int = MAX_WORDS
+) -> DataFrame:
     """Dense ids by falling count, then by word: ``(word, n, id)``, as a written table.
 
-    The end token takes the id after the last word, unknown words the one after.
+    The vocabulary has the ``size`` most frequent words.  The end token takes the id after
+    the last word, unknown words the one after.
     Levels: at most 64 powers of two of the count, the counts between two of them, and
-    the words' beginnings, since most words are met only a few times.
+    ever longer beginnings of words, since most words are met only a few times.
     """
     counts = (
         df.select(F.explode(words).alias("word"))
@@ -34,11 +41,11 @@ def build_vocab(df: DataFrame, min_count: int = 1, words: str = "words") -> Data
     counts = cut_lineage(counts, "word-counts")
     placed = global_position(
         counts,
-        levels=[-F.floor(F.log2("n")), -F.col("n"), F.substring("word", 1, 3)],
+        levels=[-F.floor(F.log2("n")), -F.col("n"), F.substring("word", 1, 3), F.substring("word", 1, 9)],
         order=[F.col("word")],
         name="id",
     )
-    vocab = placed.select("word", "n", (F.col("id") - 1).cast("int").alias("id"))
+    vocab = placed.where(F.col("id") <= min(size, MAX_WORDS)).select("word", "n", (F.col("id") - 1).cast("int").alias("id"))
     return cut_lineage(vocab, "vocab")
 
 

@@ -41,6 +41,20 @@ def encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("input_ids").alias("n"), spaced("input_ids").alias("ids"))
 
 
+@query(
+    f"""WITH {sql.vocabulary(most=1000)} SELECT doc_id, len(ids)::INT AS n,
+      list_count(list_filter(ids, lambda id: id > 1000))::INT AS unknown, {sql.joined('ids')} AS ids FROM encoded"""
+)
+def encode_fixed_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids from a vocabulary of the thousand most frequent words."""
+    docs = tokens.with_words(views.corpus(spark, sf_dir))
+    vocab = tokens.build_vocab(docs, size=1000)
+    unknown = tokens.special_ids(vocab)[1]
+    ids = tokens.encode(docs, vocab, unknown)
+    missed = F.size(F.filter("input_ids", lambda id: id == unknown))
+    return ids.select("doc_id", F.size("input_ids").alias("n"), missed.alias("unknown"), spaced("input_ids").alias("ids"))
+
+
 @query(f"WITH {VOCAB}, {sql.ended(max_length=512)} SELECT doc_id, len(ids)::INT AS n, {sql.joined('ids')} AS ids FROM ended")
 def append_eos_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokens.with_words(views.corpus(spark, sf_dir))

@@ -202,25 +202,41 @@ def labelled_ids(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
     return labels.select((F.col("doc_id") + 1).alias("id")).distinct()
 
 
-@query(
-    f"""WITH {sql.RECIPES}, updates AS (
+UPDATED = f"""WITH {sql.RECIPES}, updates AS (
       SELECT id, title || ' 2' AS title
       FROM recipes JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id + 1 = id)
     SELECT r.id, CASE WHEN u.id IS NULL THEN source ELSE 'edit' END AS source,
       coalesce(u.title, r.title) AS title,
       array_to_string(ingredients, chr(10)) AS ingredients, instructions
     FROM recipes r LEFT JOIN updates u USING (id)"""
-)
-def update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recipes labelled as poor get two updates, of which the later counts."""
+
+
+def poor_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two updates of each recipe labelled as poor, and some of unknown recipes."""
     target = views.recipes(spark, sf_dir)
     poor = labelled_ids(spark, sf_dir, "quality = 0")
     edits = target.join(poor, "id").withColumn("source", F.lit("edit"))
     unknown = edits.withColumn("id", -F.col("id"))
     early = edits.withColumns({"title": F.concat("title", F.lit(" 1")), "seq": F.lit(1)})
     late = edits.withColumns({"title": F.concat("title", F.lit(" 2")), "seq": F.lit(2)})
-    updates = early.unionByName(late).unionByName(unknown.withColumn("seq", F.lit(3)))
-    return flat(recipes.update_matched(target, updates, "seq"))
+    return early.unionByName(late).unionByName(unknown.withColumn("seq", F.lit(3)))
+
+
+@query(UPDATED)
+def update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes labelled as poor get two updates, of which the later counts."""
+    return flat(recipes.update_matched(views.recipes(spark, sf_dir), poor_updates(spark, sf_dir), "seq"))
+
+
+@query(UPDATED)
+def update_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a table laid out by id, written as its next version and read back."""
+    path = new_folder(spark, "bucketed")
+    tables.replace_bucketed(views.recipes(spark, sf_dir), path, buckets=8)
+    target = tables.read_bucketed(spark, path, buckets=8)
+    updated = recipes.update_matched(target, poor_updates(spark, sf_dir), "seq")
+    tables.replace_bucketed(updated, path, buckets=8, dealt=True)
+    return flat(tables.read_bucketed(spark, path, buckets=8))
 
 
 @query(

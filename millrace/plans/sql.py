@@ -117,13 +117,13 @@ BATCHED = f"""{GROUPED}, batched AS (
         FROM grouped))"""
 
 
-def vocabulary(docs: str = "documents", key: str = "doc_id", min_count: int = 1) -> str:
+def vocabulary(docs: str = "documents", key: str = "doc_id", min_count: int = 1, most: int = 2**31 - 3) -> str:
     """CTEs: places(key, pos, word), vocab(word, n, id) and encoded(key, ids)."""
     return f"""places AS (
   SELECT {key}, unnest({words('text')}) AS word, generate_subscripts({words('text')}, 1) AS pos
   FROM {docs}), vocab AS (
   SELECT word, n, (row_number() OVER (ORDER BY n DESC, word) - 1)::INT AS id FROM (
-    SELECT word, count(*) AS n FROM places GROUP BY word HAVING count(*) >= {min_count})
+    SELECT word, count(*) AS n FROM places GROUP BY word HAVING count(*) >= {min_count}) QUALIFY id < {most}
 ), size AS (SELECT count(*)::INT AS v FROM vocab), encoded AS (
   SELECT d.{key}, coalesce(ids, []::INT[]) AS ids FROM {docs} d LEFT JOIN (
     SELECT {key}, list(coalesce(id, (SELECT v + 1 FROM size)) ORDER BY pos) AS ids

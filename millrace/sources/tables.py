@@ -145,6 +145,11 @@ def replace_table(df: DataFrame, path: str) -> int:
     """
     spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{folder}")
+    return publish(spark, path, folder)
+
+
+def publish(spark: SparkSession, path: str, folder: str) -> int:
+    """Make a written folder the next version of a table."""
     while True:
         versions = table_versions(spark, path)
         version = versions[-1] + 1 if versions else 1
@@ -188,6 +193,48 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     raise FileNotFoundError(f"no committed version under {path}")
 
 
+#: Buckets of a table that is laid out by its key.
+BUCKETS = 64
+
+
+def replace_bucketed(
+    df: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS, dealt: bool = False
+) -> int:
+    """``replace_table``, laid out in buckets by ``key``, each sorted by it.
+
+    Joins by the key then read the table where it lies, without a shuffle, and a lookup of
+    one key opens one bucket (see ``read_bucketed``).  With fewer buckets than shuffle
+    partitions, Spark may shuffle the table after all.  ``dealt`` tells that ``df`` comes
+    from such a table, so that its rows already are with those of their bucket.
+    """
+    spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(buckets, key)
+    name = f"written_{uuid.uuid4().hex}"
+    writer = rows.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{path}/{folder}").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry; the files stay
+    return publish(spark, path, folder)
+
+
+def read_bucketed(
+    spark: SparkSession, path: str, schema: T.StructType = RECIPE_SCHEMA, key: str = "id", buckets: int = BUCKETS
+) -> DataFrame:
+    """The current version of a table that ``replace_bucketed`` wrote with these settings."""
+    for version in reversed(table_versions(spark, path)):
+        folder = version_folder(spark, path, version)
+        if folder:
+            break
+    else:
+        raise FileNotFoundError(f"no committed version under {path}")
+    name = "bucketed_" + folder.rpartition("data-")[2]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{folder}'"
+    )
+    return spark.table(name)
+
+
 def append_metrics(df: DataFrame, path: str) -> None:
     """Append metric rows under one fixed schema; absent metrics become NULL."""
     present = set(df.columns)

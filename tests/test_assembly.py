@@ -181,6 +181,15 @@ def test_vocabulary_and_codec(spark, bounds):
     assert back == {0: "b a b", 1: "a b", 2: "", 3: "", 4: ""}
 
 
+def test_a_vocabulary_of_a_given_size(spark):
+    df = with_words(spark.createDataFrame([(0, "a b c a b a d d d d e")], "doc_id long, text string"))
+    vocab = build_vocab(df, size=3)
+    assert sorted((r.id, r.word) for r in vocab.collect()) == [(0, "d"), (1, "a"), (2, "b")]
+    eos, unknown = special_ids(vocab)
+    assert (eos, unknown) == (3, 4)
+    assert encode(df, vocab, unknown).first().input_ids == [1, 2, 4, 1, 2, 1, 0, 0, 0, 0, 4]
+
+
 def test_vocabulary_order_over_many_buckets(spark):
     rng = random.Random(12)
     words = ["".join(rng.choices("abcé", k=rng.randint(1, 9))) for _ in range(3000)]

@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import recipes
+from millrace.operators import logs, recipes
 from millrace.sources import feeds, tables
 
 SCHEMA = tables.RECIPE_SCHEMA
@@ -183,6 +183,62 @@ def test_update_ignores_unknown_ids_and_takes_the_last(spark):
     assert got == [(1, "s", "t1", ["x"], "i"), (2, "u", "last", ["z"], None)]
 
 
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    """Joins as they are between tables too large to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plain = recipes.lookup
+    monkeypatch.setattr(recipes, "lookup", lambda facts, table, on: plain(facts, table, on, max_bytes=0))
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def exchanges_above(plan, table):
+    """Whether a scan of ``table`` lies below an exchange in an executed plan's text."""
+    lines = plan.splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found = []
+    for i, line in enumerate(lines):
+        if table in line and "FileScan" in line:
+            level, above = depth(line), False
+            for other in reversed(lines[:i]):
+                if depth(other) < level:
+                    level, above = depth(other), above or "Exchange" in other
+            found.append(above)
+    assert found
+    return any(found)
+
+
+def test_tables_laid_out_by_id_are_not_shuffled(spark, tmp_path, no_broadcast):
+    path = str(tmp_path / "recipes")
+    tables.replace_bucketed(recipe_table(spark, [-1, -1, *range(1, 200)]).repartition(3), path, buckets=8)
+    target = tables.read_bucketed(spark, path, buckets=8)
+    updates = spark.createDataFrame([(i, "u", f"new{i}", ["y"], "j") for i in range(0, 400, 7)], SCHEMA)
+    updated = recipes.update_matched(target, updates)
+    gone = recipes.delete_by_id(target, spark.createDataFrame([(5,), (6,), (900,)], "id long"))
+    upserted = logs.upsert_results(target, recipe_table(spark, [3, 1000]), "id")
+    for changed in (updated, gone, upserted):
+        plan = changed._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        assert not exchanges_above(plan, "bucketed_")
+    assert exchanges_above(target.groupBy("title").count()._jdf.queryExecution().executedPlan().toString(), "bucketed_")
+    assert tables.replace_bucketed(updated, path, buckets=8, dealt=True) == 2
+    after = tables.read_bucketed(spark, path, buckets=8)
+    assert {r.id: r.title for r in after.collect()} == {
+        i: f"new{i}" if i % 7 == 0 else f"t{i}" for i in [-1, *range(1, 200)]
+    }
+    assert after.count() == 201 and sorted(r.id for r in gone.collect())[:6] == [-1, -1, 1, 2, 3, 4]
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # one partition per file
+    assert after.where("title = 'x'").rdd.getNumPartitions() >= 8
+    assert after.where("id = 77").rdd.getNumPartitions() < after.where("title = 'x'").rdd.getNumPartitions()
+    spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert recipes.get_recipe(after, 77).first().title == "new77"
+    with pytest.raises(FileNotFoundError):
+        tables.read_bucketed(spark, str(tmp_path / "none"))
+
+
 def test_delete(spark):
     table = recipe_table(spark, [1, 2, 3])
     left = recipes.delete_by_id(table, spark.createDataFrame([(2,), (7,)], "id long"))
