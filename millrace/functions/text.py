@@ -61,20 +61,74 @@ def accent_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(plain + marks), "".join(bare), tuple(longer)
 
 
+@cache
+def composites() -> tuple[tuple[str, str], ...]:
+    """Pairs of characters that are no combining marks but compose, with the result."""
+    found = []
+    for code in range(0x80, sys.maxunicode + 1):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            pair = "".join(chr(int(x, 16)) for x in parts)
+            plain = all(unicodedata.category(c) != "Mn" for c in pair)
+            if plain and unicodedata.normalize("NFC", pair) == chr(code):
+                found.append((pair, chr(code)))
+    return tuple(found)
+
+
+# Hangul syllables are numbered by their letters: 21 vowels, 28 ends (the first: none).
+LEADS, VOWELS, ENDS, SYLLABLES = (r"\x{1100}-\x{1112}", r"\x{1161}-\x{1175}", r"\x{11A8}-\x{11C2}", r"\x{AC00}-\x{D7A3}")
+
+
+def compose_hangul(col: Column) -> Column:
+    """Join letters of Hangul that follow each other into syllables."""
+    letters = f"[{LEADS}][{VOWELS}][{ENDS}]?|[{SYLLABLES}][{ENDS}]|(?s).[^{LEADS}{SYLLABLES}]*"
+
+    def code(part: Column, at: int) -> Column:
+        return F.ascii(F.substring(part, at, 1))
+
+    def syllable(code: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+    def join(part: Column) -> Column:
+        end = F.when(F.length(part) == 3, code(part, 3) - 0x11A7).otherwise(0)
+        whole = 0xAC00 + ((code(part, 1) - 0x1100) * 21 + code(part, 2) - 0x1161) * 28 + end
+        open_ = (code(part, 1) - 0xAC00) % 28 == 0
+        longer = F.when(open_, syllable(code(part, 1) + code(part, 2) - 0x11A7)).otherwise(part)
+        return (
+            F.when(part.rlike(f"^[{LEADS}][{VOWELS}]"), syllable(whole))
+            .when(part.rlike(f"^[{SYLLABLES}][{ENDS}]"), longer)
+            .otherwise(part)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(col, F.lit(letters), F.lit(0)), join), "")
+
+
+def compose(col: Column) -> Column:
+    """Join characters that became neighbours when marks between them were deleted."""
+    joined = col
+    for pair, whole in composites():
+        joined = F.replace(joined, F.lit(pair), F.lit(whole))
+    seconds = "[" + "".join(f"\\x{{{ord(pair[1]):x}}}" for pair, _ in composites()) + "]"
+    hangul = F.when(col.rlike(f"[{VOWELS}{ENDS}]"), compose_hangul(col)).otherwise(col)
+    return F.when(~col.rlike(seconds), hangul).when(col.rlike(f"[{VOWELS}{ENDS}]"), compose_hangul(joined)).otherwise(joined)
+
+
 def remove_accents(col: Column) -> Column:
-    """Drop combining marks and replace accented characters by their base.
+    """Drop combining marks, replace accented characters by their base and compose.
 
-    ASCII text, the common case, skips the table altogether.
+    ASCII text, the common case, skips the tables altogether.
     """
     plain, bare, longer = accent_table()
     several = col
     for char, kept in longer:
         several = F.replace(several, F.lit(char), F.lit(kept))
     rare = "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in longer) + "]"
+    late = "".join(f"\\x{{{ord(pair[1]):x}}}" for pair, _ in composites())
+    stripped = F.when(col.rlike(rare), F.translate(several, plain, bare)).otherwise(F.translate(col, plain, bare))
     return (
         F.when(~col.rlike(r"[^\x00-\x7F]"), col)
-        .when(col.rlike(rare), F.translate(several, plain, bare))
-        .otherwise(F.translate(col, plain, bare))
+        .when(col.rlike(f"[{VOWELS}{ENDS}{late}]"), compose(stripped))
+        .otherwise(stripped)
     )
 
 

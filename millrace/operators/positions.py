@@ -35,11 +35,6 @@ def hash_levels(col: Column | str, digits: int = 5) -> list[Column]:
     return [F.substring(col, 1, 2), F.substring(col, 1, digits)]
 
 
-def text_levels(col: Column | str) -> list[Column]:
-    """Levels for a string order: growing prefixes."""
-    return [F.substring(col, 1, 2), F.substring(col, 1, 6)]
-
-
 def seeded_hash(key: Column | str, seed: int = 42) -> Column:
     """A reproducible random order key of a row: md5 of ``seed:key``."""
     key = F.col(key) if isinstance(key, str) else key

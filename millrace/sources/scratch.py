@@ -9,6 +9,7 @@ all executors share as well, holds them.
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -26,7 +27,11 @@ def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if root:
         return root.rstrip("/")
-    return spark.conf.get(WAREHOUSE_DIR).rstrip("/") + "/_scratch"
+    root = spark.conf.get(WAREHOUSE_DIR).rstrip("/") + "/_scratch"
+    local = spark.sparkContext.master.startswith("local")
+    if not local and hadoop_path(spark, root)[0].getScheme() == "file":
+        warnings.warn(f"{CHECKPOINT_DIR} is unset: {root} must be a folder that all executors share", stacklevel=2)
+    return root
 
 
 def hadoop_path(spark: SparkSession, path: str):

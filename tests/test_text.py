@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import duckdb
 import pytest
@@ -81,6 +82,27 @@ def test_accents_equal_another_engine(spark):
     assert values(spark, texts, T.remove_accents(F.col("t"))) == bare(texts)
 
 
+def bare_by_normal_forms(text):
+    parts = unicodedata.normalize("NFD", text)
+    return unicodedata.normalize("NFC", "".join(c for c in parts if unicodedata.category(c) != "Mn"))
+
+
+def test_accents_of_all_characters_and_of_sequences_of_marks(spark):
+    """Also letters of Hangul and spacing marks that become neighbours and compose."""
+    codes = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) != "Cs"]
+    texts = ["".join(codes[i : i + 50]) if i % 3 else " ".join(codes[i : i + 50]) for i in range(0, len(codes), 50)]
+    rng = random.Random(5)
+    pairs = [c for pair, _ in T.composites() for c in pair]
+    hangul = [chr(c) for c in (0x1100, 0x1112, 0x1161, 0x1175, 0x11A8, 0x11C2, 0x11A7, 0x1113, 0xAC00, 0xAC01, 0xD788, 0xD7A3)]
+    marks = [chr(c) for c in (0x300, 0x301, 0x327, 0x94D, 0xCC6, 0x1B35, 0x1B3C, 0x20D0)]
+    letters = ["a", "é", "q", "ǖ", "한", "が", "\u212b", "\u0ccb", "\u09cb"]
+    texts += ["".join(rng.choices(rng.choice([pairs + marks, hangul + marks, pairs + hangul + marks + letters]), k=9)) for _ in range(4000)]
+    # Composing needs the order of marks that are neither deleted nor plain.
+    odd = [c for c in codes if unicodedata.combining(c) and unicodedata.category(c) != "Mn"]
+    texts = ["".join(c for c in t if c not in odd) for t in texts] + odd
+    assert values(spark, texts, T.remove_accents(F.col("t"))) == [bare_by_normal_forms(t) for t in texts]
+
+
 def test_accents_of_latin_greek_and_cyrillic_letters(spark):
     ranges = (range(0xC0, 0x250), range(0x386, 0x3CF), range(0x400, 0x460), range(0x1E00, 0x1F00))
     letters = [chr(code) for codes in ranges for code in codes]
