@@ -169,7 +169,7 @@ class WordIds:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # first hashes of the parts known, ascending
+        self.keys = np.zeros(0, np.uint64)  # quick hashes of the parts known, ascending
         self.second = np.zeros(0, np.uint64)
         self.row = np.zeros(0, np.int64)  # where their ids are
         self.ids = np.zeros(0, np.uint32)

@@ -33,7 +33,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.spans import BYTE_CODE, FIRST, SECOND, SpanHash, Texts, distinct_spans, slices, span_strings, take_ranges
+from millrace.llm.spans import BYTE_CODE, QuickHash, SpanHash, Texts, distinct_spans, slices, span_strings, take_ranges
 from millrace.sources.scratch import cut_lineage, free_table
 
 MARKER = "▁"
@@ -171,10 +171,8 @@ def chunk_table(documents: DataFrame, path: str, rows: int = TABLE_ROWS) -> Chun
             for texts in slices(batch, "chunk"):
                 start, end = texts.start[:-1], texts.start[1:]
                 ids = pieces.segment(texts.rows.column("chunk").to_pylist())
-                hashes = [
-                    pa.array(SpanHash(BYTE_CODE[texts.data], bases).of(start, end).view(np.int64))
-                    for bases in (FIRST, SECOND)
-                ]
+                found = QuickHash.of(texts.data, start, end), SpanHash(BYTE_CODE[texts.data]).of(start, end)
+                hashes = [pa.array(h.view(np.int64)) for h in found]
                 yield pa.RecordBatch.from_arrays(
                     [*hashes, pa.array(ids, pa.list_(pa.int32()))], ["one", "two", "ids"]
                 )

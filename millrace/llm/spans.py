@@ -109,6 +109,31 @@ class SpanHash:
         return mix(plain ^ ((end - start).astype(np.uint64) * np.uint64(BASE)))
 
 
+class QuickHash:
+    """Powers modulo 2**64: quick, but unequal spans of regular texts may have equal hashes.
+
+    Only for groups that are compared byte by byte, or beside another hash.
+    """
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def powers(cls, n: int) -> None:
+        if len(cls.up) <= n:
+            size = max(n + 1, SLICE_BYTES + 1)
+            cls.up, cls.down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 2**64), np.uint64)
+            for values in (cls.up, cls.down):
+                values[0] = 1
+                np.multiply.accumulate(values, out=values)
+
+    @classmethod
+    def of(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        cls.powers(len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_CODE[data] * cls.up[: len(data)], out=total[1:])
+        return mix((total[end] - total[start]) * cls.down[start] ^ (end - start).astype(np.uint64))
+
+
 @dataclass
 class Texts:
     """A slice of a batch: its rows, all their bytes and where each text begins."""
@@ -231,34 +256,49 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return data[place], np.concatenate([[0], np.cumsum(end - start)])
 
 
+#: Bytes of a span that are compared for many spans at once.
+COMPARED = 256
+
+
 def differ(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Whether each span has other bytes than the span numbered ``other[i]``."""
     size = end - start
     apart = size != size[other]
-    place, owner = spread_ranges(start, np.where(apart, 0, size))
-    unequal = data[place] != data[place + (start[other] - start)[owner]]
-    apart[owner[unequal]] = True
+    eights = np.ndarray(len(data) + 1, "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    left = np.flatnonzero(~apart & (size > 0) & (other != np.arange(len(other))))
+    for at in range(0, COMPARED, 8):
+        if not len(left):
+            break
+        unequal = eights[start[left] + at] ^ eights[start[other[left]] + at]
+        # Bytes behind the span's end do not count.
+        unequal <<= ((8 - np.minimum(size[left] - at, 8)) * 8).astype(np.uint64)
+        apart[left[unequal != 0]] = True
+        left = left[(unequal == 0) & (size[left] > at + 8)]
+    for i in left.tolist():
+        apart[i] = (data[start[i] : end[i]] != data[start[other[i]] : end[other[i]]]).any()
     return apart
 
 
 def distinct_spans(
     data: np.ndarray, start: np.ndarray, end: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent hashes of each distinct span, a place of it, and each span's number.
+    """The quick hash and the hash modulo a prime of each distinct span, a place of it, and
+    each span's number.
 
-    Spans are grouped by the first hash, in ascending order, and compared byte by byte with
-    the first of their group; any that differ from it are groups of their own, at the end.
+    Spans are grouped by the quick hash, in ascending order, and compared byte by byte with
+    the first of their group; those that differ from it are told apart by their bytes and
+    come last.
     """
-    one = SpanHash(BYTE_CODE[data]).of(start, end)
-    where, number = distinct(one)
+    quick = QuickHash.of(data, start, end)
+    where, number = distinct(quick)
     odd = np.flatnonzero(differ(data, start, end, where[number]))
     if len(odd):
         found: dict[bytes, int] = {}
+        added: list[int] = []
         for i in odd.tolist():
-            name = one[i].tobytes() + data[start[i] : end[i]].tobytes()
-            number[i] = found.setdefault(name, len(where))
-            if number[i] == len(where):
-                where = np.append(where, i)
-    bytes_, border = joined(data, start[where], end[where])
-    two = SpanHash(BYTE_CODE[bytes_], SECOND).of(border[:-1], border[1:])
-    return one[where], two, where, number
+            number[i] = found.setdefault(data[start[i] : end[i]].tobytes(), len(where) + len(added))
+            if number[i] == len(where) + len(added):
+                added.append(i)
+        where = np.append(where, np.array(added, where.dtype))
+    names, border = joined(data, start[where], end[where])
+    return quick[where], SpanHash(BYTE_CODE[names]).of(border[:-1], border[1:]), where, number

@@ -36,19 +36,30 @@ def test_a_hash_is_the_polynomial_modulo_the_prime():
             assert int(got[0]) == plain
 
 
+def test_spans_that_differ():
+    random.seed(4)
+    base = "".join(random.choices("ab", k=700))
+    words = ["", "a", base[:8], base[:9], base[:255], base[:256], base[:257], base]
+    words += [w[:k] + "c" + w[k + 1 :] for w in words[1:] for k in {0, len(w) // 2, len(w) - 1}]
+    words += words
+    data, start, end = spans_of(words)
+    for shift in (0, 1, len(words) // 2, 5):
+        other = np.roll(np.arange(len(words)), shift)
+        assert spans.differ(data, start, end, other).tolist() == [words[i] != words[j] for i, j in enumerate(other)]
+
+
 def test_distinct_spans_are_told_apart_by_their_bytes(monkeypatch):
     random.seed(2)
     words = ["".join(random.choices("abc", k=random.randint(0, 4))) for _ in range(500)]
     data, start, end = spans_of(words)
-    for mask in (2**64 - 1, 3):  # with a first hash of two bits nearly all spans share one
-        whole = spans.SpanHash.of
-
-        def weak(self, start, end, mask=mask, whole=whole):
-            found = whole(self, start, end)
-            return found if self.down[0] is spans.POWERS[spans.SECOND[0]].down else found & np.uint64(mask)
-
-        monkeypatch.setattr(spans.SpanHash, "of", weak)
+    words += [THUE_MORSE, COMPLEMENT] * 3
+    data, start, end = spans_of(words)
+    whole = spans.QuickHash.of(data, start, end)
+    assert whole[-1] == whole[-2]  # what the quick hash may do
+    for mask in (2**64 - 1, 3):  # with a quick hash of two bits nearly all spans share one
+        monkeypatch.setattr(spans.QuickHash, "of", lambda *a, mask=mask: whole & np.uint64(mask))
         one, two, where, number = spans.distinct_spans(data, start, end)
         monkeypatch.undo()
         assert [words[where[n]] for n in number] == words
         assert len(where) == len(one) == len(set(two.tolist())) == len(set(words))
+        assert (one == (whole & np.uint64(mask))[where]).all()
