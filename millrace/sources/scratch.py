@@ -28,8 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     root = spark.conf.get(WAREHOUSE_DIR).rstrip("/") + "/_scratch"
-    local = spark.sparkContext.master.startswith("local")
-    if not local and hadoop_path(spark, root)[0].getScheme() == "file":
+    if root.startswith(("file:", "/")) and not spark.conf.get("spark.master", "local").startswith("local"):
         warnings.warn(f"{CHECKPOINT_DIR} is unset: {root} must be a folder that all executors share", stacklevel=2)
     return root
 
