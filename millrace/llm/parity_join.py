@@ -167,21 +167,36 @@ def bit_sketches(shingles: Shingles) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(border), pa.py_buffer(data)])
 
 
+#: 64-bit words of sketches that are compared at once.
+COMPARED = 2**18
+
+
+def sketch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit words of a column of bit sketches, and where each sketch begins and ends."""
+    _, offsets, data = column.buffers()
+    border = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    words = np.frombuffer(data[border[0] : border[-1]].tobytes(), np.uint64)
+    return words, (border - border[0]) // 8
+
+
 def hamming(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Cells in which the bit sketches of each pair differ; the longer one is folded first."""
-    sketches = [x.to_pylist() for x in (a, b)]
-    sizes = np.array([[len(s) // 8 for s in x] for x in sketches], np.int64).reshape(2, -1)
+    sides = [sketch_words(x) for x in (a, b)]
+    sizes = np.stack([np.diff(border) for _, border in sides])
     found = np.zeros(len(a), np.int64)
     for widths in np.unique(sizes, axis=1).T:
-        rows = np.flatnonzero((sizes == widths[:, None]).all(axis=0))
-        narrow = widths.min()
-        one, two = (
-            np.bitwise_xor.reduce(
-                np.frombuffer(b"".join([x[i] for i in rows]), np.uint64).reshape(len(rows), -1, narrow), axis=1
+        rows, narrow = np.flatnonzero((sizes == widths[:, None]).all(axis=0)), int(widths.min())
+        step = max(1, COMPARED // int(widths.max()))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            one, two = (
+                np.bitwise_xor.reduce(
+                    words[border[part][:, None] + np.arange(width)].reshape(len(part), -1, narrow), axis=1
+                )
+                for (words, border), width in zip(sides, widths)
             )
-            for x in sketches
-        )
-        found[rows] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            found[part] = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
     return found
 
 
