@@ -41,7 +41,7 @@ MARKER = "▁"
 #: Rows of the chunk table, at most: a bound for what is sent to every task.
 TABLE_ROWS = 2**18
 
-SLICE = 2**22
+SLICE = 2**21
 
 # Counts up to EXACT have a bin each in the histogram, larger ones a bin per power of two.
 EXACT = 4096

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2**20
+SLICE_BYTES = 2**19
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -62,19 +62,24 @@ def reduced(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of a base and of its inverse modulo the prime, grown as longer arrays come."""
+    """Powers of a base and of its inverse modulo the prime, grown as longer arrays come.
+
+    They stay with the worker, so they are kept in 32 bits.
+    """
 
     def __init__(self, base: int) -> None:
         self.base = base
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+        self.up = np.ones(1, np.uint32)
+        self.down = np.ones(1, np.uint32)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.up) <= n:
             size, prime = len(self.up), int(PRIME)
             step = pow(self.base, size, prime)
-            self.up = np.append(self.up, reduced(self.up * np.uint64(step)))
-            self.down = np.append(self.down, reduced(self.down * np.uint64(pow(step, -1, prime))))
+            for name, factor in (("up", step), ("down", pow(step, -1, prime))):
+                powers = getattr(self, name)
+                further = reduced(powers.astype(np.uint64) * np.uint64(factor))
+                setattr(self, name, np.append(powers, further.astype(np.uint32)))
         return self.up, self.down
 
 
@@ -93,10 +98,12 @@ class SpanHash:
         self.down, self.total = [], []
         for base, shift in zip(bases, CODE_SHIFTS):
             up, down = POWERS[base].upto(n)
-            term = (codes >> shift) & PRIME
+            term = codes >> shift
+            term &= PRIME
             term *= up[:n]
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(folded(term), out=total[1:])
+            del term
             self.down.append(down)
             self.total.append(total)
 
