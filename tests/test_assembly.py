@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import tokens as T
 from millrace.operators import assembly
+from millrace.operators.lookups import lookup
 from millrace.operators.tokens import build_vocab, decode, encode, special_ids, with_words
 
 
@@ -216,3 +217,29 @@ def test_a_resume_opens_only_the_folders_that_are_left(spark, tmp_path, n_seen,
     assert len(opened) == folders
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(block" in plan
+
+
+def test_only_words_beyond_the_worker_table_are_shuffled(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", [60, 30, 15, 8, 4, 2, 1, 1], k=rng.randint(0, 30))) for _ in range(40)]
+    # Rows that share a key stay apart; an unknown word is one of those missed.
+    docs = [(i // 2, text + (" zz" if i == 3 else "")) for i, text in enumerate(texts)]
+    df = with_words(spark.createDataFrame(docs, "doc_id long, text string"))
+    vocab = build_vocab(df, min_count=2)
+    eos, unknown = special_ids(vocab)
+    words = [r.word for r in vocab.orderBy("id").collect()]
+    sent = []
+
+    def counted(facts, *args, **bounds):
+        sent.append(facts.count())
+        return lookup(facts, *args, **bounds)
+
+    monkeypatch.setattr("millrace.operators.tokens.lookup", counted)
+    bounds = {"worker_bytes": 4 * len('{"word":"a"}'), "max_bytes": 0}
+    ids = encode(df, vocab, unknown, keep=["text"], **bounds)
+    assert sent == [sum(w not in words[:4] for _, text in docs for w in text.split())]
+    expected = [(key, text, [words.index(w) if w in words else unknown for w in text.split()]) for key, text in docs]
+    assert sorted(tuple(r) for r in ids.collect()) == sorted(expected)
+    back = decode(ids.withColumn("input_ids", F.concat("input_ids", F.array(F.lit(eos)))), vocab, **bounds)
+    assert sorted(tuple(r) for r in back.collect()) == sorted((key, text.replace(" zz", "")) for key, text in docs)
+    assert sent[1] == sent[0] - 1
