@@ -191,3 +191,21 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
         query.awaitTermination()
     assert spark.read.parquet(f"{lines}/*").count() == 2
     assert spark.read.parquet(f"{points}/*").count() == 2
+
+
+def test_chunks_of_one_shard_are_written_by_many_tasks(spark, tmp_path):
+    """They are not shuffled by their shard to be numbered."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    put(spark, [(i, list(range(64))) for i in range(40)], DOCS, source, "part.json")
+    keys = ["spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(key) for key in keys]
+    try:
+        for key, value in zip(keys, ["false", "-1"]):
+            spark.conf.set(key, value)
+        streams.pack_chunks_stream(arriving(spark, source, DOCS), out, str(tmp_path / "cp"), 16, 0).awaitTermination()
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.set(key, value)
+    chunks = streams.read_packed(spark, out)
+    assert chunks.count() == 160
+    assert chunks.select(F.input_file_name()).distinct().count() > 1
