@@ -190,3 +190,17 @@ def test_learning_rate(spark):
     df = spark.createDataFrame([(s,) for s in steps], "step long")
     got = df.select("step", metrics.lr_schedule(F.col("step"), 300, 300, 2700).alias("m")).collect()
     assert {r.step: r.m for r in got} == {s: pytest.approx(m, abs=1e-3) for s, m in steps.items()}
+
+
+def test_self_bleu_counts_a_bounded_share_of_the_words_at_once(spark):
+    rng = random.Random(4)
+    texts = [(i % 2, i, " ".join(rng.choices("abcd", k=rng.randint(0, 12)))) for i in range(40)]
+    df = spark.createDataFrame(texts, "g int, id int, text string")
+    whole = metrics.self_bleu(df, ["g"])
+    parts = metrics.self_bleu(df, ["g"], task_words=5)
+    known = {r.g: (r.texts, r.self_bleu) for r in whole.collect()}
+    assert {r.g: (r.texts, pytest.approx(r.self_bleu)) for r in parts.collect()} == known
+    # The holder of a gram is found by hashing; grams are never sorted.
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    words = sum(len(text.split()) for _, _, text in texts)
+    assert f"{-(-words // 5)}), REPARTITION_BY_NUM" in plan and "SortAggregate" not in plan
