@@ -232,11 +232,12 @@ def update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def update_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on a table laid out by id, written as its next version and read back."""
     path = new_folder(spark, "bucketed")
-    tables.replace_bucketed(views.recipes(spark, sf_dir), path, buckets=8)
-    target = tables.read_bucketed(spark, path, buckets=8)
+    buckets = tables.buckets_for(spark, f"{sf_dir}/documents.parquet", least=8)
+    tables.replace_bucketed(views.recipes(spark, sf_dir), path, buckets=buckets)
+    target = tables.read_bucketed(spark, path, buckets=buckets)
     updated = recipes.update_matched(target, poor_updates(spark, sf_dir), "seq")
-    tables.replace_bucketed(updated, path, buckets=8, dealt=True)
-    return flat(tables.read_bucketed(spark, path, buckets=8))
+    tables.replace_bucketed(updated, path, buckets=buckets, dealt=True)
+    return flat(tables.read_bucketed(spark, path, buckets=buckets))
 
 
 @query(

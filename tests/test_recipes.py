@@ -314,3 +314,15 @@ def test_corpus_split_folders(spark, tmp_path):
     df.write.partitionBy("split").parquet(path)
     assert rows(tables.read_corpus(spark, path, split="val")) == [(2, "b")]
     assert tables.read_corpus(spark, path, streaming=True, split="train").isStreaming
+
+
+def test_buckets_grow_with_the_input(spark, tmp_path):
+    path = str(tmp_path / "in")
+    recipe_table(spark, range(1, 100)).write.parquet(path)
+    size = sum(file.stat().st_size for file in (tmp_path / "in").iterdir() if not file.name.startswith("."))
+    found = tables.buckets_for(spark, path, least=8, bucket_bytes=100)
+    assert found >= size // 100 > 8
+    assert tables.buckets_for(spark, path, least=8) == 8
+    tables.replace_bucketed(recipe_table(spark, range(1, 100)), str(tmp_path / "out"), buckets=found)
+    after = tables.read_bucketed(spark, str(tmp_path / "out"), buckets=found)
+    assert sorted(r.id for r in after.collect()) == list(range(1, 100))
