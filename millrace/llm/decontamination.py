@@ -61,7 +61,8 @@ UNITS = (
 #: sign beside a number is a token of its own, this letter and the sign.
 POINT = "\ua78f"
 SIGNS = "$€£%"
-SEPARATOR = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{SIGNS}]|(?<!{POINT})[{SIGNS}])+"
+#: Looks behind only where a sign or a capital stands: most characters are settled before.
+SEPARATOR = rf"(?:[^\p{{L}}\p{{N}}\p{{M}}{SIGNS}]|[{SIGNS}](?<!{POINT}[{SIGNS}]))+"
 NUMBER = rf"^[0-9][0-9{POINT}]*$"
 NAME = r"\p{Lu}\p{Ll}"
 JOINED = "\ua7f7"  # between the words of a name
@@ -78,7 +79,7 @@ def parted(text: Column) -> Column:
 
 def named(text: Column) -> Column:
     """``text`` with capitalised words beside each other joined into one name."""
-    return F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}\p{{M}}])({NAME}[\p{{L}}\p{{M}}]*) (?={NAME})", f"$1{JOINED}")
+    return F.regexp_replace(text, rf"(?={NAME})(?<![\p{{L}}\p{{N}}\p{{M}}])({NAME}[\p{{L}}\p{{M}}]*) (?={NAME})", f"$1{JOINED}")
 
 
 def raw_tokens(text: Column) -> Column:
