@@ -143,3 +143,26 @@ def test_rendering_with_source_and_id(spark):
     assert df.select(text).first()[0] == (
         "Id: 7\n\nSource: fn\n\nTitle: T\n\nIngredients:\n- x\n\nInstructions: do"
     )
+
+
+STEPS = ["remove_accents", "remove_special_characters", "remove_html_tags", "replace_whitespace", "clean_text", "clean_ingredient"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_step_evaluates_its_argument_once(spark, step):
+    """Named twice, the steps before it run twice."""
+    assert str(getattr(T, step)(F.col("the_argument"))).count("the_argument") == 1
+
+
+def test_cleaning_shortcuts_keep_every_case(spark):
+    rows = [
+        ("plain", "plain"), ("a  b", "a b"), ("a\u00a0b\u2003\u2003c", "a b c"), ("\u3000 x\u0085", "x"), ("a \n b", "a b"),
+        ("a\tb", "ab"), ("é\u0301`e", "ee"), ("日本–ok😀", "–ok"), ("<b>x</b>y", "y"), ("</b>y", "</b>y"), ("", ""), (None, None),
+    ]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "i int, value string, wanted string")
+    steps = [T.remove_accents, T.remove_special_characters, T.remove_html_tags]
+    col = T.replace_whitespace(F.col("value"))
+    for step in steps:
+        col = step(col)
+    got = df.select("i", col.alias("got")).orderBy("i").collect()
+    assert [r.got for r in got] == [wanted for _, wanted in rows]
