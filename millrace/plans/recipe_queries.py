@@ -74,16 +74,10 @@ def feed_columns(read: list[DataFrame]) -> DataFrame:
 def read_object_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds of one file each, all of it one object, read in splits."""
     read = []
+    pieces = tables.buckets_for(spark, f"{sf_dir}/documents.parquet", least=8)
     for source, feed in zip(FEEDS, views.feeds(spark, sf_dir)):
         path = new_folder(spark, "object")
-        whole = F.to_json(F.create_map(F.col("key"), F.col("recipe")))
-        member = F.substring(whole, F.lit(2), F.length(whole) - 2)
-        bounds = feed.agg(F.min("ordinal"), F.max("ordinal")).first()
-        opened = F.when(F.col("ordinal") == bounds[0], F.lit("{")).otherwise(F.lit(","))
-        closed = F.when(F.col("ordinal") == bounds[1], F.lit("}")).otherwise(F.lit(""))
-        # One file has one writer; it is read by as many tasks as it has splits.
-        text = feed.select("ordinal", F.concat(opened, member, closed).alias("value")).orderBy("ordinal")
-        text.select("value").coalesce(1).write.mode("overwrite").text(path)
+        feed_source.write_object_feed(feed, path, pieces)
         read.append(feed_source.read_feed(spark, path, source))
     return feed_columns(read)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.positions import global_position, id_levels, running_total
-from millrace.sources.scratch import cut_lineage
+from millrace.sources.scratch import cut_lineage, hadoop_path, join_files, new_folder
 
 # ``picture_link`` is not part of the schema, so parsing drops it.
 FEED_SCHEMA = (
@@ -22,6 +22,27 @@ def members(text: Column, mode: str = "FAILFAST") -> Column:
     return F.from_json(text, FEED_SCHEMA, {"mode": mode})
 
 
+def write_object_feed(entries: DataFrame, path: str, pieces: int) -> None:
+    """Write ``(ordinal, key, recipe)`` as one file that is one JSON object, in order.
+
+    Members are written in ``pieces`` ranges of ordinals, which must be unique, by a task
+    each; the pieces then become one file (see ``join_files``).
+    """
+    spark = entries.sparkSession
+    whole = F.to_json(F.create_map(F.col("key"), F.col("recipe")))
+    member = F.substring(whole, F.lit(2), F.length(whole) - 2)
+    bounds = entries.agg(F.min("ordinal"), F.max("ordinal")).first()
+    opened = F.when(F.col("ordinal") == bounds[0], F.lit("{")).otherwise(F.lit(","))
+    closed = F.when(F.col("ordinal") == bounds[1], F.lit("}")).otherwise(F.lit(""))
+    text = entries.select("ordinal", F.concat(opened, member, closed).alias("value"))
+    folder = new_folder(spark, "pieces")
+    ordered = text.repartitionByRange(pieces, "ordinal").sortWithinPartitions("ordinal")
+    ordered.select("value").write.mode("overwrite").text(folder)
+    join_files(spark, folder, path)
+    fs, written = hadoop_path(spark, folder)
+    fs.delete(written, True)
+
+
 def read_feed(spark: SparkSession, path: str, source: str, lines: bool = False) -> DataFrame:
     """Rows ``(source, ordinal, key, recipe)`` of a keyed feed, in file order.
 

@@ -1,12 +1,13 @@
 import json
 
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import logs, recipes
-from millrace.sources import feeds, tables
+from millrace.sources import feeds, scratch, tables
 
 SCHEMA = tables.RECIPE_SCHEMA
 
@@ -326,3 +327,54 @@ def test_buckets_grow_with_the_input(spark, tmp_path):
     tables.replace_bucketed(recipe_table(spark, range(1, 100)), str(tmp_path / "out"), buckets=found)
     after = tables.read_bucketed(spark, str(tmp_path / "out"), buckets=found)
     assert sorted(r.id for r in after.collect()) == list(range(1, 100))
+
+
+def test_an_object_of_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task reads or writes all of it."""
+    from millrace.plans import recipe_queries
+
+    docs = tmp_path / "documents.parquet"
+    text = F.concat(F.lit('"a" } {.'), F.col("id").cast("string"), F.lit("\nb"))
+    rows = spark.range(3000).select((F.col("id") * 3).alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    rows.write.parquet(str(docs))
+    joined = []
+
+    def join(spark, folder, path):
+        parts = sorted(Path(folder.removeprefix("file:")).glob("part-*"))
+        sizes, whole = [p.stat().st_size for p in parts], b"".join(p.read_bytes() for p in parts)
+        scratch.join_files(spark, folder, path)
+        made = [p.read_bytes() for p in Path(path.removeprefix("file:")).glob("part-*")]
+        joined.append((sizes, made == [whole] or not any(sizes) and not any(made)))
+
+    monkeypatch.setattr(feeds, "join_files", join)
+    got = recipe_queries.read_object_feed(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [(r.source, r.ordinal, r.key, r.title) for r in got] == [
+        ("ar", i, str(i * 3 // 4), '"a" } {') for i in range(3000)
+    ]
+    assert all(same for _, same in joined) and len(joined) == 3
+    assert max(joined[0][0]) < sum(joined[0][0]) / 4
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_joined_files_keep_their_order(spark, tmp_path, monkeypatch, local):
+    folder, path = tmp_path / "parts", tmp_path / "whole"
+    folder.mkdir()
+    path.mkdir()
+    for i, lines in enumerate([["z", "a"], [], ["b"] * 3 + ["c"], ["a"]]):
+        (folder / f"part-0000{i}-x.txt").write_text("".join(f"{line}\n" for line in lines))
+    if not local:  # a store whose files have one writer each
+        class Store:
+            def __init__(self, fs):
+                self.listStatus = fs.listStatus
+
+            def getUri(self):
+                return self
+
+            def getScheme(self):
+                return "store"
+
+        found = scratch.hadoop_path
+        monkeypatch.setattr(scratch, "hadoop_path", lambda *a: (Store(found(*a)[0]), found(*a)[1]))
+    scratch.join_files(spark, str(folder), str(path))
+    (whole,) = path.glob("part-*")
+    assert whole.read_text() == "z\na\nb\nb\nb\nc\na\n"
