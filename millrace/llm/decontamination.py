@@ -20,9 +20,11 @@ than a window is matched by its whole token sequence, from ``LEAST_TOKENS`` toke
 Only DataFrame functions run on the main path.  A window can only match where its two
 longest literal words, its anchors, stand in the document at their distance: tokens are
 first joined with the anchors of all item windows, and templates are built and hashed at
-the windows around them alone.  Item windows are counted; up to ``BROADCAST_ROWS`` they and
-their anchors are sent to the documents, so that only matches are shuffled, and beyond that
-the templates of all windows are shuffled and joined.
+the windows around them alone.  Texts are parted once for both kinds of tokens and joined in
+parts of ``PART`` tokens, so rows in flight do not grow with a text's length times its matches.
+Item windows are counted; up to ``BROADCAST_ROWS`` they and their anchors are sent to the
+documents, so that only matches are shuffled, and beyond that the templates of all windows
+are shuffled and joined.
 
 Defined cases: null and empty texts, and items of fewer than ``LEAST_TOKENS`` tokens, match
 nothing; rows with one doc_id are told apart by their text, equal rows count once;
@@ -46,6 +48,7 @@ MIN_TOKENS = 8
 MIN_RUN = 13
 MIN_CONSISTENT = 0.8
 BROADCAST_ROWS = 2**18
+PART = 1024  # tokens of a text that are looked at together
 
 MARK = "§"
 LOOSE = f"{MARK}p."  # of an item's token that only begins sentences
@@ -82,12 +85,17 @@ def named(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?={NAME})(?<![\p{{L}}\p{{N}}\p{{M}}])({NAME}[\p{{L}}\p{{M}}]*) (?={NAME})", f"$1{JOINED}")
 
 
+def split_tokens(text: Column, plain: bool) -> Column:
+    """The tokens of a parted text, ``plain`` ones in lower case."""
+    return F.split(F.lower(text) if plain else named(text), SEPARATOR)
+
+
 def raw_tokens(text: Column) -> Column:
-    return F.split(named(parted(text)), SEPARATOR)
+    return split_tokens(parted(text), plain=False)
 
 
 def plain_tokens(text: Column) -> Column:
-    return F.split(F.lower(parted(text)), SEPARATOR)
+    return split_tokens(parted(text), plain=True)
 
 
 def only_starts(text: Column) -> Column:
@@ -170,43 +178,66 @@ def window_places() -> Column:
     return F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)
 
 
-def matches(rows: DataFrame, items: DataFrame, plain: bool, broadcast: bool) -> DataFrame:
-    """Windows of ``rows (doc_id, mark, text)`` with the template of an item's window:
-    the item's columns, ``at`` and the document's ``tokens``, valued unless ``plain``."""
-    texts = compute_once(rows, {"raw": (plain_tokens if plain else raw_tokens)(F.col("text"))}).drop("text")
-    keys = items.drop("anchors", "size")
+def token_parts(documents: DataFrame, window: int) -> DataFrame:
+    """``(doc_id, mark, plain, start, part)``: the tokens of both kinds of every text, ``PART``
+    of them from place ``start`` with ``window`` tokens on either side (blank before the first)."""
+    rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("text IS NOT NULL")
+    rows = compute_once(rows, {"text": parted(F.col("text"))})
+    blank = F.array_repeat(F.lit(""), window)
+    kinds = [
+        F.struct(F.lit(plain).alias("plain"), F.concat(blank, split_tokens(F.col("text"), plain)).alias("tokens"))
+        for plain in (False, True)
+    ]
+    rows = rows.select("doc_id", "mark", F.inline(F.array(*kinds)))
+    starts = F.sequence(F.lit(0), F.size("tokens") - window - 1, F.lit(PART))
+    part = lambda start: F.slice("tokens", start + 1, PART + 2 * window)
+    parts = F.transform(starts, lambda start: F.struct(start.alias("start"), part(start).alias("part")))
+    return rows.select("doc_id", "mark", "plain", F.inline(parts))
+
+
+def matches(parts: DataFrame, items: DataFrame, window: int, broadcast: bool) -> DataFrame:
+    """Windows of ``token_parts`` with the template of an item's window: the item's columns,
+    ``at`` and the document's ``tokens``, valued unless ``plain``."""
+    keys = items.drop("anchors")
     if broadcast:
         first, second = (F.get("anchors", F.lit(i)) for i in (0, 1))
         anchors = items.select(
-            "size", first["word"].alias("anchor"), first["offset"].alias("offset"),
+            "plain", "size", first["word"].alias("anchor"), first["offset"].alias("offset"),
             second["word"].alias("other"), (second["offset"] - first["offset"]).alias("apart"),
         )
-        placed = texts.select("doc_id", "mark", "raw", F.posexplode("raw").alias("place", "token"))
-        beside = F.lower(F.get("raw", F.col("place") + F.col("apart"))) == F.col("other")
-        placed = placed.join(F.broadcast(anchors.distinct()), (F.lower("token") == F.col("anchor")) & beside)
-        placed = placed.withColumn("at", F.col("place") - F.col("offset"))
+        placed = parts.select("doc_id", "mark", "plain", "start", "part", F.posexplode("part").alias("place", "token"))
+        placed = placed.where(F.col("place").between(window, window + PART - 1))
+        placed = placed.withColumn("anchor", F.lower("token")).join(F.broadcast(anchors.distinct()), ["plain", "anchor"])
+        placed = placed.where(F.lower(F.get("part", F.col("place") + F.col("apart"))) == F.col("other"))
+        placed = placed.withColumn("place", F.col("place") - F.col("offset"))
+        placed = placed.where(F.col("place") <= F.size("part") - F.col("size"))
         keys = F.broadcast(keys)
     else:
-        lengths = items.select("size").distinct()
-        placed = texts.join(F.broadcast(lengths), F.size("raw") >= F.col("size"))
-        starts = F.sequence(F.lit(0), F.size("raw") - F.col("size"))
-        placed = placed.select("doc_id", "mark", "raw", "size", F.explode(starts).alias("at"))
-    placed = placed.where((F.col("at") >= 0) & (F.col("at") <= F.size("raw") - F.col("size")))
-    tokens = F.slice("raw", F.col("at") + 1, F.col("size")) if plain else valued_window(F.col("raw"), F.col("at"), F.col("size"))
-    windows = placed.select("doc_id", "mark", "at", "size", tokens.alias("tokens"))
-    return windows.withColumn("hash", template_hash(F.col("tokens"))).join(keys, "hash")
-
-
-def window_hits(documents: DataFrame, benchmark: DataFrame, window: int, plain: bool, broadcast_rows: int) -> DataFrame:
+        lengths = items.select("plain", "size").distinct()
+        placed = parts.join(F.broadcast(lengths), "plain").where(F.size("part") >= F.col("size") + window)
+        places = F.sequence(F.lit(window), F.least(F.lit(window + PART - 1), F.size("part") - F.col("size")))
+        placed = placed.select("doc_id", "mark", "plain", "start", "part", "size", F.explode(places).alias("place"))
+    at = F.col("start") + F.col("place") - window
+    placed = placed.select("doc_id", "mark", "plain", "size", at.alias("at"), "part", "place").where(F.col("at") >= 0)
+    # the rows of a part wait together: each holds its window and the token before it alone
+    near = F.slice("part", F.col("place"), F.col("size") + 1)
+    placed = compute_once(placed, {"near": near}).drop("part", "place")
+    tokens = F.when(F.col("plain"), F.slice("near", 2, F.col("size")))
+    tokens = tokens.otherwise(valued_window(F.col("near"), F.lit(1), F.col("size")))
+    windows = placed.select("doc_id", "mark", "plain", "at", "size", tokens.alias("tokens"))
+    return windows.withColumn("hash", template_hash(F.col("tokens"))).join(keys, ["plain", "size", "hash"])
+
+
+def window_hits(documents: DataFrame, benchmark: DataFrame, window: int, broadcast_rows: int) -> DataFrame:
     """The windows of items in documents, with the diagonal; ``pairs`` of an item's
     placeholders and the document's."""
-    items = cut_lineage(item_windows(benchmark, window, plain), "items")
-    rows = documents.select("doc_id", F.xxhash64("text").alias("mark"), "text").where("text IS NOT NULL")
-    hits = matches(rows, items, plain, items.count() <= broadcast_rows).select(
+    kinds = [item_windows(benchmark, window, plain).withColumn("plain", F.lit(plain)) for plain in (False, True)]
+    items = cut_lineage(kinds[0].unionByName(kinds[1]), "items")
+    hits = matches(token_parts(documents, window), items, window, items.count() <= broadcast_rows).select(
         "doc_id",
         "mark",
         "item_id",
-        F.lit(plain).alias("plain"),
+        "plain",
         "item_at",
         "size",
         "n_tokens",
@@ -251,8 +282,7 @@ def find_leaks(
     that documents hold; ``mark`` is a hash of the text, ``n_changed`` counts the item's
     values that the document replaces, ``coverage`` is the share of tokens in matched windows."""
     benchmark = benchmark.select("item_id", "text")
-    kinds = [window_hits(documents, benchmark, window, plain, broadcast_rows) for plain in (False, True)]
-    hits = cut_lineage(kinds[0].unionByName(kinds[1]).distinct(), "hits")
+    hits = cut_lineage(window_hits(documents, benchmark, window, broadcast_rows).distinct(), "hits")
 
     line = ["doc_id", "mark", "item_id", "diagonal"]
     slots = hits.where("NOT plain").select(*line, F.inline("pairs"))

@@ -173,3 +173,29 @@ def test_leaks_equal_the_rules_written_out(spark, tiny, small_documents, broadca
     expected = brute(documents, items)
     assert len(got) == len(found) and len(expected) > 50
     assert got == expected
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 2**18])
+def test_long_text_full_of_an_item_is_held_in_parts(spark, broadcast_rows):
+    """Every window of 60,000 tokens fits; rows that each held the whole text would take 40 GB."""
+    text = " ".join([ITEMS[0]] * 3000)
+    documents = spark.createDataFrame([(1, text), (2, "nothing of it here at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, ITEMS[0])], "item_id long, text string")
+    found = D.find_leaks(documents, items, broadcast_rows=broadcast_rows).collect()
+    wanted = held(" ".join([ITEMS[0]] * 3), ITEMS[0], plain=False)
+    assert [(r.doc_id, r.item_id, r.coverage, r.n_windows, r.n_matched) for r in found] == [(1, 7, wanted[0], *wanted[2:])]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 2**18])
+def test_windows_across_the_border_of_parts(spark, broadcast_rows):
+    shifts = [n * D.PART + k for n in (1, 2) for k in range(-24, 3)] + [0, 1, 2]
+    item = ITEMS[0]
+    documents = [(n, " ".join(["word"] * n + [item])) for n in shifts]
+    documents += [(10_000 + n, " ".join(["5 word"] * (n // 2) + [ITEMS[2], "km more"])) for n in shifts if n % 2 == 0]
+    items = [(0, item), (1, ITEMS[2])]
+    table = spark.createDataFrame(documents, "doc_id long, text string")
+    wanted = spark.createDataFrame(items, "item_id long, text string")
+    found = D.find_leaks(table, wanted, broadcast_rows=broadcast_rows).collect()
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, round(r.coverage, 9)) for r in found}
+    assert len(got) == len(found) == len(documents)
+    assert got == brute(documents, items)
